@@ -4,22 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, line_dedup
+from ledgerline.llm import exact_dedup, line_dedup, packing, piece_codec, simhash
 from ledgerline.llm.common import documents
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), WORD_TOKENIZER)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = line_dedup.dedup_lines(documents(spark, sf_dir))
     return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.digests(documents(spark, sf_dir), PIECE_TOKENIZER)
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
 k AS (SELECT doc_id, sha256(norm) AS text_sha256, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id,
@@ -38,7 +55,7 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_line_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op5_line_dedup, op7_piece_codec, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
