@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import exact_dedup, line_dedup, packing, piece_codec, quality, simhash, topk
+from ledgerline.llm import exact_dedup, langid, line_dedup, packing, piece_codec, quality, simhash, topk
 from ledgerline.llm.common import documents
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digests(documents(spark, sf_dir), PIECE_TOKENIZER)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir), PIECE_TOKENIZER)
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -71,7 +75,7 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_quality_classifier, op5_line_dedup, op6_exact_top_k, op7_piece_codec, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_best_fit_packing, op3_quality_classifier, op5_line_dedup, op6_exact_top_k, op7_piece_codec, op8_language_id, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
