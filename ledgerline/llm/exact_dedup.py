@@ -135,3 +135,17 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         "text_sha256",
     )
+
+
+def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group of equal texts."""
+    decided = stage(exact_groups(docs, id_col=id_col, text_col=text_col).select("doc_id", "kept", "text_sha256"), "exact-decided")
+    own = [F.col("_id").eqNullSafe(docs[id_col].cast("long")), F.col("_sha") == F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))), 256)]
+    gone = decided.filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    stay = docs.join(gone.hint("shuffle_hash"), own, "left_anti")
+    # Rows that repeat an id and its text share their decision; of those that stay one is enough.
+    again = stage(decided.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "exact-again")
+    if again.isEmpty():
+        return stay
+    one = docs.join(again, own, "left_semi").withColumn("_sha", F.sha2(normalised(F.coalesce(F.col(text_col), F.lit(""))), 256)).dropDuplicates([id_col, "_sha"]).drop("_sha")
+    return stay.join(again, own, "left_anti").unionByName(one)

@@ -173,3 +173,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose doc_id is the smallest of its component; rows that share an id go or stay together."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
+    decided = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+    gone = stage(decided.filter("not stays").select("_id"), "simhash-gone")
+    return docs.join(gone.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col("_id"), "left_anti")
