@@ -1,6 +1,6 @@
 """Registered queries, each with its SQL."""
 
-from ledgerline.plans import core
+from ledgerline.plans import core, scalar
 from ledgerline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core"]
+__all__ = ["ORACLES", "QUERIES", "core", "scalar"]
