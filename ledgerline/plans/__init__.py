@@ -1,6 +1,6 @@
 """Registered queries, each with its SQL."""
 
-from ledgerline.plans import core, reports, scalar
+from ledgerline.plans import analysis, core, reports, scalar
 from ledgerline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "core", "reports", "scalar"]
+__all__ = ["ORACLES", "QUERIES", "analysis", "core", "reports", "scalar"]
