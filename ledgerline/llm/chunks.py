@@ -14,9 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and joined back at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Distinct chunks that a table keeps before it begins anew.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 200_000
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
