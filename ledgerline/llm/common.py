@@ -1,53 +1,20 @@
-"""Helpers that the operators share: staged tables, worker imports, plain columns."""
+"""Helpers that the operators share."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.storage import stage, workers_import_us
+
+__all__ = ["BLANKS", "NO_ID", "UPPER", "ascii_lower", "documents", "id_and_text", "stage", "workers_import_us"]
+
 #: The white space that the operators' contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Stands for a null document id, so that null sorts last and joins like any other id.
 NO_ID = 9223372036854775807
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (local runs and tests)."""
-    global _own_dir
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        _own_dir = _own_dir or tempfile.mkdtemp(prefix="spark-shared-")
-        path = f"file://{_own_dir}"
-    return path.rstrip("/")
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends here, lost executors cost no rework.
-
-    Tables are named by application, so they go when the application's checkpoint folder is cleared.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerline-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def workers_import_us(spark: SparkSession) -> None:
-    """Let Python workers import this package when it is run from a checkout and not installed."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if _ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
