@@ -8,7 +8,8 @@ pairs; buckets beyond a limit stream on to a second index by the other segment's
 distinct fingerprints can share a key.
 
 Defined cases: null or blank text has fingerprint zero and links like any other; null doc_id sorts after all
-ids; rows that repeat a doc_id have one fingerprint each; an empty table gives an empty result.
+ids; rows that repeat a doc_id have one fingerprint each, and neither a null nor a repeated doc_id links rows:
+components are those of the fingerprints; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -164,20 +165,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """doc_id, fp, component_id of each row: the smallest doc_id reachable over links of RADIUS bits at most."""
     signed = stage(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-signed")
     classes = stage(signed.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("rep")), "simhash-classes")
-    pairs = stage(near_pairs(classes.select("fp"), bucket=bucket), "simhash-pairs")
-    a, b = classes.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), classes.select(F.col("fp").alias("b"), F.col("rep").alias("rb"))
-    labels = min_labels(pairs.join(a, "a").join(b, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    labelled = classes.join(labels, classes.rep == labels.node, "left").select("fp", F.coalesce("label", "rep").alias("component"))
-    return signed.join(stage(labelled, "simhash-labels"), "fp", "left").select("doc_id", "fp", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
+    labels = min_labels(stage(near_pairs(classes.select("fp"), bucket=bucket), "simhash-pairs"))
+    labelled = stage(classes.join(labels, classes.fp == labels.node, "left").select("fp", "rep", F.coalesce("label", "fp").alias("root")), "simhash-roots")
+    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
+    return signed.join(stage(labelled.join(smallest, "root").select("fp", "component"), "simhash-labels"), "fp", "left").select("doc_id", "fp", F.nullif("component", F.lit(NO_ID)).alias("component_id"))
 
 
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose doc_id is the smallest of its component; rows that share an id go or stay together."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    decided = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
-    gone = stage(decided.filter("not stays").select("_id"), "simhash-gone")
-    return docs.join(gone.hint("shuffle_hash"), F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col("_id"), "left_anti")

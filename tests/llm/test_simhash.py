@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from ledgerline.llm import simhash
 from ledgerline.llm.components import min_labels
@@ -80,3 +81,23 @@ def test_odd_rows(odd, none):
     assert len(rows) == 13 and simhash.near_duplicates(none).count() == 0
     by = {r.doc_id: (r.fp, r.component_id) for r in rows}
     assert by[3] == by[4] == by[5] == (0, 3) and by[1][1] == by[2][1] == by[6][1] == by[None][1] == 1
+
+
+def test_null_and_repeated_ids_do_not_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (None, a.upper() + " "), (9, b), (None, b.upper() + " "), (None, "other words alone here"), (3, "x y z u"), (3, "p q r s"), (4, "P q r s")]
+    # Fingerprints apart and yet near: one bit each, of which the smallest id is null or shared.
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    real = simhash.fingerprints
+
+    def signed(docs, **_):
+        """Rows without an id and those of id 3 get a neighbour of their text's fingerprint."""
+        flip = F.when(F.col("doc_id").isNull() | (F.col("doc_id") == 3), F.lit(1)).otherwise(F.lit(0))
+        return real(docs).withColumn("fp", F.col("fp").bitwiseXOR(flip.cast("long")))
+
+    simhash.fingerprints = signed
+    try:
+        got = sorted((str(r.doc_id), r.component_id or 0) for r in simhash.near_duplicates(docs).collect())
+    finally:
+        simhash.fingerprints = real
+    assert got == sorted([("5", 5), ("None", 5), ("9", 9), ("None", 9), ("None", 0), ("3", 3), ("3", 3), ("4", 3)])
