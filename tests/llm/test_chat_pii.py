@@ -122,3 +122,13 @@ def test_query_against_plain_rewrite(spark, odd, none):
     assert pii.replace_entities(none).count() == 0
     by = {r.doc_id: r for r in pii.replace_entities(odd).collect()}
     assert by[3].text is None and by[3].pii == [] and by[4].text == ""
+
+
+def test_cards_in_any_groups_and_titles_in_any_case():
+    cards = ["6205 5000 0000 0000 004", "4222 222 222 222", "3056 930902 5904", "620550 0000000000004", "4111 1111 1111 1111", "4111111111111111"]
+    for c in cards:
+        for text in (f"pay {c}, now", f"pay {c} 17 now", f"no 12 {c} now"):
+            assert [(e.kind, text[e.start : e.end]) for e in pii.detect(text)] == [("card", c)], text
+    for text in ("MR SMITH", "MRS SMITH", "DR. Smith", "mr. Smith", "frau Smith", "Pani Smith", "Pan Smith", "Sig.ra Smith", "Frau. Smith", "Herr Dr. Smith"):
+        assert [text[e.start : e.end].title() for e in pii.detect(text)] == ["Smith"], text
+        assert pii._likely(__import__("pyarrow").array([text])) == [True]
