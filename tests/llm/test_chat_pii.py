@@ -132,3 +132,23 @@ def test_cards_in_any_groups_and_titles_in_any_case():
     for text in ("MR SMITH", "MRS SMITH", "DR. Smith", "mr. Smith", "frau Smith", "Pani Smith", "Pan Smith", "Sig.ra Smith", "Frau. Smith", "Herr Dr. Smith"):
         assert [text[e.start : e.end].title() for e in pii.detect(text)] == ["Smith"], text
         assert pii._likely(__import__("pyarrow").array([text])) == [True]
+
+
+def test_phones_of_countries_and_ipv6():
+    phones = "+14155552671|+44 20 7946 0958|+44 (0)20 7946 0958|+33 1 23 45 67 89|0033 1 23 45 67 89|+49 30 901820|+34 912 345 678|+48.22.123.45.67|1-800-555-1234|415.555.2671|(415) 555.2671|1 (415) 555-2671|01 23 45 67 89|020 7946 0958|030/901820"
+    for p in phones.split("|"):
+        for text in (f"call {p}, or", f"tel:{p}", f"call {p} 4111 1111 1111 1111", f"call {p} 27.65.93.188"):
+            found = pii.detect(text)
+            assert ("phone", p) == (found[0].kind, text[found[0].start : found[0].end]), text
+            assert len(found) == 1 + (text[-1].isdigit() and text[0] == "c"), text
+            out = pii.rewrite(text)[0]
+            assert p not in out and len(out) == len(text) or "27.65" in text, (text, out)
+            assert re.sub(r"\d", "", out.partition(",")[0]) == re.sub(r"\d", "", text.partition(",")[0]) or "27.65" in text
+    same = [pii.detect(p)[0].canonical for p in ("+1 (974) 555-3436", "+19745553436", "001 974 555 3436", "1-974-555-3436")]
+    assert same == ["+1:9745553436"] * 4
+    for a in ("2001:db8:0:0:0:ff00:42:8329", "2001:db8::ff00:42:8329", "fe80::1ff:fe23:4567:890a", "::ffff:192.0.2.128", "fd00:cafe::beef", "dead:beef::cafe"):
+        text = f"host [{a}]:80 up"
+        assert [(e.kind, text[e.start : e.end]) for e in pii.detect(text)] == [("ip", a)] and a not in pii.rewrite(text)[0]
+    assert pii.detect("2001:db8:0:0:0:ff00:42:8329")[0].canonical == pii.detect("2001:DB8::FF00:42:8329")[0].canonical
+    for text in ("at 12:30:45 on 01.02.2024", "std::vector a::b ::1 ::", "1.234.567 and 12 345 678", "2024-01-02 10:11:12.123456", "+ 12 apples + 3 pears"):
+        assert pii.detect(text) == [], text
