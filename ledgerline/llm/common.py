@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.storage import stage, workers_import_us
 
-__all__ = ["BLANKS", "NO_ID", "UPPER", "ascii_lower", "documents", "id_and_text", "stage", "workers_import_us"]
+__all__ = ["BLANKS", "NO_ID", "UPPER", "ascii_lower", "documents", "fresh", "id_and_text", "pii_key", "stage", "workers_import_us"]
 
 #: The white space that the operators' contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -27,3 +27,18 @@ def id_and_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores after it as it takes to be no column of df."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        found.append(name)
+    return found
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The secret of spark.ledgerline.pii.key. Where that is unset, a public one, which protects nobody: for trials and tests."""
+    return spark.conf.get("spark.ledgerline.pii.key", "public key for trials").encode()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chat, exact_dedup, langid, line_dedup, packing, pii, piece_codec, quality, simhash, topk
-from ledgerline.llm.common import documents
+from ledgerline.llm.common import documents, pii_key
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -52,7 +52,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = pii.replace_entities(documents(spark, sf_dir))
+    done = pii.replace_entities(documents(spark, sf_dir), key=pii_key(spark))
     return done.select("doc_id", "text", "lang", "source", F.size("pii").cast("long").alias("n_entities"), F.array_join("pii", ",").alias("kinds"))
 
 
