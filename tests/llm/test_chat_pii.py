@@ -36,20 +36,25 @@ def test_read_back(spark):
     assert chat.digests(frame.limit(0)).count() == 0
 
 
-def test_tree_shares_turns_and_is_depth_first(spark):
-    tree = chat.prefix_tree(chat.turn_rows(spark.createDataFrame(CONVERSATIONS, COLUMNS)))
+def check_stream(tree, n_nodes):
     rows = sorted(tree.collect(), key=lambda r: r.begins)
-    assert len(rows) == 11  # 14 turns, three of them shared
+    assert len(rows) == n_nodes
     at, open_ = 0, []
     for r in rows:
         assert r.begins == at and r.length == len(r.content)
         at += r.length
         while open_ and open_[-1].node != r.parent:
             open_.pop()
-        assert (r.parent == "") == (not open_) and [a.node for a in r.ancestors] == [o.node for o in open_]
+        assert (r.parent == b"") == (not open_) and r.depth == len(open_) + 1
         assert r.position == sum(o.length for o in open_)
-        covered = sorted(x for i in r.attends_to for x in range(i.begins, i.ends))
-        assert covered == sorted(x for o in open_ for x in range(o.begins, o.begins + o.length))
+        intervals = [(i.begins, i.ends) for i in r.attends_to]
+        want = []
+        for o in open_:
+            if want and want[-1][1] == o.begins:
+                want[-1] = (want[-1][0], o.begins + o.length)
+            else:
+                want.append((o.begins, o.begins + o.length))
+        assert intervals == want
         if r.role == "assistant":
             text = r.content[r.loss.begins - r.begins : r.loss.ends - r.begins]
             assert [(r.role, chat.unescape(text))] == chat.parse(r.content)
@@ -58,6 +63,28 @@ def test_tree_shares_turns_and_is_depth_first(spark):
         open_.append(r)
 
 
+def test_tree_shares_turns_and_is_depth_first(spark):
+    # 14 turns, three of them shared
+    check_stream(chat.prefix_tree(spark.createDataFrame(CONVERSATIONS, COLUMNS)), 11)
+
+
+def test_deep_trees_are_depth_first(spark):
+    """200 turns and branches after the 64th, the 66th, the 150th and the last; prefixes and copies of others."""
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t}" + (f" of {c}" if t >= cut else "")) for c, cut in enumerate([200, 64, 66, 66, 150, 199, 0, 200]) for t in range(200)]
+    rows += [(20, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(120)]
+    nodes = len({(tuple(r[2:] for r in rows if r[0] == c and r[1] <= t)) for c in {r[0] for r in rows} for t in range(sum(r[0] == c for r in rows))})
+    frame = spark.createDataFrame(rows, COLUMNS).repartition(5)
+    check_stream(chat.prefix_tree(frame), nodes)
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.digests(frame).collect()}
+    assert got == {c: slow_digest([r[1:] for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, 0, "user", "a", 5, "x", "y"), (2, 0, "user", "a", 5, "x", "y")], COLUMNS + ", node long, path string, rank string")
+    assert sorted(r.conv_id for r in chat.digests(frame).collect()) == [1, 2]
+    check_stream(chat.prefix_tree(frame), 1)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.text("ab\\<>/turn \n", max_size=12), st.text("ab\\<>/turn \n", max_size=30)), max_size=4))
 def test_template_round_trip(turns):
