@@ -3,12 +3,13 @@
 The pieces of a fixed public vocabulary have a probability in each language. A word's probability is the sum
 over all its segmentations into pieces, by a forward algorithm; no piece crosses a white-space marker, so a
 text's log probability is the sum over its marked words, and a word is scored once for each distinct word a
-worker meets. Probabilities are learnt by expectation maximisation over all segmentations of the words of a
+worker meets. Between two characters that stand side by side in no piece every segmentation has a cut, so the sum
+over a word is the product of the sums over the parts between such places: exact, and what keeps text without
+blanks short. Parts of any length are summed whole; beyond 32 characters in logarithms, as probabilities would vanish. Probabilities are learnt by expectation maximisation over all segmentations of the words of a
 bounded sample of training rows; the sums are added up in Spark, one number per language and piece.
 
 Defined cases: null text and text without a letter get 'und' and score 0; with no training rows every text
-does; words beyond 24 characters are scored in blocks; characters outside the vocabulary weigh alike in all
-languages; rows that repeat a doc_id are scored each; an empty table gives an empty result.
+does; characters outside the vocabulary weigh alike in all languages; rows that repeat a doc_id are scored each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MARK = "▁"
 #: Training rows that are taken for a language, about; all of them where there are fewer.
 TRAINING_ROWS = 1000
 ROUNDS, SMOOTHING = 3, 0.1
-BLOCK, FLOOR = 24, 1e-7
+SHORT, FLOOR = 32, 1e-7
 _EDGES = " \t\r\x0b\x0c.,;:!?|%&$*#\"'()[]{}<>=+-/\\_~`^@"
 UNKNOWN = "und"
 
@@ -49,6 +50,23 @@ class Lattice:
     def __init__(self, pieces: list[str]) -> None:
         self.number = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=1)
+        self.beside = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
+
+    def parts(self, word: str) -> list[str]:
+        """The marked word, cut where no piece can span."""
+        whole, found, at = MARK + word, [], 0
+        for i in range(1, len(whole)):
+            if whole[i - 1 : i + 1] not in self.beside:
+                found.append(whole[at:i])
+                at = i
+        return [*found, whole[at:]]
+
+    def _by_part(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The distinct parts of words, and for each occurrence its word and its part."""
+        number: dict[str, int] = {}
+        cut = [self.parts(w) for w in words]
+        numbers = [number.setdefault(p, len(number)) for ps in cut for p in ps]
+        return list(number), np.repeat(np.arange(len(words)), [len(ps) for ps in cut]), np.array(numbers, np.int64)
 
     def spans(self, words: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """Of words of one length: the piece at each span, -1 where there is none."""
@@ -70,39 +88,68 @@ class Lattice:
             alpha[j] += alpha[i] * p
         return alpha
 
+    def _ending(self, part: str) -> Iterator[tuple[int, list[int], list[int]]]:
+        """For each place in part: where the pieces that end there begin, and their numbers; -1 for a character that is none."""
+        get = self.number.get
+        for j in range(1, len(part) + 1):
+            found = [(i, p) for i in range(max(0, j - self.longest), j) if (p := get(part[i:j], -1 if i == j - 1 else None)) is not None]
+            yield j, [i for i, _ in found], [p for _, p in found]
+
+    def _logs(self, probs: np.ndarray) -> np.ndarray:
+        """Logarithms of probs, with that of FLOOR as the last row, which -1 picks."""
+        return np.log(np.maximum(np.vstack([probs, np.full((1, probs.shape[1]), FLOOR)]), 1e-300))
+
+    def _log_forward(self, part: str, logs: np.ndarray) -> np.ndarray:
+        alpha = np.zeros((len(part) + 1, logs.shape[1]))
+        for j, begins, pieces in self._ending(part):
+            alpha[j] = np.logaddexp.reduce(alpha[begins] + logs[pieces], axis=0)
+        return alpha
+
     def log_chance(self, words: list[str], probs: np.ndarray) -> np.ndarray:
         """Log probability of each word, a column per language."""
-        parts, owner = [], []
-        for at, w in enumerate(words):
-            whole = MARK + w
-            for a in range(0, len(whole), BLOCK):
-                parts.append(whole[a : a + BLOCK])
-                owner.append(at)
-        sizes, owner, out = np.fromiter(map(len, parts), np.int64, len(parts)), np.array(owner, np.int64), np.zeros((len(words), probs.shape[1]))
-        for n in np.unique(sizes):
+        parts, owner, numbers = self._by_part(words)
+        sizes, found = np.fromiter(map(len, parts), np.int64, len(parts)), np.zeros((len(parts), probs.shape[1]))
+        for n in np.unique(sizes[sizes <= SHORT]):
             which = np.flatnonzero(sizes == n)
-            own = [parts[i] for i in which]
-            alpha = self.forward(self.chances(self.spans(own), probs), n, len(own), probs.shape[1])
-            np.add.at(out, owner[which], np.log(np.maximum(alpha[n], 1e-300)))
+            alpha = self.forward(self.chances(self.spans([parts[i] for i in which]), probs), n, len(which), probs.shape[1])
+            found[which] = np.log(np.maximum(alpha[n], 1e-300))
+        if (long := np.flatnonzero(sizes > SHORT)).size:
+            logs = self._logs(probs)
+            for i in long:
+                found[i] = self._log_forward(parts[i], logs)[-1]
+        out = np.zeros((len(words), probs.shape[1]))
+        np.add.at(out, owner, found[numbers])
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, probs: np.ndarray) -> np.ndarray:
         """How often each piece is expected in words, taken counts times, under one column of probs."""
         total = np.zeros(len(self.number))
-        sizes = np.fromiter((min(len(w) + 1, BLOCK) for w in words), np.int64, len(words))
-        for n in np.unique(sizes):
+        parts, owner, numbers = self._by_part(words)
+        times = np.bincount(numbers, np.asarray(counts, float)[owner], minlength=len(parts))
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        for n in np.unique(sizes[sizes <= SHORT]):
             which = np.flatnonzero(sizes == n)
-            own = [(MARK + words[i])[:BLOCK] for i in which]
+            own = [parts[i] for i in which]
             spans = self.spans(own)
             chances = self.chances(spans, probs)
             alpha = self.forward(chances, n, len(own), 1)
             beta = [np.zeros((len(own), 1)) for _ in range(n)] + [np.ones((len(own), 1))]
             for (i, j), p in sorted(chances.items(), key=lambda x: -x[0][0]):
                 beta[i] += p * beta[j]
-            weight = counts[which] / np.maximum(alpha[n][:, 0], 1e-300)
+            weight = times[which] / np.maximum(alpha[n][:, 0], 1e-300)
             for (i, j), p in chances.items():
                 has = spans[i, j] >= 0
                 total += np.bincount(spans[i, j][has], (alpha[i] * p * beta[j])[has, 0] * weight[has], minlength=len(total))
+        logs = self._logs(probs)
+        for i in np.flatnonzero(sizes > SHORT):
+            alpha = self._log_forward(parts[i], logs)[:, 0]
+            beta = np.full(len(alpha), -np.inf)
+            beta[-1] = 0
+            for j, begins, pieces in reversed(list(self._ending(parts[i]))):
+                through = logs[pieces, 0] + beta[j]
+                beta[begins] = np.logaddexp(beta[begins], through)
+                has = np.array(pieces) >= 0
+                np.add.at(total, np.array(pieces)[has], times[i] * np.exp(alpha[begins] + through - alpha[-1])[has])
         return total
 
 

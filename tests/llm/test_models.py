@@ -64,6 +64,87 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(counts[pieces.index("▁ab")], probs[5, 0] / whole) and np.isclose(counts[pieces.index("ab")], probs[0, 0] * probs[4, 0] / whole)
 
 
+def test_long_words_are_summed_whole():
+    """Words of any length, with and without places that no piece spans, against the plain recursion; also in training."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "aab", "c"]
+    lattice, rng = langid.Lattice(pieces), np.random.default_rng(5)
+    probs = rng.dirichlet(np.ones(len(pieces)), 2).T
+
+    def slow(text):
+        alpha = [np.ones(2, np.longdouble)]
+        for j in range(1, len(text) + 1):
+            alpha.append(sum(alpha[i] * (probs[pieces.index(text[i:j])] if text[i:j] in pieces else langid.FLOOR * (i == j - 1)) for i in range(j)))
+        return np.log(alpha[-1]).astype(float)
+
+    words = ["".join(rng.choice(list(letters), n)) for letters in ("ab", "abc", "abx", "x") for n in (24, 25, 60, 100)]
+    assert np.allclose(lattice.log_chance(words, probs), [slow("▁" + w) for w in words])
+    assert lattice.parts("abcab") == ["▁ab", "c", "ab"] and lattice.parts("xx") == ["▁", "x", "x"] and "".join(lattice.parts(words[3])) == "▁" + words[3]
+    # What is expected of a piece is how the log chance grows with its logarithm.
+    word, step = words[2], 1e-6
+    for p in range(len(pieces)):
+        more = probs.copy()
+        more[p] *= 1 + step
+        slope = (slow("▁" + word)[0] * -1 + _with(slow, more, probs, "▁" + word)) / step
+        assert np.isclose(lattice.expected([word], np.array([1.0]), probs[:, :1])[p], slope, atol=1e-3)
+    long = "ab" * 4000 + "c" + "日本語" * 3000
+    assert np.isfinite(lattice.log_chance([long], probs)).all() and np.isfinite(lattice.expected([long], np.array([2.0]), probs[:, :1])).all()
+
+
+def _with(slow, more, probs, word):
+    held = probs.copy()
+    probs[:] = more
+    try:
+        return slow(word)[0]
+    finally:
+        probs[:] = held
+
+
+def test_language_by_enumeration(spark):
+    """Predictions of a whole table against plain sums with the learnt probabilities."""
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("the cat sat on the mat", "en"), ("die katze saß auf der matte", "de"), ("le chat est sur le tapis", "fr")] * 20)], "doc_id long, text string, lang string")
+    test = docs.unionByName(spark.createDataFrame([(1000, "The mat, the cat", None), (1001, "die matte!", None), (1002, "donaudampfschifffahrtsgesellschaftskapitänsmützenabzeichen", None), (1003, "12", None)], docs.schema))
+    pieces = langid.vocabulary(PIECE)
+    known = test.filter("lang is not null").filter(langid.fold(docs.doc_id, 4) != 2).select("text", "lang")
+    languages, probs = langid.learn(known, pieces)
+    number = {p: i for i, p in enumerate(pieces)}
+
+    def slow(text):
+        total = np.zeros(len(languages))
+        for w in text.lower().split():
+            w, alpha = "▁" + w.strip(langid._EDGES), [np.ones(len(languages))]
+            for j in range(1, len(w) + 1):
+                alpha.append(sum(alpha[i] * (probs[number[w[i:j]]] if w[i:j] in number else langid.FLOOR * (i == j - 1)) for i in range(max(0, j - 20), j)))
+            total += np.log(alpha[-1])
+        chance = np.exp(total - total.max())
+        return languages[int(chance.argmax())], chance.max() / chance.sum()
+
+    for r in langid.identify(test, PIECE).join(test.select("doc_id", "text"), "doc_id").collect():
+        if r.doc_id == 1003:
+            assert (r.lang_pred, r.score) == ("und", 0)
+        else:
+            assert r.lang_pred == slow(r.text)[0] and np.isclose(r.score, slow(r.text)[1]), r
+
+
+def test_quality_scores_by_plain_densities(spark):
+    """Scores against log densities from whole matrices, with numpy alone."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.doc_id, np.array(quality.statistics(r.text or ""))) for r in docs.select("doc_id", "text").collect()]
+    learnt = [(truth[i], x) for i, x in rows if i in truth and zlib.crc32(str(i).encode()) % 3 != 1]
+    every = np.array([x for _, x in learnt])
+    mean, sd = every.mean(axis=0), every.std(axis=0)
+    logs = []
+    for c in (0, 1):
+        own = (np.array([x for y, x in learnt if y == c]) - mean) / sd
+        cov = np.cov(own.T, bias=True)
+        cov = 0.9 * cov + 0.1 * np.trace(cov) / len(cov) * np.eye(len(cov))
+        z = (np.array([x for _, x in rows]) - mean) / sd - own.mean(axis=0)
+        logs.append(np.log(len(own) / len(every)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z))
+    want = {i: 1 / (1 + np.exp(-(b - a) / len(mean))) for (i, _), a, b in zip(rows, *logs, strict=True)}
+    for r in quality.score_documents(docs, labels).collect():
+        assert np.isclose(r.score, want[r.doc_id], atol=1e-6) and r.predicted == int(r.score >= 0.5)
+
+
 def test_language_odd_rows(odd, none):
     rows = {r.doc_id: r for r in langid.identify(odd, PIECE).collect()}
     assert len(langid.identify(odd, PIECE).collect()) == 13
