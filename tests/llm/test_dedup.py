@@ -67,6 +67,23 @@ def test_filter_segments_round_trip_and_merge():
     assert (got[0] == u).all() and (got[1] == n).all()
 
 
+@pytest.mark.parametrize("rows", [10**3, 10**6, 10**8, 10**10])
+def test_filters_take_few_bytes_a_fingerprint(rows):
+    """A full filter of a corpus of so many rows: bytes a fingerprint with 20 for each segment's row, and nothing lost."""
+    fps = np.random.default_rng(rows).integers(0, 2**64, min(rows, exact_dedup.FLUSH), dtype=np.uint64)
+    s, q = exact_dedup.filter_bits(rows)
+    built = list(exact_dedup.build_filter(fps, s, q))
+    assert sum(len(x) + 20 for _, x in built) < (16 if rows >= 10**6 else 24) * len(fps) + 100
+    back = np.concatenate([exact_dedup.decode_segment(x, n, s, q)[0] for n, x in built])
+    assert (back == np.unique(fps)).all()
+
+
+def test_drop_copies_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a", "x", "y", "z", "w"), (2, "a ", "x", "y", "z", "w"), (2, "a ", "x", "y", "z", "w"), (3, None, "x", "y", "z", "w")], "doc_id long, text string, _id string, _sha string, own_id string, OWN_SHA string")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3]
+
+
 def slow_lines(rows):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
     late = lambda i: 2**63 - 1 if i is None else i
