@@ -165,14 +165,29 @@ def slow_top(rows, k=20, every=20):
     return out
 
 
-def test_top_k_with_small_blocks(spark):
+def test_top_k_with_small_blocks(spark, monkeypatch):
     rng = np.random.default_rng(4)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.2, 40).astype(np.float32)]) for i in range(400)]
     vectors += [(400 + i, vectors[7][1]) for i in range(60)]  # ties
     vectors += [(1000, None), (1001, [0.1, None]), (1002, [float("nan")] * 40), (1003, [float("inf")] * 40), (None, [0.1] * 40), (1005, [0.5]), (1006, [])]
     frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
-    for blocks in ({}, {"candidate_block": 50, "query_block": 7}):
-        assert {tuple(r) for r in topk.top_k(frame, **blocks).collect()} == slow_top(vectors)
+    monkeypatch.setattr(topk, "CANDIDATE_ROWS", 50)
+    for blocks in ({}, {"query_numbers": 300}):
+        assert {tuple(r) for r in topk.top_k(frame.repartition(3), **blocks).collect()} == slow_top(vectors)
+
+
+def test_top_k_of_mixed_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in rng.normal(0, 0.3, n)]) for i, n in enumerate([5, 40, 3000, 17, 64, 1] * 20)] + [(40, [1.0, 2.0]), (41, [0.5] * 300), (60, [])]
+    frame = spark.createDataFrame([(i, v, "a", 1) for i, v in vectors], "vec_id long, embedding array<double>, v string, width int")
+    counts = {}
+    for i, _ in vectors:
+        counts[i] = counts.get(i, 0) + 1
+    got = {tuple(r) for r in topk.top_k(frame, query_numbers=4096).collect() if counts[r.query_id] == 1}
+    assert got == {x for x in slow_top(vectors) if counts[x[0]] == 1} and len(got) > 50
+    sizes = np.array([3, 100, 4, 3, 1000, 0])
+    cut = list(topk.blocks(sizes, 40, 3))
+    assert sorted(np.concatenate(cut).tolist()) == list(range(6)) and all(len(c) == 1 or (len(c) <= 3 and len(c) * sizes[c].max() <= 40) for c in cut)
 
 
 def test_top_k_of_huge_numbers_and_none(spark):
