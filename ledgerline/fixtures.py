@@ -59,9 +59,9 @@ FROM customer WHERE c_custkey%8 IN (0,2,5)""",
  event_id%4=0 AS cached, CASE WHEN event_type='error' THEN 'http_500' END AS error, ts FROM events""",
     # Ours: statement nodes, stored features, models, predictions, users and grants.
     "fx_nodes": """SELECT n.report_id AS doc_id, n.section, n.tag_path AS tag, CAST(t.idx AS INT) AS ord, n.value_current AS kwota_a, n.value_previous AS kwota_b,
- p.tag_path AS parent_tag FROM fx_line_items n JOIN fx_tags t ON t.tag_path=n.tag_path
- LEFT JOIN fx_line_items p ON p.report_id=n.report_id AND p.extraction_version=1 AND p.section=n.section AND n.tag_path LIKE '%\\_%' ESCAPE '\\'
-  AND p.tag_path=substr(n.tag_path,1,length(n.tag_path)-strpos(reverse(n.tag_path),'_')) WHERE n.extraction_version=1""",
+ p.tag_path AS parent_tag FROM (SELECT *, CASE WHEN strpos(tag_path,'_')>0 THEN substr(tag_path,1,length(tag_path)-strpos(reverse(tag_path),'_')) END AS up
+  FROM fx_line_items WHERE extraction_version=1) n JOIN fx_tags t ON t.tag_path=n.tag_path
+ LEFT JOIN (SELECT report_id, section, tag_path FROM fx_line_items WHERE extraction_version=1) p ON p.report_id=n.report_id AND p.section=n.section AND p.tag_path=n.up""",
     "fx_wide": """SELECT report_id, CAST(extraction_version AS INT) AS version, MAX(CASE WHEN tag_path='Aktywa' THEN value_current END) AS aktywa,
  MAX(CASE WHEN tag_path='Aktywa_B' THEN value_current END) AS aktywa_b, MAX(CASE WHEN tag_path='Pasywa_A' THEN value_current END) AS pasywa_a,
  MAX(CASE WHEN tag_path='Pasywa_B' THEN value_current END) AS pasywa_b, MAX(CASE WHEN tag_path='RZiS.A' THEN value_current END) AS revenue,
@@ -121,8 +121,7 @@ class Tables:
             for inner in set(re.findall(r"\b(?:fx_\w+|orders|customer|events|part|lineitem)\b", sql)):
                 if inner in FIXTURES or re.search(rf"(?i)(?:from|join)\s+{inner}\b", sql):
                     getattr(self, inner).createOrReplaceTempView(inner)
-            # What Spark lacks of the shared dialect: string literals there take no doubled backslash otherwise.
-            found = self.spark.sql(sql.replace("strpos(reverse(n.tag_path),'_')", "instr(reverse(n.tag_path),'_')").replace("'%\\_%' ESCAPE '\\'", "'%\\\\_%'"))
+            found = self.spark.sql(re.sub(r"strpos\(", "instr(", sql))  # Spark's name for it
         else:
             found = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         self.__dict__[name] = found

@@ -134,3 +134,15 @@ def feature_catalog(spark: SparkSession) -> DataFrame:
 
 def concept_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, s, t) for c, of in CONCEPT_TAGS.items() for s, t in of.items()], "concept string, schema_code string, tag_path string")
+
+
+def threshold_table(spark: SparkSession) -> DataFrame:
+    """A row per model and label: the scores from which and below which it holds, in ascending order."""
+    rows = [(m.model_id, name, low, high, i) for m in MODELS.values() for i, (low, (high, name, _)) in enumerate(zip([None, *[c[0] for c in m.cutoffs[:-1]]], m.cutoffs, strict=True))]
+    real = lambda x: None if x is None else float(x)
+    return spark.createDataFrame([(m, n, real(a), real(b), i) for m, n, a, b, i in rows], "model_id string, label string, min_score double, max_score double, ordinal int")
+
+
+def tag_table(spark: SparkSession) -> DataFrame:
+    """A row per feature and tag that it needs."""
+    return spark.createDataFrame([(f[0], t) for f in FEATURES for t in f[4]], "feature_definition_id string, tag_path string")

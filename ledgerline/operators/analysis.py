@@ -53,12 +53,44 @@ def latest_metric_labels(metrics: DataFrame) -> DataFrame:
 
 
 def series(reports: DataFrame, items: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Krs, period_end, tag_path, value, change and pct, for every company period and tag, values or not."""
+    """Krs, period_end, tag_path, value, change and pct, for every company period and tag, values or not.
+
+    The oldest statement's prior column gives one period more, a year before it.
+    """
     grid = canonical_reports(reports).select(F.col("id").alias("report_id"), "krs", "period_end", F.explode(F.array(*map(F.lit, tags))).alias("tag_path"))
-    own = latest_line_items(items).filter(F.col("tag_path").isin(list(tags))).select("report_id", "tag_path", "value_current")
-    rows = grid.join(own, ["report_id", "tag_path"], "left")
-    before = F.lag("value_current").over(W.partitionBy("krs", "tag_path").orderBy("period_end"))
-    return rows.select("krs", "period_end", "tag_path", F.col("value_current").alias("value"), F.round(F.col("value_current") - before, 2).alias("change"), sc.pct_change(F.col("value_current"), before).alias("pct"))
+    own = latest_line_items(items).filter(F.col("tag_path").isin(list(tags))).select("report_id", "tag_path", "value_current", "value_previous")
+    w = W.partitionBy("krs", "tag_path").orderBy("period_end")
+    rows = grid.join(own, ["report_id", "tag_path"], "left").withColumn("_k", F.row_number().over(w))
+    here, prior = F.struct("period_end", F.col("value_current").alias("value")), F.struct(F.add_months("period_end", -12).alias("period_end"), F.col("value_previous").alias("value"))
+    rows = rows.select("krs", "tag_path", F.explode(F.when(F.col("_k") == 1, F.array(prior, here)).otherwise(F.array(here))).alias("p")).select("krs", "tag_path", "p.*")
+    before = F.lag("value").over(w)
+    return rows.select("krs", "period_end", "tag_path", "value", F.round(F.col("value") - before, 2).alias("change"), sc.pct_change(F.col("value"), before).alias("pct"))
+
+
+def prediction_detail(scores: DataFrame, features: DataFrame, reports: DataFrame, items: DataFrame) -> DataFrame:
+    """Scores (id, report_id, krs, model_id, fiscal_year, raw_score, risk_category, scored_at, snapshot) by feature and tag."""
+    from ledgerline.operators.register import feature_snapshot_resolve, prior_year_report
+
+    spark = scores.sparkSession
+    bounds = F.broadcast(catalog.threshold_table(spark).select("model_id", F.col("label").alias("risk_category"), "min_score", "max_score"))
+    found = feature_snapshot_resolve(features, scores.select(F.col("id").alias("prediction_id"), "report_id", "scored_at", "snapshot"))
+    tags = found.select("prediction_id", "feature_definition_id", "value", "source").join(F.broadcast(catalog.tag_table(spark)), "feature_definition_id")
+    heads = scores.select(F.col("id").alias("prediction_id"), "report_id", "krs", "model_id", "fiscal_year", "raw_score", "risk_category").join(bounds, ["model_id", "risk_category"], "left")
+    prior = prior_year_report(reports).select(F.col("id").alias("report_id"), "prior_id")
+    amounts = latest_line_items(items).select("report_id", "tag_path", "section", "value_current")
+    rows = heads.join(tags, "prediction_id").join(prior, "report_id", "left").join(amounts, ["report_id", "tag_path"], "left")
+    rows = rows.join(amounts.toDF("prior_id", "tag_path", "_section", "value_prior"), ["prior_id", "tag_path"], "left")
+    return rows.select(
+        "krs", "model_id", "fiscal_year", "raw_score", "risk_category", "min_score", "max_score", "feature_definition_id", "value", "source", "tag_path", F.coalesce("section", "_section").alias("section"),
+        "value_current", "value_prior", sc.tag_direction(F.col("tag_path")).alias("higher_is_better"),
+    )
+
+
+def split_discovery_state(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Text rows (document_id, version, rodzaj, okres, status, file_type) to typed documents and their state, the newest of each."""
+    rows = latest(versions, ["document_id"], [F.desc("version")])
+    documents = rows.select("document_id", F.col("rodzaj").try_cast("short").alias("rodzaj"), F.nullif("okres", F.lit("")).try_cast("date").alias("okres_end"))
+    return documents, rows.select("document_id", (F.col("status") == "downloaded").alias("is_downloaded"), "file_type")
 
 
 def pivot_features(features: DataFrame, ids: Sequence[str], by: Sequence[str]) -> DataFrame:

@@ -104,43 +104,49 @@ def features_wide(wide: DataFrame, ids: Sequence[str], by: Sequence[str] = ("rep
     return wide.select(*by, *[feature(of[i], get)[0].alias(i) for i in ids])
 
 
-def score(features: DataFrame, model: catalog.LinearModel, by: Sequence[str] = ("report_id",)) -> DataFrame:
-    """By, model_id, raw_score, classification, risk_category, feature_contributions, warnings.
+def scored(model: catalog.LinearModel) -> Column:
+    """X8-X13 as a struct of feature columns: model_id, raw_score, classification, risk_category, feature_contributions, warnings.
 
-    Reports that lack a feature are left out. The score is rounded to 6 places after the sum of
-    unrounded terms, by whole millionths, so that all engines agree on ties.
+    Where a feature is missing, raw_score is null. The score is rounded to 6 places after the sum of unrounded terms,
+    by whole millionths, so that all engines agree on ties.
     """
     terms = [F.lit(c) * F.col(f) for f, c in model.coefficients.items()]
     total = F.lit(model.intercept or 0.0)
     for t in terms:
         total = total + t
+    raw = F.floor(total * 1e6 + 0.5) / 1e6
     names = [*(["_intercept"] if model.intercept is not None else []), *model.coefficients]
     values = [*([F.lit(model.intercept)] if model.intercept is not None else []), *[F.round(t, 6) for t in terms]]
-    rows = features.dropna(subset=list(model.coefficients)).select(*by, F.lit(model.model_id).alias("model_id"), (F.floor(total * 1e6 + 0.5) / 1e6).alias("raw_score"), F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)).alias("feature_contributions"), *model.coefficients)
     label, classified = F.lit(model.cutoffs[-1][1]), F.lit(model.cutoffs[-1][2])
     for bound, name, c in reversed(model.cutoffs[:-1]):
-        label, classified = F.when(F.col("raw_score") < bound, name).otherwise(label), F.when(F.col("raw_score") < bound, c).otherwise(classified)
+        label, classified = F.when(raw < bound, name).otherwise(label), F.when(raw < bound, c).otherwise(classified)
     warnings = F.array().cast("array<string>")
     if model.warning:
         name, above, text, lowered, to = model.warning
         over = F.col(name) > above
         warnings = F.when(over, F.array(F.lit(text))).otherwise(warnings)
         label = F.when(over & (label == lowered), to).otherwise(label)
-    return rows.select(*by, "model_id", "raw_score", classified.alias("classification"), label.alias("risk_category"), "feature_contributions", warnings.alias("warnings"))
+    return F.struct(
+        F.lit(model.model_id).alias("model_id"), raw.alias("raw_score"), classified.alias("classification"), label.alias("risk_category"),
+        F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*values)).alias("feature_contributions"), warnings.alias("warnings"),
+    )
+
+
+def score(features: DataFrame, model: catalog.LinearModel, by: Sequence[str] = ("report_id",)) -> DataFrame:
+    """The scores of one model; reports that lack a feature are left out."""
+    return features.dropna(subset=list(model.coefficients)).select(*by, scored(model).alias("s")).select(*by, "s.*")
 
 
 def score_all(features: DataFrame, models: Sequence[catalog.LinearModel] | None = None, by: Sequence[str] = ("report_id",)) -> DataFrame:
-    """All models over one wide table of features."""
-    parts = [score(features, m, by) for m in (models or catalog.MODELS.values())]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All models over one wide table of features, which is read once: a row's scores are an array that is unfolded."""
+    scores = F.array(*[scored(m) for m in (models or catalog.MODELS.values())])
+    return features.select(*by, F.explode(F.filter(scores, lambda s: s["raw_score"].isNotNull())).alias("s")).select(*by, "s.*")
 
 
 def report_values(items: DataFrame) -> DataFrame:
-    """The latest values of all catalogue tags, a row per report."""
-    return pivot_tags(latest_line_items(items), catalog.TAGS)
+    """The latest values of all catalogue tags, a row per report. Items are dealt by report once, which serves the window and the pivot."""
+    own = items.filter(F.col("tag_path").isin(catalog.TAGS)).repartition("report_id")
+    return pivot_tags(latest_line_items(own), catalog.TAGS)
 
 
 def model_features() -> list[str]:

@@ -28,7 +28,7 @@ CRAWL_ORDERS = {
     "oldest": lambda: [F.asc_nulls_first("last_checked_on"), F.asc("krs")],
     "newest": lambda: [F.desc("first_seen_on"), F.asc("krs")],
     "sequential": lambda: [F.asc("krs")],
-    "random": lambda: [F.xxhash64("krs", F.lit(42)), F.asc("krs")],
+    "random": lambda: [F.md5(F.concat("krs", F.lit("|42")).cast("binary")), F.asc("krs")],
 }
 
 
@@ -47,8 +47,8 @@ def crawl_mode(companies: DataFrame, mode: str, keys: Sequence[str] = ()) -> Dat
 
 
 def sync_budget(companies: DataFrame, known: DataFrame, cutoff: Column, batch: int) -> DataFrame:
-    """Half the batch to keys never synced, the rest to the stalest of the others."""
-    fresh = companies.join(known.select("krs"), "krs", "left_anti").orderBy(F.desc("check_priority"), "krs").limit(batch // 2).select("krs", F.lit("new").alias("why"))
+    """Half the batch, one at least, to keys never synced, the rest to the stalest of the others."""
+    fresh = companies.join(known.select("krs"), "krs", "left_anti").orderBy(F.desc("check_priority"), "krs").limit(max(1, batch // 2)).select("krs", F.lit("new").alias("why"))
     stale = companies.filter(F.col("last_checked_on") < cutoff).join(fresh.select("krs"), "krs", "left_anti").orderBy("last_checked_on", "krs").select("krs", F.lit("stale").alias("why"), "last_checked_on")
     # What the new ones leave of the batch goes to stale ones: both lists are ranked after their own limit.
     both = fresh.withColumn("_at", F.lit(None).cast("date")).unionByName(stale.withColumn("_at", F.col("last_checked_on")).limit(batch).drop("last_checked_on"))
@@ -158,15 +158,20 @@ def features_as_of(features: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def feature_snapshot_resolve(features: DataFrame, requests: DataFrame) -> DataFrame:
-    """By snapshot if all its features are there, else as of scoring, else the newest; source says which."""
-    cols = ["prediction_id", "feature_definition_id", "computation_version", "value"]
-    exact = features_at_version(features, requests)
-    full = exact.groupBy("prediction_id").agg(F.count(F.lit(1)).alias("_n")).join(requests.select("prediction_id", F.size("snapshot").alias("_of")), "prediction_id").filter("_n = _of").select("prediction_id")
-    rest = requests.join(full, "prediction_id", "left_anti")
-    as_of = features_as_of(features, rest)
-    last = rest.join(as_of.select("prediction_id").distinct(), "prediction_id", "left_anti").withColumn("scored_at", F.lit(None).cast("timestamp"))
-    tag = lambda d, s: d.select(*cols, F.lit(s).alias("source"))
-    return tag(exact.join(full, "prediction_id", "left_semi"), "snapshot").unionByName(tag(as_of, "as_of")).unionByName(tag(features_as_of(features, last), "latest"))
+    """By snapshot if all its features are there, else as of scoring, else the newest; source says which.
+
+    Requests meet the features of their report once; both windows share the distribution by request.
+    """
+    r = requests.select("prediction_id", "report_id", F.col("scored_at").alias("_at"), "snapshot")
+    rows = r.join(features.filter("is_valid").select("report_id", "feature_definition_id", "computation_version", "value", "computed_at"), "report_id")
+    exact = F.coalesce(F.col("snapshot")[F.col("feature_definition_id")] == F.col("computation_version"), F.lit(False))
+    then = F.col("_at").isNull() | (F.col("computed_at") <= F.col("_at"))
+    own = W.partitionBy("prediction_id")
+    rows = rows.withColumn("_exact", exact).withColumn("_then", then).withColumn("_n", F.sum(F.col("_exact").cast("int")).over(own)).withColumn("_any", F.max("_then").over(own))
+    source = F.when((F.col("_n") > 0) & (F.col("_n") == F.size("snapshot")), "snapshot").when(F.col("_any"), "as_of").otherwise("latest")
+    rows = rows.withColumn("source", source).filter((F.col("source") == "latest") | ((F.col("source") == "snapshot") & F.col("_exact")) | ((F.col("source") == "as_of") & F.col("_then")))
+    rank = F.row_number().over(W.partitionBy("prediction_id", "feature_definition_id").orderBy(F.desc("computed_at"), F.desc("computation_version")))
+    return rows.withColumn("_rn", rank).filter("_rn = 1").select("prediction_id", "feature_definition_id", "computation_version", "value", "source")
 
 
 def prior_year_report(reports: DataFrame) -> DataFrame:
@@ -185,15 +190,16 @@ def dataset_stats(matrix: DataFrame, features: Sequence[str], label: str) -> Dat
     return one.withColumn("mostly_missing", mostly).drop(*[f"_n_{f}" for f in features]).crossJoin(F.broadcast(single))  # one row each
 
 
-def not_found_ranges(keys: DataFrame) -> DataFrame:
+def not_found_ranges(keys: DataFrame, *, block: int = 1_000_000) -> DataFrame:
     """Q2: runs of consecutive keys with one status: status, first, last, n.
 
-    The row number runs within blocks of a million keys; touching runs of neighbouring blocks are then joined,
-    so no task sees all keys.
+    The row number runs within blocks of keys. Only runs that touch the border of their block, two a block at most, can
+    go on in the next; these alone are then joined, so no task sees all keys however the statuses alternate.
     """
-    block = F.floor(F.col("key") / 1_000_000)
     island = F.col("key") - F.row_number().over(W.partitionBy("_b", "status").orderBy("key"))
-    runs = keys.withColumn("_b", block).withColumn("_i", island).groupBy("_b", "status", "_i").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    runs = keys.withColumn("_b", F.floor(F.col("key") / block)).withColumn("_i", island).groupBy("_b", "status", "_i").agg(F.min("key").alias("first"), F.max("key").alias("last")).select("status", "first", "last")
+    at_border = (F.pmod("first", F.lit(block)) == 0) | (F.pmod("last", F.lit(block)) == block - 1)
     w = W.partitionBy("status").orderBy("first")
     starts = F.when(F.col("first") == F.lag("last").over(w) + 1, 0).otherwise(1)
-    return runs.withColumn("_new", starts).withColumn("_g", F.sum("_new").over(w)).groupBy("status", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("status", "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))
+    joined = runs.filter(at_border).withColumn("_new", starts).withColumn("_g", F.sum("_new").over(w)).groupBy("status", "_g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return runs.filter(~at_border).unionByName(joined.drop("_g")).select("status", "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))

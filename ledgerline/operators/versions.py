@@ -92,3 +92,9 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     """(check, violations): rows of child whose key is set but not in parent."""
     lost = child.filter(F.col(child_key).isNotNull()).join(parent.select(F.col(parent_key).alias(child_key)), child_key, "left_anti")
     return lost.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+
+
+def with_element(list_: Column, element: str) -> Column:
+    """A list with element at its end if it is not in it; null counts as empty."""
+    given = F.coalesce(list_, F.array().cast("array<string>"))
+    return F.when(F.array_contains(given, element), given).otherwise(F.array_append(given, element))

@@ -10,8 +10,9 @@ from ledgerline.functions import catalog
 from ledgerline.operators import analysis as an
 from ledgerline.operators import register as rg
 from ledgerline.operators import versions as ve
-from ledgerline.plans.core import _WIDE, SUCCESSFUL
+from ledgerline.plans.core import SUCCESSFUL
 from ledgerline.plans.registry import query
+from ledgerline.plans.reports import ASOF, BY_THEN, EXACT, ORPHANS_SQL, PRIOR, orphan_check
 from ledgerline.sources import files
 
 N = F.count
@@ -71,7 +72,8 @@ def latest_metric_label(t: Tables) -> DataFrame:
 
 
 SERIES = f"""(SELECT krs, period_end, tag_path, v AS value, round(v-lag(v) OVER w,2) AS change, round((v-lag(v) OVER w)/nullif(abs(lag(v) OVER w),0)*100,2) AS pct
-FROM (SELECT c.krs, c.period_end, g.tag_path, l.value_current AS v FROM {CANON} c CROSS JOIN (VALUES ('Aktywa'),('RZiS.A')) g(tag_path) LEFT JOIN {_ITEMS} l ON l.report_id=c.id AND l.tag_path=g.tag_path) s WINDOW w AS (PARTITION BY krs, tag_path ORDER BY period_end))"""
+FROM (WITH b AS (SELECT c.krs, c.period_end, g.tag_path, l.value_current AS v, l.value_previous AS u, row_number() OVER (PARTITION BY c.krs, g.tag_path ORDER BY c.period_end) AS k FROM {CANON} c CROSS JOIN (VALUES ('Aktywa'),('RZiS.A')) g(tag_path) LEFT JOIN {_ITEMS} l ON l.report_id=c.id AND l.tag_path=g.tag_path)
+SELECT krs, period_end, tag_path, v FROM b UNION ALL SELECT krs, CAST(period_end-INTERVAL 1 YEAR AS DATE), tag_path, u FROM b WHERE k=1) s WINDOW w AS (PARTITION BY krs, tag_path ORDER BY period_end))"""
 
 
 @query(f"SELECT * FROM {SERIES} s")
@@ -88,9 +90,9 @@ IDS = ["roa", "roe", "debt_ratio"]
 _PIVOT = ", ".join(f"max(CASE WHEN feature_definition_id='{i}' THEN value END) AS {i}" for i in IDS)
 
 
-@query(f"SELECT report_id, {_PIVOT} FROM fx_features WHERE computation_version=1 GROUP BY 1")
+@query(f"SELECT report_id, computation_version, {_PIVOT} FROM fx_features GROUP BY 1,2")
 def pivot_features(t: Tables) -> DataFrame:
-    return an.pivot_features(t.fx_features.filter("computation_version = 1"), IDS, ["report_id"])
+    return an.pivot_features(t.fx_features, IDS, ["report_id", "computation_version"])
 
 
 MATRIX = f"""(WITH v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY report_id, feature_definition_id ORDER BY computation_version DESC, computed_at DESC) rn FROM fx_features WHERE is_valid AND feature_definition_id IN ('roa','roe','debt_ratio')) x WHERE rn=1),
@@ -144,51 +146,65 @@ def import_keys_csv(t: Tables) -> DataFrame:
 _PRED_OF = "SELECT DISTINCT r.krs FROM fx_predictions p JOIN fx_reports r ON r.id=p.report_id"
 
 
-@query("""WITH d AS (SELECT krs, count(*) AS documents_total, count(*) FILTER (is_downloaded) AS documents_downloaded FROM fx_documents LEFT JOIN fx_downloads USING (document_id) GROUP BY krs), done AS (SELECT * FROM fx_reports WHERE ingestion_status='completed'),
+READINESS = """WITH d AS (SELECT krs, count(*) AS documents_total, count(*) FILTER (is_downloaded) AS documents_downloaded FROM fx_documents LEFT JOIN fx_downloads USING (document_id) GROUP BY krs), done AS (SELECT * FROM fx_reports WHERE ingestion_status='completed'),
 n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY krs ORDER BY period_end DESC, report_version DESC, created_at DESC, id DESC) rn FROM done) x WHERE rn=1), i AS (SELECT krs, count(*) AS k FROM done GROUP BY krs),
 s AS (SELECT r.krs, count(DISTINCT p.model_id) AS m, count(DISTINCT (p.model_id, p.report_id)) AS pairs FROM fx_predictions p JOIN fx_models o ON o.id=p.model_id AND o.is_active JOIN done r ON r.id=p.report_id GROUP BY 1),
 a AS (SELECT d.krs, documents_total, documents_downloaded, coalesce(i.k,0) AS reports_ingested, EXISTS (SELECT 1 FROM fx_features f WHERE f.report_id=n.id AND f.is_valid) AS features_computed, coalesce(s.m,0) AS models_scored, coalesce(i.k,0)*(SELECT count(*) FROM fx_models WHERE is_active)-coalesce(s.pairs,0) AS scoring_gaps, n.fiscal_year AS latest_fiscal_year, (SELECT count(*) FROM fx_models WHERE is_active) AS models_total
 FROM d LEFT JOIN i USING (krs) LEFT JOIN n ON n.krs=d.krs LEFT JOIN s ON s.krs=d.krs)
-SELECT *, documents_downloaded=documents_total AND reports_ingested>0 AND features_computed AND models_total>0 AND models_scored=models_total AS is_ready FROM a""")
+SELECT *, documents_downloaded=documents_total AND reports_ingested>0 AND features_computed AND models_total>0 AND models_scored=models_total AS is_ready FROM a"""
+
+
+@query(READINESS)
 def readiness(t: Tables) -> DataFrame:
     return an.readiness(t.fx_documents, t.fx_downloads, t.fx_reports, t.fx_features, t.fx_predictions, t.fx_models)
 
 
-_SCORED = "SELECT DISTINCT r.krs FROM fx_predictions p JOIN fx_reports r ON r.id=p.report_id WHERE p.raw_score>1"
+_SCORED = "SELECT DISTINCT r.krs FROM fx_predictions p JOIN fx_reports r ON r.id=p.report_id"
 
 
-@query(f"""WITH k AS (SELECT d.krs, list(DISTINCT coalesce(s.file_type,'unknown')) AS kinds FROM fx_documents d LEFT JOIN fx_downloads s USING (document_id) WHERE d.rodzaj=18 GROUP BY 1), c AS (SELECT krs, list(DISTINCT schema_code) AS schemas FROM fx_reports WHERE ingestion_status='completed' AND fiscal_year=1999 GROUP BY 1),
-z AS (SELECT DISTINCT r.krs FROM fx_reports r JOIN fx_line_items i ON i.report_id=r.id AND i.tag_path='RZiS.A' WHERE r.ingestion_status='completed' AND r.fiscal_year=1999), u AS (SELECT DISTINCT krs FROM fx_documents WHERE krs NOT IN ({_SCORED}))
+@query(f"""WITH k AS (SELECT d.krs, list(DISTINCT coalesce(s.file_type,'unknown')) AS kinds FROM fx_documents d LEFT JOIN fx_downloads s USING (document_id) WHERE d.rodzaj=18 GROUP BY 1), c AS (SELECT krs, list(DISTINCT schema_code) AS schemas FROM fx_reports WHERE ingestion_status='completed' GROUP BY 1),
+z AS (SELECT DISTINCT r.krs FROM fx_reports r JOIN fx_line_items i ON i.report_id=r.id AND i.tag_path='RZiS.A' WHERE r.ingestion_status='completed'), u AS (SELECT DISTINCT krs FROM fx_documents WHERE krs NOT IN ({_SCORED}))
 SELECT u.krs, CASE WHEN c.schemas IS NULL THEN CASE WHEN len(list_filter(coalesce(k.kinds,[]), lambda x: x NOT IN ('other','unknown','xhtml')))=0 THEN 'ifrs_xhtml' WHEN len(list_filter(k.kinds, lambda x: x NOT IN ('pdf','unknown')))=0 THEN 'pdf_only' ELSE 'ingestion_failed' END
 WHEN len(list_filter(c.schemas, lambda x: x<>'SFJMIZ'))=0 THEN 'micro_entity' WHEN len(list_filter(c.schemas, lambda x: x<>'SFZURT'))=0 THEN 'insurance_entity' WHEN z.krs IS NULL THEN 'missing_standard_tags' ELSE 'scoring_failed' END AS reason
 FROM u LEFT JOIN k USING (krs) LEFT JOIN c ON c.krs=u.krs LEFT JOIN z ON z.krs=u.krs""")
 def no_score_reason(t: Tables) -> DataFrame:
-    scored = t.fx_predictions.filter("raw_score > 1").join(t.fx_reports.select(F.col("id").alias("report_id"), "krs"), "report_id").select("krs").distinct()
-    return an.no_score_reason(t.fx_documents, t.fx_downloads, t.fx_reports.filter("fiscal_year = 1999"), t.fx_line_items, scored)
+    scored = t.fx_predictions.join(t.fx_reports.select(F.col("id").alias("report_id"), "krs"), "report_id").select("krs").distinct()
+    return an.no_score_reason(t.fx_documents, t.fx_downloads, t.fx_reports, t.fx_line_items, scored)
+
 
+_BOUNDS = ", ".join(f"('{m.model_id}','{name}',{'NULL' if low is None else f'{float(low)}::DOUBLE'},{'NULL' if high is None else f'{float(high)}::DOUBLE'},{i})" for m in catalog.MODELS.values() for i, (low, (high, name, _)) in enumerate(zip([None, *[c[0] for c in m.cutoffs[:-1]]], m.cutoffs, strict=True)))
 
-@query("SELECT id, name, version, is_baseline, row_number() OVER (ORDER BY is_baseline DESC, idx DESC) AS pos, (SELECT count(*) FROM fx_predictions p WHERE p.model_id=m.id) AS n_scores FROM fx_models m WHERE is_active")
+
+@query(f"SELECT m.id, m.name, m.version, m.is_baseline, row_number() OVER (ORDER BY m.is_baseline DESC, m.idx DESC, b.ord) AS pos, (SELECT count(*) FROM fx_predictions p WHERE p.model_id=m.id) AS n_scores, b.label, b.lo AS min_score, b.hi AS max_score FROM fx_models m LEFT JOIN (VALUES {_BOUNDS}) b(id,label,lo,hi,ord) ON b.id=m.id WHERE m.is_active")
 def model_catalog(t: Tables) -> DataFrame:
-    """Active models, baselines first, newest first, with how many scores each has."""
+    """Active models, baselines first, newest first, with how many scores each has and its thresholds."""
     from pyspark.sql import Window as W
 
     n = t.fx_predictions.groupBy(F.col("model_id").alias("id")).agg(N(F.lit(1)).alias("n_scores"))
-    pos = F.row_number().over(W.orderBy(F.desc("is_baseline"), F.desc("idx")))  # a few registry rows
-    return t.fx_models.filter("is_active").withColumn("pos", pos).join(n, "id", "left").select("id", "name", "version", "is_baseline", "pos", F.coalesce("n_scores", F.lit(0)).alias("n_scores"))
+    rows = t.fx_models.filter("is_active").join(F.broadcast(catalog.threshold_table(t.spark).withColumnRenamed("model_id", "id")), "id", "left").join(n, "id", "left")
+    pos = F.row_number().over(W.orderBy(F.desc("is_baseline"), F.desc("idx"), "ordinal"))  # a few registry rows
+    return rows.withColumn("pos", pos).select("id", "name", "version", "is_baseline", "pos", F.coalesce("n_scores", F.lit(0)).alias("n_scores"), "label", "min_score", "max_score")
+
+
+_TAGS_OF = ", ".join(f"('{i}','{tag}')" for i, _, _, _, required in catalog.FEATURES for tag in required)
+_DIRECTION = "CASE" + "".join(f" WHEN tag_path='{x}' THEN {str(up).lower()}" for x, up in catalog.TAG_DIRECTION.items()) + " END"
 
 
-@query(f"""WITH w AS ({_WIDE}), f AS (SELECT report_id, feature_definition_id, value, row_number() OVER (PARTITION BY report_id, feature_definition_id ORDER BY computation_version DESC) rn FROM fx_features WHERE is_valid)
-SELECT h.krs, h.model_id, h.fiscal_year, h.raw_score, f.feature_definition_id, f.value, CASE f.feature_definition_id WHEN 'debt_ratio' THEN w."Pasywa_B" ELSE w."RZiS.L" END AS source_value, CASE f.feature_definition_id WHEN 'debt_ratio' THEN false ELSE true END AS higher_is_better
-FROM {HISTORY} h JOIN f ON f.report_id=h.report_id AND f.rn=1 AND f.feature_definition_id IN ('roa','debt_ratio') LEFT JOIN w ON w.report_id=h.report_id""")
+@query(f"""WITH req AS (SELECT id AS prediction_id, report_id, scored_at, snapshot_version AS va, CASE WHEN report_id LIKE '%3' THEN 9 ELSE snapshot_version END AS vb FROM {HISTORY} h), {EXACT},
+fu AS (SELECT prediction_id FROM ex GROUP BY 1 HAVING count(*)=2), rest AS (SELECT * FROM req WHERE prediction_id NOT IN (SELECT prediction_id FROM fu)), a AS (SELECT * FROM {ASOF.format(req='rest', when=BY_THEN)} y), la AS (SELECT * FROM rest WHERE prediction_id NOT IN (SELECT prediction_id FROM a)),
+f AS (SELECT prediction_id, feature_definition_id, value, 'snapshot' AS source FROM ex WHERE prediction_id IN (SELECT prediction_id FROM fu) UNION ALL SELECT prediction_id, feature_definition_id, value, 'as_of' FROM a UNION ALL SELECT prediction_id, feature_definition_id, value, 'latest' FROM {ASOF.format(req='la', when='true')} z),
+i AS (SELECT report_id, tag_path, section, value_current FROM {_ITEMS} x), q AS (SELECT id, prior_id FROM {PRIOR} y)
+SELECT h.krs, h.model_id, h.fiscal_year, h.raw_score, h.risk_category, b.lo AS min_score, b.hi AS max_score, f.feature_definition_id, f.value, f.source, g.tag_path, coalesce(c.section,p.section) AS section, c.value_current, p.value_current AS value_prior, {_DIRECTION.replace('tag_path', 'g.tag_path')} AS higher_is_better
+FROM {HISTORY} h JOIN f ON f.prediction_id=h.id JOIN (VALUES {_TAGS_OF}) g(feature_definition_id,tag_path) ON g.feature_definition_id=f.feature_definition_id LEFT JOIN (VALUES {_BOUNDS}) b(model_id,label,lo,hi,ord) ON b.model_id=h.model_id AND b.label=h.risk_category
+LEFT JOIN q ON q.id=h.report_id LEFT JOIN i c ON c.report_id=h.report_id AND c.tag_path=g.tag_path LEFT JOIN i p ON p.report_id=q.prior_id AND p.tag_path=g.tag_path""")
 def prediction_detail(t: Tables) -> DataFrame:
-    """Newest score a company, model and year, with its features, the amount above the line and its direction."""
-    from ledgerline.functions.scalars import tag_direction
+    """The newest score of each company, model and year with its threshold, the features it stands on, and their tags.
 
-    tops = t.spark.createDataFrame([("roa", "RZiS.L"), ("debt_ratio", "Pasywa_B")], "feature_definition_id string, tag_path string")
-    newest = ve.latest(t.fx_features.filter("is_valid"), ["report_id", "feature_definition_id"], [F.desc("computation_version")]).select("report_id", "feature_definition_id", "value")
-    items = ve.latest_line_items(t.fx_line_items).select("report_id", "tag_path", F.col("value_current").alias("source_value"))
-    rows = an.score_history(t.fx_predictions, t.fx_reports).join(newest, "report_id").join(F.broadcast(tops), "feature_definition_id").join(items, ["report_id", "tag_path"], "left")
-    return rows.select("krs", "model_id", "fiscal_year", "raw_score", "feature_definition_id", "value", "source_value", tag_direction(F.col("tag_path")).alias("higher_is_better"))
+    Features are those of its snapshot, else as of scoring, else the newest; each tag comes with its amount in the
+    report and in the one of the year before, and with its direction.
+    """
+    snap = F.create_map(F.lit("roa"), F.col("snapshot_version"), F.lit("roe"), F.when(F.col("report_id").endswith("3"), 9).otherwise(F.col("snapshot_version")))
+    return an.prediction_detail(an.score_history(t.fx_predictions, t.fx_reports).withColumn("snapshot", snap), t.fx_features, t.fx_reports, t.fx_line_items)
 
 
 @query("SELECT id, krs, event_type FROM fx_bankruptcy_events WHERE is_confirmed OR event_type IN ('bankruptcy','restructuring')")
@@ -196,14 +212,14 @@ def confirmed_events(t: Tables) -> DataFrame:
     return rg.confirmed_events(t.fx_bankruptcy_events).select("id", "krs", "event_type")
 
 
-@query("""SELECT 'reports_year_out_of_range' AS check_name, count(*) AS violations FROM fx_reports WHERE fiscal_year NOT BETWEEN 1996 AND 2000 UNION ALL SELECT 'key_format', count(*) FROM fx_companies_extra WHERE NOT regexp_full_match(nip,'7[0-9]{9}')
-UNION ALL SELECT 'several_current', count(*) FROM (SELECT krs, fiscal_year FROM fx_reports WHERE ingestion_status='completed' GROUP BY 1,2 HAVING count(*)>1) x UNION ALL SELECT 'reports_without_company', count(*) FROM fx_reports r WHERE NOT EXISTS (SELECT 1 FROM fx_companies_extra c WHERE c.krs=r.krs)""")
+@query(f"""{ORPHANS_SQL} UNION ALL SELECT 'reports_year_out_of_range', count(*) FROM fx_reports WHERE fiscal_year NOT BETWEEN 1990 AND 2100 UNION ALL SELECT 'key_format', count(*) FROM fx_companies WHERE NOT regexp_full_match(krs,'[0-9]{{10}}')
+UNION ALL SELECT 'several_current', count(*) FROM (SELECT krs, fiscal_year FROM fx_reports WHERE ingestion_status='completed' GROUP BY 1,2 HAVING count(*)>1) x""")
 def fk_report(t: Tables) -> DataFrame:
-    """Q1."""
+    """Q1: all pairs of J16, years from 1990 to 2100, keys of ten digits, and years with several current reports."""
     count = lambda df, name: df.agg(N(F.lit(1)).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
     several = t.fx_reports.filter("ingestion_status = 'completed'").groupBy("krs", "fiscal_year").count().filter("count > 1")
-    a = count(t.fx_reports.filter("fiscal_year not between 1996 and 2000"), "reports_year_out_of_range").unionByName(count(t.fx_companies_extra.filter("not nip rlike '^7[0-9]{9}$'"), "key_format"))
-    return a.unionByName(count(several, "several_current")).unionByName(ve.orphans(t.fx_reports, t.fx_companies_extra, "krs", "krs", "reports_without_company"))
+    years, keys = t.fx_reports.filter("fiscal_year not between 1990 and 2100"), t.fx_companies.filter("not krs rlike '^[0-9]{10}$'")
+    return orphan_check(t).unionByName(count(years, "reports_year_out_of_range")).unionByName(count(keys, "key_format")).unionByName(count(several, "several_current"))
 
 
 @query("SELECT status, min(key) AS first, max(key) AS last, count(*) AS n FROM (SELECT key, status, key-row_number() OVER (PARTITION BY status ORDER BY key) AS g FROM (SELECT o_orderkey AS key, CASE WHEN o_orderkey%13<4 THEN 'not_found' ELSE 'found' END AS status FROM orders) k) x GROUP BY status, g")
@@ -216,13 +232,17 @@ def version_amplification(t: Tables) -> DataFrame:
     return an.version_amplification(t.fx_reports, "logical_key", "report_version", ["ingestion_status", "schema_code"])
 
 
-@query("""WITH v AS (SELECT document_id, CAST(rodzaj AS VARCHAR) AS rodzaj, CAST(okres_end AS VARCHAR) AS okres, discovered_at, row_number() OVER (PARTITION BY krs, rodzaj ORDER BY discovered_at DESC, document_id) rn FROM fx_documents)
-SELECT document_id, TRY_CAST(rodzaj AS SMALLINT) AS rodzaj, TRY_CAST(nullif(okres,'') AS DATE) AS okres_end, rn%2=1 AS is_downloaded FROM v WHERE rn<=1""")
+@query("""WITH v AS (SELECT d.document_id, CAST(d.rodzaj AS VARCHAR) AS rodzaj, CASE WHEN d.okres_end IS NULL THEN '' ELSE CAST(d.okres_end AS VARCHAR) END AS okres, g.version, CASE WHEN g.version=2 AND s.is_downloaded THEN 'downloaded' WHEN s.document_id IS NULL THEN 'unknown' ELSE 'pending' END AS status, s.file_type
+FROM fx_documents d LEFT JOIN fx_downloads s USING (document_id) CROSS JOIN (VALUES (1),(2)) g(version) WHERE g.version=1 OR s.document_id IS NOT NULL), c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY version DESC) rn FROM v)
+SELECT document_id, TRY_CAST(rodzaj AS SMALLINT) AS rodzaj, TRY_CAST(nullif(okres,'') AS DATE) AS okres_end, status='downloaded' AS is_downloaded, file_type FROM c WHERE rn=1""")
 def split_discovery_state(t: Tables) -> DataFrame:
-    """Text columns to typed ones, newest row of each key."""
-    text = t.fx_documents.select("document_id", "krs", F.col("rodzaj").cast("string"), F.coalesce(F.col("okres_end").cast("string"), F.lit("")).alias("okres"), "discovered_at", F.lit("downloaded").alias("status"))
-    rows = ve.latest(text, ["krs", "rodzaj"], [F.desc("discovered_at"), F.asc("document_id")])
-    return rows.select("document_id", F.col("rodzaj").try_cast("short").alias("rodzaj"), F.nullif("okres", F.lit("")).try_cast("date").alias("okres_end"), (F.col("status") == "downloaded").alias("is_downloaded"))
+    """A versioned table of text columns split in documents and their state, each from the newest row of a document, and joined again."""
+    state = t.fx_downloads.select("document_id", F.col("is_downloaded").alias("_d"), "file_type")
+    found = t.fx_documents.select("document_id", F.col("rodzaj").cast("string"), F.coalesce(F.col("okres_end").cast("string"), F.lit("")).alias("okres")).join(state, "document_id", "left")
+    versions = found.withColumn("version", F.explode(F.when(F.col("_d").isNull(), F.array(F.lit(1))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    status = F.when((F.col("version") == 2) & F.col("_d"), "downloaded").when(F.col("_d").isNull(), "unknown").otherwise("pending")
+    documents, states = an.split_discovery_state(versions.withColumn("status", status).drop("_d"))
+    return documents.join(states, "document_id")
 
 
 @query("""WITH e AS (SELECT krs, name, legal_form FROM fx_companies WHERE check_priority<>2), r AS (SELECT krs, nip FROM fx_companies_extra)

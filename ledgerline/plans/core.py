@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerline.fixtures import Tables
 from ledgerline.functions import catalog
 from ledgerline.operators import features as fe
+from ledgerline.operators import flow
 from ledgerline.operators import versions as ve
 from ledgerline.plans.registry import query
 
@@ -101,9 +102,13 @@ def purge_sentinels(t: Tables) -> DataFrame:
     return ve.purge(t.fx_reports.filter("fiscal_year = 1996"), t.fx_line_items, "id", "report_id").select("report_id", "tag_path", "value_current")
 
 
-@query("SELECT id, coalesce(CASE WHEN schema_code='SFZURT' THEN NULL ELSE schema_code END, 'SFJINZ') AS schema_code FROM fx_reports")
+@query(f"""SELECT r.id AS id, coalesce(CASE WHEN r.schema_code='SFZURT' THEN NULL ELSE r.schema_code END, 'SFJINZ') AS schema_code, CASE WHEN n.has IS NULL THEN coalesce(g.tags||',','')||'CF.A_II_1' ELSE g.tags END AS tags FROM fx_reports r
+LEFT JOIN (SELECT report_id, string_agg(DISTINCT tag_path, ',' ORDER BY tag_path) AS tags FROM fx_line_items WHERE tag_path IN ('RZiS.I','CF.A_II_1','Pasywa_B') GROUP BY 1) g ON g.report_id=r.id LEFT JOIN (SELECT DISTINCT report_id, true AS has FROM fx_line_items WHERE tag_path='CF.A_II_1') n ON n.report_id=r.id""")
 def backfill_default(t: Tables) -> DataFrame:
-    return t.fx_reports.select("id", F.nullif("schema_code", F.lit("SFZURT")).alias("schema_code")).fillna({"schema_code": "SFJINZ"})
+    """A default for null codes, and a tag added to the lists that lack it."""
+    tags = t.fx_line_items.filter("tag_path in ('RZiS.I','CF.A_II_1','Pasywa_B')").groupBy(F.col("report_id").alias("id")).agg(F.array_sort(F.collect_set("tag_path")).alias("tags"))
+    rows = t.fx_reports.select("id", F.nullif("schema_code", F.lit("SFZURT")).alias("schema_code")).fillna({"schema_code": "SFJINZ"}).join(tags, "id", "left")
+    return rows.select("id", "schema_code", F.array_join(ve.with_element(F.col("tags"), "CF.A_II_1"), ",").alias("tags"))
 
 
 _WIDE = "SELECT report_id, " + ", ".join(f"""MAX(CASE WHEN tag_path='{x}' THEN value_current END) AS "{x}\"""" for x in catalog.TAGS) + " FROM (" + _latest_sql(["*"], "fx_line_items", ["report_id", "section", "tag_path"], "extraction_version DESC") + ") l GROUP BY report_id"
@@ -139,9 +144,10 @@ def _features_sql(ids=None) -> str:
     return f"WITH wide AS ({_WIDE}) " + " UNION ALL ".join(parts)
 
 
-@query(_features_sql())
+@query(f"WITH v AS ({_features_sql()}) SELECT v.*, i.version AS source_extraction_version, CAST(coalesce(f.top,0)+1 AS INT) AS computation_version FROM v JOIN (SELECT report_id, CAST(max(extraction_version) AS INT) AS version FROM fx_line_items GROUP BY 1) i USING (report_id) LEFT JOIN (SELECT report_id, feature_definition_id, max(computation_version) AS top FROM fx_features GROUP BY 1,2) f USING (report_id, feature_definition_id)")
 def compute_features(t: Tables) -> DataFrame:
-    return fe.compute_features(fe.report_values(t.fx_line_items))
+    """All features of all reports as the next computation over those stored."""
+    return flow.compute_new_features(t.fx_line_items, t.fx_features)
 
 
 @query(_features_sql([f[0] for f in catalog.FEATURES if f[1] == "ratio"]).replace("UNION ALL", "UNION ALL"))
@@ -247,9 +253,14 @@ def pending_features(t: Tables) -> DataFrame:
     return reports.join(items, "report_id").join(done, "report_id", "left").select("report_id", "item_version", F.coalesce("v", F.lit(0)).alias("feature_version")).filter("item_version > feature_version")
 
 
-@query("""SELECT feature_definition_id AS id, count(*) AS n_rows, count(value) AS n_valid FROM fx_features GROUP BY 1""")
+_CATALOG = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in (i, logic, top, bottom, ",".join(required))) + ")" for i, logic, top, bottom, required in catalog.FEATURES)
+_SETS = ", ".join(f"('{s}','{f}',{i + 1})" for s, fs in catalog.FEATURE_SETS.items() for i, f in enumerate(fs))
+
+
+@query(f"""SELECT d.*, m.feature_set_id, m.ordinal, coalesce(n.n,0) AS n_stored FROM (VALUES {_CATALOG}) d(id,computation_logic,formula_numerator,formula_denominator,required_tags) LEFT JOIN (VALUES {_SETS}) m(feature_set_id,id,ordinal) ON m.id=d.id
+LEFT JOIN (SELECT feature_definition_id AS id, count(*) AS n FROM fx_features GROUP BY 1) n ON n.id=d.id""")
 def feature_catalog(t: Tables) -> DataFrame:
-    """The catalogue's own definitions, with how often each is stored (those never stored left out)."""
-    ids = catalog.feature_catalog(t.spark).select("id").distinct()
-    stored = t.fx_features.groupBy(F.col("feature_definition_id").alias("id")).agg(F.count(F.lit(1)).alias("n_rows"), F.count("value").alias("n_valid"))
-    return stored.join(F.broadcast(ids), "id", "left_semi")
+    """All definitions with the sets that hold them and how many values of each are stored."""
+    stored = t.fx_features.groupBy(F.col("feature_definition_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    rows = catalog.feature_catalog(t.spark).join(stored, "id", "left")
+    return rows.select("id", "computation_logic", "formula_numerator", "formula_denominator", F.array_join("required_tags", ",").alias("required_tags"), "feature_set_id", "ordinal", F.coalesce("n", F.lit(0)).alias("n_stored"))

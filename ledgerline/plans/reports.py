@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.fixtures import AS_OF, Tables
+from ledgerline.functions import catalog
 from ledgerline.operators import register as rg
 from ledgerline.operators import versions as ve
 from ledgerline.plans.registry import query
@@ -49,9 +50,19 @@ def pending_downloads_no_error(t: Tables) -> DataFrame:
     return rg.pending_downloads(_current(t), without_error=True).select("document_id")
 
 
-@query(f"SELECT krs, check_priority FROM fx_companies WHERE is_active AND NOT (check_error_count>=5 AND coalesce(CAST(last_checked_on AS TIMESTAMP)>TIMESTAMP '{AS_OF}'-INTERVAL 240 HOUR,false)) ORDER BY check_priority DESC, last_checked_on ASC NULLS FIRST, krs LIMIT 50")
+_ORDERS = {"priority": "check_priority DESC, last_checked_on ASC NULLS FIRST, krs", "oldest": "last_checked_on ASC NULLS FIRST, krs", "newest": "first_seen_on DESC, krs", "sequential": "krs", "random": "md5(concat(krs,'|42')), krs"}
+_READY = f"fx_companies WHERE is_active AND NOT (check_error_count>=5 AND coalesce(CAST(last_checked_on AS TIMESTAMP)>TIMESTAMP '{AS_OF}'-INTERVAL 240 HOUR,false))"
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS strategy, krs, row_number() OVER (ORDER BY {order}) AS pos FROM {_READY}) {name}_ WHERE pos<=50" for name, order in _ORDERS.items()))
 def crawl_queue(t: Tables) -> DataFrame:
-    return rg.crawl_queue(t.fx_companies, NOW(), limit=50, backoff_hours=240).select("krs", "check_priority")
+    """The first fifty of each of the five orders."""
+    out = None
+    for name in _ORDERS:
+        top = rg.crawl_queue(t.fx_companies, NOW(), strategy=name, limit=50, backoff_hours=240)
+        top = top.select(F.lit(name).alias("strategy"), "krs", F.row_number().over(W.orderBy(*rg.CRAWL_ORDERS[name]())).alias("pos"))  # fifty rows
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 @query("SELECT krs, 'new_only' AS mode FROM fx_companies WHERE last_checked_on IS NULL UNION ALL SELECT krs, 'retry_errors' FROM fx_companies WHERE check_error_count>0 UNION ALL SELECT krs, 'specific_keys' FROM fx_companies WHERE krs IN ('0000000007','0000000011')")
@@ -70,10 +81,18 @@ def undiscovered_entities(t: Tables) -> DataFrame:
     return t.fx_companies.filter("is_active and source = 'rdf_batch'").orderBy(F.desc("check_priority"), "first_seen_on", "krs").limit(40).select("krs")
 
 
-@query("""WITH n AS (SELECT krs, 'new' AS why FROM fx_companies WHERE krs NOT IN (SELECT krs FROM fx_companies_extra) ORDER BY check_priority DESC, krs LIMIT 30),
-s AS (SELECT krs, 'stale' AS why FROM fx_companies WHERE last_checked_on<DATE '2023-12-20' AND krs NOT IN (SELECT krs FROM n) ORDER BY last_checked_on, krs LIMIT 30) SELECT * FROM n UNION ALL SELECT * FROM s""")
+def _budget_sql(batch: int) -> str:
+    new = max(1, batch // 2)
+    n = f"(SELECT krs FROM fx_companies WHERE krs NOT IN (SELECT krs FROM fx_companies_extra) ORDER BY check_priority DESC, krs LIMIT {new})"
+    stale = f"(SELECT krs FROM fx_companies WHERE last_checked_on<DATE '2023-12-20' AND krs NOT IN (SELECT krs FROM {n} n{batch}) ORDER BY last_checked_on, krs LIMIT {batch}-(SELECT count(*) FROM {n} c{batch}))"
+    return f"SELECT {batch} AS batch, krs, 'new' AS why FROM {n} a{batch} UNION ALL SELECT {batch}, krs, 'stale' FROM {stale} s{batch}"
+
+
+@query(f"{_budget_sql(60)} UNION ALL {_budget_sql(1)}")
 def sync_budget(t: Tables) -> DataFrame:
-    return rg.sync_budget(t.fx_companies, t.fx_companies_extra, F.lit("2023-12-20").cast("date"), 60)
+    """Batches of 60 and of 1."""
+    one = lambda n: rg.sync_budget(t.fx_companies, t.fx_companies_extra, F.lit("2023-12-20").cast("date"), n).select(F.lit(n).alias("batch"), "krs", "why")
+    return one(60).unionByName(one(1))
 
 
 PERIODS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY krs, okres_end ORDER BY is_correction DESC, discovered_at, document_id) rn FROM fx_documents WHERE rodzaj=18 AND NOT is_deleted AND NOT coalesce(is_ifrs,true) AND okres_end IS NOT NULL) x WHERE rn=1)"
@@ -120,10 +139,14 @@ def score_detail(t: Tables) -> DataFrame:
     return t.fx_predictions.join(runs, "run_id").join(models, "model_id").join(reports, "report_id").select("id", "run_id", "model_name", "krs", "fiscal_year", "raw_score")
 
 
-@query("SELECT f.report_id, m.feature_set_id, m.ordinal, f.feature_definition_id, f.value FROM fx_features f JOIN (VALUES ('own','roe',1),('own','roa',2),('own','debt_ratio',3)) m(feature_set_id,feature_definition_id,ordinal) ON m.feature_definition_id=f.feature_definition_id WHERE f.computation_version=1")
+_MEMBERS = ", ".join(f"('{s}','{f}',{i + 1})" for s, fs in catalog.FEATURE_SETS.items() for i, f in enumerate(fs))
+
+
+@query(f"SELECT f.report_id, f.computation_version, m.feature_set_id, m.ordinal, f.feature_definition_id, f.value FROM fx_features f JOIN (VALUES {_MEMBERS}) m(feature_set_id,feature_definition_id,ordinal) ON m.feature_definition_id=f.feature_definition_id")
 def report_features(t: Tables) -> DataFrame:
-    members = t.spark.createDataFrame([("own", "roe", 1), ("own", "roa", 2), ("own", "debt_ratio", 3)], "feature_set_id string, feature_definition_id string, ordinal int")
-    return t.fx_features.filter("computation_version = 1").join(F.broadcast(members), "feature_definition_id").select("report_id", "feature_set_id", "ordinal", "feature_definition_id", "value")
+    """Stored features with the sets that hold them and their place there."""
+    members = catalog.feature_catalog(t.spark).filter("feature_set_id is not null").select("feature_set_id", F.col("id").alias("feature_definition_id"), "ordinal")
+    return t.fx_features.join(F.broadcast(members), "feature_definition_id").select("report_id", "computation_version", "feature_set_id", "ordinal", "feature_definition_id", "value")
 
 
 PRIOR = "(SELECT r.id, r.krs, r.fiscal_year, p.id AS prior_id FROM fx_reports r LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY krs, data_source_id, report_type, fiscal_year ORDER BY report_version DESC, created_at DESC, id DESC) rn FROM fx_reports WHERE ingestion_status='completed') p ON p.rn=1 AND p.krs=r.krs AND p.data_source_id=r.data_source_id AND p.report_type=r.report_type AND p.fiscal_year=r.fiscal_year-1)"
@@ -147,10 +170,10 @@ def source_items_prior(t: Tables) -> DataFrame:
 
 def _requests(t: Tables) -> DataFrame:
     snap = F.create_map(F.lit("roa"), F.col("snapshot_version"), F.lit("roe"), F.when(F.col("report_id").endswith("3"), 9).otherwise(F.col("snapshot_version")))
-    return t.fx_predictions.filter("model_id = 'maczynska_1994_v1'").select(F.col("id").alias("prediction_id"), "report_id", "scored_at", snap.alias("snapshot"))
+    return t.fx_predictions.select(F.col("id").alias("prediction_id"), "report_id", "scored_at", snap.alias("snapshot"))
 
 
-REQ = "req AS (SELECT id AS prediction_id, report_id, scored_at, snapshot_version AS va, CASE WHEN report_id LIKE '%3' THEN 9 ELSE snapshot_version END AS vb FROM fx_predictions WHERE model_id='maczynska_1994_v1')"
+REQ = "req AS (SELECT id AS prediction_id, report_id, scored_at, snapshot_version AS va, CASE WHEN report_id LIKE '%3' THEN 9 ELSE snapshot_version END AS vb FROM fx_predictions)"
 EXACT = "ex AS (SELECT q.prediction_id, f.feature_definition_id, f.computation_version, f.value FROM req q JOIN fx_features f ON f.report_id=q.report_id AND f.is_valid AND ((f.feature_definition_id='roa' AND f.computation_version=q.va) OR (f.feature_definition_id='roe' AND f.computation_version=q.vb)))"
 ASOF = "(SELECT * FROM (SELECT q.prediction_id, f.feature_definition_id, f.computation_version, f.value, row_number() OVER (PARTITION BY q.prediction_id, f.feature_definition_id ORDER BY f.computed_at DESC, f.computation_version DESC) rn FROM {req} q JOIN fx_features f ON f.report_id=q.report_id AND f.is_valid AND {when}) x WHERE rn=1)"
 BY_THEN = "(q.scored_at IS NULL OR f.computed_at<=q.scored_at)"
@@ -193,10 +216,11 @@ def company_enrich(t: Tables) -> DataFrame:
     return t.fx_reports.join(t.fx_companies_extra, "krs", "left").select("id", "krs", "pkd_code", "incorporation_date")
 
 
-@query("SELECT c.c_custkey AS key FROM customer c JOIN fx_companies k ON k.krs=lpad(CAST(c.c_custkey AS VARCHAR),10,'0') WHERE k.krs NOT IN (SELECT krs FROM fx_documents WHERE rodzaj=18) AND c.c_custkey%4=1 AND k.legal_form IN ('BUILDING','MACHINERY')")
+@query("SELECT c.c_custkey AS key FROM customer c JOIN fx_companies k ON k.krs=lpad(CAST(c.c_custkey AS VARCHAR),10,'0') WHERE k.krs NOT IN (SELECT krs FROM fx_documents) AND c.c_custkey%4=1 AND k.legal_form IN ('BUILDING','MACHINERY')")
 def pending_discovery(t: Tables) -> DataFrame:
+    """One shard of the found keys of these legal forms that no discovery has processed, that is without any document."""
     found = t.customer.filter("pmod(c_custkey, 4) = 1").select(F.col("c_custkey").alias("key"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("krs"))
-    return found.join(t.fx_companies.filter("legal_form in ('BUILDING','MACHINERY')"), "krs", "left_semi").join(t.fx_documents.filter("rodzaj = 18"), "krs", "left_anti").select("key")
+    return found.join(t.fx_companies.filter("legal_form in ('BUILDING','MACHINERY')"), "krs", "left_semi").join(t.fx_documents, "krs", "left_anti").select("key")
 
 
 @query(f"SELECT DISTINCT krs FROM {CURRENT} WHERE NOT coalesce(is_downloaded,false) AND krs IN (SELECT krs FROM fx_companies WHERE is_active)")
@@ -204,9 +228,9 @@ def needs_download_keys(t: Tables) -> DataFrame:
     return rg.pending_downloads(_current(t)).join(t.fx_companies.filter("is_active"), "krs", "left_semi").select("krs").distinct()
 
 
-@query("SELECT krs, EXISTS (SELECT 1 FROM fx_predictions p JOIN fx_reports r ON r.id=p.report_id WHERE r.krs=c.krs AND p.raw_score>1) AS has_predictions FROM fx_companies c")
+@query("SELECT krs, EXISTS (SELECT 1 FROM fx_predictions p JOIN fx_reports r ON r.id=p.report_id WHERE r.krs=c.krs) AS has_predictions FROM fx_companies c")
 def has_predictions_flag(t: Tables) -> DataFrame:
-    keys = t.fx_predictions.filter("raw_score > 1").join(t.fx_reports.select(F.col("id").alias("report_id"), "krs"), "report_id").select("krs").distinct().withColumn("_has", F.lit(True))
+    keys = t.fx_predictions.join(t.fx_reports.select(F.col("id").alias("report_id"), "krs"), "report_id").select("krs").distinct().withColumn("_has", F.lit(True))
     return t.fx_companies.join(keys, "krs", "left").select("krs", F.col("_has").isNotNull().alias("has_predictions"))
 
 
@@ -222,43 +246,41 @@ def users_with_stats(t: Tables) -> DataFrame:
     return t.fx_users.join(stats, "id", "left").select("id", "email", F.coalesce("n", F.lit(0)).alias("n_actions"), F.coalesce("k", F.lit(0)).alias("n_keys"))
 
 
-@query("""SELECT 'items_without_report' AS check_name, count(*) AS violations FROM fx_line_items i WHERE NOT EXISTS (SELECT 1 FROM fx_reports r WHERE r.id=i.report_id AND r.src%100<>0)
-UNION ALL SELECT 'reports_without_company', count(*) FROM fx_reports r WHERE NOT EXISTS (SELECT 1 FROM fx_companies_extra c WHERE c.krs=r.krs)
-UNION ALL SELECT 'downloads_without_document', count(*) FROM fx_downloads d WHERE NOT EXISTS (SELECT 1 FROM fx_documents x WHERE x.document_id=d.document_id)
-UNION ALL SELECT 'predictions_without_report', count(*) FROM fx_predictions p WHERE NOT EXISTS (SELECT 1 FROM fx_reports r WHERE r.id=p.report_id AND r.src%50<>0)
-UNION ALL SELECT 'features_without_report', count(*) FROM fx_features f WHERE NOT EXISTS (SELECT 1 FROM fx_reports r WHERE r.id=f.report_id)""")
+#: Check, child, its key, parent, its key.
+ORPHANS = [
+    ("items_without_report", "fx_line_items", "report_id", "fx_reports", "id"), ("reports_without_company", "fx_reports", "krs", "fx_companies_extra", "krs"), ("downloads_without_document", "fx_downloads", "document_id", "fx_documents", "document_id"),
+    ("predictions_without_report", "fx_predictions", "report_id", "fx_reports", "id"), ("predictions_without_model", "fx_predictions", "model_id", "fx_models", "id"), ("features_without_report", "fx_features", "report_id", "fx_reports", "id"), ("events_without_company", "fx_bankruptcy_events", "krs", "fx_companies_extra", "krs"),
+]
+ORPHANS_SQL = " UNION ALL ".join(f"SELECT '{n}' AS check_name, count(*) AS violations FROM {c} x WHERE x.{k} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{q}=x.{k})" for n, c, k, p, q in ORPHANS)
+
+
+@query(ORPHANS_SQL)
 def orphan_check(t: Tables) -> DataFrame:
-    parts = [
-        ve.orphans(t.fx_line_items, t.fx_reports.filter("src % 100 <> 0"), "report_id", "id", "items_without_report"), ve.orphans(t.fx_reports, t.fx_companies_extra, "krs", "krs", "reports_without_company"),
-        ve.orphans(t.fx_downloads, t.fx_documents, "document_id", "document_id", "downloads_without_document"), ve.orphans(t.fx_predictions, t.fx_reports.filter("src % 50 <> 0"), "report_id", "id", "predictions_without_report"),
-        ve.orphans(t.fx_features, t.fx_reports, "report_id", "id", "features_without_report"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All seven pairs."""
+    out = None
+    for name, child, key, parent, parent_key in ORPHANS:
+        found = ve.orphans(getattr(t, child), getattr(t, parent), key, parent_key, name)
+        out = found if out is None else out.unionByName(found)
     return out
 
 
-
 @query("SELECT m.id AS model_id, r.id AS report_id FROM fx_models m CROSS JOIN fx_reports r WHERE m.is_active AND r.ingestion_status='completed' AND NOT EXISTS (SELECT 1 FROM fx_predictions p WHERE p.model_id=m.id AND p.report_id=r.id)")
 def scoring_gaps(t: Tables) -> DataFrame:
     return rg.scoring_gaps(t.fx_models, t.fx_reports, t.fx_predictions)
 
 
-@query("SELECT d.document_id, r.id AS report_id, r.ingestion_status FROM fx_documents d LEFT JOIN fx_reports r ON r.source_document_id=d.document_id AND r.fiscal_year>1996")
+@query("SELECT d.document_id, r.id AS report_id, r.ingestion_status FROM fx_documents d LEFT JOIN fx_reports r ON r.source_document_id=d.document_id")
 def doc_coverage_join(t: Tables) -> DataFrame:
-    reports = t.fx_reports.filter("fiscal_year > 1996").select(F.col("source_document_id").alias("document_id"), F.col("id").alias("report_id"), "ingestion_status")
+    reports = t.fx_reports.select(F.col("source_document_id").alias("document_id"), F.col("id").alias("report_id"), "ingestion_status")
     return t.fx_documents.join(reports, "document_id", "left").select("document_id", "report_id", "ingestion_status")
 
 
-@query("SELECT u.id AS user_id, r.id AS report_id FROM fx_users u JOIN fx_reports r ON r.fiscal_year=1997 AND r.src%20=0 AND (u.has_full_access OR EXISTS (SELECT 1 FROM fx_grants g WHERE g.user_id=u.id AND g.krs=r.krs)) WHERE u.is_active OR u.has_full_access")
+@query("SELECT u.id AS user_id, r.id AS report_id, u.has_full_access FROM fx_users u JOIN fx_grants g ON g.user_id=u.id JOIN fx_reports r ON r.krs=g.krs WHERE u.is_active AND NOT u.has_full_access UNION ALL SELECT id, NULL, true FROM fx_users WHERE has_full_access")
 def access_filter(t: Tables) -> DataFrame:
-    """Grants are an equi join; users with full access, a handful of administrators, see all rows."""
-    rows = t.fx_reports.filter("fiscal_year = 1997 and src % 20 = 0").select(F.col("id").alias("report_id"), "krs")
-    users = t.fx_users.filter("is_active or has_full_access")
-    granted = t.fx_grants.join(users.filter("not has_full_access").select(F.col("id").alias("user_id")), "user_id").join(rows, "krs").select("user_id", "report_id")
-    every = rows.join(users.filter("has_full_access").select(F.col("id").alias("user_id")), F.lit(True)).select("user_id", "report_id")
-    return granted.unionByName(every)
+    """The rows that each user may see: an equi join over grants, and for users with full access, who see all, one row that says so."""
+    rows = t.fx_reports.select(F.col("id").alias("report_id"), "krs")
+    granted = t.fx_grants.join(t.fx_users.filter("is_active and not has_full_access").select(F.col("id").alias("user_id"), "has_full_access"), "user_id").join(rows, "krs").select("user_id", "report_id", "has_full_access")
+    return granted.unionByName(t.fx_users.filter("has_full_access").select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("report_id"), "has_full_access"))
 
 
 # ---- aggregations
@@ -285,18 +307,34 @@ def overview(t: Tables) -> DataFrame:
     return out
 
 
-@query(f"""SELECT krs, count(*) AS n_docs, count(DISTINCT rodzaj) AS n_types, string_agg(DISTINCT CAST(rodzaj AS VARCHAR), ',' ORDER BY CAST(rodzaj AS VARCHAR)) AS types, count(DISTINCT CASE WHEN rodzaj=18 THEN okres_end END) AS n_periods,
-CAST(floor((epoch(TIMESTAMP '{AS_OF}')-epoch(max(discovered_at)))/86400) AS INT) AS freshness_days FROM fx_documents GROUP BY krs HAVING count(*)<12 ORDER BY n_docs DESC, krs LIMIT 50 OFFSET 10""")
+_COVERAGE = f"""(SELECT krs, count(*) AS n_docs, count(DISTINCT rodzaj) AS n_types, string_agg(DISTINCT CAST(rodzaj AS VARCHAR), ',' ORDER BY CAST(rodzaj AS VARCHAR)) AS types, count(DISTINCT CASE WHEN rodzaj=18 THEN okres_end END) AS n_periods,
+count(download_error) AS n_errors, CAST(floor((epoch(TIMESTAMP '{AS_OF}')-epoch(max(discovered_at)))/86400) AS INT) AS freshness_days FROM {CURRENT} GROUP BY krs)"""
+_HAVING = {"missing_docs": "n_docs<5", "stale": "freshness_days>30", "errors": "n_errors>0"}
+
+
+@query(" UNION ALL ".join(f"SELECT * FROM (SELECT '{name}' AS having_filter, *, count(*) OVER () AS total FROM {_COVERAGE} c WHERE {having} ORDER BY n_docs DESC, krs LIMIT 50 OFFSET 10) {name}_" for name, having in _HAVING.items()))
 def coverage_by_company(t: Tables) -> DataFrame:
+    """A3: a page of companies, with the total, under each of the three filters on groups."""
     from ledgerline.functions.scalars import freshness_days
 
-    by = t.fx_documents.groupBy("krs").agg(N(F.lit(1)).alias("n_docs"), F.countDistinct("rodzaj").alias("n_types"), F.array_join(F.array_sort(F.collect_set(F.col("rodzaj").cast("string"))), ",").alias("types"), F.countDistinct(F.when(F.col("rodzaj") == 18, F.col("okres_end"))).alias("n_periods"), freshness_days(F.max("discovered_at"), F.lit(AS_OF)).alias("freshness_days"))
-    return by.filter("n_docs < 12").orderBy(F.desc("n_docs"), "krs").offset(10).limit(50)
+    types = F.array_join(F.array_sort(F.collect_set(F.col("rodzaj").cast("string"))), ",")
+    by = _current(t).groupBy("krs").agg(
+        N(F.lit(1)).alias("n_docs"), F.countDistinct("rodzaj").alias("n_types"), types.alias("types"), F.countDistinct(F.when(F.col("rodzaj") == 18, F.col("okres_end"))).alias("n_periods"),
+        N("download_error").alias("n_errors"), freshness_days(F.max("discovered_at"), F.lit(AS_OF)).alias("freshness_days"),
+    )
+    out = None
+    for name, having in _HAVING.items():
+        rows = by.filter(having)
+        page = rows.orderBy(F.desc("n_docs"), "krs").offset(10).limit(50).crossJoin(F.broadcast(rows.agg(N(F.lit(1)).alias("total")))).select(F.lit(name).alias("having_filter"), "*")  # one row
+        out = page if out is None else out.unionByName(page)
+    return out
 
 
-@query("SELECT source AS status, count(*) AS n, sum(total_documents)::BIGINT AS documents FROM fx_companies GROUP BY 1")
+@query("SELECT CASE WHEN check_error_count>=5 THEN 'error' WHEN last_checked_on IS NULL THEN 'pending' ELSE 'done' END AS status, count(*) AS n, sum(total_documents)::BIGINT AS documents FROM fx_companies GROUP BY 1")
 def progress_summary(t: Tables) -> DataFrame:
-    return t.fx_companies.groupBy(F.col("source").alias("status")).agg(N(F.lit(1)).alias("n"), F.sum("total_documents").alias("documents"))
+    """A4: companies and their documents by how far their check has come."""
+    status = F.when(F.col("check_error_count") >= 5, "error").when(F.col("last_checked_on").isNull(), "pending").otherwise("done")
+    return t.fx_companies.groupBy(status.alias("status")).agg(N(F.lit(1)).alias("n"), F.sum("total_documents").alias("documents"))
 
 
 @query("SELECT user_id, count(*) AS n, count(DISTINCT krs_number) AS n_keys, max(created_at) AS last_seen FROM fx_activity GROUP BY 1")
@@ -304,10 +342,11 @@ def user_activity_stats(t: Tables) -> DataFrame:
     return t.fx_activity.groupBy("user_id").agg(N(F.lit(1)).alias("n"), F.countDistinct("krs_number").alias("n_keys"), F.max("created_at").alias("last_seen"))
 
 
-@query("SELECT user_id, action, n FROM (SELECT user_id, action, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, action) rn FROM fx_activity GROUP BY 1,2) x WHERE rn<=3")
+@query("SELECT user_id, krs_number, n FROM (SELECT user_id, krs_number, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, krs_number) rn FROM fx_activity WHERE krs_number IS NOT NULL GROUP BY 1,2) x WHERE rn<=10")
 def user_key_breakdown(t: Tables) -> DataFrame:
-    by = t.fx_activity.groupBy("user_id", "action").agg(N(F.lit(1)).alias("n"))
-    return by.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), "action"))).filter("rn <= 3").drop("rn")
+    """The ten keys that each user looked at most."""
+    by = t.fx_activity.filter("krs_number is not null").groupBy("user_id", "krs_number").agg(N(F.lit(1)).alias("n"))
+    return by.withColumn("rn", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("n"), "krs_number"))).filter("rn <= 10").drop("rn")
 
 
 @query(f"SELECT a.krs_number, c.name, count(*) AS clicks FROM fx_activity a JOIN fx_companies c ON c.krs=a.krs_number WHERE a.action='click' AND a.created_at>=TIMESTAMP '{AS_OF}'-INTERVAL 30 DAY AND a.created_at<=TIMESTAMP '{AS_OF}' GROUP BY 1,2 ORDER BY clicks DESC, a.krs_number LIMIT 10")
@@ -318,19 +357,23 @@ def popular_clicks(t: Tables) -> DataFrame:
     return named.groupBy("krs_number", "name").agg(N(F.lit(1)).alias("clicks")).orderBy(F.desc("clicks"), "krs_number").limit(10)
 
 
-@query(f"SELECT coalesce(year(okres_end),year(discovered_at)) AS doc_year, coalesce(file_type,'unknown') AS file_type, count(*) AS n, bool_or(r.id IS NOT NULL) AS parsed FROM {CURRENT} LEFT JOIN fx_reports r ON r.source_document_id=c.document_id AND r.ingestion_status='completed' AND r.src%3=0 GROUP BY 1,2")
+@query(f"SELECT coalesce(year(okres_end),year(discovered_at)) AS doc_year, coalesce(file_type,'unknown') AS file_type, count(*) AS n, bool_or(r.id IS NOT NULL) AS parsed FROM {CURRENT} LEFT JOIN fx_reports r ON r.source_document_id=c.document_id AND r.ingestion_status='completed' GROUP BY 1,2")
 def doc_coverage(t: Tables) -> DataFrame:
-    done = t.fx_reports.filter("ingestion_status = 'completed' and src % 3 = 0").select(F.col("source_document_id").alias("document_id"), F.col("id").alias("_r"))
+    done = t.fx_reports.filter("ingestion_status = 'completed'").select(F.col("source_document_id").alias("document_id"), F.col("id").alias("_r"))
     year = F.coalesce(F.year("okres_end"), F.year("discovered_at"))
     return _current(t).join(done, "document_id", "left").groupBy(year.cast("long").alias("doc_year"), F.coalesce("file_type", F.lit("unknown")).alias("file_type")).agg(N(F.lit(1)).alias("n"), F.bool_or(F.col("_r").isNotNull()).alias("parsed"))
 
 
-@query(f"""WITH y AS (SELECT krs, CAST(year(okres_end) AS VARCHAR) AS y, file_type FROM {CURRENT} WHERE okres_end IS NOT NULL), a AS (SELECT krs, list_sort(list_distinct(list(y) FILTER (file_type='xml'))) AS x, list_sort(list_distinct(list(y) FILTER (file_type='pdf'))) AS p FROM y GROUP BY krs)
-SELECT krs, coalesce(array_to_string(x,','),'') AS xml_years, coalesce(array_to_string(list_filter(p, lambda v: NOT list_contains(coalesce(x,[]),v)),','),'') AS pdf_only_years FROM a""")
+@query(f"""WITH y AS (SELECT c.krs, CAST(year(c.okres_end) AS VARCHAR) AS y, c.file_type, r.id IS NOT NULL AS parsed FROM {CURRENT} LEFT JOIN fx_reports r ON r.source_document_id=c.document_id AND r.ingestion_status='completed' WHERE c.okres_end IS NOT NULL),
+a AS (SELECT krs, min(y) AS earliest_document_year, list_sort(list_distinct(list(y) FILTER (file_type='xml' AND parsed))) AS x, list_sort(list_distinct(list(y) FILTER (file_type='pdf'))) AS p FROM y GROUP BY krs)
+SELECT krs, coalesce(array_to_string(x,','),'') AS xml_years, coalesce(array_to_string(list_filter(p, lambda v: NOT list_contains(coalesce(x,[]),v)),','),'') AS pdf_only_years, x[1] AS earliest_xml_year, earliest_document_year FROM a""")
 def coverage_summary(t: Tables) -> DataFrame:
+    """Years with parsed statements, years with PDFs alone, and the earliest of each kind."""
     year = F.year("okres_end").cast("string")
-    by = _current(t).filter("okres_end is not null").groupBy("krs").agg(F.array_sort(F.collect_set(F.when(F.col("file_type") == "xml", year))).alias("x"), F.collect_set(F.when(F.col("file_type") == "pdf", year)).alias("p"))
-    return by.select("krs", F.array_join("x", ",").alias("xml_years"), F.array_join(F.array_sort(F.array_except("p", "x")), ",").alias("pdf_only_years"))
+    done = t.fx_reports.filter("ingestion_status = 'completed'").select(F.col("source_document_id").alias("document_id"), F.lit(True).alias("_parsed"))
+    rows = _current(t).filter("okres_end is not null").join(done, "document_id", "left")
+    by = rows.groupBy("krs").agg(F.min(year).alias("earliest_document_year"), F.array_sort(F.collect_set(F.when((F.col("file_type") == "xml") & F.col("_parsed"), year))).alias("x"), F.collect_set(F.when(F.col("file_type") == "pdf", year)).alias("p"))
+    return by.select("krs", F.array_join("x", ",").alias("xml_years"), F.array_join(F.array_sort(F.array_except("p", "x")), ",").alias("pdf_only_years"), F.array_min("x").alias("earliest_xml_year"), "earliest_document_year")
 
 
 @query("SELECT report_id FROM fx_features WHERE feature_definition_id IN ('roa','roe','debt_ratio') AND is_valid GROUP BY 1 HAVING count(DISTINCT feature_definition_id)=3")
@@ -361,42 +404,15 @@ def call_stats_window(t: Tables) -> DataFrame:
     return rg.api_call_stats(t.fx_api_calls, last=1000)
 
 
-@query("""WITH e AS (SELECT run_id, count(*) AS scored, count(*) FILTER (raw_score<0) AS skipped FROM fx_predictions GROUP BY 1), c AS (SELECT run_id, risk_category, count(*) AS n FROM fx_predictions WHERE raw_score<1 GROUP BY 1,2)
-SELECT e.run_id, e.scored, e.skipped, CASE WHEN e.scored=0 THEN 'failed' WHEN e.skipped>0 THEN 'completed_with_errors' ELSE 'completed' END AS status, substr(coalesce((SELECT string_agg(risk_category||':'||CAST(n AS VARCHAR), ',' ORDER BY risk_category) FROM c WHERE c.run_id=e.run_id),''),1,500) AS errors FROM e""")
-def scoring_run_summary(t: Tables) -> DataFrame:
-    e = t.fx_predictions.groupBy("run_id").agg(N(F.lit(1)).alias("scored"), F.count_if(F.col("raw_score") < 0).alias("skipped"))
-    codes = t.fx_predictions.filter("raw_score < 1").groupBy("run_id", "risk_category").agg(N(F.lit(1)).alias("n")).groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("risk_category", F.lit(":"), F.col("n").cast("string")))), ",").alias("errors"))
-    status = F.when(F.col("scored") == 0, "failed").when(F.col("skipped") > 0, "completed_with_errors").otherwise("completed")
-    return e.join(codes, "run_id", "left").select("run_id", "scored", "skipped", status.alias("status"), F.substring(F.coalesce("errors", F.lit("")), 1, 500).alias("errors"))
-
-
-LEDGER = f"(SELECT document_id, CASE WHEN NOT coalesce(is_downloaded,false) THEN 'not_downloaded' WHEN file_type<>'xml' THEN 'no_xml_found' WHEN okres_end IS NULL THEN 'invalid_period_end' END AS reason_code FROM {CURRENT})"
-
-
-def _ledger(t: Tables) -> DataFrame:
-    reason = F.when(~F.coalesce("is_downloaded", F.lit(False)), "not_downloaded").when(F.col("file_type") != "xml", "no_xml_found").when(F.col("okres_end").isNull(), "invalid_period_end")
-    return _current(t).select("document_id", reason.alias("reason_code"))
-
-
-@query(f"SELECT document_id, CASE WHEN reason_code IS NULL THEN 'completed' ELSE 'failed' END AS status, reason_code FROM {LEDGER} l")
-def run_ledger(t: Tables) -> DataFrame:
-    """A result row per document instead of an exception."""
-    return _ledger(t).select("document_id", F.when(F.col("reason_code").isNull(), "completed").otherwise("failed").alias("status"), "reason_code")
-
-
-@query(f"SELECT CASE WHEN reason_code IS NULL THEN 'completed' ELSE 'failed' END AS status, reason_code, count(*) AS n FROM {LEDGER} l GROUP BY 1,2")
-def ingest_summary(t: Tables) -> DataFrame:
-    return run_ledger(t).groupBy("status", "reason_code").agg(N(F.lit(1)).alias("n"))
-
-
 @query("SELECT krs, fiscal_year, count(*) AS n FROM fx_reports WHERE ingestion_status='completed' GROUP BY 1,2 HAVING count(*)>1")
 def multi_current_check(t: Tables) -> DataFrame:
     return t.fx_reports.filter("ingestion_status = 'completed'").groupBy("krs", "fiscal_year").agg(N(F.lit(1)).alias("n")).filter("n > 1")
 
 
-@query("SELECT report_id, string_agg(DISTINCT model_id, ',' ORDER BY model_id) AS models FROM fx_predictions GROUP BY 1")
+@query("SELECT DISTINCT model_id, report_id FROM fx_predictions")
 def scored_models(t: Tables) -> DataFrame:
-    return t.fx_predictions.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_set("model_id")), ",").alias("models"))
+    """The reports that each model has scored, a row each: a model's list would not fit one row."""
+    return t.fx_predictions.select("model_id", "report_id").distinct()
 
 
 # ---- orders and pages
@@ -428,15 +444,10 @@ def shard_modulo(t: Tables) -> DataFrame:
     return t.customer.filter(F.pmod("c_custkey", F.lit(8)) == 3).select("c_custkey")
 
 
-@query("SELECT krs, 1 AS n_shards FROM fx_companies")
+@query("SELECT krs, ('0x'||substr(md5(krs),1,8))::BIGINT%8 AS shard FROM fx_companies")
 def shard_hash(t: Tables) -> DataFrame:
-    """Every key falls into exactly one of eight shards."""
-    shard = F.pmod(F.xxhash64("krs"), F.lit(8))
-    parts = [t.fx_companies.filter(shard == i).select("krs") for i in range(8)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("krs").agg(N(F.lit(1)).cast("int").alias("n_shards"))
+    """The one of eight shards that each key is in."""
+    return t.fx_companies.select("krs", F.pmod(F.conv(F.substring(F.md5(F.col("krs").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(8)).alias("shard"))
 
 
 @query("SELECT krs, row_number() OVER (ORDER BY last_checked_on ASC NULLS LAST, krs) AS pos FROM fx_companies ORDER BY last_checked_on ASC NULLS LAST, krs LIMIT 100")
@@ -465,13 +476,6 @@ def reports_of_company(t: Tables) -> DataFrame:
 
 # ---- sets
 
-@query("SELECT m.id AS model_id, f.report_id FROM fx_models m CROSS JOIN (SELECT report_id FROM fx_features WHERE is_valid AND feature_definition_id IN ('roa','roe') GROUP BY 1 HAVING count(DISTINCT feature_definition_id)=2) f WHERE m.is_active EXCEPT SELECT model_id, report_id FROM fx_predictions")
-def unscored_reports(t: Tables) -> DataFrame:
-    full = t.fx_features.filter("is_valid and feature_definition_id in ('roa','roe')").groupBy("report_id").agg(F.countDistinct("feature_definition_id").alias("n")).filter("n = 2").select("report_id")
-    grid = full.crossJoin(F.broadcast(t.fx_models.filter("is_active").select(F.col("id").alias("model_id"))))
-    return grid.select("model_id", "report_id").join(t.fx_predictions.select("model_id", "report_id").distinct(), ["model_id", "report_id"], "left_anti").distinct()
-
-
 @query("SELECT document_id FROM fx_documents EXCEPT SELECT document_id FROM fx_downloads")
 def new_documents(t: Tables) -> DataFrame:
     return t.fx_documents.join(t.fx_downloads, "document_id", "left_anti").select("document_id")
@@ -483,11 +487,14 @@ def union_versions(t: Tables) -> DataFrame:
     return both.groupBy("krs").agg(F.max("v").alias("v"))
 
 
-@query(f"SELECT krs, len(list_distinct(list(year(okres_end)) FILTER (file_type IN ('xml','pdf') AND okres_end IS NOT NULL))) AS n_years FROM {CURRENT} GROUP BY krs HAVING n_years IS NOT NULL")
+@query(f"""WITH y AS (SELECT krs, list_distinct(list(CAST(year(okres_end) AS VARCHAR)) FILTER (file_type='xml' AND okres_end IS NOT NULL)) AS x, list_distinct(list(CAST(year(okres_end) AS VARCHAR)) FILTER (file_type='pdf' AND okres_end IS NOT NULL)) AS p FROM {CURRENT} GROUP BY krs)
+SELECT krs, coalesce(array_to_string(list_sort(list_filter(p, lambda v: NOT list_contains(coalesce(x,[]),v))),','),'') AS pdf_only, coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(x,[]),coalesce(p,[])))),','),'') AS either FROM y""")
 def year_sets(t: Tables) -> DataFrame:
-    of = lambda kind: F.collect_set(F.when(F.col("file_type") == kind, F.year("okres_end")))
-    by = _current(t).groupBy("krs").agg(of("xml").alias("x"), of("pdf").alias("p"), F.count_if(F.col("file_type").isin("xml", "pdf") & F.col("okres_end").isNotNull()).alias("n"))
-    return by.filter("n > 0").select("krs", F.size(F.array_union("x", "p")).cast("long").alias("n_years"))
+    """U4: years with PDFs less those with XML, and the union of both."""
+    of = lambda kind: F.collect_set(F.when(F.col("file_type") == kind, F.year("okres_end").cast("string")))
+    text = lambda years: F.array_join(F.array_sort(years), ",")
+    by = _current(t).groupBy("krs").agg(of("xml").alias("x"), of("pdf").alias("p"))
+    return by.select("krs", text(F.array_except("p", "x")).alias("pdf_only"), text(F.array_union("x", "p")).alias("either"))
 
 
 @query(f"SELECT krs, coalesce(bool_and(file_type IN ('pdf','unknown')) FILTER (rodzaj=18 AND file_type IS NOT NULL),true) AS pdf_only FROM {CURRENT} GROUP BY krs")
@@ -499,9 +506,11 @@ def subset_test(t: Tables) -> DataFrame:
 
 # ---- search
 
-@query("SELECT krs FROM fx_companies WHERE krs LIKE '00000012%'")
+@query("SELECT '00000012' AS query, krs FROM fx_companies WHERE krs LIKE '00000012%' UNION ALL SELECT '123', krs FROM fx_companies WHERE krs='0000000123' UNION ALL SELECT '0000000077999', krs FROM fx_companies WHERE krs='0000000077'")
 def key_search(t: Tables) -> DataFrame:
-    return rg.key_search(t.fx_companies, "00000012").select("krs")
+    """a prefix with leading zeros, a short number, and more than ten digits."""
+    one = lambda q: rg.key_search(t.fx_companies, q).select(F.lit(q).alias("query"), "krs")
+    return one("00000012").unionByName(one("123")).unionByName(one("0000000077999"))
 
 
 @query(f"SELECT krs, name, (SELECT count(*) FROM fx_companies WHERE name ILIKE '%er#00000001%') AS total FROM {NAMED} c WHERE name ILIKE '%er#00000001%' ORDER BY has_data DESC, lower(name) LIKE 'er#00000001%' DESC, name, krs LIMIT 15")
@@ -509,19 +518,22 @@ def name_search(t: Tables) -> DataFrame:
     return rg.name_search(_named(t), "ER#00000001", 15).select("krs", "name", "total")
 
 
-@query("""WITH q(query) AS (VALUES ('rad widgt'),('colt bolt')), n AS (SELECT p_partkey, p_name, flatten(list_transform(string_split(lower(p_name),' '), lambda w: list_transform(range(1,length(w)+2), lambda i: substr('  '||w||' ', i, 3)))) AS r FROM part),
+def _fuzzy_sql(*queries: str) -> str:
+    return f"""(WITH q(query) AS (VALUES {", ".join(f"('{q}')" for q in queries)}), n AS (SELECT p_partkey, p_name, flatten(list_transform(string_split(lower(p_name),' '), lambda w: list_transform(range(1,length(w)+2), lambda i: substr('  '||w||' ', i, 3)))) AS r FROM part),
 t AS (SELECT query, list_distinct(flatten(list_transform(string_split(query,' '), lambda w: list_transform(range(1,length(w)+2), lambda i: substr('  '||w||' ', i, 3))))) AS s FROM q),
 d AS (SELECT DISTINCT p_name, r FROM n), g AS (SELECT d.p_name, d.r, t.query, t.s, unnest(range(1,len(d.r)+1)) AS a FROM d, t), h AS (SELECT *, unnest(range(a,len(r)+1)) AS b FROM g),
 m AS (SELECT p_name, query, max(len(list_intersect(s, r[a:b]))/len(list_distinct(list_concat(s, r[a:b])))) AS similarity FROM h GROUP BY 1,2)
-SELECT m.query, n.p_partkey, round(m.similarity,6) AS similarity FROM m JOIN n USING (p_name) WHERE m.similarity>0.15 AND NOT contains(lower(n.p_name), m.query)""")
+SELECT m.query, n.p_partkey, round(m.similarity,6) AS similarity FROM m JOIN n USING (p_name) WHERE m.similarity>0.15 AND NOT contains(lower(n.p_name), m.query))"""
+
+
+@query(f"SELECT * FROM {_fuzzy_sql('rad widgt', 'colt bolt')} f")
 def fuzzy_search(t: Tables) -> DataFrame:
     return rg.fuzzy_search(t.part, t.spark.createDataFrame([("rad widgt",), ("colt bolt",)], "query string"), key="p_partkey", name="p_name")
 
 
-@query("SELECT p_partkey, 0 AS part FROM part WHERE contains(p_name,'red widget') ORDER BY p_partkey LIMIT 500")
+@query(f"SELECT p_partkey, 0 AS part, 1.0::DOUBLE AS similarity FROM part WHERE contains(lower(p_name),'red widget') UNION ALL SELECT p_partkey, 1, similarity FROM {_fuzzy_sql('red widget')} f ORDER BY part, similarity DESC, p_partkey LIMIT 500")
 def fuzzy_union(t: Tables) -> DataFrame:
-    """Exact hits first, fuzzy ones up to the limit."""
-    exact = t.part.filter(F.col("p_name").contains("red widget")).select("p_partkey", F.lit(0).alias("part"), F.lit(1.0).alias("similarity"))
+    """Exact hits first, then fuzzy ones by similarity, up to the limit of the search."""
+    exact = t.part.filter(F.lower("p_name").contains("red widget")).select("p_partkey", F.lit(0).alias("part"), F.lit(1.0).alias("similarity"))
     fuzzy = rg.fuzzy_search(t.part, t.spark.createDataFrame([("red widget",)], "query string"), key="p_partkey", name="p_name").select("p_partkey", F.lit(1).alias("part"), "similarity")
-    return exact.unionByName(fuzzy).orderBy("part", F.desc("similarity"), "p_partkey").limit(500).filter("part = 0").select("p_partkey", "part")
-
+    return exact.unionByName(fuzzy).orderBy("part", F.desc("similarity"), "p_partkey").limit(500)

@@ -43,13 +43,13 @@ def detect_schema(t: Tables) -> DataFrame:
     return _coded(t).select("id", sc.detect_schema(F.col("code"), F.when(F.col("root").contains("Mala"), "SFJMAZ")).alias("schema_code"))
 
 
-@query("SELECT i.report_id, i.tag_path, coalesce(a.label, b.label, i.tag_path) AS label FROM fx_line_items i LEFT JOIN (SELECT tag_path, 'full '||section AS label FROM fx_tags WHERE idx<8) a ON a.tag_path=i.tag_path LEFT JOIN (SELECT tag_path, 'raw '||section AS label FROM fx_tags WHERE idx<12 AND idx>9) b ON b.tag_path=i.tag_path WHERE i.extraction_version=1")
+@query("SELECT i.report_id, i.extraction_version, i.tag_path, coalesce(a.label, b.label, i.tag_path) AS label FROM fx_line_items i LEFT JOIN (SELECT tag_path, 'full '||section AS label FROM fx_tags WHERE idx<8) a ON a.tag_path=i.tag_path LEFT JOIN (SELECT tag_path, 'raw '||section AS label FROM fx_tags WHERE idx<12 AND idx>9) b ON b.tag_path=i.tag_path")
 def label_lookup(t: Tables) -> DataFrame:
     """label by full tag, by raw tag, else the tag itself; the label tables are small and fixed."""
     full = F.broadcast(t.fx_tags.filter("idx < 8").select("tag_path", F.concat(F.lit("full "), "section").alias("a")))
     raw = F.broadcast(t.fx_tags.filter("idx < 12 AND idx > 9").select("tag_path", F.concat(F.lit("raw "), "section").alias("b")))
-    items = t.fx_line_items.filter("extraction_version = 1").select("report_id", "tag_path")
-    return items.join(full, "tag_path", "left").join(raw, "tag_path", "left").select("report_id", "tag_path", F.coalesce("a", "b", "tag_path").alias("label"))
+    items = t.fx_line_items.select("report_id", "extraction_version", "tag_path")
+    return items.join(full, "tag_path", "left").join(raw, "tag_path", "left").select("report_id", "extraction_version", "tag_path", F.coalesce("a", "b", "tag_path").alias("label"))
 
 
 @query("SELECT p_partkey, left(CASE WHEN p_size%2=0 THEN '('||p_name||')' ELSE p_name END,1)='(' AS is_component FROM part")
@@ -74,9 +74,9 @@ def logical_key(t: Tables) -> DataFrame:
     return t.fx_reports.select("id", sc.logical_key("krs", "data_source_id", "report_type", F.col("fiscal_year").cast("string"), F.col("period_end").cast("string")).alias("logical_key"))
 
 
-@query("SELECT report_id, tag_path, CASE WHEN value_previous<>0 THEN round((value_current-value_previous)/abs(value_previous)*100,2) END AS pct FROM fx_line_items WHERE extraction_version=1")
+@query("SELECT report_id, extraction_version, tag_path, CASE WHEN value_previous<>0 THEN round((value_current-value_previous)/abs(value_previous)*100,2) END AS pct FROM fx_line_items")
 def pct_change(t: Tables) -> DataFrame:
-    return t.fx_line_items.filter("extraction_version = 1").select("report_id", "tag_path", sc.pct_change(F.col("value_current"), F.col("value_previous")).alias("pct"))
+    return t.fx_line_items.select("report_id", "extraction_version", "tag_path", sc.pct_change(F.col("value_current"), F.col("value_previous")).alias("pct"))
 
 
 @query("SELECT report_id, version, CASE WHEN revenue<>0 THEN round(net/revenue*100,4) END AS share FROM fx_wide")
@@ -101,16 +101,9 @@ def formula_tags(t: Tables) -> DataFrame:
     return t.fx_reports.select("id", F.array_join(sc.formula_tags(formula, F.array(F.lit("Aktywa"))), ",").alias("tags"))
 
 
-@query("SELECT report_id, tag_path, CASE WHEN tag_path IN ('RZiS.A','RZiS.C','RZiS.F','RZiS.I','RZiS.L','CF.A_II_1','Pasywa_A') THEN true WHEN tag_path IN ('Pasywa_B','Aktywa_B_I') THEN false END AS higher_is_better FROM fx_line_items WHERE extraction_version=2")
+@query("SELECT report_id, extraction_version, tag_path, CASE WHEN tag_path IN ('RZiS.A','RZiS.C','RZiS.F','RZiS.I','RZiS.L','CF.A_II_1','Pasywa_A') THEN true WHEN tag_path IN ('Pasywa_B','Aktywa_B_I') THEN false END AS higher_is_better FROM fx_line_items")
 def tag_direction(t: Tables) -> DataFrame:
-    return t.fx_line_items.filter("extraction_version = 2").select("report_id", "tag_path", sc.tag_direction(F.col("tag_path")).alias("higher_is_better"))
-
-
-@query("SELECT id, CASE WHEN src%3=0 THEN 'W1,W2' WHEN src%3=1 THEN '' END AS warnings FROM fx_reports")
-def warnings_from_map(t: Tables) -> DataFrame:
-    """F16: warnings travel as an array beside the numeric contributions; null where there is no score."""
-    warned = F.when(F.col("src") % 3 == 0, F.array(F.lit("W1"), F.lit("W2"))).when(F.col("src") % 3 == 1, F.array().cast("array<string>"))
-    return t.fx_reports.select("id", F.array_join(warned, ",").alias("warnings"))
+    return t.fx_line_items.select("report_id", "extraction_version", "tag_path", sc.tag_direction(F.col("tag_path")).alias("higher_is_better"))
 
 
 @query("SELECT id, s.label, s.lo AS min_score, s.hi AS max_score, s.label=risk_category AS is_current FROM fx_predictions, (VALUES ('critical',NULL,0.0),('medium',0.0,1.0),('low',1.0,NULL)) s(label,lo,hi)")

@@ -6,11 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.fixtures import Tables
-from ledgerline.operators import register as rg
 from ledgerline.operators import versions as ve
-from ledgerline.plans.core import SUCCESSFUL
 from ledgerline.plans.registry import query
-from ledgerline.plans.trees import _HAS, _archives
+from ledgerline.plans.trees import _HAS, REASON, TREE, _archives
 from ledgerline.sources import statements as st
 from ledgerline.streaming import operators as so
 
@@ -48,8 +46,11 @@ def failure_lockout(t: Tables) -> DataFrame:
     return so.failure_lockout(t.fx_auth_events, failures=3, window_s=604800, lock_s=86400)
 
 
-@query("""WITH e AS (SELECT *, sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ep FROM fx_api_calls), f AS (SELECT *, row_number() OVER (PARTITION BY source, ep ORDER BY ts, event_id) AS run FROM e WHERE error IS NOT NULL)
-SELECT event_id, source, run, CASE WHEN (run-1)%15+1=15 THEN 0 ELSE floor(((run-1)%15+1)/3)::INT END AS extra_delay_s, CASE WHEN (run-1)%15+1=15 THEN 60 ELSE 0 END AS cooldown_s FROM f""")
+STREAK = """WITH e AS (SELECT *, sum(CASE WHEN error IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS ep FROM fx_api_calls), f AS (SELECT *, row_number() OVER (PARTITION BY source, ep ORDER BY ts, event_id) AS run FROM e WHERE error IS NOT NULL)
+SELECT event_id, source, run, CASE WHEN (run-1)%15+1=15 THEN 0 ELSE floor(((run-1)%15+1)/3)::INT END AS extra_delay_s, CASE WHEN (run-1)%15+1=15 THEN 60 ELSE 0 END AS cooldown_s FROM f"""
+
+
+@query(STREAK)
 def failure_streak(t: Tables) -> DataFrame:
     return so.failure_streak(t.fx_api_calls)
 
@@ -63,28 +64,38 @@ def burst_detector(t: Tables) -> DataFrame:
 @query("SELECT logical_key, id, report_version FROM (SELECT *, row_number() OVER (PARTITION BY logical_key ORDER BY report_version DESC, created_at DESC, id DESC) rn FROM fx_reports) x WHERE rn=1")
 def stream_latest(t: Tables) -> DataFrame:
     stream = so.stream_of(t.spark, t.fx_reports.repartition(3))
-    return so.run_to_end(so.stream_latest(stream), "complete")
+    return ve.latest(so.run_to_end(so.stream_latest(stream), "update"), ["logical_key"], [F.desc("report_version")])
 
 
-@query(f"SELECT id AS path, CASE WHEN src%7<>0 AND src%11<>0 THEN 'completed' ELSE 'failed' END AS status FROM {_HAS}")
+@query(f"SELECT r.id AS doc_id, CASE WHEN x.tag LIKE 'RZiS.%' THEN 'RZiS' WHEN x.tag LIKE 'CF.%' THEN 'CF' ELSE 'Bilans' END AS section, x.tag AS tag_path, x.kwota_a AS value_current FROM {_HAS} JOIN {TREE} x ON x.doc_id=r.id WHERE {REASON} IS NULL")
 def stream_ingest(t: Tables) -> DataFrame:
-    """Archives as they arrive, each batch ingested once; the checkpoint remembers what was."""
+    """Archives as they arrive, each batch ingested once into line items; the checkpoint remembers what was."""
     stream = so.stream_of(t.spark, _archives(t).repartition(4))
-    return so.run_to_end(stream, "append", lambda df: st.ingest(df)[1].select("path", "status"))
+    return so.run_to_end(stream, "append", lambda df: st.ingest(df)[1].select("doc_id", "section", "tag_path", "value_current"))
+
+
+@query(LOCK)
+def stream_failure_lockout(t: Tables) -> DataFrame:
+    """R3 as a stream: the failures and the lock of a key are its state."""
+    stream = so.stream_of(t.spark, t.fx_auth_events, in_order="ts")
+    return so.run_to_end(so.stream_failure_lockout(stream, failures=3, window_s=604800, lock_s=86400), "append")
+
 
+@query(STREAK)
+def stream_failure_streak(t: Tables) -> DataFrame:
+    """R8 as a stream: a source's run length is its state."""
+    return so.run_to_end(so.stream_failure_streak(so.stream_of(t.spark, t.fx_api_calls, in_order="ts")), "append")
 
-@query(f"""WITH k AS (SELECT DISTINCT krs FROM fx_documents), e AS (SELECT d.krs, count(*) AS n FROM fx_documents d JOIN fx_downloads s USING (document_id) WHERE s.is_downloaded AND NOT EXISTS (SELECT 1 FROM fx_reports r WHERE r.ingestion_status='completed' AND r.source_document_id=d.document_id) GROUP BY 1),
-f AS (SELECT r.krs, count(*) AS n FROM ({SUCCESSFUL}) r WHERE NOT EXISTS (SELECT 1 FROM fx_features x WHERE x.report_id=r.id AND x.is_valid) GROUP BY 1), g AS (SELECT r.krs, count(*) AS n FROM fx_models m CROSS JOIN fx_reports r WHERE m.is_active AND r.ingestion_status='completed' AND NOT EXISTS (SELECT 1 FROM fx_predictions p WHERE p.model_id=m.id AND p.report_id=r.id) GROUP BY 1)
-SELECT k.krs, coalesce(e.n,0) AS to_ingest, coalesce(f.n,0) AS to_compute, coalesce(g.n,0) AS to_score FROM k LEFT JOIN e USING (krs) LEFT JOIN f ON f.krs=k.krs LEFT JOIN g ON g.krs=k.krs""")
-def assessment_flow(t: Tables) -> DataFrame:
-    """What each company still needs, for all companies in one job: documents to ingest, reports to compute, pairs to score."""
-    n = lambda name: F.count(F.lit(1)).alias(name)
-    done = t.fx_reports.filter("ingestion_status = 'completed'")
-    docs = rg.documents_current(t.fx_documents, t.fx_downloads).filter("is_downloaded").join(done.select(F.col("source_document_id").alias("document_id")), "document_id", "left_anti")
-    fresh = ve.latest_successful_reports(t.fx_reports).join(t.fx_features.filter("is_valid").select(F.col("report_id").alias("id")), "id", "left_anti")
-    gaps = rg.scoring_gaps(t.fx_models, t.fx_reports, t.fx_predictions).join(done.select(F.col("id").alias("report_id"), "krs"), "report_id")
-    keys = t.fx_documents.select("krs").distinct()
-    rows = keys.join(docs.groupBy("krs").agg(n("to_ingest")), "krs", "left").join(fresh.groupBy("krs").agg(n("to_compute")), "krs", "left").join(gaps.groupBy("krs").agg(n("to_score")), "krs", "left")
-    return rows.fillna(0, ["to_ingest", "to_compute", "to_score"])
+
+@query(f"SELECT window_start, krs_number, n FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, krs_number) AS pos FROM {DAYS} d) x WHERE pos<=10")
+def stream_popular_window(t: Tables) -> DataFrame:
+    """R6 as a stream: sliding windows with a watermark, each batch's top ten in foreachBatch."""
+    counts = so.popular_window(so.stream_of(t.spark, t.fx_activity.filter("action = 'click'"), in_order="created_at"))
+    return so.run_to_end(counts, "complete", lambda df: so.top_of_windows(df, "krs_number", 10).select(F.unix_timestamp("window_start").alias("window_start"), "krs_number", "n"))
 
 
+@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS window_start, source, count(*) AS total, round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END),4) AS error_rate, round(avg(CASE WHEN cached THEN 1.0 ELSE 0.0 END),4) AS cache_hit_rate, min(latency_ms) AS fastest, max(latency_ms) AS slowest FROM fx_api_calls GROUP BY 1,2")
+def stream_call_stats(t: Tables) -> DataFrame:
+    """R7 as a stream: tumbling windows of a day with a watermark; the batch query has the exact percentiles."""
+    stats = so.stream_call_stats(so.stream_of(t.spark, t.fx_api_calls, in_order="ts"), length="1 day")
+    return so.run_to_end(stats, "complete").select(F.unix_timestamp("window_start").alias("window_start"), "source", "total", "error_rate", "cache_hit_rate", "fastest", "slowest")

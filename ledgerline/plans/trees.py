@@ -16,7 +16,7 @@ from ledgerline.operators import register as rg
 from ledgerline.plans.registry import query
 from ledgerline.plans.reports import PRIOR
 from ledgerline.sources import statements as st
-from ledgerline.storage import workers_import_us
+from ledgerline.storage import stage, workers_import_us
 
 V1 = "(SELECT * FROM fx_line_items WHERE extraction_version=1)"
 
@@ -34,7 +34,7 @@ def statement_xml(t: Tables) -> DataFrame:
     debts = element("Pasywa", "Pasywa", element("Pasywa_A", "Pasywa_A"), element("Pasywa_B", "Pasywa_B", *flat(["Pasywa_B_II", "Pasywa_B_III"])))
     profit = flat(["RZiS.A", "RZiS.B", "RZiS.C", "RZiS.F", "RZiS.I", "RZiS.L", "RZiS.N"], "RZiS.")
     cash = element("A", "CF.A", element("A_II", "CF.A_II", element("A_II_1", "CF.A_II_1")))
-    head = F.concat(F.lit('<JednostkaInna xmlns="urn:x"><Naglowek><KodSprawozdania kodSystemowy="SFJINZ (1)"/></Naglowek><P_1E>'), F.col("krs"), F.lit("</P_1E><P_3><DataDo>"), F.col("period_end").cast("string"), F.lit("</DataDo></P_3>"))
+    head = F.concat(F.lit('<JednostkaInna xmlns="urn:x"><Naglowek><KodSprawozdania kodSystemowy="SFJINZ (1)"/></Naglowek><P_1E>'), F.col("krs"), F.lit("</P_1E><P_1D>8"), F.substring("krs", 2, 9), F.lit("</P_1D><NazwaFirmy>Firma "), F.col("krs"), F.lit("</NazwaFirmy><KodPKD>62.01.Z</KodPKD><P_3><DataOd>"), F.col("period_start").cast("string"), F.lit("</DataOd><DataDo>"), F.col("period_end").cast("string"), F.lit("</DataDo></P_3><DataSporzadzenia>"), F.date_add("period_end", 90).cast("string"), F.lit("</DataSporzadzenia>"))
     body = F.concat(head, F.lit("<Bilans>"), assets, debts, F.lit("</Bilans><RZiS><RZiSPor>"), *profit, F.lit("</RZiSPor></RZiS><RachPrzeplywow><PrzeplywyPosr>"), cash, F.lit("</PrzeplywyPosr></RachPrzeplywow></JednostkaInna>"))
     return t.fx_reports.join(by, F.col("id") == F.col("report_id")).select(F.col("id").alias("doc_id"), body.alias("content"))
 
@@ -62,9 +62,9 @@ def container_totals(t: Tables) -> DataFrame:
     return _tree(t).filter("tag in ('Aktywa','Aktywa_B','Pasywa','Pasywa_B','CF.A','CF.A_II')").select("doc_id", "tag", "kwota_a")
 
 
-@query(f"SELECT id AS doc_id, krs, CAST(period_end AS VARCHAR) AS period_end, 'SFJINZ' AS schema_code, 1 AS multiplier, 'porownawczy' AS rzis_variant, 'posrednia' AS cf_method FROM fx_reports WHERE id IN (SELECT report_id FROM {V1} v)")
+@query(f"SELECT id AS doc_id, krs, 'Firma '||krs AS name, '8'||substr(krs,2) AS nip, '62.01.Z' AS pkd, CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, CAST(CAST(period_end+INTERVAL 90 DAY AS DATE) AS VARCHAR) AS date_prepared, 'SFJINZ' AS schema_code, 1 AS multiplier, 'porownawczy' AS rzis_variant, 'posrednia' AS cf_method FROM fx_reports WHERE id IN (SELECT report_id FROM {V1} v)")
 def statement_header(t: Tables) -> DataFrame:
-    return st.headers(st.element_rows(statement_xml(t))).select("doc_id", "krs", "period_end", "schema_code", "multiplier", "rzis_variant", "cf_method")
+    return st.headers(st.element_rows(statement_xml(t))).select("doc_id", "krs", "name", "nip", "pkd", "period_start", "period_end", "date_prepared", "schema_code", "multiplier", "rzis_variant", "cf_method")
 
 
 @query(f"SELECT doc_id, CASE WHEN tag LIKE 'RZiS.%' THEN 'RZiS' WHEN tag LIKE 'CF.%' THEN 'CF' ELSE 'Bilans' END AS section, tag AS tag_path, kwota_a AS value_current FROM {TREE} x")
@@ -82,15 +82,23 @@ def find_value(t: Tables) -> DataFrame:
     return st.find_value(t.fx_nodes.withColumn("node_id", F.col("ord")), "RZiS.L")
 
 
-@query("SELECT doc_id, section, count(*) AS n_nodes FROM fx_nodes GROUP BY 1,2")
+_PLACES = "(VALUES ('Aktywa','balance_sheet',0,NULL),('Aktywa_B','balance_sheet',1,'Aktywa'),('Aktywa_B_I','balance_sheet',2,'Aktywa_B'),('Aktywa_B_II','balance_sheet',2,'Aktywa_B'),('Aktywa_B_III','balance_sheet',2,'Aktywa_B'),('Pasywa','balance_sheet',0,NULL),('Pasywa_A','balance_sheet',1,'Pasywa'),('Pasywa_B','balance_sheet',1,'Pasywa'),('Pasywa_B_II','balance_sheet',2,'Pasywa_B'),('Pasywa_B_III','balance_sheet',2,'Pasywa_B'),('CF.A','cash_flow',0,NULL),('CF.A_II','cash_flow',1,'CF.A'),('CF.A_II_1','cash_flow',2,'CF.A_II'))"
+
+
+@query(f"SELECT x.doc_id, coalesce(p.section,'income_statement') AS section, x.tag, coalesce(p.depth,0) AS depth, p.parent AS parent_tag, x.kwota_a FROM {TREE} x LEFT JOIN {_PLACES} p(tag,section,depth,parent) USING (tag)")
 def raw_sections(t: Tables) -> DataFrame:
-    tree = t.fx_nodes.select("doc_id", "section", F.col("ord").alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(0).alias("depth"), "tag", "kwota_a", "kwota_b")
-    size = F.size(F.from_json("data_json", "array<struct<node_id int, tag string>>")).cast("long")
-    return st.raw_sections(tree).select("doc_id", "section", size.alias("n_nodes"))
+    """The JSON of each document's sections, read back into nodes with their parents."""
+    raw = st.raw_sections(_tree(t)).withColumn("n", F.from_json("data_json", "array<struct<node_id int, parent_id int, depth int, tag string, kwota_a double>>"))
+    rows = raw.select("doc_id", "section", "n", F.explode("n").alias("x"))
+    parent = F.expr("filter(n, y -> y.node_id = x.parent_id)[0].tag")
+    return rows.select("doc_id", "section", "x.tag", "x.depth", F.when(F.col("x.parent_id").isNotNull(), parent).alias("parent_tag"), "x.kwota_a")
 
 
 def _archives(t: Tables) -> DataFrame:
-    """(path, content): a ZIP per report with its statement and a note; every seventh has none, every eleventh is broken."""
+    """(path, content): a ZIP per report with its statement, a note that is none, and a text.
+
+    Every 29th is cut in half, every 17th holds the text alone, every 11th a statement that does not parse and no note, every 7th no statement.
+    """
     workers_import_us(t.spark)
 
     def run(batches):
@@ -99,35 +107,32 @@ def _archives(t: Tables) -> DataFrame:
             for doc, xml in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 n, held = int(doc.rpartition("-")[2]), io.BytesIO()
                 with zipfile.ZipFile(held, "w") as z:
-                    z.writestr("folder/a-note.xml", "<Note/>")
                     z.writestr("folder/readme.txt", "text")
-                    if n % 7:
+                    if n % 17 and n % 11:
+                        z.writestr("folder/a-note.xml", "<Note/>")
+                    if n % 17 and (n % 7 or n % 11 == 0):
                         z.writestr("folder/statement.xml", xml if n % 11 else xml[:-9])
                 paths.append(doc)
-                zips.append(held.getvalue())
+                zips.append(held.getvalue()[: None if n % 29 else len(held.getvalue()) // 2])
             yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(zips, pa.binary())], ["path", "content"])
 
     return statement_xml(t).mapInArrow(run, "path string, content binary")
 
 
+#: Why an archive of the fixture cannot be ingested.
+REASON = "CASE WHEN src%29=0 THEN 'unexpected_error' WHEN src%17=0 THEN 'no_xml_found' WHEN src%11=0 THEN 'parse_error' WHEN src%7=0 THEN 'invalid_period_end' END"
 _HAS = f"(SELECT id, src, krs FROM fx_reports WHERE id IN (SELECT report_id FROM {V1} v)) r"
 
 
-@query(f"SELECT type, count(*) AS n, sum(CASE WHEN type='txt' THEN 4 ELSE 0 END)::BIGINT AS bytes FROM (SELECT 'txt' AS type FROM {_HAS} UNION ALL SELECT 'xml' FROM {_HAS} UNION ALL SELECT 'xml' FROM {_HAS} WHERE src%7<>0) x GROUP BY 1")
+@query(f"""SELECT type, count(*) AS n, sum(CASE WHEN type='txt' THEN 4 ELSE 0 END)::BIGINT AS bytes FROM (SELECT 'error' AS type FROM {_HAS} WHERE src%29=0 UNION ALL SELECT 'txt' FROM {_HAS} WHERE src%29<>0
+UNION ALL SELECT 'xml' FROM {_HAS} WHERE src%29<>0 AND src%17<>0 AND src%11<>0 UNION ALL SELECT 'xml' FROM {_HAS} WHERE src%29<>0 AND src%17<>0 AND (src%7<>0 OR src%11=0)) x GROUP BY 1""")
 def scan_archives(t: Tables) -> DataFrame:
     return st.members(_archives(t)).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("type") == "txt", F.col("size")).otherwise(0)).alias("bytes"))
 
 
-@query(f"SELECT id AS path, CASE WHEN src%7<>0 AND src%11<>0 THEN 'statement.xml' END AS name FROM {_HAS}")
+@query(f"SELECT id AS path, CASE WHEN src%29=0 OR src%17=0 THEN NULL WHEN src%11<>0 AND src%7=0 THEN 'folder/a-note.xml' ELSE 'folder/statement.xml' END AS full_name, {REASON} IS NULL AS is_statement FROM {_HAS}")
 def statement_corpus(t: Tables) -> DataFrame:
-    return st.choose_statements(st.members(_archives(t))).select("path", "name")
-
-
-@query(f"SELECT r.id AS path, CASE WHEN src%7<>0 AND src%11<>0 THEN 'completed' ELSE 'failed' END AS status, CASE WHEN src%7=0 OR src%11=0 THEN 'no_xml_found' END AS reason_code, CASE WHEN src%7<>0 AND src%11<>0 THEN (SELECT count(*) FROM {TREE} x WHERE x.doc_id=r.id) ELSE 0 END AS n_items FROM {_HAS}")
-def ingest_documents(t: Tables) -> DataFrame:
-    items, ledger = st.ingest(_archives(t))
-    n = items.groupBy(F.col("doc_id").alias("path")).agg(F.count(F.lit(1)).alias("n_items"))
-    return ledger.join(n, "path", "left").select("path", "status", "reason_code", F.coalesce("n_items", F.lit(0)).alias("n_items"))
+    return st.choose_statements(_archives(t)).select("path", "full_name", "is_statement")
 
 
 @query(f"SELECT id AS doc_id, krs FROM {_HAS}")
@@ -143,9 +148,10 @@ PATHS = "(SELECT n.doc_id, n.tag, n.ord, n.kwota_a, n.kwota_b, n.parent_tag, coa
 
 
 def _pathed(t: Tables) -> DataFrame:
+    """Nodes with their paths, written once: all that compares them reads it several times."""
     up = t.fx_nodes.select("doc_id", F.col("tag").alias("parent_tag"), F.col("parent_tag").alias("_g"))
     sep = lambda c: F.coalesce(F.concat(F.col(c), F.lit("/")), F.lit(""))
-    return t.fx_nodes.join(up, ["doc_id", "parent_tag"], "left").select("doc_id", "tag", "ord", "kwota_a", "kwota_b", F.concat(sep("_g"), sep("parent_tag"), "tag").alias("path"))
+    return t.fx_nodes.join(up, ["doc_id", "parent_tag"], "left").select("doc_id", "tag", "ord", "kwota_a", "kwota_b", F.concat(sep("_g"), sep("parent_tag"), "tag").alias("path")).transform(lambda df: stage(df, "nodes-pathed"))
 
 
 def _shares(prev: str) -> str:

@@ -1,7 +1,8 @@
 """Statements as rows: archives to XML members to element rows; all that follows is relational.
 
 Python does only what needs a parser: a ZIP's members, a signed envelope, and the elements of one document.
-A document that cannot be read gives a row with its reason instead of an exception.
+A document that cannot be read gives a row with its reason instead of an exception: broken, encrypted and unknown
+archives, members that do not unpack, XML that does not parse or is nested deeper than MAX_DEPTH elements.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ import base64
 import io
 import xml.etree.ElementTree as ET
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.functions import scalars as sc
@@ -30,6 +33,9 @@ SCHEMAS: dict[str, dict] = {
 }
 MARKERS = ("Bilans", "RZiS", "RachPrzeplywow", "Przeplyw")
 AMOUNTS = ("KwotaA", "KwotaB", "KwotaB1")
+#: Statements are some ten elements deep; what is nested deeper than this is taken for broken.
+MAX_DEPTH = 500
+_BROKEN = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
 _SIGNED = "{http://www.w3.org/2000/09/xmldsig#}Object"
 _SIGNERS = "http://uri.etsi.org/01903/"
 
@@ -62,21 +68,39 @@ def unwrap(root: ET.Element) -> ET.Element:
     raise ValueError("no statement in the envelope")
 
 
+def _files(content: bytes | None) -> Iterator[tuple[zipfile.ZipInfo, Callable[[], bytes]]]:
+    """The files of an archive by full name, each with a function that unpacks it."""
+    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+        for i in sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: i.filename):
+            yield i, lambda i=i: z.read(i)
+
+
 def members(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """(path, name, size, type, content) of each file in each archive, folders flattened; broken archives give one row of type error."""
+    """(path, full_name, name, size, type, content) of each file in each archive, folders flattened in name.
+
+    Archives and members that cannot be read give a row of type error, with the message as content.
+    """
     workers_import_us(archives.sparkSession)
+    names, types = ["path", "full_name", "name", "size", "type", "content"], (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
+
+    def rows_of(path: str, content: bytes | None) -> Iterator[tuple]:
+        try:
+            for i, unpack in _files(content):
+                name = i.filename.rsplit("/", 1)[-1]
+                try:
+                    yield path, i.filename, name, i.file_size, name.rpartition(".")[2].lower() if "." in name else "", unpack()
+                except _BROKEN as e:
+                    yield path, i.filename, name, i.file_size, "error", str(e).encode()
+        except _BROKEN as e:
+            yield path, None, None, 0, "error", str(e).encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
-                        rows = [(path, i.filename.rsplit("/", 1)[-1], i.file_size, i.filename.rpartition(".")[2].lower() if "." in i.filename else "", z.read(i)) for i in z.infolist() if not i.is_dir()]
-                except (zipfile.BadZipFile, OSError) as e:
-                    rows = [(path, None, 0, "error", str(e).encode())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()), strict=True)], ["path", "name", "size", "type", "content"])
+                rows = list(rows_of(path, content))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
 
-    return archives.select(path_col, content_col).mapInArrow(run, "path string, name string, size long, type string, content binary")
+    return archives.select(path_col, content_col).mapInArrow(run, "path string, full_name string, name string, size long, type string, content binary")
 
 
 def is_statement(content: bytes) -> bool:
@@ -88,14 +112,39 @@ def is_statement(content: bytes) -> bool:
     return any(_bare(e.tag).startswith(MARKERS) for e in root.iter())
 
 
-def choose_statements(found: DataFrame) -> DataFrame:
-    """(path, name, content) of the first member by name of each archive that is a statement; content null where none is."""
-    @F.arrow_udf("boolean")
-    def good(content: pa.Array) -> pa.Array:
-        return pa.array([c is not None and is_statement(c) for c in content.to_pylist()])
+def choose_statements(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """(path, full_name, name, content, is_statement, reason_code) of each archive, one row each.
+
+    It is the first member by full name, of type xml or xades, that is a statement; members after it are not unpacked.
+    Where none is, it is the first member of such a type that unpacks, with is_statement false; where there is none,
+    content is null and reason_code no_xml_found, or unexpected_error for an archive that cannot be read.
+    """
+    workers_import_us(archives.sparkSession)
+    names, types = ["path", "full_name", "name", "content", "is_statement", "reason_code"], (pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.string())
+
+    def pick(content: bytes | None) -> tuple:
+        first = None
+        try:
+            for i, unpack in _files(content):
+                if i.filename.lower().endswith((".xml", ".xades")):
+                    try:
+                        found = unpack()
+                    except _BROKEN:
+                        continue
+                    name = i.filename.rsplit("/", 1)[-1]
+                    if is_statement(found):
+                        return i.filename, name, found, True, None
+                    first = first or (i.filename, name, found, False, None)
+        except _BROKEN:
+            return None, None, None, False, "unexpected_error"
+        return first or (None, None, None, False, "no_xml_found")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path, *pick(content)), types, strict=True)], names)
 
-    ok = found.filter(F.col("type").isin("xml", "xades")).withColumn("_ok", good("content")).filter("_ok").select("path", "name", "content")
-    return found.select("path").distinct().join(latest(ok, ["path"], [F.asc("name")]), "path", "left")
+    return archives.select(path_col, content_col).mapInArrow(run, "path string, full_name string, name string, content binary, is_statement boolean, reason_code string")
 
 
 def _text(root: ET.Element, *paths: str) -> str | None:
@@ -106,10 +155,21 @@ def _text(root: ET.Element, *paths: str) -> str | None:
     return None
 
 
+def _too_deep(root: ET.Element) -> bool:
+    level = [root]
+    for _ in range(MAX_DEPTH):
+        level = [c for e in level for c in e]
+        if not level:
+            return False
+    return True
+
+
 def _rows(doc_id: str, content: bytes) -> list[tuple]:
     """Element rows and one header row of a document, or one error row."""
     try:
         root = unwrap(ET.fromstring(content.decode("utf-8", "replace")))
+        if _too_deep(root):
+            raise ValueError(f"nested deeper than {MAX_DEPTH} elements")
     except (ET.ParseError, ValueError) as e:
         return [(doc_id, "error", None, None, None, None, None, None, None, None, None, None, None, {"reason_code": "parse_error", "message": str(e)[:200]})]
     for e in root.iter():
@@ -122,16 +182,27 @@ def _rows(doc_id: str, content: bytes) -> list[tuple]:
     }
     out: list[tuple] = []
 
-    def walk(element: ET.Element, section: str, prefix: str, depth: int, parent: int | None, above: str) -> bool:
-        me, tag = len(out), prefix + element.tag
-        amounts = {k: element.find(k) for k in AMOUNTS}
-        path = f"{above}/{tag}" if above else tag
-        out.append((doc_id, "node", section, me, parent, depth, element.tag, tag, path, amounts["KwotaA"] is not None, *(None if e is None else e.text for e in amounts.values()), None))
-        below = [walk(c, section, prefix, depth + 1, me, path) for c in element if c.tag not in AMOUNTS]
-        if amounts["KwotaA"] is None and not any(below):
-            del out[me:]  # nothing with an amount here
-            return False
-        return True
+    def walk(element: ET.Element, section: str, prefix: str) -> None:
+        """Rows of element and all below it, in document order, but for those without an amount in or below them."""
+        found: list[tuple] = []
+        ahead = [(element, -1, 0, "")]
+        while ahead:
+            e, parent, depth, above = ahead.pop()
+            tag = prefix + e.tag
+            path = f"{above}/{tag}" if above else tag
+            ahead += [(c, len(found), depth + 1, path) for c in reversed(e) if c.tag not in AMOUNTS]
+            found.append((parent, depth, e.tag, tag, path, *(e.find(k) for k in AMOUNTS)))
+        # Whose amounts count for each: its own, or those of its last child that has any.
+        source = [i if f[5] is not None else None for i, f in enumerate(found)]
+        for i in range(len(found) - 1, 0, -1):
+            if source[i] is not None and source[found[i][0]] is None:
+                source[found[i][0]] = source[i]
+        number = {-1: None}
+        for i, (parent, depth, raw, tag, path, *amounts) in enumerate(found):
+            if source[i] is not None:
+                number[i] = len(out)
+                counted = [*found[source[i]][5:7], amounts[2]]
+                out.append((doc_id, "node", section, len(out), number[parent], depth, raw, tag, path, amounts[0] is not None, *(None if e is None else e.text for e in counted), None))
 
     def first(*names: str | None) -> ET.Element | None:
         return next((e for n in names if n and (e := root.find(f".//{n}")) is not None), None)
@@ -140,7 +211,7 @@ def _rows(doc_id: str, content: bytes) -> list[tuple]:
     for part, section in (("Aktywa", "aktywa"), ("Pasywa", "pasywa")):
         e = None if balance is None else balance.find(part)
         if e is not None:
-            walk(e, section, "", 0, None, "")
+            walk(e, section, "")
     for kind, section, prefix, variants in (("profit", "rzis", "RZiS.", {"RZiSPor": "porownawczy", "RZiSKalk": "kalkulacyjny", "RZiSKal": "kalkulacyjny"}), ("cash", "cash_flow", "CF.", {"PrzeplywyPosr": "posrednia", "PrzeplywyBezp": "bezposrednia"})):
         for s in SCHEMAS.values():
             e = first(s[kind])
@@ -151,17 +222,20 @@ def _rows(doc_id: str, content: bytes) -> list[tuple]:
                 facts["rzis_variant" if kind == "profit" else "cf_method"] = variants.get(name)
                 e = None if name is None else e.find(name)
             for c in e if e is not None else ():
-                walk(c, section, prefix, 0, None, "")
+                walk(c, section, prefix)
             break
     for s in SCHEMAS.values():
         e = first(s["extra"][0]) if s["extra"] else None
         for c in e if e is not None else ():
-            walk(c, s["extra"][1], s["extra"][2], 0, None, "")
+            walk(c, s["extra"][1], s["extra"][2])
     return [*out, (doc_id, "header", None, None, None, None, None, None, None, None, None, None, None, {k: v for k, v in facts.items() if v is not None})]
 
 
 def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """Raw element, header and error rows of each (id, XML); written as a table, since nodes and headers both read it."""
+    """Raw element, header and error rows of each (id, XML); written as a table, since nodes and headers both read it.
+
+    a and b are the amounts that count for a node (T2): its own, or those of its last child that has any.
+    """
     workers_import_us(docs.sparkSession)
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
 
@@ -192,14 +266,7 @@ def nodes(rows: DataFrame, header: DataFrame) -> DataFrame:
     """Statement nodes with amounts in whole units; a node without own amounts has its last child's."""
     n = rows.filter("kind = 'node'").join(header.select("doc_id", "multiplier"), "doc_id")
     times = lambda c, parse: parse(F.col(c)) * F.col("multiplier")
-    own = n.select("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", F.when(F.col("has_amount"), times("a", sc.parse_amount)).alias("kwota_a"), F.when(F.col("has_amount"), times("b", sc.parse_amount)).alias("kwota_b"), times("b1", sc.optional_amount).alias("kwota_b1"))
-    own = stage(own, "statement-nodes")
-    deepest = own.filter("not has_amount").agg(F.max("depth")).first()[0]
-    for depth in range(deepest if deepest is not None else -1, -1, -1):  # as deep as statements are nested
-        last = own.filter(F.col("depth") == depth + 1).groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.max_by(F.struct("kwota_a", "kwota_b"), "node_id").alias("_t"))
-        here = ~F.col("has_amount") & (F.col("depth") == depth)
-        own = own.join(last, ["doc_id", "node_id"], "left").withColumn("kwota_a", F.when(here, F.col("_t.kwota_a")).otherwise(F.col("kwota_a"))).withColumn("kwota_b", F.when(here, F.col("_t.kwota_b")).otherwise(F.col("kwota_b"))).drop("_t")
-    return own
+    return n.select("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", times("a", sc.parse_amount).alias("kwota_a"), times("b", sc.parse_amount).alias("kwota_b"), times("b1", sc.optional_amount).alias("kwota_b1"))
 
 
 def line_items(tree: DataFrame) -> DataFrame:
@@ -221,26 +288,42 @@ def find_value(tree: DataFrame, tag: str) -> DataFrame:
 
 
 def raw_sections(tree: DataFrame) -> DataFrame:
-    """A JSON array of nodes, in document order, per document and section."""
+    """A JSON array of nodes with their parents, in document order, per document and section; balance sheets have both sides."""
+    name = F.when(F.col("section").isin("aktywa", "pasywa"), "balance_sheet").when(F.col("section") == "rzis", "income_statement").otherwise(F.col("section"))
     nodes_ = F.collect_list(F.struct("node_id", "parent_id", "depth", "tag", "kwota_a", "kwota_b"))
-    return tree.groupBy("doc_id", "section").agg(F.to_json(F.array_sort(nodes_)).alias("data_json"))
+    return tree.groupBy("doc_id", name.alias("section")).agg(F.to_json(F.array_sort(nodes_)).alias("data_json"))
+
+
+def _met(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(pair_id, path, previous): what the paths of current meet in previous.
+
+    A top node meets the first node of its tag, wherever that is; a node below the child of its tag under what its
+    parent met, the last one if there are several.
+    """
+    tops = current.filter(~F.col("path").contains("/")).select("pair_id", "tag").distinct()
+    met = latest(previous.join(tops, ["pair_id", "tag"]), ["pair_id", "tag"], [F.asc("ord")]).select("pair_id", F.col("tag").alias("_top"), F.col("ord").alias("_ord"), F.col("path").alias("_path"))
+    rows = previous.select("pair_id", "path", "ord", "kwota_a").join(met, "pair_id").filter("ord >= _ord")
+    below = F.col("path").startswith(F.concat("_path", F.lit("/")))
+    rows = rows.withColumn("_end", F.min(F.when((F.col("ord") > F.col("_ord")) & ~below, F.col("ord"))).over(W.partitionBy("pair_id", "_top")))
+    rows = rows.filter((F.col("ord") == F.col("_ord")) | (below & (F.col("_end").isNull() | (F.col("ord") < F.col("_end")))))
+    rows = rows.select("pair_id", F.substr("path", F.length("_path") - F.length("_top") + 1).alias("path"), "ord", "kwota_a")
+    several = F.count(F.lit(1)).over(W.partitionBy("pair_id", "path"))
+    last = latest(rows.withColumn("_n", several), ["pair_id", "path"], [F.desc("ord")])
+    # A child of a node that has a later twin has gone with it.
+    twins = last.filter("_n > 1").select("pair_id", F.col("path").alias("_twin"), F.col("ord").alias("_at"))
+    gone = last.join(twins, "pair_id").filter(F.col("path").startswith(F.concat("_twin", F.lit("/"))) & (F.col("ord") < F.col("_at"))).select("pair_id", "path")
+    return last.join(gone, ["pair_id", "path"], "left_anti").select("pair_id", "path", F.col("kwota_a").alias("previous"))
 
 
 def compare(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Current, previous, changes and shares of parent for each node of pair_id.
 
-    Both have pair_id, path, tag, ord, kwota_a, kwota_b. A top node meets its tag anywhere in the other
-    statement, a node below only the same path under what its top node met. Without previous, kwota_b counts.
+    Both have pair_id, path, tag, ord, kwota_a, kwota_b. Without previous, kwota_b counts; with it, see _met. Where
+    current repeats a path, its first node is the parent of what is below.
     """
-    if previous is None:
-        both = current.withColumn("previous", F.col("kwota_b"))
-    else:
-        parts = F.split("path", "/")
-        tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-        other = latest(previous.select("pair_id", "ord", F.col("kwota_a").alias("previous"), F.explode(tails).alias("path")), ["pair_id", "path"], [F.asc("ord")]).drop("ord")
-        both = current.join(other, ["pair_id", "path"], "left")
+    both = current.withColumn("previous", F.col("kwota_b")) if previous is None else current.join(_met(current, previous), ["pair_id", "path"], "left")
     above = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
-    up = both.select("pair_id", F.col("path").alias("_above"), F.col("kwota_a").alias("_pa"), F.col("previous").alias("_pp"))
+    up = both.groupBy("pair_id", F.col("path").alias("_above")).agg(F.min_by("kwota_a", "ord").alias("_pa"), F.min_by("previous", "ord").alias("_pp"))
     rows = both.withColumn("_above", above).join(up, ["pair_id", "_above"], "left")
     return rows.select(
         "pair_id", "tag", F.col("kwota_a").alias("current"), "previous", F.round(F.col("kwota_a") - F.col("previous"), 2).alias("change_absolute"), sc.pct_change(F.col("kwota_a"), F.col("previous")).alias("change_percent"),
@@ -253,16 +336,27 @@ def empty_sections(compared: DataFrame, *keys: str) -> DataFrame:
     return compared.groupBy(*keys).agg((F.count("current") + F.count("previous") == 0).alias("is_empty"))
 
 
-def ingest(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Archives to (line items, ledger): a ledger row per archive with status and reason_code."""
-    chosen = stage(choose_statements(members(archives)), "statement-chosen")
+def ingest(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The reading part of T7: archives to (nodes, line items, ledger); the ledger has a row per archive.
+
+    Its status is completed or failed, with reason_code unexpected_error, no_xml_found, parse_error or
+    invalid_period_end; schema and company facts come with it. Nodes and items are those of completed ones.
+    """
+    chosen = stage(choose_statements(archives), "statement-chosen")
     rows = element_rows(chosen.filter("content is not null"), id_col="path")
     head = headers(rows)
-    items = line_items(nodes(rows, head)).join(head.select("doc_id", "schema_code"), "doc_id")
-    reason = F.coalesce("reason_code", F.when(F.col("doc_id").isNull(), "no_xml_found"), F.when(sc.fiscal_year(F.col("period_end")).isNull(), "invalid_period_end"))
-    ledger = chosen.select("path").join(head, F.col("path") == F.col("doc_id"), "left").select("path", F.when(reason.isNull(), "completed").otherwise("failed").alias("status"), reason.alias("reason_code"), "krs", "period_end")
-    good = ledger.filter("status = 'completed'").select(F.col("path").alias("doc_id"))
-    return items.join(good, "doc_id", "left_semi"), ledger
+    year = sc.fiscal_year(F.col("period_end"))
+    read = chosen.select("path", "full_name", F.col("reason_code").alias("_reason")).join(head, F.col("path") == F.col("doc_id"), "left")
+    reason = F.coalesce("_reason", "reason_code", F.when(year.isNull(), "invalid_period_end"))
+    ledger = read.select(
+        "path", F.when(reason.isNull(), "completed").otherwise("failed").alias("status"), reason.alias("reason_code"), "full_name", "schema_code", "name", "krs", "nip", "pkd",
+        F.coalesce("period_start", "period_end").alias("period_start"), "period_end", "date_prepared", year.alias("fiscal_year"),
+    )
+    ledger = stage(ledger, "statement-ledger")
+    good = ledger.filter("status = 'completed'").select(F.col("path").alias("doc_id"), "schema_code")
+    tree = stage(nodes(rows, head).join(good, "doc_id"), "statement-good")
+    items = line_items(tree.drop("schema_code")).join(good, "doc_id")
+    return tree, items, ledger
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.storage import shared_path, stage, workers_import_us
 
@@ -52,15 +54,35 @@ def failure_lockout(events: DataFrame, *, failures: int = 5, window_s: int = 900
     return rows.withColumn("was_locked", F.coalesce(before > F.col("_us"), F.lit(False))).select("event_id", "auth_key", "in_window", "was_locked", (F.col("_until").isNotNull()).alias("locks"))
 
 
-def failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60) -> DataFrame:
-    """For each failure of a source: run length, extra delay in s, cooldown; a cooldown starts the run anew."""
-    order = W.partitionBy("source").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    epochs = events.withColumn("_epoch", F.sum(F.col("error").isNull().cast("int")).over(order)).filter("error is not null")
-    run = F.row_number().over(W.partitionBy("source", "_epoch").orderBy("ts", "event_id"))
-    at = (F.col("run") - 1) % (every * most) + 1
-    rows = epochs.withColumn("run", run).withColumn("_at", at)
-    ends = F.col("_at") == every * most
-    return rows.select("event_id", "source", "run", F.when(ends, 0).otherwise(F.floor(F.col("_at") / every).cast("int")).alias("extra_delay_s"), F.when(ends, cooldown_s).otherwise(0).alias("cooldown_s"))
+def failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60, block: str = "day") -> DataFrame:
+    """For each failure of a source: run length, extra delay in s, cooldown; a cooldown starts the run anew.
+
+    Rows are counted within blocks of a source's time; what a run brings from earlier blocks comes from the blocks' own
+    counts, so a source's whole log never meets in one task.
+    """
+    own = ["source", "_block"]
+    rows = events.select("source", "ts", "event_id", F.col("error").isNotNull().alias("_bad")).withColumn("_block", F.date_trunc(block, F.col("ts").cast("timestamp")))
+    order = W.partitionBy(*own).orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumn("_epoch", F.sum((~F.col("_bad")).cast("int")).over(order)).filter("_bad or _epoch > 0")
+    bad = rows.filter("_bad").withColumn("_run", F.row_number().over(W.partitionBy(*own, "_epoch").orderBy("ts", "event_id")))
+    # A block's row: its failures, its successes, and its failures after the last success.
+    n = rows.groupBy(*own).agg(F.count_if("_bad").alias("_bads"), F.max("_epoch").alias("_last"))
+    tail = bad.groupBy(*own, "_epoch").agg(F.count(F.lit(1)).alias("_tail")).withColumnRenamed("_epoch", "_last")
+    blocks = n.join(tail, [*own, "_last"], "left").withColumn("_tail", F.coalesce("_tail", F.lit(0)))
+    before = W.partitionBy("source").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    sum_before = F.coalesce(F.sum("_bads").over(before), F.lit(0))
+    blocks = blocks.withColumn("_sum", sum_before)
+    # The last block before with a success, its tail, and all failures through it.
+    cut_at = F.last(F.when(F.col("_last") > 0, F.struct("_tail", (F.col("_sum") + F.col("_bads")).alias("through"))), ignorenulls=True).over(before)
+    blocks = blocks.withColumn("_cut", cut_at).select(*own, F.when(F.col("_cut").isNull(), F.col("_sum")).otherwise(F.col("_cut._tail") + F.col("_sum") - F.col("_cut.through")).alias("_carry"))
+    rows = bad.join(blocks, own).withColumn("run", (F.col("_run") + F.when(F.col("_epoch") == 0, F.col("_carry")).otherwise(0)).cast("int"))
+    return rows.select("event_id", "source", "run", *_delays(F.col("run"), every, most, cooldown_s))
+
+
+def _delays(run, every: int, most: int, cooldown_s: int):
+    at = (run - 1) % (every * most) + 1
+    ends = at == every * most
+    return F.when(ends, 0).otherwise(F.floor(at / every).cast("int")).alias("extra_delay_s"), F.when(ends, cooldown_s).otherwise(0).alias("cooldown_s")
 
 
 def burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, window_s: float = 60.0) -> DataFrame:
@@ -90,10 +112,96 @@ def burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, window_s:
     return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInArrow(run, "key string, event_id long, fired boolean")
 
 
-def stream_of(spark: SparkSession, table: DataFrame, files_per_trigger: int = 2) -> DataFrame:
-    """A table as a stream: written as files, read a few at a time."""
+def _per_key(stream: DataFrame, key: str, columns: list[str], out: str, state: str, step: Callable) -> DataFrame:
+    """A stateful stream: step takes the state (None at first) and the rows of a key in order of time, and gives the new state and rows.
+
+    Rows of a key are taken in the order of (us, event_id) within a batch, so batches are to arrive in order of time.
+    """
+    def run(of: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
+        now, made = step(held.get if held.exists else None, of[0], rows)
+        held.update(now)
+        yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
+
+    rows = stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select(key, *columns, "us")
+    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_failure_lockout(events: DataFrame, *, failures: int = 5, window_s: int = 900, lock_s: int = 300) -> DataFrame:
+    """R3 over a stream, with the columns of failure_lockout. A key's state is its failures within the window and the end of its lock."""
+
+    def step(state, key, rows):
+        recent, until = (list(state[0]), state[1]) if state else ([], -1)
+        made = []
+        for r in rows.itertuples():
+            if not r.is_failure:
+                recent, until = [], -1
+                continue
+            recent = [x for x in recent if r.us - x <= window_s * 1_000_000] + [r.us]
+            # Failures of one instant count together, as in a window over time.
+            n = len(recent) + sum(1 for x in rows.itertuples() if x.is_failure and x.us == r.us and x.event_id > r.event_id)
+            locks = n >= failures
+            made.append((r.event_id, key, n, until > r.us, locks))
+            until = max(until, r.us + lock_s * 1_000_000) if locks else until
+        return (recent, until), made
+
+    return _per_key(events, "auth_key", ["event_id", "is_failure"], "event_id long, auth_key long, in_window long, was_locked boolean, locks boolean", "recent array<long>, until long", step)
+
+
+def stream_failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60) -> DataFrame:
+    """R8 over a stream, with the columns of failure_streak. A source's state is the length of its run."""
+
+    def step(state, key, rows):
+        run, made = state[0] if state else 0, []
+        for r in rows.itertuples():
+            run = run + 1 if r.bad else 0
+            if r.bad:
+                made.append((r.event_id, key, run))
+        return (run,), made
+
+    rows = _per_key(events.withColumn("bad", F.col("error").isNotNull()), "source", ["event_id", "bad"], "event_id long, source string, run int", "run int", step)
+    return rows.select("event_id", "source", "run", *_delays(F.col("run"), every, most, cooldown_s))
+
+
+def stream_burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, window_s: float = 60.0) -> DataFrame:
+    """R4 over a stream, with the columns of burst_detector. A key's state is its counter and when the window began."""
+
+    def step(state, of, rows):
+        count, began = state or (0, int(rows["us"].iloc[0]))
+        made = []
+        for r in rows.itertuples():
+            if r.us - began > window_s * 1e6:
+                count, began = 0, r.us
+            count += 1
+            fired = count >= hits_needed
+            made.append((str(of), r.event_id, fired))
+            if fired:
+                count, began = 0, r.us
+        return (count, began), made
+
+    return _per_key(hits, key, ["event_id"], "key string, event_id long, fired boolean", "count int, began long", step)
+
+
+def stream_call_stats(calls: DataFrame, *, ts: str = "ts", length: str = "5 minutes") -> DataFrame:
+    """R7 over a stream: per source and window the totals, rates and extreme latencies, under a watermark."""
+    rows = calls.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATE).groupBy(F.window(ts, length).alias("w"), "source")
+    rate = lambda c: F.round(F.avg(c.cast("double")), 4)
+    stats = rows.agg(F.count(F.lit(1)).alias("total"), rate(F.col("error").isNotNull()).alias("error_rate"), rate(F.col("cached")).alias("cache_hit_rate"), F.min("latency_ms").alias("fastest"), F.max("latency_ms").alias("slowest"))
+    return stats.select(F.col("w.start").alias("window_start"), "source", "total", "error_rate", "cache_hit_rate", "fastest", "slowest")
+
+
+def stream_of(spark: SparkSession, table: DataFrame, files_per_trigger: int = 2, in_order: str | None = None) -> DataFrame:
+    """A table as a stream: written as files, read a few at a time. in_order: the column of time, by which files then arrive, one a batch."""
     path = shared_path(spark, "stream-source")
-    table.write.parquet(path)
+    if in_order is None:
+        table.write.parquet(path)
+    else:
+        table = stage(table, "stream-table")
+        cuts = table.select(F.percentile_approx(F.unix_micros(F.col(in_order).cast("timestamp")), [0.25, 0.5, 0.75]).alias("c")).first().c or []
+        part = sum((F.when(F.unix_micros(F.col(in_order).cast("timestamp")) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        for i in range(len(cuts) + 1):
+            table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        files_per_trigger = 1
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
@@ -117,6 +225,6 @@ def run_to_end(stream: DataFrame, mode: str, take: Callable[[DataFrame], DataFra
 
 
 def stream_latest(reports: DataFrame) -> DataFrame:
-    """R2: newest version of each logical key as streaming state."""
+    """R2: newest version of each logical key as streaming state; in update mode a batch emits the keys that it changed alone."""
     head = F.max(F.struct("report_version", "created_at", "id")).alias("m")
     return reports.groupBy("logical_key").agg(head).select("logical_key", F.col("m.id").alias("id"), F.col("m.report_version").alias("report_version"))

@@ -44,11 +44,47 @@ def zipped(**files):
 def test_archives(spark):
     signed = f'<Signature xmlns:ds="http://www.w3.org/2000/09/xmldsig#"><ds:Object>{base64.b64encode(SMALL.encode()).decode()}</ds:Object></Signature>'
     rows = [("one", zipped(a_xml="<Note/>", b_xml=SMALL, c_xml=HEADED)), ("none", zipped(a_txt="x")), ("signed", zipped(a_xades=signed)), ("broken", b"PK nothing"), ("null", None)]
-    items, ledger = st.ingest(spark.createDataFrame(rows, "path string, content binary"))
-    assert {(r.path, r.status, r.reason_code) for r in ledger.collect()} == {("one", "completed", None), ("signed", "completed", None), ("none", "failed", "no_xml_found"), ("broken", "failed", "no_xml_found"), ("null", "failed", "no_xml_found")}
+    _, items, ledger = st.ingest(spark.createDataFrame(rows, "path string, content binary"))
+    assert {(r.path, r.status, r.reason_code) for r in ledger.collect()} == {("one", "completed", None), ("signed", "completed", None), ("none", "failed", "no_xml_found"), ("broken", "failed", "unexpected_error"), ("null", "failed", "unexpected_error")}
     assert {r.doc_id for r in items.select("doc_id").distinct().collect()} == {"one", "signed"}
 
 
+def test_archives_that_cannot_be_read_give_rows(spark):
+    """Corrupt and encrypted members, deep nesting, equal base names, and the first xml where none is a statement."""
+    deflated = io.BytesIO()
+    with zipfile.ZipFile(deflated, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("a/x.xml", SMALL)
+    corrupt = bytearray(deflated.getvalue())
+    corrupt[60:90] = b"\xff" * 30
+    locked = bytearray(zipped(a_xml=SMALL))
+    locked[6] |= 1
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    deep = "<JednostkaInna><Bilans><Aktywa>" + "<a>" * 2000 + "<KwotaA>1</KwotaA>" + "</a>" * 2000 + "</Aktywa></Bilans></JednostkaInna>"
+    same = io.BytesIO()
+    with zipfile.ZipFile(same, "w") as z:
+        z.writestr("b/x.xml", SMALL.replace("2023-12-31", "2021-12-31"))
+        z.writestr("a/x.xml", SMALL)
+        z.writestr("c/y.xml", "<Note/>")
+    rows = [("corrupt", bytes(corrupt)), ("locked", bytes(locked)), ("deep", zipped(a_xml=deep)), ("same", same.getvalue()), ("unparsed", zipped(a_xml="<a><b></a>")), ("note", zipped(a_xml="<Note/>"))]
+    archives = spark.createDataFrame(rows, "path string, content binary")
+    assert {r.path: r.type for r in st.members(archives).filter("path in ('corrupt', 'locked')").collect()} == {"corrupt": "error", "locked": "error"}
+    chosen = {r.path: r for r in st.choose_statements(archives).collect()}
+    assert chosen["same"].full_name == "a/x.xml" and chosen["note"].full_name == "d/a.xml" and not chosen["note"].is_statement
+    ledger = {r.path: r.reason_code for r in st.ingest(archives)[2].collect()}
+    assert ledger == {"corrupt": "no_xml_found", "locked": "no_xml_found", "deep": "parse_error", "same": None, "unparsed": "parse_error", "note": "invalid_period_end"}
+
+
+def test_comparison_where_tags_repeat(spark):
+    """The first match of a top tag anywhere, the last child of a tag under it, and nothing of another parent."""
+    cols = "pair_id string, path string, tag string, ord int, kwota_a double, kwota_b double"
+    frame = lambda *paths: spark.createDataFrame([("p", p, p.rsplit("/", 1)[-1], i, float(i + 1), 0.0) for i, p in enumerate(paths)], cols)
+    now = frame("A", "A/B", "A/B/C", "A/D", "E", "E/B")
+    old = frame("X", "X/A", "X/A/B", "X/A/B/C", "X/A/B", "X/E", "X/E/A", "X/E/A/D", "A", "A/B", "A/B/C", "A/D", "E", "E/B")
+    got = sorted((r.current, r.previous) for r in st.compare(now, old).collect())
+    # A is node 1 of old; its B is the later of two, which has no C; D is under another A alone; E is node 5, which has no B.
+    assert got == [(1.0, 2.0), (2.0, 5.0), (3.0, None), (4.0, None), (5.0, 6.0), (6.0, None)]
+
+
 def test_two_statement_comparison(spark):
     cols = "pair_id string, path string, tag string, ord int, kwota_a double, kwota_b double"
     now = spark.createDataFrame([("p", "A", "A", 0, 10.0, 1.0), ("p", "A/B", "B", 1, 5.0, 1.0), ("p", "A/C", "C", 2, 5.0, 1.0), ("p", "D", "D", 3, -4.0, 1.0)], cols)
@@ -70,3 +106,36 @@ def test_burst_detector_against_a_loop(spark):
         state[e.user_id] = (0, us) if count >= 5 else (count, began)
     got = {r.event_id: r.fired for r in so.burst_detector(events, key="user_id", window_s=86400.0 * 30).collect()}
     assert got == want and any(want.values())
+
+
+def test_streams_with_state_against_batches(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    hits = events.filter("event_type = 'click'").select("user_id", "event_id", "ts")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    streamed = so.run_to_end(so.stream_burst_detector(so.stream_of(spark, hits, in_order="ts"), key="user_id", window_s=86400.0 * 30), "append")
+    assert rows(streamed.select("key", "event_id", "fired")) == rows(so.burst_detector(hits, key="user_id", window_s=86400.0 * 30))
+
+
+def test_streaks_over_blocks(spark):
+    """Runs within a block, over several blocks, over blocks without a success, and over none."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), None if rng.random() < 0.04 else "e", f"2024-01-{1 + rng.randrange(28):02d} {rng.randrange(24):02d}:00:00") for i in range(600)]
+    want, run = {}, {}
+    for i, source, error, _ts in sorted(rows, key=lambda r: (r[1], r[3], r[0])):
+        run[source] = run.get(source, 0) + 1 if error else 0
+        if error:
+            want[i] = run[source]
+    frame = spark.createDataFrame(rows, "event_id long, source string, error string, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert {r.event_id: r.run for r in so.failure_streak(frame).collect()} == want and max(want.values()) > 40
+
+
+def test_ranges_over_borders(spark):
+    from ledgerline.operators import register as rg
+
+    keys = [k for k in range(1, 95) if k not in (33, 47, 48)]
+    frame = spark.createDataFrame([(k, "a" if k < 60 or k % 2 else "b") for k in keys], "key long, status string")
+    got = sorted(tuple(r) for r in rg.not_found_ranges(frame, block=10).collect())
+    assert [g for g in got if g[0] == "a"][:3] == [("a", 1, 32, 32), ("a", 34, 46, 13), ("a", 49, 59, 11)]
+    assert sum(g[3] for g in got) == len(keys)
