@@ -95,7 +95,9 @@ def fuzzy_search(names: DataFrame, queries: DataFrame, *, key: str, name: str, a
     n = names.select(key, F.col(name).alias("_name"), trigrams(F.col(name)).alias("_r"))
     q = queries.select("query", F.array_distinct(trigrams(F.col("query"))).alias("_q"))
     index = n.select(key, F.explode(F.array_distinct("_r")).alias("_t"))
-    pairs = index.join(q.select("query", F.explode("_q").alias("_t")), "_t").select(key, "query").distinct()
+    shared = index.join(q.select("query", F.size("_q").alias("_n"), F.explode("_q").alias("_t")), "_t").groupBy(key, "query", "_n").agg(F.count(F.lit(1)).alias("_k"))
+    # No run can reach more than the trigrams that the whole names share, over those of the query.
+    pairs = shared.filter(F.col("_k") / F.col("_n") > at_least).select(key, "query")
     both = pairs.join(n, key).join(q, "query").filter(~F.lower("_name").contains(F.lower("query")))
     runs = F.expr(
         "flatten(transform(sequence(1, size(_r)), a -> transform(sequence(1, size(_r) - a + 1), k ->"
