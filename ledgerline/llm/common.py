@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.storage import stage, workers_import_us
 
-__all__ = ["BLANKS", "NO_ID", "UPPER", "ascii_lower", "documents", "fresh", "id_and_text", "pii_key", "stage", "workers_import_us"]
+__all__ = ["BLANKS", "NO_ID", "UPPER", "ascii_lower", "documents", "fresh", "id_and_text", "pii_key", "spread", "stage", "workers_import_us"]
 
 #: The white space that the operators' contracts name: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -42,3 +42,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def pii_key(spark: SparkSession) -> bytes:
     """The secret of spark.ledgerline.pii.key. Where that is unset, a public one, which protects nobody: for trials and tests."""
     return spark.conf.get("spark.ledgerline.pii.key", "public key for trials").encode()
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """docs, dealt over the cores where the table has fewer parts than a fourth of them, as a single file of moderate size has; else as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() * 4 <= cores else docs

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chunks
-from ledgerline.llm.common import stage, workers_import_us
+from ledgerline.llm.common import spread, stage, workers_import_us
 from ledgerline.llm.quality import fold
 
 MARK = "▁"
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
                     pred[own], score[own] = np.array(scorer.languages, object)[best[own]], chance[np.arange(to - at), best][own]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(pred, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    found = base.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    found = spread(base.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
     return found.select("doc_id", (fold(F.col("doc_id"), folds) == held_out_fold).alias("held_out"), "lang_pred", "score")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chunks, word_tokens
-from ledgerline.llm.common import id_and_text, stage, workers_import_us
+from ledgerline.llm.common import id_and_text, spread, stage, workers_import_us
 
 MAX_TOKENS, END_ID = 4096, 1
 _PLAN = "plan_length int, first_rank long, last_rank long, first_sequence long, each int, base int"
@@ -59,7 +59,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + k)]) for a, k in zip(first.tolist(), length.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return id_and_text(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return spread(id_and_text(docs, id_col=id_col, text_col=text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int, int]]:

@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 
 from ledgerline.llm import chunks
-from ledgerline.llm.common import id_and_text, workers_import_us
+from ledgerline.llm.common import id_and_text, spread, workers_import_us
 
 MARK = "▁"
 _UNEVEN = f"  |^ | $|^$|{MARK}"
@@ -79,7 +79,7 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
 
 def _each(docs: DataFrame, path: str, id_col: str, text_col: str, columns: str, make) -> DataFrame:
     workers_import_us(docs.sparkSession)
-    base = id_and_text(docs, id_col=id_col, text_col=text_col)
+    base = spread(id_and_text(docs, id_col=id_col, text_col=text_col))
     schema = pa.schema([("doc_id", pa.int64())] + [(c.split()[0], {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[c.split()[1]]) for c in columns.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

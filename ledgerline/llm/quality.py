@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import id_and_text, stage, workers_import_us
+from ledgerline.llm.common import id_and_text, spread, stage, workers_import_us
 
 SHRINKAGE = 0.1
 STATISTICS = ("word_length", "upper", "digits", "symbols", "bars", "shouts", "stops", "breaks", "same_as_before", "variety", "repeated_lines", "commonest", "beyond_ascii")
@@ -88,7 +88,7 @@ def statistics_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t.as_py()) for t in batch.column(1)], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return id_and_text(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, x array<double>")
+    return spread(id_and_text(docs, id_col=id_col, text_col=text_col)).mapInArrow(run, "doc_id long, x array<double>")
 
 
 def fit(table: DataFrame, labels: DataFrame, *, shrinkage: float = SHRINKAGE) -> Model:

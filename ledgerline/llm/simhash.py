@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import NO_ID, id_and_text, stage, workers_import_us
+from ledgerline.llm.common import NO_ID, id_and_text, spread, stage, workers_import_us
 from ledgerline.llm.components import min_labels
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             fps = np.fromiter((fingerprint(x.as_buffer().to_pybytes()) for x in batch.column(1).cast(pa.binary())), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return id_and_text(docs, id_col=id_col, text_col=text_col).mapInArrow(sign, "doc_id long, fp long")
+    return spread(id_and_text(docs, id_col=id_col, text_col=text_col)).mapInArrow(sign, "doc_id long, fp long")
 
 
 def _near(key: np.ndarray, x: np.ndarray) -> np.ndarray:
