@@ -45,6 +45,10 @@ def pii_key(spark: SparkSession) -> bytes:
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """docs, dealt over the cores where the table has fewer parts than a fourth of them, as a single file of moderate size has; else as it is."""
+    """docs, dealt over the cores where the table has fewer files and parts than there are, else as it is.
+
+    A small file is one row group, which one task would read and work on alone.
+    """
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs.rdd.getNumPartitions() * 4 <= cores else docs
+    few = docs.rdd.getNumPartitions() <= cores and len(docs.inputFiles()) < cores
+    return docs.repartition(cores) if few else docs

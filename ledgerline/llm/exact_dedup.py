@@ -185,7 +185,8 @@ def drop_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     sha = F.sha2(normalised(F.coalesce(docs[text_col], F.lit(""))), 256)
     own = [F.col(own_id).eqNullSafe(docs[id_col].cast("long")), F.col(own_sha) == sha]
     named = lambda rows: rows.select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(own_sha))
-    stay = docs.join(stage(named(decided.filter("not kept")), "exact-gone"), own, "left_anti")
+    # The same plan at every size: decisions grow with the rows, so they are never broadcast; each text moves once.
+    stay = docs.join(stage(named(decided.filter("not kept")), "exact-gone").hint("shuffle_hash"), own, "left_anti")
     # Rows that repeat an id and its text share their decision; of those that stay one is enough.
     again = stage(named(decided.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1")), "exact-again")
     if again.isEmpty():
