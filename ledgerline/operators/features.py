@@ -143,10 +143,10 @@ def score_all(features: DataFrame, models: Sequence[catalog.LinearModel] | None
     return features.select(*by, F.explode(F.filter(scores, lambda s: s["raw_score"].isNotNull())).alias("s")).select(*by, "s.*")
 
 
-def report_values(items: DataFrame) -> DataFrame:
-    """The latest values of all catalogue tags, a row per report. Items are dealt by report once, which serves the window and the pivot."""
-    own = items.filter(F.col("tag_path").isin(catalog.TAGS)).repartition("report_id")
-    return pivot_tags(latest_line_items(own), catalog.TAGS)
+def report_values(items: DataFrame, *, dealt: bool = False) -> DataFrame:
+    """The latest values of all catalogue tags, a row per report. Items are dealt by report once, which serves the window and the pivot; dealt: they are already."""
+    own = items.filter(F.col("tag_path").isin(catalog.TAGS))
+    return pivot_tags(latest_line_items(own if dealt else own.repartition("report_id")), catalog.TAGS)
 
 
 def model_features() -> list[str]:

@@ -66,11 +66,15 @@ def compute_new_features(items: DataFrame, stored: DataFrame, definitions: Seque
 
     stored (report_id, feature_definition_id, computation_version) is what there is of such rows.
     """
-    rows = fe.compute_features(fe.report_values(items), definitions)
-    source = items.groupBy("report_id").agg(F.max("extraction_version").cast("int").alias("source_extraction_version"))
-    top = stored.groupBy("report_id", "feature_definition_id").agg(F.max("computation_version").alias("_top"))
-    rows = rows.join(source, "report_id").join(top, ["report_id", "feature_definition_id"], "left")
-    return rows.withColumn("computation_version", (F.coalesce("_top", F.lit(0)) + 1).cast("int")).drop("_top")
+    own = items.repartition("report_id")  # dealt once for the values and for the version
+    source = own.groupBy("report_id").agg(F.max("extraction_version").cast("int").alias("source_extraction_version"))
+    # What is stored is gathered by report, so it is wide rows that are joined.
+    top = stored.select("report_id", "feature_definition_id", "computation_version").repartition("report_id").groupBy("report_id", "feature_definition_id").agg(F.max("computation_version").alias("v"))
+    top = top.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_definition_id", "v"))).alias("_top"))
+    wide = fe.report_values(own, dealt=True).join(source, "report_id").join(top, "report_id", "left")
+    rows = fe.compute_features(wide, definitions, by=("report_id", "source_extraction_version", "_top"))
+    version = F.coalesce(F.col("_top")[F.col("feature_definition_id")], F.lit(0)) + 1
+    return rows.withColumn("computation_version", version.cast("int")).drop("_top")
 
 
 def score_reports(features: DataFrame, reports: DataFrame, scored: DataFrame, requests: DataFrame | None = None, models: Sequence[catalog.LinearModel] | None = None) -> DataFrame:
