@@ -308,9 +308,11 @@ def _met(current: DataFrame, previous: DataFrame) -> DataFrame:
     rows = rows.filter((F.col("ord") == F.col("_ord")) | (below & (F.col("_end").isNull() | (F.col("ord") < F.col("_end")))))
     rows = rows.select("pair_id", F.substr("path", F.length("_path") - F.length("_top") + 1).alias("path"), "ord", "kwota_a")
     several = F.count(F.lit(1)).over(W.partitionBy("pair_id", "path"))
-    last = latest(rows.withColumn("_n", several), ["pair_id", "path"], [F.desc("ord")])
+    last = stage(latest(rows.withColumn("_n", several), ["pair_id", "path"], [F.desc("ord")]), "statements-met")
     # A child of a node that has a later twin has gone with it.
     twins = last.filter("_n > 1").select("pair_id", F.col("path").alias("_twin"), F.col("ord").alias("_at"))
+    if twins.isEmpty():
+        return last.select("pair_id", "path", F.col("kwota_a").alias("previous"))
     gone = last.join(twins, "pair_id").filter(F.col("path").startswith(F.concat("_twin", F.lit("/"))) & (F.col("ord") < F.col("_at"))).select("pair_id", "path")
     return last.join(gone, ["pair_id", "path"], "left_anti").select("pair_id", "path", F.col("kwota_a").alias("previous"))
 
