@@ -164,7 +164,7 @@ def _too_deep(root: ET.Element) -> bool:
     return True
 
 
-def _rows(doc_id: str, content: bytes) -> list[tuple]:
+def _rows(doc_id: str, content: bytes, schemas: dict[str, dict]) -> list[tuple]:
     """Element rows and one header row of a document, or one error row."""
     try:
         root = unwrap(ET.fromstring(content.decode("utf-8", "replace")))
@@ -207,13 +207,13 @@ def _rows(doc_id: str, content: bytes) -> list[tuple]:
     def first(*names: str | None) -> ET.Element | None:
         return next((e for n in names if n and (e := root.find(f".//{n}")) is not None), None)
 
-    balance = first(*[s["balance"] for s in SCHEMAS.values()])
+    balance = first(*[s["balance"] for s in schemas.values()])
     for part, section in (("Aktywa", "aktywa"), ("Pasywa", "pasywa")):
         e = None if balance is None else balance.find(part)
         if e is not None:
             walk(e, section, "")
     for kind, section, prefix, variants in (("profit", "rzis", "RZiS.", {"RZiSPor": "porownawczy", "RZiSKalk": "kalkulacyjny", "RZiSKal": "kalkulacyjny"}), ("cash", "cash_flow", "CF.", {"PrzeplywyPosr": "posrednia", "PrzeplywyBezp": "bezposrednia"})):
-        for s in SCHEMAS.values():
+        for s in schemas.values():
             e = first(s[kind])
             if e is None:
                 continue
@@ -224,7 +224,7 @@ def _rows(doc_id: str, content: bytes) -> list[tuple]:
             for c in e if e is not None else ():
                 walk(c, section, prefix)
             break
-    for s in SCHEMAS.values():
+    for s in schemas.values():
         e = first(s["extra"][0]) if s["extra"] else None
         for c in e if e is not None else ():
             walk(c, s["extra"][1], s["extra"][2])
@@ -239,10 +239,12 @@ def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str =
     workers_import_us(docs.sparkSession)
     types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
 
+    schemas = dict(SCHEMAS)  # what is registered here goes to the workers
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(*r[:-1], list(r[-1].items()) if r[-1] else None) for r in _rows(doc_id, content or b"")]
+                rows = [(*r[:-1], list(r[-1].items()) if r[-1] else None) for r in _rows(doc_id, content or b"", schemas)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _FIELDS)
 
     given = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))

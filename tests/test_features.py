@@ -80,3 +80,23 @@ def test_own_feature_and_model(spark):
     finally:
         catalog.FEATURES.pop()
         fe.CUSTOM.pop("own_gap")
+
+
+def test_a_registered_model_scores_with_the_others(spark):
+    """V2: scoring takes every registered model, in the same pass."""
+    from ledgerline.operators import flow
+
+    model = catalog.LinearModel("own_v1", "own", {"roa": 2.0, "debt_ratio": -1.0}, 0.5, ((0, "low", 0), (None, "high", 1)))
+    catalog.register_linear_model(model)
+    try:
+        features = spark.createDataFrame([("a", "roa", 0.5, True, 1), ("a", "debt_ratio", 0.25, True, 1), ("a", "roa", 0.75, True, 2), ("b", "roa", 0.1, True, 1), ("b", "debt_ratio", 9.0, False, 1), ("c", "roa", -1.0, True, 1), ("c", "debt_ratio", 0.0, True, 1)], "report_id string, feature_definition_id string, value double, is_valid boolean, computation_version int")
+        reports = spark.createDataFrame([("a", "k1"), ("b", "k2")], "id string, krs string")
+        scored = spark.createDataFrame([], "model_id string, report_id string")
+        new = flow.score_reports(features, reports, scored, models=[model])
+        assert {(r.report_id, r.raw_score, r.risk_category, r.classification, r.code) for r in new.collect()} == {("a", 1.75, "high", 1, None), ("c", -1.5, "low", 0, "missing_report")}
+        asked = spark.createDataFrame([("a",), ("b",), ("d",)], "report_id string")
+        answers = flow.score_reports(features, reports, scored, asked, models=[model])
+        assert {(r.report_id, r.code) for r in answers.collect()} == {("a", None), ("b", "missing_feature"), ("d", "missing_report")}
+        assert [tuple(r) for r in flow.run_summary(answers).collect()] == [("own_v1", 1, 2, "completed_with_errors", "missing_feature:1,missing_report:1")]
+    finally:
+        del catalog.MODELS["own_v1"]

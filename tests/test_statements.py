@@ -139,3 +139,14 @@ def test_ranges_over_borders(spark):
     got = sorted(tuple(r) for r in rg.not_found_ranges(frame, block=10).collect())
     assert [g for g in got if g[0] == "a"][:3] == [("a", 1, 32, 32), ("a", 34, 46, 13), ("a", 49, 59, 11)]
     assert sum(g[3] for g in got) == len(keys)
+
+
+def test_a_registered_schema_is_read(spark):
+    """V3: root tag, section elements and multiplier of a schema of one's own."""
+    st.register_schema("OWN", {"roots": ["OwnReport"], "balance": "OwnBalance", "profit": "OwnProfit", "cash": None, "variants": False, "multiplier": 10, "extra": None})
+    try:
+        head, tree = parsed(spark, own="<OwnReport><OwnBalance><Aktywa><KwotaA>4</KwotaA></Aktywa></OwnBalance><OwnProfit><A><KwotaA>2</KwotaA></A></OwnProfit></OwnReport>")
+        assert (head["own"].schema_code, head["own"].multiplier) == ("OWN", 10)
+        assert {(r.tag, r.kwota_a) for r in tree.collect()} == {("Aktywa", 40.0), ("RZiS.A", 20.0)}
+    finally:
+        del st.SCHEMAS["OWN"]
