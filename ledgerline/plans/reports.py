@@ -216,11 +216,11 @@ def company_enrich(t: Tables) -> DataFrame:
     return t.fx_reports.join(t.fx_companies_extra, "krs", "left").select("id", "krs", "pkd_code", "incorporation_date")
 
 
-@query("SELECT c.c_custkey AS key FROM customer c JOIN fx_companies k ON k.krs=lpad(CAST(c.c_custkey AS VARCHAR),10,'0') WHERE k.krs NOT IN (SELECT krs FROM fx_documents) AND c.c_custkey%4=1 AND k.legal_form IN ('BUILDING','MACHINERY')")
+@query("SELECT c.c_custkey AS key FROM customer c JOIN fx_companies k ON k.krs=lpad(CAST(c.c_custkey AS VARCHAR),10,'0') WHERE k.krs NOT IN (SELECT krs FROM fx_companies WHERE last_checked_on IS NOT NULL) AND c.c_custkey%4=1 AND k.legal_form IN ('BUILDING','MACHINERY')")
 def pending_discovery(t: Tables) -> DataFrame:
-    """One shard of the found keys of these legal forms that no discovery has processed, that is without any document."""
+    """One shard of the found keys of these legal forms that no check has processed."""
     found = t.customer.filter("pmod(c_custkey, 4) = 1").select(F.col("c_custkey").alias("key"), F.lpad(F.col("c_custkey").cast("string"), 10, "0").alias("krs"))
-    return found.join(t.fx_companies.filter("legal_form in ('BUILDING','MACHINERY')"), "krs", "left_semi").join(t.fx_documents, "krs", "left_anti").select("key")
+    return found.join(t.fx_companies.filter("legal_form in ('BUILDING','MACHINERY')"), "krs", "left_semi").join(t.fx_companies.filter("last_checked_on is not null"), "krs", "left_anti").select("key")
 
 
 @query(f"SELECT DISTINCT krs FROM {CURRENT} WHERE NOT coalesce(is_downloaded,false) AND krs IN (SELECT krs FROM fx_companies WHERE is_active)")
