@@ -8,9 +8,9 @@ grouped by their normalised bytes themselves, so equal fingerprints of different
 A segment spans 2^14 quotients whatever the filter's size, and lists its occupied quotients in two bytes each where a
 bitmap would take more; the number of segments follows the row count, so that one holds about 2^21 fingerprints of
 the corpus. A filter takes under 16 bytes a fingerprint up to 10^10 rows, and goes out in batches of a few megabytes.
-Candidates are picked by their fingerprints before their texts are sent: Spark broadcasts the repeated fingerprints
-where their measured size permits, so only candidates' texts move and copies collapse in each task; where they are too
-many, all texts move once by fingerprint and a salt of the id, so that a text that a third of all rows hold is dealt out.
+Candidates are picked by their fingerprints before their texts are sent: up to BROADCAST_ROWS repeated fingerprints, which
+are counted first, are broadcast, so only candidates' texts move and copies collapse in each task; where there are more,
+all texts move once by fingerprint and a salt of the id, so that a text that a third of all rows hold is dealt out.
 
 Defined cases: null text is empty; null doc_id sorts after all ids; rows that repeat a doc_id and its text
 are one document and share their decision; an empty table gives an empty result.
@@ -34,6 +34,8 @@ FLUSH = 1 << 21
 WIDTH_BITS, SEGMENT_ROWS_BITS = 14, 21
 #: Bytes of filters that a task hands on at once.
 _BATCH_BYTES = 4 << 20
+#: Repeated fingerprints that are broadcast at most, some 30 MB of them; more of them meet the texts by a shuffle.
+BROADCAST_ROWS = 1 << 19
 _SALTS = 8
 _TENS = "100000000000000000000"  # above any 64-bit difference
 
@@ -151,7 +153,7 @@ def repeated_fingerprints(fingerprints: DataFrame, rows: int) -> DataFrame:
     return built.groupBy("segment").applyInArrow(join, "fp long, n long")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are once all of [\\x20\\x09-\\x0D] is deleted; the row with the most code points
@@ -164,9 +166,13 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     # Candidates meet by their bytes. Both grouping steps combine within a task, so a hot text costs a row a task.
     rank = F.length("text").cast("decimal(10,0)") * F.lit(_TENS).cast("decimal(21,0)") + (F.lit(str(NO_ID)).cast("decimal(20,0)") - F.coalesce("doc_id", F.lit(NO_ID)).cast("decimal(20,0)"))
-    texts = base.select(F.xxhash64(norm).alias("fp"), F.pmod(F.hash("doc_id"), F.lit(_SALTS)).alias("salt"), norm.alias("norm"), rank.alias("rank"))
-    asked = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    same = texts.join(asked, ["fp", "salt"], "left_semi").groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("rank"))
+    texts = base.select("doc_id", F.xxhash64(norm).alias("fp"), norm.alias("norm"), rank.alias("rank"))
+    if repeated.count() <= broadcast_rows:
+        candidates = texts.join(F.broadcast(repeated), "fp", "left_semi")
+    else:
+        asked = repeated.select("fp", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
+        candidates = texts.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(_SALTS))).join(asked.hint("shuffle_hash"), ["fp", "salt"], "left_semi")
+    same = candidates.groupBy("norm").agg(F.count(F.lit(1)).alias("group_size"), F.max("rank").alias("rank"))
     best = (F.lit(str(NO_ID)).cast("decimal(20,0)") - (F.col("rank") % F.lit(_TENS).cast("decimal(21,0)"))).cast("long")
     groups = same.filter("group_size > 1").select(F.sha2("norm", 256).alias("text_sha256"), F.nullif(best, F.lit(NO_ID)).alias("keep_id"), "group_size")
     return signed.join(groups, "text_sha256", "left").select(

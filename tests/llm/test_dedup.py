@@ -28,8 +28,9 @@ def slow_exact(rows):
 def test_exact_groups(spark, odd, source):
     docs = odd if source == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
     want = slow_exact([(r.doc_id, r.text) for r in docs.collect()])
-    got = sorted([tuple(r) for r in exact_dedup.exact_groups(docs).collect()], key=str)
-    assert got == want
+    for most in (exact_dedup.BROADCAST_ROWS, 0):  # repeated fingerprints broadcast, and met by a shuffle
+        got = sorted([tuple(r) for r in exact_dedup.exact_groups(docs, broadcast_rows=most).collect()], key=str)
+        assert got == want
 
 
 def test_drop_copies_keeps_one_row_a_group_and_all_columns(odd, none):
