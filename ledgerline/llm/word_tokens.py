@@ -21,6 +21,17 @@ _PLAIN = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
+#: Letters and then marks, as most chunks are: one pre-token, or two.
+_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)[!-/:;=>?@\[-`{-~]*")
+
+
+def pre_tokens(chunk: str) -> int:
+    """How many pre-tokens a plain chunk has; 0 of any other."""
+    if m := _SIMPLE.fullmatch(chunk):
+        return 1 + (m.end(1) < len(chunk))
+    return len(_PRE_TOKENS.findall(chunk.lower())) if _PLAIN.fullmatch(chunk) and "<|" not in chunk else 0
+
+
 @lru_cache(maxsize=2)
 def table(path: str) -> ChunkTable:
     """This worker's table for the tokenizer file at path."""
@@ -34,10 +45,10 @@ def table(path: str) -> ChunkTable:
         return np.fromiter(map(len, found), np.int64, len(found)), np.array([i for f in found for i in f], np.int64)
 
     def make(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        plain = np.fromiter((bool(_PLAIN.fullmatch(c)) and "<|" not in c for c in chunks), bool, len(chunks))
-        together = [c for c, p in zip(chunks, plain, strict=True) if p]
+        counts = np.fromiter(map(pre_tokens, chunks), np.int64, len(chunks))
+        plain = counts > 0
+        together, counts = [c for c, n in zip(chunks, counts.tolist(), strict=True) if n], counts[plain]
         flat = np.array(tokenizer.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, np.int64)
-        counts = np.fromiter((len(_PRE_TOKENS.findall(c.lower())) for c in together), np.int64, len(together))
         last = np.flatnonzero(ends[flat])
         if len(last) != counts.sum():
             return each(chunks)

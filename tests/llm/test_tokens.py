@@ -28,6 +28,14 @@ def test_word_ids_are_the_librarys():
         assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [word_ids(t) for t in HARD[at : at + len(ends)]]
 
 
+def test_chunks_of_letters_and_marks_have_the_librarys_ids():
+    chunks = ["word", "Word.", "ÀÉ!?", "dogs'", "it's", "don't.", "a<|b", "x>", "'s", "(a)", "a1b", "ß", "end...)", "q_r", "I'LL'", "a'", "a''s", "\xd7a", "naïve;"]
+    texts = [*chunks, " ".join(chunks), " ".join(reversed(chunks))]
+    for at, ids, ends in packing.token_ids(pa.array(texts), WORD):
+        starts = np.append(0, ends[:-1])
+        assert [ids[a:b].tolist() for a, b in zip(starts, ends, strict=True)] == [word_ids(t) for t in texts[at : at + len(ends)]]
+
+
 def test_piece_ids_are_the_librarys(spark, odd, none):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
     docs = spark.createDataFrame(list(enumerate([*HARD, None])), "doc_id long, text string").unionByName(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")).unionByName(odd.select("doc_id", "text"))
