@@ -11,6 +11,7 @@ from ledgerline.plans.registry import query
 from ledgerline.plans.trees import _HAS, REASON, TREE, _archives
 from ledgerline.sources import statements as st
 from ledgerline.streaming import operators as so
+from ledgerline.streaming import stateful as sf
 
 HOURS = "(SELECT date_trunc('hour', created_at) - CAST(k||' hours' AS INTERVAL) AS window_start, action, count(*) AS n FROM fx_activity, range(24) g(k) GROUP BY 1,2)"
 
@@ -22,9 +23,10 @@ def trailing_counts(t: Tables) -> DataFrame:
 
 @query(f"SELECT epoch(window_start)::BIGINT AS window_start, action, n FROM {HOURS} h")
 def stream_trailing_counts(t: Tables) -> DataFrame:
-    """R5 as a stream."""
-    stream = so.stream_of(t.spark, t.fx_activity.repartition(3))
-    return so.run_to_end(so.trailing_counts(stream), "complete").select(F.unix_timestamp("window_start").alias("window_start"), "action", "n")
+    """R5 as a stream of hours in append mode; days are made of the hours that it emitted."""
+    hours = so.pane_counts(so.stream_of(t.spark, t.fx_activity, in_order="created_at"), ts="created_at", by="action", pane="1 hour")
+    counts = so.windows_of_panes(so.run_to_end(hours, "append"), by="action", length="24 hours", step="1 hour")
+    return counts.select(F.unix_timestamp("window_start").alias("window_start"), "action", "n")
 
 
 DAYS = "(SELECT epoch(date_trunc('day', created_at))::BIGINT - k*86400 AS window_start, krs_number, count(*) AS n FROM fx_activity, range(30) g(k) WHERE krs_number IS NOT NULL AND action='click' GROUP BY 1,2)"
@@ -64,7 +66,7 @@ def burst_detector(t: Tables) -> DataFrame:
 @query("SELECT logical_key, id, report_version FROM (SELECT *, row_number() OVER (PARTITION BY logical_key ORDER BY report_version DESC, created_at DESC, id DESC) rn FROM fx_reports) x WHERE rn=1")
 def stream_latest(t: Tables) -> DataFrame:
     stream = so.stream_of(t.spark, t.fx_reports.repartition(3))
-    return ve.latest(so.run_to_end(so.stream_latest(stream), "update"), ["logical_key"], [F.desc("report_version")])
+    return ve.latest(so.run_to_end(sf.stream_latest(stream), "update"), ["logical_key"], [F.desc("report_version")])
 
 
 @query(f"SELECT r.id AS doc_id, CASE WHEN x.tag LIKE 'RZiS.%' THEN 'RZiS' WHEN x.tag LIKE 'CF.%' THEN 'CF' ELSE 'Bilans' END AS section, x.tag AS tag_path, x.kwota_a AS value_current FROM {_HAS} JOIN {TREE} x ON x.doc_id=r.id WHERE {REASON} IS NULL")
@@ -78,24 +80,34 @@ def stream_ingest(t: Tables) -> DataFrame:
 def stream_failure_lockout(t: Tables) -> DataFrame:
     """R3 as a stream: the failures and the lock of a key are its state."""
     stream = so.stream_of(t.spark, t.fx_auth_events, in_order="ts")
-    return so.run_to_end(so.stream_failure_lockout(stream, failures=3, window_s=604800, lock_s=86400), "append")
+    return so.run_to_end(sf.stream_failure_lockout(stream, failures=3, window_s=604800, lock_s=86400), "append")
 
 
 @query(STREAK)
 def stream_failure_streak(t: Tables) -> DataFrame:
     """R8 as a stream: a source's run length is its state."""
-    return so.run_to_end(so.stream_failure_streak(so.stream_of(t.spark, t.fx_api_calls, in_order="ts")), "append")
+    return so.run_to_end(sf.stream_failure_streak(so.stream_of(t.spark, t.fx_api_calls, in_order="ts")), "append")
 
 
 @query(f"SELECT window_start, krs_number, n FROM (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY n DESC, krs_number) AS pos FROM {DAYS} d) x WHERE pos<=10")
 def stream_popular_window(t: Tables) -> DataFrame:
-    """R6 as a stream: sliding windows with a watermark, each batch's top ten in foreachBatch."""
-    counts = so.popular_window(so.stream_of(t.spark, t.fx_activity.filter("action = 'click'"), in_order="created_at"))
-    return so.run_to_end(counts, "complete", lambda df: so.top_of_windows(df, "krs_number", 10).select(F.unix_timestamp("window_start").alias("window_start"), "krs_number", "n"))
+    """R6 as a stream of days in append mode; windows of 30 days and their top ten are made of the days that it emitted."""
+    clicks = so.stream_of(t.spark, t.fx_activity.filter("action = 'click' AND krs_number IS NOT NULL"), in_order="created_at")
+    days = so.run_to_end(so.pane_counts(clicks, ts="created_at", by="krs_number", pane="1 day"), "append")
+    counts = so.top_of_windows(so.windows_of_panes(days, by="krs_number", length="30 days", step="1 day"), "krs_number", 10)
+    return counts.select(F.unix_timestamp("window_start").alias("window_start"), "krs_number", "n")
 
 
-@query("SELECT epoch(date_trunc('day', ts))::BIGINT AS window_start, source, count(*) AS total, round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END),4) AS error_rate, round(avg(CASE WHEN cached THEN 1.0 ELSE 0.0 END),4) AS cache_hit_rate, min(latency_ms) AS fastest, max(latency_ms) AS slowest FROM fx_api_calls GROUP BY 1,2")
+@query()
+def stream_burst_detector(t: Tables) -> DataFrame:
+    """R4 as a stream, with the rows of burst_detector."""
+    return so.run_to_end(sf.stream_burst_detector(so.stream_of(t.spark, t.events.filter("event_type = 'error'"), in_order="ts"), key="user_id", window_s=604800.0), "append")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY date_trunc('day', ts), source ORDER BY latency_ms) - 1 AS i, count(*) OVER (PARTITION BY date_trunc('day', ts), source) AS n FROM fx_api_calls)
+SELECT epoch(date_trunc('day', ts))::BIGINT AS window_start, source, count(*) AS total, round(avg(CASE WHEN error IS NULL THEN 0.0 ELSE 1.0 END),4) AS error_rate, round(avg(CASE WHEN cached THEN 1.0 ELSE 0.0 END),4) AS cache_hit_rate,
+ max(CASE WHEN i = n * 50 // 100 THEN latency_ms END)::BIGINT AS p50, max(CASE WHEN i = n * 95 // 100 THEN latency_ms END)::BIGINT AS p95 FROM r GROUP BY 1,2""")
 def stream_call_stats(t: Tables) -> DataFrame:
-    """R7 as a stream: tumbling windows of a day with a watermark; the batch query has the exact percentiles."""
-    stats = so.stream_call_stats(so.stream_of(t.spark, t.fx_api_calls, in_order="ts"), length="1 day")
-    return so.run_to_end(stats, "complete").select(F.unix_timestamp("window_start").alias("window_start"), "source", "total", "error_rate", "cache_hit_rate", "fastest", "slowest")
+    """R7 as a stream of hours with sketches of their latencies, merged into days. A day of up to SKETCH calls of a source is exact, as in this SQL."""
+    hours = so.run_to_end(so.call_panes(so.stream_of(t.spark, t.fx_api_calls, in_order="ts")), "append")
+    return so.call_stats_of_panes(hours).withColumn("window_start", F.unix_timestamp("window_start"))

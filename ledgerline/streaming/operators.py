@@ -1,30 +1,61 @@
-"""Windows and runs over logs (R3-R6, R8), written once for batch frames and streams where both can run them.
+"""Windows and runs over logs (R3-R8): counts and sketches by pane of time, of batches and of streams, and what is made of them.
 
-Late data: streams keep a watermark of ten minutes by default; rows later than that are dropped from windows.
+Late data: streams keep a watermark of ten minutes by default and run in append mode: a pane is emitted once, when the
+watermark has passed it, and leaves the state then; rows later than that are dropped. Windows are made of the emitted panes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerline.storage import shared_path, stage, workers_import_us
 
-LATE = "10 minutes"
+LATE, CLOSING = "10 minutes", "10 years"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+_UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
+
+
+def seconds(length: str) -> int:
+    """"24 hours" as a number."""
+    n, unit = length.split()
+    return int(n) * _UNITS[unit.removesuffix("s")]
+
+
+def pane_counts(log: DataFrame, *, ts: str, by: str, pane: str, late: str = LATE) -> DataFrame:
+    """(pane_start, by, n): rows of each pane of time. Over a stream a pane is open until the watermark passes its end, then it leaves the state."""
+    log = log.withColumn(ts, F.col(ts).cast("timestamp"))
+    log = log.withWatermark(ts, late) if log.isStreaming else log
+    return log.groupBy(F.window(ts, pane).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("pane_start"), by, "n")
+
+
+def windows_of_panes(panes: DataFrame, *, by: str, length: str, step: str) -> DataFrame:
+    """(window_start, by, n) of windows of length, one every step, from panes of one step each.
+
+    A pane is added where the first window that holds it starts and taken off where the first that does not; sums of these
+    in order of time are the windows' counts, so a pane is two rows, however many windows hold it.
+    """
+    size, every = seconds(length), seconds(step)
+    if size % every:
+        raise ValueError(f"windows of {length} are not whole panes of {step}")
+    start = F.unix_timestamp("pane_start")
+    change = F.array(F.struct((start - (size - every)).alias("at"), F.col("n").alias("d")), F.struct((start + every).alias("at"), (-F.col("n")).alias("d")))
+    changes = panes.select(by, F.inline(change)).groupBy(by, "at").agg(F.sum("d").alias("d"))
+    order = W.partitionBy(by).orderBy("at")
+    runs = changes.select(by, "at", F.sum("d").over(order.rowsBetween(W.unboundedPreceding, 0)).alias("n"), F.lead("at").over(order).alias("next")).filter("n > 0")
+    starts = runs.select(by, "n", F.explode(F.sequence("at", F.col("next") - every, F.lit(every).cast("long"))).alias("at"))
+    return starts.select(F.timestamp_seconds("at").alias("window_start"), by, "n")
 
 
 def trailing_counts(log: DataFrame, *, ts: str = "created_at", by: str = "action", length: str = "24 hours", step: str = "1 hour") -> DataFrame:
     """Counts in windows of length, one every step."""
-    log = log.withColumn(ts, F.col(ts).cast("timestamp"))
-    log = log.withWatermark(ts, LATE) if log.isStreaming else log
-    rows = log.groupBy(F.window(ts, length, step).alias("w"), by).agg(F.count(F.lit(1)).alias("n"))
-    return rows.select(F.col("w.start").alias("window_start"), by, "n")
+    return windows_of_panes(pane_counts(log, ts=ts, by=by, pane=step), by=by, length=length, step=step)
 
 
 def popular_window(log: DataFrame, *, ts: str = "created_at", key: str = "krs_number", length: str = "30 days", step: str = "1 day") -> DataFrame:
@@ -76,10 +107,10 @@ def failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown
     cut_at = F.last(F.when(F.col("_last") > 0, F.struct("_tail", (F.col("_sum") + F.col("_bads")).alias("through"))), ignorenulls=True).over(before)
     blocks = blocks.withColumn("_cut", cut_at).select(*own, F.when(F.col("_cut").isNull(), F.col("_sum")).otherwise(F.col("_cut._tail") + F.col("_sum") - F.col("_cut.through")).alias("_carry"))
     rows = bad.join(blocks, own).withColumn("run", (F.col("_run") + F.when(F.col("_epoch") == 0, F.col("_carry")).otherwise(0)).cast("int"))
-    return rows.select("event_id", "source", "run", *_delays(F.col("run"), every, most, cooldown_s))
+    return rows.select("event_id", "source", "run", *delays(F.col("run"), every, most, cooldown_s))
 
 
-def _delays(run, every: int, most: int, cooldown_s: int):
+def delays(run, every: int, most: int, cooldown_s: int):
     at = (run - 1) % (every * most) + 1
     ends = at == every * most
     return F.when(ends, 0).otherwise(F.floor(at / every).cast("int")).alias("extra_delay_s"), F.when(ends, cooldown_s).otherwise(0).alias("cooldown_s")
@@ -112,119 +143,71 @@ def burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, window_s:
     return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInArrow(run, "key string, event_id long, fired boolean")
 
 
-def _per_key(stream: DataFrame, key: str, columns: list[str], out: str, state: str, step: Callable) -> DataFrame:
-    """A stateful stream: step takes the state (None at first) and the rows of a key in order of time, and gives the new state and rows.
+#: Size of the quantile sketches. Up to so many calls they are exact; beyond, a rank is off by RANK_ERROR of all calls at most, 99 times in 100.
+SKETCH, RANK_ERROR = 1024, 0.004
+
+
+def call_panes(calls: DataFrame, *, ts: str = "ts", pane: str = "1 hour", late: str = LATE, k: int = SKETCH) -> DataFrame:
+    """R7 by pane and source: total, errors, hits and a mergeable sketch of the latencies, of a batch or a stream (append mode)."""
+    calls = calls.withColumn(ts, F.col(ts).cast("timestamp"))
+    calls = calls.withWatermark(ts, late) if calls.isStreaming else calls
+    counts = [F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.count_if("cached").alias("hits")]
+    rows = calls.groupBy(F.window(ts, pane).alias("w"), "source").agg(*counts, F.kll_sketch_agg_bigint(F.col("latency_ms").cast("long"), F.lit(k)).alias("sketch"))
+    return rows.select(F.col("w.start").alias("pane_start"), "source", "total", "errors", "hits", "sketch")
+
 
-    Rows of a key are taken in the order of (us, event_id) within a batch, so batches are to arrive in order of time.
+def call_stats_of_panes(panes: DataFrame, *, length: str = "1 day") -> DataFrame:
+    """(window_start, source, total, error_rate, cache_hit_rate, p50, p95) of windows of length, from panes merged.
+
+    A percentile is the latency at index floor(n p / 100) of those known, in order, as in A15, as far as the sketch tells.
     """
-    def run(of: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["us", "event_id"])
-        now, made = step(held.get if held.exists else None, of[0], rows)
-        held.update(now)
-        yield pd.DataFrame(made, columns=[c.split()[0] for c in out.split(", ")])
-
-    rows = stream.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))).select(key, *columns, "us")
-    return rows.groupBy(key).applyInPandasWithState(run, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_failure_lockout(events: DataFrame, *, failures: int = 5, window_s: int = 900, lock_s: int = 300) -> DataFrame:
-    """R3 over a stream, with the columns of failure_lockout. A key's state is its failures within the window and the end of its lock."""
-
-    def step(state, key, rows):
-        recent, until = (list(state[0]), state[1]) if state else ([], -1)
-        made = []
-        for r in rows.itertuples():
-            if not r.is_failure:
-                recent, until = [], -1
-                continue
-            recent = [x for x in recent if r.us - x <= window_s * 1_000_000] + [r.us]
-            # Failures of one instant count together, as in a window over time.
-            n = len(recent) + sum(1 for x in rows.itertuples() if x.is_failure and x.us == r.us and x.event_id > r.event_id)
-            locks = n >= failures
-            made.append((r.event_id, key, n, until > r.us, locks))
-            until = max(until, r.us + lock_s * 1_000_000) if locks else until
-        return (recent, until), made
-
-    return _per_key(events, "auth_key", ["event_id", "is_failure"], "event_id long, auth_key long, in_window long, was_locked boolean, locks boolean", "recent array<long>, until long", step)
-
-
-def stream_failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60) -> DataFrame:
-    """R8 over a stream, with the columns of failure_streak. A source's state is the length of its run."""
-
-    def step(state, key, rows):
-        run, made = state[0] if state else 0, []
-        for r in rows.itertuples():
-            run = run + 1 if r.bad else 0
-            if r.bad:
-                made.append((r.event_id, key, run))
-        return (run,), made
-
-    rows = _per_key(events.withColumn("bad", F.col("error").isNotNull()), "source", ["event_id", "bad"], "event_id long, source string, run int", "run int", step)
-    return rows.select("event_id", "source", "run", *_delays(F.col("run"), every, most, cooldown_s))
-
-
-def stream_burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, window_s: float = 60.0) -> DataFrame:
-    """R4 over a stream, with the columns of burst_detector. A key's state is its counter and when the window began."""
-
-    def step(state, of, rows):
-        count, began = state or (0, int(rows["us"].iloc[0]))
-        made = []
-        for r in rows.itertuples():
-            if r.us - began > window_s * 1e6:
-                count, began = 0, r.us
-            count += 1
-            fired = count >= hits_needed
-            made.append((str(of), r.event_id, fired))
-            if fired:
-                count, began = 0, r.us
-        return (count, began), made
-
-    return _per_key(hits, key, ["event_id"], "key string, event_id long, fired boolean", "count int, began long", step)
-
-
-def stream_call_stats(calls: DataFrame, *, ts: str = "ts", length: str = "5 minutes") -> DataFrame:
-    """R7 over a stream: per source and window the totals, rates and extreme latencies, under a watermark."""
-    rows = calls.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, LATE).groupBy(F.window(ts, length).alias("w"), "source")
-    rate = lambda c: F.round(F.avg(c.cast("double")), 4)
-    stats = rows.agg(F.count(F.lit(1)).alias("total"), rate(F.col("error").isNotNull()).alias("error_rate"), rate(F.col("cached")).alias("cache_hit_rate"), F.min("latency_ms").alias("fastest"), F.max("latency_ms").alias("slowest"))
-    return stats.select(F.col("w.start").alias("window_start"), "source", "total", "error_rate", "cache_hit_rate", "fastest", "slowest")
+    sums = [F.sum(c).alias(c) for c in ("total", "errors", "hits")]
+    merged = panes.groupBy(F.window("pane_start", length).alias("w"), "source").agg(*sums, F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    # The sketch gives the first latency whose share of ranks reaches the one asked for; a trifle more is the row at floor(n p / 100).
+    value = lambda p: F.when(F.kll_sketch_get_n_bigint("sketch") > 0, F.kll_sketch_get_quantile_bigint("sketch", F.lit(p / 100 + 1e-6)))
+    rate = lambda c: F.round(F.col(c) / F.col("total"), 4)
+    return merged.select(F.col("w.start").alias("window_start"), "source", "total", rate("errors").alias("error_rate"), rate("hits").alias("cache_hit_rate"), value(50).alias("p50"), value(95).alias("p95"))
 
 
 def stream_of(spark: SparkSession, table: DataFrame, files_per_trigger: int = 2, in_order: str | None = None) -> DataFrame:
-    """A table as a stream: written as files, read a few at a time. in_order: the column of time, by which files then arrive, one a batch."""
+    """A table as a stream: written as files, read a few at a time.
+
+    in_order: the column of time, by which files then arrive, one a batch. The last of them is a copy of the newest row, set
+    CLOSING later: it brings the watermark past all others and waits itself, so operators under a watermark say all they know.
+    """
     path = shared_path(spark, "stream-source")
     if in_order is None:
         table.write.parquet(path)
     else:
-        table = stage(table, "stream-table")
-        cuts = table.select(F.percentile_approx(F.unix_micros(F.col(in_order).cast("timestamp")), [0.25, 0.5, 0.75]).alias("c")).first().c or []
-        part = sum((F.when(F.unix_micros(F.col(in_order).cast("timestamp")) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+        table, us = stage(table, "stream-table"), F.unix_micros(F.col(in_order).cast("timestamp"))
+        cuts = table.select(F.percentile_approx(us, [0.25, 0.5, 0.75]).alias("c")).first().c or []
+        part = sum((F.when(us > c, 1).otherwise(0) for c in cuts), F.lit(0))
         for i in range(len(cuts) + 1):
             table.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        newest = table.filter(F.col(in_order).isNotNull()).orderBy(F.col(in_order).desc()).limit(1)
+        newest.withColumn(in_order, (F.col(in_order) + F.expr(f"interval {CLOSING}")).cast(table.schema[in_order].dataType)).write.mode("append").parquet(path)
         files_per_trigger = 1
     return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def run_to_end(stream: DataFrame, mode: str, take: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
-    """Run a stream over all that is there. complete: the last result; append, update: all rows emitted.
+def run_to_end(stream: DataFrame, mode: str, take: Callable[[DataFrame], DataFrame] = lambda df: df, *, out: str | None = None, state: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and return the rows that it emitted.
 
-    Each batch is written under its number, so one that is run again after a failure writes the same folder.
+    Each batch is written under its number, so one that is run again after a failure writes the same folder. out, state:
+    folders of an earlier run that is taken up again. State is kept in RocksDB, which timers need and which holds it on disk.
     """
     spark = stream.sparkSession
-    out, last = shared_path(spark, "stream-out"), [-1]
+    out, state = out or shared_path(spark, "stream-out"), state or shared_path(spark, "stream-state")
 
     def put(df: DataFrame, batch: int) -> None:
         take(df).write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        last[0] = batch
-
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", shared_path(spark, "stream-state")).foreachBatch(put).trigger(availableNow=True).start()
-    query.awaitTermination()
-    if last[0] < 0:
-        return stage(take(spark.createDataFrame([], stream.schema)), "stream-empty")
-    return spark.read.parquet(f"{out}/batch={last[0]}" if mode == "complete" else out).drop("batch")
-
 
-def stream_latest(reports: DataFrame) -> DataFrame:
-    """R2: newest version of each logical key as streaming state; in update mode a batch emits the keys that it changed alone."""
-    head = F.max(F.struct("report_version", "created_at", "id")).alias("m")
-    return reports.groupBy("logical_key").agg(head).select("logical_key", F.col("m.id").alias("id"), F.col("m.report_version").alias("report_version"))
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream.writeStream.outputMode(mode).option("checkpointLocation", state).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+    schema = take(spark.createDataFrame([], stream.schema)).schema
+    put(spark.createDataFrame([], stream.schema), -1)
+    return spark.read.schema(schema).parquet(out).select(schema.names)
