@@ -40,8 +40,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The secret of spark.ledgerline.pii.key. Where that is unset, a public one, which protects nobody: for trials and tests."""
-    return spark.conf.get("spark.ledgerline.pii.key", "public key for trials").encode()
+    """The secret of spark.ledgerline.pii.key. Where that is unset, a local session gets a public one, which protects nobody: for trials and tests."""
+    key = spark.conf.get("spark.ledgerline.pii.key", None)
+    if key is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.ledgerline.pii.key must hold the secret that surrogates depend on")
+    return (key or "public key for trials").encode()
 
 
 def spread(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -264,3 +265,57 @@ def test_phones_of_countries_and_ipv6():
     assert pii.detect("2001:db8:0:0:0:ff00:42:8329")[0].canonical == pii.detect("2001:DB8::FF00:42:8329")[0].canonical
     for text in ("at 12:30:45 on 01.02.2024", "std::vector a::b ::1 ::", "1.234.567 and 12 345 678", "2024-01-02 10:11:12.123456", "+ 12 apples + 3 pears"):
         assert pii.detect(text) == [], text
+
+
+@pytest.mark.parametrize("size", [600, 5000, 1_000_000])
+def test_secrets_of_any_length_go_whole(size):
+    body = ("aB3x" * size)[:size]
+    for text in (f"token={body} after", f'api_key: "{body}" after', f"password = '{body}'; after", f"secret={body}"):
+        began = time.perf_counter()
+        done, kinds = pii.rewrite(text, key=KEY)
+        assert time.perf_counter() - began < 20 and kinds == ["secret"]
+        assert len(done) == len(text) and body[-40:] not in done and "aB3xaB3xaB3x" not in done
+    other = "b" + body[1:]
+    assert pii.surrogate("secret", body, key=KEY) != pii.surrogate("secret", other, key=KEY)
+
+
+@pytest.mark.parametrize("size", [65, 100, 3000])
+def test_long_addresses_leave_no_stump(size):
+    local, domain = ("user.name+" * size)[:size] + "x", "a" * size + ".museum"
+    done, kinds = pii.rewrite(f"write to {local}@{domain} now, @ {local} @", key=KEY)
+    assert kinds == ["email"] and done.startswith("write to ") and "user" not in done.split("@")[0] and "a" * 20 not in done.split(" now")[0]
+
+
+@pytest.mark.parametrize("part", ["Al'", "Al-Al-", "A'Al-", "Anna'", "Al ", "Anna Al'", "Mr Al'", "a.b@", "token=\"", "Dr. ", "x@y", "Anna Al-A'B <"])
+def test_a_megabyte_of_any_shape_takes_linear_time(part):
+    times = []
+    for n in (250_000, 1_000_000):
+        text = "Anna " + part * (n // len(part))
+        began = time.perf_counter()
+        pii.detect(text)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * times[0] + 1
+
+
+def test_redraws_of_rows_without_an_id_stay_with_their_texts(spark):
+    """Every first draw collides; rows without ids, and such that share one, still get what their own text holds."""
+    rows = [(None, f"Mail u{i}@firm{i}.org") for i in range(5)] + [(7, "Mail x@firm.org"), (7, "Call +1 415 555 2671"), (None, None), (7, "nothing")]
+    clash = lambda kind, canonical, attempt=0, *, key, style="": "same@x.example" if attempt == 0 else pii.surrogate(kind, canonical, attempt, key=key, style=style)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert set(pii.entities(docs).columns) == {"doc_id", "text_hash", "kind", "canonical", "hint"}
+    done = pii.replace_entities(docs, key=KEY, draw=clash).collect()
+    texts = [r["text"] for r in done]
+    assert len(done) == len(rows) and None in texts and "nothing" in texts
+    made = [t for t in texts if t and "@" in t]
+    assert len(made) == 6 == len(set(made)) and not any("firm" in t for t in made)
+
+
+def test_a_cluster_needs_a_key(spark):
+    from types import SimpleNamespace
+
+    from ledgerline.llm.common import pii_key
+
+    far = SimpleNamespace(conf=spark.conf, sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        pii_key(far)
+    assert pii_key(spark)
