@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.scans import in_order, running
 from ledgerline.operators.versions import latest
 
 
@@ -109,14 +110,15 @@ def fuzzy_search(names: DataFrame, queries: DataFrame, *, key: str, name: str, a
 def api_call_stats(calls: DataFrame, last: int | None = None) -> DataFrame:
     """Totals, rates to 4 places and percentiles at index floor(n p / 100), by source.
 
-    Percentiles come from running counts over distinct latencies, so a source's calls never meet in one task.
+    Percentiles come from running counts over distinct latencies in order, dealt by ranges of them, so neither a source's
+    calls nor its latencies meet in one task.
     """
     if last:
         calls = latest_n(calls, last)
     flag = lambda c: F.sum(c.cast("long"))
     by = calls.groupBy("source", "latency_ms").agg(F.count(F.lit(1)).alias("k"), flag(F.col("error").isNotNull()).alias("e"), flag(F.col("cached")).alias("h"))
-    w = W.partitionBy("source")
-    ranked = by.withColumn("_to", F.sum("k").over(w.orderBy("latency_ms"))).withColumn("_n", F.sum("k").over(w))
+    ranked = running(in_order(by, ["source"], ["latency_ms"]), ["source"], {"_to": ("sum", F.col("k"))})
+    ranked = ranked.join(by.groupBy("source").agg(F.sum("k").alias("_n")).withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     at = lambda p: F.least(F.floor(F.col("_n") * p / 100), F.col("_n") - 1)
     value = lambda p: F.min(F.when(F.col("_to") > at(p), F.col("latency_ms")))
     rate = lambda c: F.round(F.sum(c) / F.sum("k"), 4)

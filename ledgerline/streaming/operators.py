@@ -9,10 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.operators.scans import in_order, running
 from ledgerline.storage import shared_path, stage, workers_import_us
 
 LATE, CLOSING = "10 minutes", "10 years"
@@ -72,17 +74,29 @@ def top_of_windows(counts: DataFrame, key: str, k: int) -> DataFrame:
 def failure_lockout(events: DataFrame, *, failures: int = 5, window_s: int = 900, lock_s: int = 300) -> DataFrame:
     """For each failure (auth_key, ts, is_failure, event_id): failures in the window, whether the key was locked, until when it is.
 
-    A success clears; the window holds a failure exactly window_s old; failures while locked extend the lock.
+    A success clears; the window holds a failure exactly window_s old; failures while locked extend the lock. Failures in
+    the window are a difference of running counts, here and at the window's begin, a place in the same order; so no window
+    of time is held and a key's log is dealt over tasks. event_id tells a key's rows apart.
     """
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    order = W.partitionBy("auth_key").orderBy("_us", "event_id")
-    rows = events.withColumn("_us", micros).withColumn("_epoch", F.sum(F.when(F.col("is_failure"), 0).otherwise(1)).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    rows = rows.filter("is_failure")
-    own = W.partitionBy("auth_key", "_epoch").orderBy("_us")
-    rows = rows.withColumn("in_window", F.count(F.lit(1)).over(own.rangeBetween(-window_s * 1_000_000, 0)))
-    rows = rows.withColumn("_until", F.when(F.col("in_window") >= failures, F.col("_us") + lock_s * 1_000_000))
-    before = F.max("_until").over(W.partitionBy("auth_key", "_epoch").orderBy("_us", "event_id").rowsBetween(W.unboundedPreceding, -1))
-    return rows.withColumn("was_locked", F.coalesce(before > F.col("_us"), F.lit(False))).select("event_id", "auth_key", "in_window", "was_locked", (F.col("_until").isNotNull()).alias("locks"))
+    key, us = ["auth_key"], F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select("auth_key", us.alias("us"), F.lit(1).alias("kind"), "event_id", F.col("is_failure").alias("bad"))
+    begins = rows.filter("bad").select("auth_key", (F.col("us") - window_s * 1_000_000).alias("us"), F.lit(0).alias("kind"), "event_id", F.lit(None).cast("boolean").alias("bad"))
+    rows = in_order(rows.unionByName(begins), key, ["us", "kind", "event_id"])
+    rows = running(rows, key, {"count": ("sum", F.col("bad").cast("long")), "epoch": ("sum", (~F.col("bad")).cast("long"))})
+    rows = stage(running(rows, key, {"cleared": ("max", F.when(~F.col("bad"), F.coalesce("count", F.lit(0))))}), "lockout-counts")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    bad = rows.filter("bad").withColumn("epoch", zero(F.col("epoch")))
+    # Failures of one instant and epoch count together; few instants have several.
+    together = bad.groupBy("auth_key", "us", "epoch").agg(F.max("count").alias("upto"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    begins = rows.filter("kind = 0").select("auth_key", "event_id", zero(F.col("count")).alias("earlier"))
+    same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
+    bad = bad.join(together, same(bad, together, ["auth_key", "us", "epoch"]), "left").select(bad["*"], "upto")
+    bad = bad.join(begins, same(bad, begins, ["auth_key", "event_id"])).select(bad["*"], "earlier")
+    seen = F.coalesce("upto", "count") - F.greatest("earlier", zero(F.col("cleared")))
+    bad = stage(bad.select("auth_key", "event_id", "us", "epoch", "_at", "_part", seen.alias("in_window"), (seen >= failures).alias("locks")), "lockout-windows")
+    bad = running(bad, key, {"lock": ("last", F.when(F.col("locks"), F.struct("epoch", (F.col("us") + lock_s * 1_000_000).alias("until"))))}, before=True)
+    was_locked = (F.col("lock.epoch") == F.col("epoch")) & (F.col("lock.until") > F.col("us"))
+    return bad.select("event_id", "auth_key", "in_window", F.coalesce(was_locked, F.lit(False)).alias("was_locked"), "locks")
 
 
 def failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60, block: str = "day") -> DataFrame:
@@ -116,31 +130,94 @@ def delays(run, every: int, most: int, cooldown_s: int):
     return F.when(ends, 0).otherwise(F.floor(at / every).cast("int")).alias("extra_delay_s"), F.when(ends, cooldown_s).otherwise(0).alias("cooldown_s")
 
 
+#: Bits of a long that tell by which first event a hit fires.
+_BITS = 62
+
+
 def burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, window_s: float = 60.0) -> DataFrame:
     """(key, event_id, fired): a hit fires when it is the needed one since the window began, which then begins anew.
 
-    What a hit does depends on all before it, so a key's hits stream in order through one task; nothing of a key is
-    held but its counter.
+    What a hit does depends on all before it. A range of hits in order is a function of the counter with which its first key
+    enters: within the needed number of hits that counter fires or begins anew, and which of the two happens first and at
+    which hit decides all that follows. So a range follows the few counters that may be there, equal ones as one, notes for
+    each hit by which first events it fires, and where each leads; ranges of one key are then composed in order, a row each,
+    and that tells which first event it was. A key that holds all hits is dealt over as many tasks as there are.
     """
     workers_import_us(hits.sparkSession)
+    needed, window, words = hits_needed, int(window_s * 1e6), -(-2 * hits_needed // _BITS)
+
+    def step(state: tuple[int, int], us: int) -> tuple[tuple[int, int], bool]:
+        count, began = state if us - state[1] <= window else (0, us)
+        return ((0, us), True) if count + 1 >= needed else ((count + 1, began), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count, began = object(), 0, 0
+        part, runs, held, row, head, ways = TaskContext.get().partitionId(), 0, None, 0, [], {}
+
+        def ended(k):
+            """The range's row of a key that may go on: where each first event leads, or where the known counter does."""
+            exits = {b: s for s, mask in ways.items() for b in range(2 * needed) if mask >> b & 1}
+            leads = [{"count": exits[b][0], "began": exits[b][1]} if b in exits else None for b in range(2 * needed if runs == 1 else 1)]
+            columns = [[k], [None], [None], [None], [part], [{"open": runs == 1, "n": row, "head": head, "leads": leads}]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
         for batch in batches:
-            fired = []
+            fired, masks = [], []
             for k, us in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if k != held:
-                    held, count, began = k, 0, us
-                if us - began > window_s * 1e6:
-                    count, began = 0, us
-                count += 1
-                fired.append(count >= hits_needed)
-                if fired[-1]:
-                    count, began = 0, us
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fired, pa.bool_())], ["key", "event_id", "fired"])
-
-    rows = hits.select(F.col(key).cast("string").alias("key"), "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInArrow(run, "key string, event_id long, fired boolean")
+                if not runs or k != held:
+                    if runs == 1:
+                        yield ended(held)
+                    held, row, head, runs = k, 0, [], runs + 1
+                    ways = {} if runs == 1 else {(0, us): 1}
+                now, hit = {}, 0
+                for state, mask in ways.items():
+                    state, fires = step(state, us)
+                    hit |= mask if fires else 0
+                    now[state] = now.get(state, 0) | mask
+                if runs == 1 and row < needed:  # the first event may be here: the counter fires, or begins anew
+                    begun, fires = step((0, us), us)
+                    for state, mask, fires in (((0, us), 1 << 2 * row, True), (begun, 2 << 2 * row, fires)):
+                        hit |= mask if fires else 0
+                        now[state] = now.get(state, 0) | mask
+                    head.append(us)
+                ways, row = now, row + 1
+                fired.append(None if runs == 1 else bool(hit))
+                masks.append([hit >> _BITS * w & (1 << _BITS) - 1 for w in range(words)] if runs == 1 else None)
+            n = len(batch)
+            columns = [batch.column(0), batch.column(1), pa.array(fired, pa.bool_()), pa.array(masks, pa.list_(pa.int64())), pa.array([part] * n, pa.int32()), pa.nulls(n, types[-1])]
+            yield pa.RecordBatch.from_arrays(columns, names)
+        if runs:
+            yield ended(held)
+
+    lead = pa.struct({"count": pa.int64(), "began": pa.int64()})
+    block = pa.struct({"open": pa.bool_(), "n": pa.int64(), "head": pa.list_(pa.int64()), "leads": pa.list_(lead)})
+    types, names = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int32(), block], ["key", "event_id", "fired", "by", "part", "block"]
+    schema = "key string, event_id long, fired boolean, by array<long>, part int, block struct<open: boolean, n: long, head: array<long>, leads: array<struct<count: long, began: long>>>"
+
+    def compose(key: tuple, table: pa.Table) -> pa.Table:
+        """For each range that its key was open in, its number and the first event there; -1 for none."""
+        parts, events, state = [], [], None
+        for r in sorted(table.to_pylist(), key=lambda r: r["part"]):
+            at, b = 0, r["block"]
+            if b["open"]:
+                at = 1 if state is None else -1  # a key's first hit begins its window
+                for i, us in enumerate(b["head"] if state else ()):
+                    if us - state[1] > window or state[0] + i + 1 >= needed:
+                        at = 2 * i + (us - state[1] > window)
+                        break
+                parts.append(r["part"])
+                events.append(at)
+            state = (state[0] + b["n"], state[1]) if at < 0 else (b["leads"][at]["count"], b["leads"][at]["began"])
+        return pa.table({"key": pa.array([key[0].as_py()] * len(parts), pa.string()), "part": pa.array(parts, pa.int32()), "event": pa.array(events, pa.int32())})
+
+    rows = hits.select(F.col(key).cast("string").alias("key"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    ranged = rows.repartitionByRange("key", "us", "event_id").sortWithinPartitions("key", "us", "event_id")
+    done = stage(ranged.mapInArrow(run, schema), "bursts")
+    # A key has a row for each range that it reaches over, one that begins or ends with it.
+    entered = done.filter("block is not null").select("key", "part", "block").groupBy("key").applyInArrow(compose, "key string, part int, event int")
+    entered = F.broadcast(entered.select(F.col("key").alias("_key"), F.col("part").alias("_part"), "event"))
+    found = done.filter("block is null").join(entered, F.col("key").eqNullSafe(F.col("_key")) & (F.col("part") == F.col("_part")), "left")
+    fires = F.when(F.col("event") < 0, False).otherwise(F.expr(f"getbit(by[event div {_BITS}], event % {_BITS}) = 1"))
+    return found.select("key", "event_id", F.when(F.col("by").isNull(), F.col("fired")).otherwise(fires).alias("fired"))
 
 
 #: Size of the quantile sketches. Up to so many calls they are exact; beyond, a rank is off by RANK_ERROR of all calls at most, 99 times in 100.
