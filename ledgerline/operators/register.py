@@ -137,10 +137,18 @@ def scoring_gaps(models: DataFrame, reports: DataFrame, scored: DataFrame) -> Da
 
 
 def label_events(reports: DataFrame, events: DataFrame, years: int) -> DataFrame:
-    """Reports with label 1 if an event of their company falls after period_end, within years of it."""
-    inside = (F.col("event_date") > F.col("period_end")) & (F.col("event_date") <= F.add_months("period_end", 12 * years))
-    hits = reports.select("id", "krs", "period_end").join(events.select("krs", "event_date"), "krs").filter(inside).select("id").distinct().withColumn("_hit", F.lit(1))
-    return reports.join(hits, "id", "left").withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_hit")
+    """Reports with label 1 if an event of their company falls after period_end, within years of it.
+
+    A sweep from the last day to the first carries the next event to each period end of a company: rows are period ends and
+    events, not their pairs, and a company with a million events is dealt over tasks.
+    """
+    ends = reports.select("krs", F.col("period_end").cast("date").alias("at"), F.lit(0).alias("kind")).distinct()
+    days = events.filter("krs is not null and event_date is not null").select("krs", F.col("event_date").cast("date").alias("at"), F.lit(1).alias("kind")).distinct()
+    rows = in_order(ends.unionByName(days).withColumn("back", -F.unix_date("at")), ["krs"], ["back", "kind"])
+    rows = running(rows, ["krs"], {"next": ("last", F.when(F.col("kind") == 1, F.col("at")))})
+    labels = rows.filter("kind = 0").select(F.col("krs").alias("_krs"), F.col("at").alias("_end"), (F.col("next") <= F.add_months("at", 12 * years)).cast("int").alias("_hit"))
+    found = reports.join(labels, (F.col("krs") == F.col("_krs")) & (F.col("period_end").cast("date") == F.col("_end")), "left")
+    return found.withColumn("label", F.coalesce("_hit", F.lit(0))).drop("_krs", "_end", "_hit")
 
 
 def confirmed_events(events: DataFrame) -> DataFrame:
@@ -154,28 +162,52 @@ def features_at_version(features: DataFrame, snapshots: DataFrame) -> DataFrame:
     return wanted.join(features.filter("is_valid"), ["report_id", "feature_definition_id", "computation_version"])
 
 
+def visible_reports(users: DataFrame, grants: DataFrame, reports: DataFrame, user_id: int) -> DataFrame:
+    """The reports that a user may see: all with full access, else those of companies granted; none for a user who is not active or not known."""
+    user = users.filter((F.col("id") == user_id) & F.col("is_active")).select("has_full_access").first()
+    if user and user["has_full_access"]:
+        return reports
+    own = grants.filter(F.col("user_id") == user_id).select("krs").distinct()
+    return reports.join(own if user else own.limit(0), "krs", "left_semi").select(reports.columns)
+
+
+def _with_versions(features: DataFrame, requests: DataFrame) -> DataFrame:
+    """For each request and each feature of its report: then, the newest valid version (computed_at, computation_version, value) as of scored_at, and newest, of all.
+
+    Requests and versions are merged in the order of time, and the newest version so far is carried along: rows grow with
+    versions and with what is asked for, not with their product. A request without a time sees all.
+    """
+    version = F.struct("computed_at", "computation_version", "value")
+    valid = features.filter("is_valid").select("report_id", "feature_definition_id", "computed_at", version.alias("version"))
+    newest = valid.groupBy("report_id", "feature_definition_id").agg(F.max("version").alias("newest"))
+    asked = requests.join(newest, "report_id").withColumn("at", F.col("scored_at"))
+    # What has no time comes after all that has: versions for requests without a time alone.
+    rows = valid.select("report_id", "feature_definition_id", F.col("computed_at").alias("at"), F.lit(0).alias("kind"), "version")
+    rows = rows.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("never", F.col("at").isNull())
+    key = ["report_id", "feature_definition_id"]
+    rows = running(in_order(rows, key, ["never", "at", "kind", "prediction_id"]), key, {"then": ("max", F.col("version"))})
+    return rows.filter("kind = 1").select(*requests.columns, "feature_definition_id", "then", "newest")
+
+
 def features_as_of(features: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (prediction_id, report_id, scored_at), the newest valid features computed by then; null means now."""
-    r = requests.select("prediction_id", F.col("report_id").alias("_report"), F.col("scored_at").alias("_at"))
-    by = r.join(features.filter("is_valid"), (F.col("_report") == F.col("report_id")) & (F.col("_at").isNull() | (F.col("computed_at") <= F.col("_at"))))
-    return latest(by, ["prediction_id", "feature_definition_id"], [F.desc("computed_at"), F.desc("computation_version")]).drop("_report", "_at")
+    found = _with_versions(features, requests.select("prediction_id", "report_id", "scored_at")).filter("then is not null")
+    return found.select("prediction_id", "report_id", "feature_definition_id", "then.*")
 
 
 def feature_snapshot_resolve(features: DataFrame, requests: DataFrame) -> DataFrame:
-    """By snapshot if all its features are there, else as of scoring, else the newest; source says which.
-
-    Requests meet the features of their report once; both windows share the distribution by request.
-    """
-    r = requests.select("prediction_id", "report_id", F.col("scored_at").alias("_at"), "snapshot")
-    rows = r.join(features.filter("is_valid").select("report_id", "feature_definition_id", "computation_version", "value", "computed_at"), "report_id")
-    exact = F.coalesce(F.col("snapshot")[F.col("feature_definition_id")] == F.col("computation_version"), F.lit(False))
-    then = F.col("_at").isNull() | (F.col("computed_at") <= F.col("_at"))
+    """By snapshot if all its features are there, else as of scoring, else the newest; source says which."""
+    rows = _with_versions(features, requests.select("prediction_id", "report_id", "scored_at", "snapshot"))
+    rows = rows.withColumn("computation_version", F.col("snapshot")[F.col("feature_definition_id")])
+    exact = features.filter("is_valid").select("report_id", "feature_definition_id", "computation_version", F.struct("computation_version", "value").alias("exact"))
+    rows = rows.join(exact, ["report_id", "feature_definition_id", "computation_version"], "left").drop("computation_version")
     own = W.partitionBy("prediction_id")
-    rows = rows.withColumn("_exact", exact).withColumn("_then", then).withColumn("_n", F.sum(F.col("_exact").cast("int")).over(own)).withColumn("_any", F.max("_then").over(own))
-    source = F.when((F.col("_n") > 0) & (F.col("_n") == F.size("snapshot")), "snapshot").when(F.col("_any"), "as_of").otherwise("latest")
-    rows = rows.withColumn("source", source).filter((F.col("source") == "latest") | ((F.col("source") == "snapshot") & F.col("_exact")) | ((F.col("source") == "as_of") & F.col("_then")))
-    rank = F.row_number().over(W.partitionBy("prediction_id", "feature_definition_id").orderBy(F.desc("computed_at"), F.desc("computation_version")))
-    return rows.withColumn("_rn", rank).filter("_rn = 1").select("prediction_id", "feature_definition_id", "computation_version", "value", "source")
+    rows = rows.withColumn("_n", F.count("exact").over(own)).withColumn("_any", F.count("then").over(own))
+    source = F.when((F.col("_n") > 0) & (F.col("_n") == F.size("snapshot")), "snapshot").when(F.col("_any") > 0, "as_of").otherwise("latest")
+    version = lambda c: F.struct(f"{c}.computation_version", f"{c}.value")
+    chosen = F.when(F.col("source") == "snapshot", F.col("exact")).when(F.col("source") == "latest", version("newest")).when(F.col("then").isNotNull(), version("then"))
+    rows = rows.withColumn("source", source).withColumn("chosen", chosen).filter("chosen is not null")
+    return rows.select("prediction_id", "feature_definition_id", "chosen.computation_version", "chosen.value", "source")
 
 
 def prior_year_report(reports: DataFrame) -> DataFrame:

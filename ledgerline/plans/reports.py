@@ -283,6 +283,20 @@ def access_filter(t: Tables) -> DataFrame:
     return granted.unionByName(t.fx_users.filter("has_full_access").select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("report_id"), "has_full_access"))
 
 
+@query("SELECT u.id AS user_id, r.id AS report_id FROM (SELECT min(id) AS id FROM fx_users WHERE has_full_access AND is_active) u CROSS JOIN fx_reports r WHERE u.id IS NOT NULL")
+def access_full(t: Tables) -> DataFrame:
+    """The rows that a user with full access sees, here the one with the smallest id: all."""
+    user = t.fx_users.filter("has_full_access and is_active").agg(F.min("id").alias("id")).first()["id"]
+    return rg.visible_reports(t.fx_users, t.fx_grants, t.fx_reports, user).select(F.lit(user).cast("long").alias("user_id"), F.col("id").alias("report_id"))
+
+
+@query("SELECT u.id AS user_id, r.id AS report_id FROM (SELECT min(u.id) AS id FROM fx_users u JOIN fx_grants g ON g.user_id=u.id WHERE NOT u.has_full_access AND u.is_active) u JOIN fx_grants g ON g.user_id=u.id JOIN fx_reports r ON r.krs=g.krs")
+def access_granted(t: Tables) -> DataFrame:
+    """The rows that a user with grants sees, here the one with the smallest id."""
+    user = t.fx_users.filter("not has_full_access and is_active").join(t.fx_grants.select(F.col("user_id").alias("id")), "id", "left_semi").agg(F.min("id").alias("id")).first()["id"]
+    return rg.visible_reports(t.fx_users, t.fx_grants, t.fx_reports, user).select(F.lit(user).cast("long").alias("user_id"), F.col("id").alias("report_id"))
+
+
 # ---- aggregations
 
 @query("SELECT count(*) AS companies, count(*) FILTER (is_active) AS active, count(*) FILTER (check_error_count>0) AS with_errors, count(*) FILTER (last_checked_on IS NULL) AS never_checked, coalesce(sum(total_documents),0)::BIGINT AS documents, coalesce(sum(total_downloaded),0)::BIGINT AS downloaded FROM fx_companies")

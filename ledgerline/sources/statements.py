@@ -37,7 +37,8 @@ AMOUNTS = ("KwotaA", "KwotaB", "KwotaB1")
 MAX_DEPTH = 500
 _BROKEN = (zipfile.BadZipFile, zlib.error, OSError, EOFError, RuntimeError, NotImplementedError, ValueError)
 _SIGNED = "{http://www.w3.org/2000/09/xmldsig#}Object"
-_SIGNERS = "http://uri.etsi.org/01903/"
+#: Namespaces of what signatures say of themselves (fixed values).
+_SIGNATURE_DATA = ("{http://uri.etsi.org/01903/", "{http://www.w3.org/2000/09/xmldsig#}")
 
 _ROWS = "doc_id string, kind string, section string, node_id int, parent_id int, depth int, raw_tag string, tag string, path string, has_amount boolean, a string, b string, b1 string, facts map<string,string>"
 _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
@@ -52,20 +53,29 @@ def _bare(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def _has_sections(root: ET.Element) -> bool:
+    return any(_bare(e.tag).startswith(MARKERS) for e in root.iter())
+
+
+def _carried(held: ET.Element) -> list[ET.Element]:
+    """The documents that a signature's Object carries: child elements of no signature namespace, or its text, decoded as its Encoding says (base64 by default)."""
+    if len(held):
+        return [e for e in held if not e.tag.startswith(_SIGNATURE_DATA)]
+    text, plain = held.text or "", not held.get("Encoding", "base64").endswith("base64")
+    try:
+        return [ET.fromstring(text if plain else base64.b64decode(text))] if text.strip() else []
+    except (ET.ParseError, ValueError):  # pictures, certificates and other data
+        return []
+
+
 def unwrap(root: ET.Element) -> ET.Element:
-    """The statement in a signed envelope: the one child of an Object that is no signature data, or its base64 text."""
+    """The document that an envelope of signatures is about: of all that its Objects carry, the first with a section of a statement, else the first. Other documents are taken as they are."""
     if _bare(root.tag) not in ("Signatures", "Signature"):
         return root
-    for held in root.iter(_SIGNED):
-        inner = list(held)
-        if len(inner) == 1 and _SIGNERS not in inner[0].tag:
-            return inner[0]
-        if not inner and (held.text or "").strip():
-            try:
-                return ET.fromstring(base64.b64decode(held.text.strip()).decode("utf-8"))
-            except Exception:  # noqa: BLE001, S112  another Object may hold it
-                continue
-    raise ValueError("no statement in the envelope")
+    carried = [document for held in root.iter(_SIGNED) for document in _carried(held)]
+    if not carried:
+        raise ValueError("the envelope carries no document")
+    return next(filter(_has_sections, carried), carried[0])
 
 
 def _files(content: bytes | None) -> Iterator[tuple[zipfile.ZipInfo, Callable[[], bytes]]]:
@@ -106,10 +116,9 @@ def members(archives: DataFrame, *, path_col: str = "path", content_col: str = "
 def is_statement(content: bytes) -> bool:
     """Whether the XML parses and holds an element of a statement's sections."""
     try:
-        root = unwrap(ET.fromstring(content.decode("utf-8", "replace")))
+        return _has_sections(unwrap(ET.fromstring(content.decode("utf-8", "replace"))))
     except (ET.ParseError, ValueError):
         return False
-    return any(_bare(e.tag).startswith(MARKERS) for e in root.iter())
 
 
 def choose_statements(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:

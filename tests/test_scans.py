@@ -103,3 +103,60 @@ def test_percentiles_of_a_source_with_as_many_latencies_as_calls(many_ranges):
         own = sorted(x[1] for x in rows if x[0] == r["source"])
         assert (r["total"], r["p50"], r["p95"]) == (len(own), own[len(own) // 2], own[len(own) * 95 // 100])
     assert len(got) == 2
+
+
+def test_features_as_of_a_report_with_most_requests(many_ranges):
+    rng = random.Random(6)
+    day = lambda i: None if i is None else T0 + timedelta(days=i)
+    features = [(rng.choice(["r", "r", "r", "q"]), f"f{rng.randrange(3)}", v, float(v), rng.random() < 0.8, day(rng.choice([None, *range(30)]))) for v in range(120)]
+    requests = [(f"p{i}", rng.choice(["r", "r", "r", "q", "none"]), day(rng.choice([None, -1, *range(35)])), {"f0": rng.randrange(120), "f1": rng.randrange(120)} if i % 3 else None) for i in range(150)]
+    good = [f for f in features if f[4]]
+    for i in range(0, 150, 5):  # snapshots that are there
+        r = requests[i][1]
+        own = {name: max((f[2] for f in good if f[0] == r and f[1] == name), default=None) for name in ("f0", "f2")}
+        requests[i] = (*requests[i][:3], {k: v for k, v in own.items() if v is not None})
+    newest = lambda fs: max(fs, key=lambda f: (f[5] is not None, f[5] or T0, f[2]), default=None)
+
+    def seen(r, at):
+        own = [f for f in good if f[0] == r and (at is None or f[5] is not None and f[5] <= at)]
+        return {name: newest([f for f in own if f[1] == name])[2] for name in {f[1] for f in own}}
+
+    as_of, resolved = {}, {}
+    for p, r, at, snap in requests:
+        then = seen(r, at)
+        as_of |= {(p, name): v for name, v in then.items()}
+        exact = {f[1]: f[2] for f in good if f[0] == r and snap and snap.get(f[1]) == f[2]}
+        source, found = ("snapshot", exact) if exact and len(exact) == len(snap) else ("as_of", then) if then else ("latest", seen(r, None))
+        resolved |= {(p, name): (v, source) for name, v in found.items()}
+    f = many_ranges.createDataFrame(features, "report_id string, feature_definition_id string, computation_version int, value double, is_valid boolean, computed_at timestamp")
+    q = many_ranges.createDataFrame(requests, "prediction_id string, report_id string, scored_at timestamp, snapshot map<string, int>")
+    rows = rg.features_as_of(f, q).collect()
+    assert {(r["prediction_id"], r["feature_definition_id"]): r["computation_version"] for r in rows} == as_of and len(rows) == len(as_of)
+    rows = rg.feature_snapshot_resolve(f, q).collect()
+    assert {(r["prediction_id"], r["feature_definition_id"]): (r["computation_version"], r["source"]) for r in rows} == resolved and len(rows) == len(resolved)
+    assert {s for _, s in resolved.values()} == {"snapshot", "as_of", "latest"} and all(r["value"] == r["computation_version"] for r in rows)
+
+
+def test_labels_of_a_company_with_most_events(many_ranges):
+    rng = random.Random(7)
+    day = lambda: rng.choice([None, *[(T0 + timedelta(days=rng.randrange(3000))).date()] * 20])
+    company = lambda: rng.choice(["k", "k", "k", "j", None])
+    reports = [(i, company(), day()) for i in range(200)] + [(200, "k", datetime(2024, 2, 29).date()), (201, "lone", datetime(2024, 1, 1).date())]
+    events = [(company(), day()) for _ in range(60)] + [("k", datetime(2024, 2, 29).date())]
+    got = rg.label_events(many_ranges.createDataFrame(reports, "id int, krs string, period_end date"), many_ranges.createDataFrame(events, "krs string, event_date date"), 1)
+    assert got.columns == ["id", "krs", "period_end", "label"]
+
+    def inside(k, end, e):
+        last = end.replace(year=end.year + 1, day=28 if (end.month, end.day) == (2, 29) else end.day)
+        return e[0] == k and e[1] is not None and end < e[1] <= last
+
+    want = {i: int(k is not None and end is not None and any(inside(k, end, e) for e in events)) for i, k, end in reports}
+    assert {r["id"]: r["label"] for r in got.collect()} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_what_a_user_may_see(spark):
+    users = spark.createDataFrame([(1, True, True), (2, True, False), (3, False, True)], "id long, is_active boolean, has_full_access boolean")
+    grants = spark.createDataFrame([(2, "k"), (2, "k"), (3, "k")], "user_id long, krs string")
+    reports = spark.createDataFrame([("a", "k"), ("b", "j"), ("c", None)], "id string, krs string")
+    seen = lambda u: sorted(r["id"] for r in rg.visible_reports(users, grants, reports, u).collect())
+    assert (seen(1), seen(2), seen(3), seen(9)) == (["a", "b", "c"], ["a"], [], [])

@@ -1,13 +1,19 @@
 """Parsing of small own documents."""
 
 import base64
+import xml.etree.ElementTree as ET
 import io
 import zipfile
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from ledgerline.sources import statements as st
+import pytest
+
 from ledgerline.streaming import operators as so
+from ledgerline.streaming import stateful as sf
 
 SMALL = """<SprFinJednostkaMalaWTysiacach xmlns="urn:x"><Naglowek><NazwaFirmy> Test </NazwaFirmy><P_1E>123</P_1E></Naglowek><P_3><DataOd>2023-01-01</DataOd><DataDo>2023-12-31</DataDo></P_3>
 <BilansJednostkaMala><Aktywa><KwotaA>1,5</KwotaA><KwotaB>bad</KwotaB><Aktywa_A><Empty/></Aktywa_A><Aktywa_B><B1><KwotaA/></B1><B2><KwotaA>2</KwotaA><KwotaB>3</KwotaB></B2></Aktywa_B></Aktywa></BilansJednostkaMala>
@@ -112,7 +118,7 @@ def test_streams_with_state_against_batches(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     hits = events.filter("event_type = 'click'").select("user_id", "event_id", "ts")
     rows = lambda df: sorted(tuple(r) for r in df.collect())
-    streamed = so.run_to_end(so.stream_burst_detector(so.stream_of(spark, hits, in_order="ts"), key="user_id", window_s=86400.0 * 30), "append")
+    streamed = so.run_to_end(sf.stream_burst_detector(so.stream_of(spark, hits, in_order="ts"), key="user_id", window_s=86400.0 * 30), "append")
     assert rows(streamed.select("key", "event_id", "fired")) == rows(so.burst_detector(hits, key="user_id", window_s=86400.0 * 30))
 
 
@@ -150,3 +156,23 @@ def test_a_registered_schema_is_read(spark):
         assert {(r.tag, r.kwota_a) for r in tree.collect()} == {("Aktywa", 40.0), ("RZiS.A", 20.0)}
     finally:
         del st.SCHEMAS["OWN"]
+
+
+@pytest.mark.parametrize(
+    ("objects", "found"),
+    [
+        ("<ds:Object><q:QualifyingProperties xmlns:q='http://uri.etsi.org/01903/v1.3.2#'/></ds:Object><ds:Object><a><Bilans/></a></ds:Object>", "a"),
+        ("<ds:Object><note/></ds:Object><ds:Object><other/><a><Bilans/></a></ds:Object>", "a"),  # beside other documents
+        ("<ds:Object>bm8gWE1M</ds:Object><ds:Object Encoding='http://www.w3.org/2000/09/xmldsig#base64'>PGI+\n PFJaaVMvPjwvYj4=</ds:Object>", "b"),
+        ("<ds:Object Encoding='utf-8'>&lt;c&gt;&lt;Bilans/&gt;&lt;/c&gt;</ds:Object>", "c"),
+        ("<ds:Object><note/></ds:Object>", "note"),
+        ("<ds:Object/><ds:Object> </ds:Object><ds:Object>%%%</ds:Object><ds:Object><ds:Manifest/></ds:Object>", None),
+    ],
+)
+def test_what_signatures_carry(objects, found):
+    root = ET.fromstring(f'<Signatures xmlns:ds="http://www.w3.org/2000/09/xmldsig#"><ds:Signature>{objects}</ds:Signature></Signatures>')
+    if found:
+        assert st.unwrap(root).tag == found
+    else:
+        with pytest.raises(ValueError):
+            st.unwrap(root)
