@@ -62,6 +62,13 @@ FROM customer WHERE c_custkey%8 IN (0,2,5)""",
  p.tag_path AS parent_tag FROM (SELECT *, CASE WHEN strpos(tag_path,'_')>0 THEN substr(tag_path,1,length(tag_path)-strpos(reverse(tag_path),'_')) END AS up
   FROM fx_line_items WHERE extraction_version=1) n JOIN fx_tags t ON t.tag_path=n.tag_path
  LEFT JOIN (SELECT report_id, section, tag_path FROM fx_line_items WHERE extraction_version=1) p ON p.report_id=n.report_id AND p.section=n.section AND p.tag_path=n.up""",
+    "fx_tree": """SELECT doc_id, section, tag, ord, kwota_a, kwota_b, CAST(CASE WHEN up='Aktywa' AND has_a=1 THEN 0 WHEN up='Aktywa_B' AND has_ab=1 THEN 1 WHEN up='Pasywa_B' AND has_pb=1 THEN 6 END AS INT) AS parent_ord,
+ CAST(CASE WHEN up='Aktywa' THEN has_a WHEN up='Aktywa_B' THEN has_ab*(1+has_a) WHEN up='Pasywa_B' THEN has_pb ELSE 0 END AS INT) AS depth
+FROM (SELECT l.report_id AS doc_id, l.section, l.tag_path AS tag, CAST(t.idx AS INT) AS ord, l.value_current AS kwota_a, l.value_previous AS kwota_b,
+  CASE WHEN t.idx=1 THEN 'Aktywa' WHEN t.idx BETWEEN 2 AND 4 THEN 'Aktywa_B' WHEN t.idx BETWEEN 7 AND 8 THEN 'Pasywa_B' END AS up,
+  MAX(CASE WHEN t.idx=0 THEN 1 ELSE 0 END) OVER (PARTITION BY l.report_id) AS has_a, MAX(CASE WHEN t.idx=1 THEN 1 ELSE 0 END) OVER (PARTITION BY l.report_id) AS has_ab,
+  MAX(CASE WHEN t.idx=6 THEN 1 ELSE 0 END) OVER (PARTITION BY l.report_id) AS has_pb
+ FROM fx_line_items l JOIN fx_tags t ON t.tag_path=l.tag_path WHERE l.extraction_version=1) x""",
     "fx_wide": """SELECT report_id, CAST(extraction_version AS INT) AS version, MAX(CASE WHEN tag_path='Aktywa' THEN value_current END) AS aktywa,
  MAX(CASE WHEN tag_path='Aktywa_B' THEN value_current END) AS aktywa_b, MAX(CASE WHEN tag_path='Pasywa_A' THEN value_current END) AS pasywa_a,
  MAX(CASE WHEN tag_path='Pasywa_B' THEN value_current END) AS pasywa_b, MAX(CASE WHEN tag_path='RZiS.A' THEN value_current END) AS revenue,

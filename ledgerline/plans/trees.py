@@ -147,11 +147,8 @@ def unwrap_signed(t: Tables) -> DataFrame:
 PATHS = "(SELECT n.doc_id, n.tag, n.ord, n.kwota_a, n.kwota_b, n.parent_tag, coalesce(p.parent_tag||'/','')||coalesce(n.parent_tag||'/','')||n.tag AS path FROM fx_nodes n LEFT JOIN fx_nodes p ON p.doc_id=n.doc_id AND p.tag=n.parent_tag)"
 
 
-def _pathed(t: Tables) -> DataFrame:
-    """Nodes with their paths, written once: all that compares them reads it several times."""
-    up = t.fx_nodes.select("doc_id", F.col("tag").alias("parent_tag"), F.col("parent_tag").alias("_g"))
-    sep = lambda c: F.coalesce(F.concat(F.col(c), F.lit("/")), F.lit(""))
-    return t.fx_nodes.join(up, ["doc_id", "parent_tag"], "left").select("doc_id", "tag", "ord", "kwota_a", "kwota_b", F.concat(sep("_g"), sep("parent_tag"), "tag").alias("path")).transform(lambda df: stage(df, "nodes-pathed"))
+def _nodes_of(t: Tables) -> DataFrame:
+    return t.fx_tree.select("doc_id", F.col("ord").alias("node_id"), F.col("parent_ord").alias("parent_id"), "depth", "section", "tag", "kwota_a", "kwota_b")
 
 
 def _shares(prev: str) -> str:
@@ -161,7 +158,7 @@ def _shares(prev: str) -> str:
 @query(f"SELECT c.doc_id AS pair_id, c.tag, {_shares('c.kwota_b')}, round(c.kwota_a/nullif(u.kwota_a,0)*100,4) AS share_of_parent_current, round(c.kwota_b/nullif(u.kwota_b,0)*100,4) AS share_of_parent_previous FROM fx_nodes c LEFT JOIN fx_nodes u ON u.doc_id=c.doc_id AND u.tag=c.parent_tag")
 def compare_statements(t: Tables) -> DataFrame:
     """T9 of one statement with its own prior column."""
-    return st.compare(_pathed(t).withColumn("pair_id", F.col("doc_id")))
+    return st.compare_trees(_nodes_of(t).withColumnRenamed("doc_id", "pair_id"))
 
 
 @query(f"""WITH n AS (SELECT * FROM {PATHS} x), k AS (SELECT id, prior_id FROM {PRIOR} y WHERE prior_id IS NOT NULL), o AS (SELECT k.id, n.* FROM k JOIN n ON n.doc_id=k.prior_id), c AS (SELECT k.id, n.* FROM k JOIN n ON n.doc_id=k.id),
@@ -170,10 +167,46 @@ SELECT id AS pair_id, tag, kwota_a AS current, previous FROM j""")
 def comparison_join(t: Tables) -> DataFrame:
     """Each report against its company's report of the year before."""
     pairs = rg.prior_year_report(t.fx_reports).filter("prior_id is not null").select(F.col("id").alias("pair_id"), "prior_id")
-    rows = _pathed(t)
-    now = rows.join(pairs.select(F.col("pair_id").alias("doc_id")), "doc_id", "left_semi").withColumn("pair_id", F.col("doc_id"))
-    old = rows.join(pairs.withColumnRenamed("prior_id", "doc_id"), "doc_id")
-    return st.compare(now, old).select("pair_id", "tag", "current", "previous")
+    return st.compare_trees(*_both_years(t, pairs)).select("pair_id", "tag", "current", "previous")
+
+
+def _both_years(t: Tables, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of each pair's statement and of its prior one, written once: each level of the comparison reads them."""
+    rows = _nodes_of(t)
+    now = rows.join(pairs.select(F.col("pair_id").alias("doc_id")), "doc_id", "left_semi").withColumnRenamed("doc_id", "pair_id")
+    old = rows.join(pairs.withColumnRenamed("prior_id", "doc_id"), "doc_id").drop("doc_id")
+    return stage(now, "nodes-now"), stage(old, "nodes-prior")
+
+
+@query("SELECT doc_id, tag, kwota_a AS value_a, kwota_b AS value_b FROM fx_tree")
+def flat_amounts(t: Tables) -> DataFrame:
+    """T5 over both amounts."""
+    return st.flat_columns(_nodes_of(t), value_a="kwota_a", value_b="kwota_b")
+
+
+@query("SELECT doc_id, tag, kwota_a AS value FROM fx_tree WHERE tag IN ('Aktywa','Pasywa_B','RZiS.A','RZiS.L','CF.A_II_1')")
+def find_tags(t: Tables) -> DataFrame:
+    """T6 over several tags."""
+    return st.find_values(_nodes_of(t), ["Aktywa", "Pasywa_B", "RZiS.A", "RZiS.L", "CF.A_II_1"])
+
+
+_UP = lambda col: "CASE parent_ord " + " ".join(f"WHEN {i} THEN max(CASE WHEN ord={i} THEN {col} END) OVER (PARTITION BY doc_id)" for i in (0, 1, 6)) + " END"
+
+
+@query(f"SELECT doc_id AS pair_id, tag, kwota_a AS current, kwota_b AS previous, round(kwota_a-kwota_b,2) AS change_absolute, round((kwota_a-kwota_b)/nullif(abs(kwota_b),0)*100,2) AS change_percent, round(kwota_a/nullif(ua,0)*100,4) AS share_of_parent_current, round(kwota_b/nullif(ub,0)*100,4) AS share_of_parent_previous FROM (SELECT *, {_UP('kwota_a')} AS ua, {_UP('kwota_b')} AS ub FROM fx_tree) x")
+def compare_one(t: Tables) -> DataFrame:
+    """T9 of one statement, by node numbers."""
+    return st.compare_trees(_nodes_of(t).withColumnRenamed("doc_id", "pair_id"))
+
+
+@query(f"""WITH k AS (SELECT id, prior_id FROM {PRIOR} y WHERE prior_id IS NOT NULL), j AS (SELECT c.doc_id, c.tag, c.ord, c.parent_ord, c.kwota_a, o.kwota_a AS previous FROM fx_tree c JOIN k ON k.id=c.doc_id
+ LEFT JOIN fx_tree o ON o.doc_id=k.prior_id AND o.tag=c.tag AND (c.parent_ord IS NULL OR (o.parent_ord=c.parent_ord AND (c.depth<2 OR o.depth=2))))
+SELECT doc_id AS pair_id, tag, kwota_a AS current, previous, round(kwota_a-previous,2) AS change_absolute, round((kwota_a-previous)/nullif(abs(previous),0)*100,2) AS change_percent, round(kwota_a/nullif(ua,0)*100,4) AS share_of_parent_current,
+ round(previous/nullif(ub,0)*100,4) AS share_of_parent_previous FROM (SELECT *, {_UP('kwota_a')} AS ua, {_UP('previous')} AS ub FROM j) x""")
+def compare_two(t: Tables) -> DataFrame:
+    """T9 of each statement and its company's of the year before."""
+    pairs = rg.prior_year_report(t.fx_reports).filter("prior_id is not null").select(F.col("id").alias("pair_id"), "prior_id")
+    return st.compare_trees(*_both_years(t, pairs))
 
 
 @query("SELECT r.id AS doc_id, g.section, count(n.tag)=0 AS is_empty FROM fx_reports r CROSS JOIN (VALUES ('Bilans'),('RZiS'),('CF')) g(section) LEFT JOIN fx_nodes n ON n.doc_id=r.id AND n.section=g.section GROUP BY 1,2")

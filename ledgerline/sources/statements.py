@@ -292,10 +292,25 @@ def flat_values(tree: DataFrame, column: str = "kwota_a") -> DataFrame:
     return tree.groupBy("doc_id", "tag").agg(F.max_by(column, "node_id").alias("value"))
 
 
+def flat_columns(tree: DataFrame, **columns: str) -> DataFrame:
+    """T5 for several amounts in one pass: a new name for each column."""
+    return tree.groupBy("doc_id", "tag").agg(*[F.max_by(c, "node_id").alias(n) for n, c in columns.items()])
+
+
+def _place():
+    """What find_value goes by: section (assets, liabilities, profit, cash, extras), then document order."""
+    rank = F.when(F.col("section") == "aktywa", 0).when(F.col("section") == "pasywa", 1).when(F.col("section") == "rzis", 2).when(F.col("section") == "cash_flow", 3).otherwise(4)
+    return F.struct(rank.alias("r"), F.col("node_id"))
+
+
 def find_value(tree: DataFrame, tag: str) -> DataFrame:
     """The first value of a tag by section (assets, liabilities, profit, cash, extras), then document order."""
-    rank = F.when(F.col("section") == "aktywa", 0).when(F.col("section") == "pasywa", 1).when(F.col("section") == "rzis", 2).when(F.col("section") == "cash_flow", 3).otherwise(4)
-    return tree.filter(F.col("tag") == tag).groupBy("doc_id").agg(F.min_by("kwota_a", F.struct(rank.alias("r"), F.col("node_id"))).alias("value"))
+    return tree.filter(F.col("tag") == tag).groupBy("doc_id").agg(F.min_by("kwota_a", _place()).alias("value"))
+
+
+def find_values(tree: DataFrame, tags: list[str]) -> DataFrame:
+    """T6 for several tags in one pass: doc_id, tag, value."""
+    return tree.filter(F.col("tag").isin(tags)).groupBy("doc_id", "tag").agg(F.min_by("kwota_a", _place()).alias("value"))
 
 
 def raw_sections(tree: DataFrame) -> DataFrame:
@@ -331,7 +346,7 @@ def _met(current: DataFrame, previous: DataFrame) -> DataFrame:
 def compare(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """Current, previous, changes and shares of parent for each node of pair_id.
 
-    Both have pair_id, path, tag, ord, kwota_a, kwota_b. Without previous, kwota_b counts; with it, see _met. Where
+    For rows that know their paths alone: both have pair_id, path, tag, ord, kwota_a, kwota_b. Without previous, kwota_b counts; with it, see _met. Where
     current repeats a path, its first node is the parent of what is below.
     """
     both = current.withColumn("previous", F.col("kwota_b")) if previous is None else current.join(_met(current, previous), ["pair_id", "path"], "left")
@@ -344,6 +359,42 @@ def compare(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     )
 
 
+def _met_by_level(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """(pair_id, node_id, met, previous): the node of previous that each node of current meets, and its amount.
+
+    Level by level from the top, by integers: a top node meets the first node of its tag, wherever that is; any other the
+    last child of its tag under the node that its parent met. A level reads what the one before met and no paths.
+    """
+    amount = F.struct("node_id", F.col("kwota_a").alias("amount"))
+    anywhere = previous.groupBy("pair_id", "tag").agg(F.min(amount).alias("m"))
+    below = previous.filter("parent_id is not null").groupBy("pair_id", F.col("parent_id").alias("_above"), "tag").agg(F.max(amount).alias("m"))
+    met = lambda rows: rows.select("pair_id", "node_id", F.col("m.node_id").alias("met"), F.col("m.amount").alias("previous"))
+    level = stage(met(current.filter("parent_id is null").join(anywhere, ["pair_id", "tag"])), "trees-met")
+    found, depth = level, current.agg(F.max("depth")).first()[0] or 0
+    for at in range(1, depth + 1):
+        above = level.select("pair_id", F.col("node_id").alias("parent_id"), F.col("met").alias("_above"))
+        level = stage(met(current.filter(F.col("depth") == at).join(above, ["pair_id", "parent_id"]).join(below, ["pair_id", "_above", "tag"])), "trees-met")
+        found = found.unionByName(level)
+    return found
+
+
+def compare_trees(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Current, previous, changes and shares of parent for each node of pair_id.
+
+    Both have pair_id, node_id (in document order), parent_id, depth, tag, kwota_a, kwota_b. Without previous, kwota_b counts.
+    """
+    if previous is None:
+        both = current.withColumn("previous", F.col("kwota_b"))
+    else:
+        both = current.join(_met_by_level(current, previous).drop("met"), ["pair_id", "node_id"], "left")
+    up = both.select("pair_id", F.col("node_id").alias("parent_id"), F.col("kwota_a").alias("_pa"), F.col("previous").alias("_pp"))
+    rows = both.filter("parent_id is not null").join(up, ["pair_id", "parent_id"], "left").unionByName(both.filter("parent_id is null"), allowMissingColumns=True)
+    return rows.select(
+        "pair_id", "tag", F.col("kwota_a").alias("current"), "previous", F.round(F.col("kwota_a") - F.col("previous"), 2).alias("change_absolute"), sc.pct_change(F.col("kwota_a"), F.col("previous")).alias("change_percent"),
+        sc.share_of_parent(F.col("kwota_a"), F.col("_pa")).alias("share_of_parent_current"), sc.share_of_parent(F.col("previous"), F.col("_pp")).alias("share_of_parent_previous"),
+    )
+
+
 def empty_sections(compared: DataFrame, *keys: str) -> DataFrame:
     """Sections without any value on either side."""
     return compared.groupBy(*keys).agg((F.count("current") + F.count("previous") == 0).alias("is_empty"))

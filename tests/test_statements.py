@@ -91,6 +91,28 @@ def test_comparison_where_tags_repeat(spark):
     assert got == [(1.0, 2.0), (2.0, 5.0), (3.0, None), (4.0, None), (5.0, 6.0), (6.0, None)]
 
 
+def numbered(spark, *paths):
+    """The nodes of paths in document order, with their parents' numbers."""
+    rows, last = [], {}
+    for i, p in enumerate(paths):
+        above, _, tag = p.rpartition("/")
+        rows.append(("p", i, last.get(above), p.count("/"), tag, float(i + 1), 0.5))
+        last[p] = i
+    return spark.createDataFrame(rows, "pair_id string, node_id int, parent_id int, depth int, tag string, kwota_a double, kwota_b double")
+
+
+def test_comparison_by_numbers_where_tags_repeat(spark):
+    """As by paths; and each of several equal nodes has its own parent."""
+    now = numbered(spark, "A", "A/B", "A/B/C", "A/D", "E", "E/B", "A", "A/B")
+    old = numbered(spark, "X", "X/A", "X/A/B", "X/A/B/C", "X/A/B", "X/E", "X/E/A", "X/E/A/D", "A", "A/B", "A/B/C", "A/D", "E", "E/B")
+    got = sorted((r.current, r.previous, r.share_of_parent_current) for r in st.compare_trees(now, old).collect())
+    assert [g[:2] for g in got] == [(1.0, 2.0), (2.0, 5.0), (3.0, None), (4.0, None), (5.0, 6.0), (6.0, None), (7.0, 2.0), (8.0, 5.0)]
+    assert got[7][2] == round(8 / 7 * 100, 4)
+    one = {r.current: (r.previous, r.share_of_parent_current) for r in st.compare_trees(now).collect()}
+    assert one[2.0] == (0.5, 200.0) and one[1.0] == (0.5, None) and len(one) == 8
+    assert st.compare_trees(now.limit(0), old).count() == 0 and st.compare_trees(now, old.limit(0)).filter("previous is not null").count() == 0
+
+
 def test_two_statement_comparison(spark):
     cols = "pair_id string, path string, tag string, ord int, kwota_a double, kwota_b double"
     now = spark.createDataFrame([("p", "A", "A", 0, 10.0, 1.0), ("p", "A/B", "B", 1, 5.0, 1.0), ("p", "A/C", "C", 2, 5.0, 1.0), ("p", "D", "D", 3, -4.0, 1.0)], cols)
