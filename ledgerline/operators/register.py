@@ -88,23 +88,38 @@ def name_search(companies: DataFrame, query: str, limit: int) -> DataFrame:
 def fuzzy_search(names: DataFrame, queries: DataFrame, *, key: str, name: str, at_least: float = 0.15) -> DataFrame:
     """pairs (query, key, similarity) above at_least, names that contain the query left out.
 
-    Similarity is the best set overlap between the query's trigrams and a run of the name's trigrams in
-    order. Candidates come from an inverted index of trigrams; those that share none cannot pass.
+    Similarity is the best set overlap between the query's trigrams and a run of the name's trigrams in order. A name that
+    passes shares more than at_least of the query's n trigrams, k at least, so it has one of any n - k + 1 of them: those
+    that fewest names have are looked up in the inverted index, and the common ones are no keys. (Where k is 1 each
+    trigram must be looked up, as each name that has it passes.)
     """
     from ledgerline.functions.scalars import trigrams
 
     n = names.select(key, F.col(name).alias("_name"), trigrams(F.col(name)).alias("_r"))
-    q = queries.select("query", F.array_distinct(trigrams(F.col("query"))).alias("_q"))
+    q = queries.select("query", F.array_distinct(trigrams(F.col("query"))).alias("_q")).distinct()
     index = n.select(key, F.explode(F.array_distinct("_r")).alias("_t"))
-    shared = index.join(q.select("query", F.size("_q").alias("_n"), F.explode("_q").alias("_t")), "_t").groupBy(key, "query", "_n").agg(F.count(F.lit(1)).alias("_k"))
-    # No run can reach more than the trigrams that the whole names share, over those of the query.
-    pairs = shared.filter(F.col("_k") / F.col("_n") > at_least).select(key, "query")
+    held = index.groupBy("_t").agg(F.count(F.lit(1)).alias("_held"))
+    asked = q.select("query", F.size("_q").alias("_n"), F.explode("_q").alias("_t")).join(held, "_t", "left")
+    rarest = F.row_number().over(W.partitionBy("query").orderBy(F.col("_held").asc_nulls_first(), "_t"))
+    asked = asked.withColumn("_rank", rarest).filter(F.col("_rank") <= F.col("_n") - F.floor(F.col("_n") * at_least + 1e-9))
+    pairs = index.join(asked.filter("_held is not null").select("query", "_t"), "_t").select(key, "query").distinct()
     both = pairs.join(n, key).join(q, "query").filter(~F.lower("_name").contains(F.lower("query")))
-    runs = F.expr(
-        "flatten(transform(sequence(1, size(_r)), a -> transform(sequence(1, size(_r) - a + 1), k ->"
-        " size(array_intersect(_q, slice(_r, a, k))) / size(array_union(_q, slice(_r, a, k))))))"
-    )
-    return both.select("query", key, F.round(F.array_max(runs), 6).alias("similarity")).filter(F.col("similarity") > at_least)
+    best = both.select("query", key, F.round(best_run(), 6).alias("similarity"))
+    return best.filter(F.col("similarity") > at_least)
+
+
+def best_run(r: str = "_r", q: str = "_q") -> Column:
+    """The largest overlap of the set q with the set of a run of r: the size of what both have over that of what either has.
+
+    The best run begins and ends with a member of q. From each that begins one, r is walked once with counts of what the
+    run has seen, an element for the first time in the run if the one before like it stands before the begin.
+    """
+    return F.expr(f"""array_max(transform(filter(sequence(0, size({r}) - 1), a -> array_contains({q}, {r}[a])), a -> aggregate(
+        slice(transform({r}, (t, i) -> struct(array_contains({q}, t) as m, i - coalesce(nullif(array_position(reverse(slice({r}, 1, i)), t), 0), i + 1) as p)), a + 1, size({r}) - a),
+        named_struct('k', 0, 'u', size({q}), 'b', cast(0 as double)),
+        (s, x) -> named_struct('k', s.k + if(x.m and x.p < a, 1, 0), 'u', s.u + if(not x.m and x.p < a, 1, 0),
+            'b', greatest(s.b, if(x.m, (s.k + if(x.p < a, 1, 0)) / s.u, cast(0 as double)))),
+        s -> s.b)))""")
 
 
 def api_call_stats(calls: DataFrame, last: int | None = None) -> DataFrame:

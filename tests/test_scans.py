@@ -160,3 +160,35 @@ def test_what_a_user_may_see(spark):
     reports = spark.createDataFrame([("a", "k"), ("b", "j"), ("c", None)], "id string, krs string")
     seen = lambda u: sorted(r["id"] for r in rg.visible_reports(users, grants, reports, u).collect())
     assert (seen(1), seen(2), seen(3), seen(9)) == (["a", "b", "c"], ["a"], [], [])
+
+
+def test_the_best_run_of_trigrams(spark):
+    rng = random.Random(8)
+    rows = [([rng.choice("abcdef") for _ in range(rng.randrange(1, 12))], sorted(set(rng.choices("abcxyz", k=rng.randrange(1, 6))))) for _ in range(300)]
+    got = spark.createDataFrame(rows, "_r array<string>, _q array<string>").select("_r", "_q", rg.best_run().alias("s")).collect()
+    for r in got:
+        q = set(r["_q"])
+        runs = [set(r["_r"][a:b]) for a in range(len(r["_r"])) for b in range(a + 1, len(r["_r"]) + 1)]
+        best = max(len(x & q) / len(x | q) for x in runs)
+        assert (r["s"] or 0.0) == pytest.approx(best)
+
+
+def test_fuzzy_search_finds_what_trying_all_pairs_finds(spark):
+    from ledgerline.functions.scalars import trigrams
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcde", k=rng.randrange(2, 7)))
+    names = spark.createDataFrame([(i, " ".join(["spolka", *(word() for _ in range(rng.randrange(1, 4)))])) for i in range(120)], "id int, name string")
+    queries = spark.createDataFrame([(f"spolka {word()} {word()}",) for _ in range(12)] + [("spolka",), ("ab",), (word(),)], "query string")
+    got = {(r["query"], r["id"]): r["similarity"] for r in rg.fuzzy_search(names, queries, key="id", name="name").collect()}
+    want = {}
+    of = lambda df, c: {r[c]: list(r["t"]) for r in df.select(c, trigrams(F.col(c)).alias("t")).collect()}
+    named, asked = of(names, "name"), of(queries, "query")
+    for r in names.collect():
+        for text, t in asked.items():
+            seq, q = named[r["name"]], set(t)
+            runs = [set(seq[a:b]) for a in range(len(seq)) for b in range(a + 1, len(seq) + 1)]
+            best = round(max((len(x & q) / len(x | q) for x in runs), default=0), 6)
+            if text.lower() not in r["name"].lower() and best > 0.15:
+                want[text, r["id"]] = pytest.approx(best)
+    assert got == want and len(want) > 100
