@@ -9,6 +9,7 @@ from ledgerline.fixtures import Tables
 from ledgerline.functions import catalog
 from ledgerline.operators import features as fe
 from ledgerline.operators import flow
+from ledgerline.operators import stores
 from ledgerline.operators import versions as ve
 from ledgerline.plans.registry import query
 
@@ -57,9 +58,12 @@ def distinct_on(t: Tables) -> DataFrame:
     return ve.latest(t.fx_documents, ["krs"], [F.desc("discovered_at"), F.asc("document_id")]).select("krs", "document_id", "discovered_at")
 
 
-@query("""WITH e AS (SELECT report_id, feature_definition_id, computation_version, value FROM fx_features), n AS (SELECT report_id, feature_definition_id, value FROM fx_features WHERE computation_version=1 AND report_id LIKE '%7'),
+APPENDED = """WITH e AS (SELECT report_id, feature_definition_id, computation_version, value FROM fx_features), n AS (SELECT report_id, feature_definition_id, value FROM fx_features WHERE computation_version=1 AND report_id LIKE '%7'),
 m AS (SELECT report_id, feature_definition_id, max(computation_version) AS top FROM fx_features GROUP BY 1,2)
-SELECT * FROM e UNION ALL SELECT n.report_id, n.feature_definition_id, CAST(coalesce(m.top,0)+1 AS INT), n.value FROM n LEFT JOIN m USING (report_id, feature_definition_id)""")
+SELECT * FROM e UNION ALL SELECT n.report_id, n.feature_definition_id, CAST(coalesce(m.top,0)+1 AS INT), n.value FROM n LEFT JOIN m USING (report_id, feature_definition_id)"""
+
+
+@query(APPENDED)
 def append_versioned(t: Tables) -> DataFrame:
     cols = ["report_id", "feature_definition_id", "computation_version", "value"]
     new = t.fx_features.filter("computation_version = 1 AND report_id LIKE '%7'").select("report_id", "feature_definition_id", "value")
@@ -73,20 +77,51 @@ def insert_ignore(t: Tables) -> DataFrame:
     return ve.insert_ignore(new.filter("rodzaj = 18"), new.unionByName(new), ["document_id"], [F.asc("rodzaj")])
 
 
-@query("""WITH o AS (SELECT krs, name, legal_form FROM fx_companies WHERE check_priority<3), n AS (SELECT e.krs, CASE WHEN e.pkd_code LIKE '1%' THEN NULL ELSE upper(e.pkd_code) END AS name, 'NEW' AS legal_form FROM fx_companies_extra e)
-SELECT coalesce(o.krs,n.krs) AS krs, coalesce(n.name,o.name) AS name, coalesce(n.legal_form,o.legal_form) AS legal_form FROM o FULL JOIN n ON o.krs=n.krs""")
+COALESCED = """WITH o AS (SELECT krs, name, legal_form FROM fx_companies WHERE check_priority<3), n AS (SELECT e.krs, CASE WHEN e.pkd_code LIKE '1%' THEN NULL ELSE upper(e.pkd_code) END AS name, 'NEW' AS legal_form FROM fx_companies_extra e)
+SELECT coalesce(o.krs,n.krs) AS krs, coalesce(n.name,o.name) AS name, coalesce(n.legal_form,o.legal_form) AS legal_form FROM o FULL JOIN n ON o.krs=n.krs"""
+
+
+@query(COALESCED)
 def merge_coalesce(t: Tables) -> DataFrame:
     new = t.fx_companies_extra.select("krs", F.when(~F.col("pkd_code").like("1%"), F.upper("pkd_code")).alias("name"), F.lit("NEW").alias("legal_form"))
     return ve.merge_coalesce(t.fx_companies.filter("check_priority < 3").select("krs", "name", "legal_form"), new, ["krs"])
 
 
-@query("""WITH o AS (SELECT krs, name, legal_form FROM fx_companies WHERE check_priority<3), n AS (SELECT e.krs, CASE WHEN e.pkd_code LIKE '1%' THEN NULL ELSE upper(e.pkd_code) END AS name FROM fx_companies_extra e)
-SELECT coalesce(o.krs,n.krs) AS krs, CASE WHEN n.krs IS NOT NULL THEN n.name ELSE o.name END AS name, o.legal_form FROM o FULL JOIN n ON o.krs=n.krs""")
+OVERWRITTEN = """WITH o AS (SELECT krs, name, legal_form FROM fx_companies WHERE check_priority<3), n AS (SELECT e.krs, CASE WHEN e.pkd_code LIKE '1%' THEN NULL ELSE upper(e.pkd_code) END AS name FROM fx_companies_extra e)
+SELECT coalesce(o.krs,n.krs) AS krs, CASE WHEN n.krs IS NOT NULL THEN n.name ELSE o.name END AS name, o.legal_form FROM o FULL JOIN n ON o.krs=n.krs"""
+
+
+@query(OVERWRITTEN)
 def merge_overwrite(t: Tables) -> DataFrame:
     new = t.fx_companies_extra.select("krs", F.when(~F.col("pkd_code").like("1%"), F.upper("pkd_code")).alias("name"))
     return ve.merge_overwrite(t.fx_companies.filter("check_priority < 3").select("krs", "name", "legal_form"), new, ["krs"])
 
 
+@query(APPENDED)
+def store_append_versioned(t: Tables) -> DataFrame:
+    """S9 into a store: only the buckets of the new rows are rewritten."""
+    cols = ["report_id", "feature_definition_id", "computation_version", "value"]
+    store = stores.create(t.fx_features.select(*cols), ["report_id", "feature_definition_id"])
+    store.append_versioned(t.fx_features.filter("computation_version = 1 AND report_id LIKE '%7'").select("report_id", "feature_definition_id", "value"), "computation_version")
+    return store.read(t.spark)
+
+
+@query(COALESCED)
+def store_merge_coalesce(t: Tables) -> DataFrame:
+    """S11 into a store."""
+    store = stores.create(t.fx_companies.filter("check_priority < 3").select("krs", "name", "legal_form"), ["krs"])
+    store.merge_coalesce(t.fx_companies_extra.select("krs", F.when(~F.col("pkd_code").like("1%"), F.upper("pkd_code")).alias("name"), F.lit("NEW").alias("legal_form")))
+    return store.read(t.spark)
+
+
+@query(OVERWRITTEN)
+def store_merge_overwrite(t: Tables) -> DataFrame:
+    """S12 into a store."""
+    store = stores.create(t.fx_companies.filter("check_priority < 3").select("krs", "name", "legal_form"), ["krs"])
+    store.merge_overwrite(t.fx_companies_extra.select("krs", F.when(~F.col("pkd_code").like("1%"), F.upper("pkd_code")).alias("name")))
+    return store.read(t.spark)
+
+
 @query("""WITH e AS (SELECT * FROM fx_reports WHERE report_version=1), f AS (SELECT * FROM fx_reports WHERE report_version>1 OR src%5=0),
 h AS (SELECT logical_key, report_version AS top, id AS head FROM e),
 n AS (SELECT f.id, f.logical_key, f.created_at, h.top, h.head FROM f LEFT JOIN h USING (logical_key) WHERE f.id NOT IN (SELECT id FROM e))
