@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import catalog
-from ledgerline.operators.versions import latest_line_items
 
 Get = Callable[[str], Column]
 
@@ -143,11 +142,17 @@ def score_all(features: DataFrame, models: Sequence[catalog.LinearModel] | None
     return features.select(*by, F.explode(F.filter(scores, lambda s: s["raw_score"].isNotNull())).alias("s")).select(*by, "s.*")
 
 
-def report_values(items: DataFrame, *, dealt: bool = False) -> DataFrame:
-    """The latest values of all catalogue tags, a row per report. Items are dealt by report once, which serves the window and the pivot; dealt: they are already."""
-    own = items.filter(F.col("tag_path").isin(catalog.TAGS))
-    return pivot_tags(latest_line_items(own if dealt else own.repartition("report_id")), catalog.TAGS)
+def report_values(items: DataFrame, *, source: str | None = None) -> DataFrame:
+    """The latest values of all catalogue tags, a row per report, as pivot_tags over W3 has them, in one aggregation.
 
-
-def model_features() -> list[str]:
-    return sorted({f for m in catalog.MODELS.values() for f in m.coefficients})
+    The newest extraction of the last section that has a tag is the largest (section, version), so no window is needed.
+    Items are dealt by report once. source: a column with the report's newest extraction, of all its items.
+    """
+    own = items if source else items.filter(F.col("tag_path").isin(catalog.TAGS))
+    tag = lambda t, c: F.when(F.col("tag_path") == t, c)
+    values = [F.max_by(tag(t, F.col("value_current")), tag(t, F.struct("section", "extraction_version"))).alias(t) for t in catalog.TAGS]
+    if not source:
+        return own.repartition("report_id").groupBy("report_id").agg(*values)
+    known = F.count_if(F.col("tag_path").isin(catalog.TAGS)).alias("_known")
+    rows = own.repartition("report_id").groupBy("report_id").agg(*values, F.max("extraction_version").cast("int").alias(source), known)
+    return rows.filter("_known > 0").drop("_known")

@@ -66,12 +66,10 @@ def compute_new_features(items: DataFrame, stored: DataFrame, definitions: Seque
 
     stored (report_id, feature_definition_id, computation_version) is what there is of such rows.
     """
-    own = items.repartition("report_id")  # dealt once for the values and for the version
-    source = own.groupBy("report_id").agg(F.max("extraction_version").cast("int").alias("source_extraction_version"))
     # What is stored is gathered by report, so it is wide rows that are joined.
     top = stored.select("report_id", "feature_definition_id", "computation_version").repartition("report_id").groupBy("report_id", "feature_definition_id").agg(F.max("computation_version").alias("v"))
     top = top.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_definition_id", "v"))).alias("_top"))
-    wide = fe.report_values(own, dealt=True).join(source, "report_id").join(top, "report_id", "left")
+    wide = fe.report_values(items, source="source_extraction_version").join(top, "report_id", "left")
     rows = fe.compute_features(wide, definitions, by=("report_id", "source_extraction_version", "_top"))
     version = F.coalesce(F.col("_top")[F.col("feature_definition_id")], F.lit(0)) + 1
     return rows.withColumn("computation_version", version.cast("int")).drop("_top")
@@ -122,11 +120,15 @@ def assess(documents: DataFrame, archives: DataFrame, companies: DataFrame, repo
     computed = stage(compute_new_features(got.items, items.limit(0).select("report_id", F.lit("").alias("feature_definition_id"), F.lit(0).alias("computation_version"))), "flow-features")
     scores = score_reports(computed, got.reports, scored)
     before = done.join(stale, "krs", "left_semi")
-    stored = fe.compute_features(fe.report_values(items.join(before.select(F.col("id").alias("report_id")), "report_id", "left_semi"))).withColumn("computation_version", F.lit(1))
-    repaired = score_reports(stored, before, scored)
+    pairs = stage(scored.filter(F.col("model_id").isin(list(catalog.MODELS))).select("model_id", "report_id").distinct().join(before.select(F.col("id").alias("report_id"), "krs"), "report_id"), "flow-pairs")
+    # Only reports that some model has not scored are looked at, and their features stay in one row.
+    all_scored = pairs.groupBy("report_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= len(catalog.MODELS)).select("report_id")
+    missing = before.select(F.col("id").alias("report_id"), "krs").join(all_scored, "report_id", "left_anti")
+    ids = sorted({f for m in catalog.MODELS.values() for f in m.coefficients})
+    wide = fe.features_wide(fe.report_values(items.join(missing.select("report_id"), "report_id", "left_semi")), ids)
+    repaired = fe.score_all(wide).select("model_id", "report_id").join(pairs.select("model_id", "report_id"), ["model_id", "report_id"], "left_anti").join(missing, "report_id")
     n = lambda name: F.count(F.lit(1)).alias(name)
     by_report = computed.groupBy("report_id").agg(n("_k")).join(got.reports.select(F.col("id").alias("report_id"), "krs"), "report_id")
-    pairs = scored.filter(F.col("model_id").isin(list(catalog.MODELS))).select("model_id", "report_id").distinct().join(before.select(F.col("id").alias("report_id"), "krs"), "report_id")
     out = stale
     for part in (
         got.attempts.groupBy("krs").agg(n("attempted"), F.count_if(F.col("status") == "completed").alias("ingested")), by_report.groupBy("krs").agg(F.sum("_k").alias("features")), scores.groupBy("krs").agg(n("scored")),

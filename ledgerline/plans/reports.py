@@ -11,6 +11,7 @@ from ledgerline.functions import catalog
 from ledgerline.operators import register as rg
 from ledgerline.operators import versions as ve
 from ledgerline.plans.registry import query
+from ledgerline.storage import stage
 
 N = F.count
 NOW = lambda: F.lit(AS_OF).cast("timestamp")
@@ -336,10 +337,10 @@ def coverage_by_company(t: Tables) -> DataFrame:
         N(F.lit(1)).alias("n_docs"), F.countDistinct("rodzaj").alias("n_types"), types.alias("types"), F.countDistinct(F.when(F.col("rodzaj") == 18, F.col("okres_end"))).alias("n_periods"),
         N("download_error").alias("n_errors"), freshness_days(F.max("discovered_at"), F.lit(AS_OF)).alias("freshness_days"),
     )
-    out = None
+    by, out = stage(by, "coverage"), None
+    totals = by.agg(*[F.count_if(F.expr(having)).alias(name) for name, having in _HAVING.items()]).first()
     for name, having in _HAVING.items():
-        rows = by.filter(having)
-        page = rows.orderBy(F.desc("n_docs"), "krs").offset(10).limit(50).crossJoin(F.broadcast(rows.agg(N(F.lit(1)).alias("total")))).select(F.lit(name).alias("having_filter"), "*")  # one row
+        page = by.filter(having).orderBy(F.desc("n_docs"), "krs").offset(10).limit(50).select(F.lit(name).alias("having_filter"), "*", F.lit(totals[name]).cast("long").alias("total"))
         out = page if out is None else out.unionByName(page)
     return out
 
