@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import BLANKS, NO_ID, ascii_lower, id_and_text, stage
 
 
+#: Most bytes of bitmaps that are sent to every executor, at BITMAP_BYTES a document and WORD_BYTES a stored word of 64 lines.
+BROADCAST_BYTES, BITMAP_BYTES, WORD_BYTES = 64 << 20, 120, 16
+
+
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
@@ -61,7 +65,9 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """One row per row of docs: doc_id, n_lines (before), n_dropped, text (the lines that stay)."""
     keyed = _keyed(docs, id_col, text_col)
-    both = keyed.join(_bitmaps(keyed, min_chars).hint("shuffle_hash"), ["doc", "doc_hash"], "left")
+    bitmaps = stage(_bitmaps(keyed, min_chars), "line-bitmaps")
+    size = bitmaps.agg(F.coalesce(F.sum(BITMAP_BYTES + WORD_BYTES * F.size("keep_bitmap")), F.lit(0))).first()[0]
+    both = keyed.join(bitmaps.hint("broadcast" if size <= BROADCAST_BYTES else "shuffle_hash"), ["doc", "doc_hash"], "left")
     kept = F.expr("if(keep_bitmap is null, split(text, '\\n', -1), filter(split(text, '\\n', -1), (line, i) -> coalesce(getbit(try_element_at(keep_bitmap, shiftright(i, 6)), i & 63), 1) = 1))")
     cut = both.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), kept.alias("kept"))
     return cut.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

@@ -102,10 +102,12 @@ def slow_lines(rows):
 
 
 @pytest.mark.parametrize("source", ["odd", "table"])
-def test_lines(spark, odd, source):
+def test_lines(spark, odd, source, monkeypatch):
     docs = odd if source == "odd" else spark.read.parquet(f"{SF}/documents.parquet")
     want = slow_lines([(r.doc_id, r.text) for r in docs.collect()])
-    assert sorted([tuple(r) for r in line_dedup.dedup_lines(docs).collect()], key=str) == want
+    for most in (line_dedup.BROADCAST_BYTES, -1):  # bitmaps sent to the texts, and met by a shuffle
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        assert sorted([tuple(r) for r in line_dedup.dedup_lines(docs).collect()], key=str) == want
 
 
 def test_bitmaps_hold_changed_words_alone(spark, none):
