@@ -21,22 +21,37 @@ from ledgerline.storage import stage, workers_import_us
 V1 = "(SELECT * FROM fx_line_items WHERE extraction_version=1)"
 
 
-def statement_xml(t: Tables) -> DataFrame:
-    """(doc_id, content): a statement of each report, from its first extraction."""
+def _facts() -> F.Column:
+    """Who filed, for which period, and when."""
+    return F.concat(F.lit('<P_1E>'), F.col("krs"), F.lit("</P_1E><P_1D>8"), F.substring("krs", 2, 9), F.lit("</P_1D><NazwaFirmy>Firma "), F.col("krs"), F.lit("</NazwaFirmy><KodPKD>62.01.Z</KodPKD><P_3><DataOd>"), F.col("period_start").cast("string"), F.lit("</DataOd><DataDo>"), F.col("period_end").cast("string"), F.lit("</DataDo></P_3><DataSporzadzenia>"), F.date_add("period_end", 90).cast("string"), F.lit("</DataSporzadzenia>"))
+
+
+def _amounts(t: Tables) -> DataFrame:
+    """fx_reports with m, a map from tag to the XML of its amounts in the first extraction."""
     amount = F.concat(F.lit("<KwotaA>"), F.col("value_current").cast("string"), F.lit("</KwotaA><KwotaB>"), F.col("value_previous").cast("string"), F.lit("</KwotaB>"))
     by = t.fx_line_items.filter("extraction_version = 1").groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("tag_path", amount))).alias("m"))
+    return t.fx_reports.join(by, F.col("id") == F.col("report_id"))
+
+
+def _element(tag: str, key: str, *below) -> F.Column:
+    return F.concat(F.lit(f"<{tag}>"), F.coalesce(F.expr(f"try_element_at(m, '{key}')"), F.lit("")), *below, F.lit(f"</{tag}>"))
+
+
+def _parts() -> tuple[F.Column, F.Column, F.Column, F.Column]:
+    """The elements of assets, debts, profit and cash flow."""
+    flat = lambda keys, cut="": [_element(k.removeprefix(cut), k) for k in keys]
+    assets = _element("Aktywa", "Aktywa", _element("Aktywa_B", "Aktywa_B", *flat(["Aktywa_B_I", "Aktywa_B_II", "Aktywa_B_III"])))
+    debts = _element("Pasywa", "Pasywa", _element("Pasywa_A", "Pasywa_A"), _element("Pasywa_B", "Pasywa_B", *flat(["Pasywa_B_II", "Pasywa_B_III"])))
+    profit = F.concat(*flat(["RZiS.A", "RZiS.B", "RZiS.C", "RZiS.F", "RZiS.I", "RZiS.L", "RZiS.N"], "RZiS."))
+    return assets, debts, profit, _element("A", "CF.A", _element("A_II", "CF.A_II", _element("A_II_1", "CF.A_II_1")))
 
-    def element(tag: str, key: str, *below) -> F.Column:
-        return F.concat(F.lit(f"<{tag}>"), F.coalesce(F.expr(f"try_element_at(m, '{key}')"), F.lit("")), *below, F.lit(f"</{tag}>"))
 
-    flat = lambda keys, cut="": [element(k.removeprefix(cut), k) for k in keys]
-    assets = element("Aktywa", "Aktywa", element("Aktywa_B", "Aktywa_B", *flat(["Aktywa_B_I", "Aktywa_B_II", "Aktywa_B_III"])))
-    debts = element("Pasywa", "Pasywa", element("Pasywa_A", "Pasywa_A"), element("Pasywa_B", "Pasywa_B", *flat(["Pasywa_B_II", "Pasywa_B_III"])))
-    profit = flat(["RZiS.A", "RZiS.B", "RZiS.C", "RZiS.F", "RZiS.I", "RZiS.L", "RZiS.N"], "RZiS.")
-    cash = element("A", "CF.A", element("A_II", "CF.A_II", element("A_II_1", "CF.A_II_1")))
-    head = F.concat(F.lit('<JednostkaInna xmlns="urn:x"><Naglowek><KodSprawozdania kodSystemowy="SFJINZ (1)"/></Naglowek><P_1E>'), F.col("krs"), F.lit("</P_1E><P_1D>8"), F.substring("krs", 2, 9), F.lit("</P_1D><NazwaFirmy>Firma "), F.col("krs"), F.lit("</NazwaFirmy><KodPKD>62.01.Z</KodPKD><P_3><DataOd>"), F.col("period_start").cast("string"), F.lit("</DataOd><DataDo>"), F.col("period_end").cast("string"), F.lit("</DataDo></P_3><DataSporzadzenia>"), F.date_add("period_end", 90).cast("string"), F.lit("</DataSporzadzenia>"))
-    body = F.concat(head, F.lit("<Bilans>"), assets, debts, F.lit("</Bilans><RZiS><RZiSPor>"), *profit, F.lit("</RZiSPor></RZiS><RachPrzeplywow><PrzeplywyPosr>"), cash, F.lit("</PrzeplywyPosr></RachPrzeplywow></JednostkaInna>"))
-    return t.fx_reports.join(by, F.col("id") == F.col("report_id")).select(F.col("id").alias("doc_id"), body.alias("content"))
+def statement_xml(t: Tables) -> DataFrame:
+    """(doc_id, content): a statement of each report, from its first extraction."""
+    assets, debts, profit, cash = _parts()
+    head = F.concat(F.lit('<JednostkaInna xmlns="urn:x"><Naglowek><KodSprawozdania kodSystemowy="SFJINZ (1)"/></Naglowek>'), _facts())
+    body = F.concat(head, F.lit("<Bilans>"), assets, debts, F.lit("</Bilans><RZiS><RZiSPor>"), profit, F.lit("</RZiSPor></RZiS><RachPrzeplywow><PrzeplywyPosr>"), cash, F.lit("</PrzeplywyPosr></RachPrzeplywow></JednostkaInna>"))
+    return _amounts(t).select(F.col("id").alias("doc_id"), body.alias("content"))
 
 
 _COL = lambda x: f"""max(CASE WHEN tag_path='{x}' THEN value_current END) AS "{x}\""""
@@ -135,15 +150,80 @@ def statement_corpus(t: Tables) -> DataFrame:
     return st.choose_statements(_archives(t)).select("path", "full_name", "is_statement")
 
 
+def _signed(inline: F.Column) -> F.Column:
+    """content in an envelope of signatures, as elements or as base64 text."""
+    head = F.lit('<Signatures xmlns:ds="http://www.w3.org/2000/09/xmldsig#"><ds:Signature><ds:Object><q:QualifyingProperties xmlns:q="http://uri.etsi.org/01903/v1.3.2#"/></ds:Object><ds:Object>')
+    inner = F.when(inline, F.col("content")).otherwise(F.base64(F.col("content").cast("binary")))
+    return F.concat(head, inner, F.lit("</ds:Object></ds:Signature></Signatures>"))
+
+
 @query(f"SELECT id AS doc_id, krs FROM {_HAS}")
 def unwrap_signed(t: Tables) -> DataFrame:
     """Half inline in a signed envelope, half as base64 text; the header read back."""
-    head = F.lit('<Signatures xmlns:ds="http://www.w3.org/2000/09/xmldsig#"><ds:Signature><ds:Object><q:QualifyingProperties xmlns:q="http://uri.etsi.org/01903/v1.3.2#"/></ds:Object><ds:Object>')
-    inner = F.when(F.crc32("doc_id") % 2 == 0, F.col("content")).otherwise(F.base64(F.col("content").cast("binary")))
-    signed = statement_xml(t).select("doc_id", F.concat(head, inner, F.lit("</ds:Object></ds:Signature></Signatures>")).alias("content"))
+    signed = statement_xml(t).select("doc_id", _signed(F.crc32("doc_id") % 2 == 0).alias("content"))
     return st.headers(st.element_rows(signed)).select("doc_id", "krs")
 
 
+_CODES = ["SFJINZ", "SFJMAZ", "SFJMIZ", "SFJOPZ", "SFZURT"]
+
+
+def _schema_xml(t: Tables) -> DataFrame:
+    """(doc_id, src, content): statements of all five schemas by turns; the odd ones are in thousands and have no header code, so their root tells both."""
+    assets, debts, profit, cash = _parts()
+    within = lambda tag, *inner: F.concat(F.lit(f"<{tag}>"), *inner, F.lit(f"</{tag}>")) if tag else F.lit("")
+    content = F.lit("")
+    for i, code in enumerate(_CODES):
+        s = st.SCHEMAS[code]
+        variants = s["variants"]
+        sections = F.concat(
+            within(s["balance"], assets, debts), within(s["profit"], within("RZiSPor", profit) if variants else profit),
+            within(s["cash"], within("PrzeplywyPosr", cash) if variants else cash), within(s["extra"] and s["extra"][0], _element("Razem", "Aktywa_B_III")),
+        )
+        thousands = next(r for r in s["roots"] if r.endswith("WTys"))
+        units = within(s["roots"][0], F.lit(f'<Naglowek><KodSprawozdania kodSystemowy="{code} (1)"/></Naglowek>'), _facts(), sections)
+        content = F.when(F.col("src") % 5 == i, F.when(F.col("src") % 2 == 1, within(thousands, _facts(), sections)).otherwise(units)).otherwise(content)
+    return _amounts(t).select(F.col("id").alias("doc_id"), "src", content.alias("content"))
+
+
+def _schema_archives(t: Tables) -> DataFrame:
+    """(path, content): a ZIP per statement of _schema_xml, every third one signed, beside a note that is no statement."""
+    workers_import_us(t.spark)
+
+    def run(batches):
+        for batch in batches:
+            zips = []
+            for n, xml in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("folder/a-note.xml", "<Note/>")
+                    z.writestr("folder/signed.xml.XAdES" if n % 3 == 0 else "folder/statement.xml", xml)
+                zips.append(held.getvalue())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(zips, pa.binary())], ["path", "content"])
+
+    signed = F.when(F.col("src") % 3 == 0, _signed(F.col("src") % 4 < 2)).otherwise(F.col("content"))
+    return _schema_xml(t).withColumn("content", signed).mapInArrow(run, "path string, content binary")
+
+
+#: Per report the schema and the unit of its statement, with the prefix and section of the schema's extra part.
+_SCHEMA_OF = """(SELECT r.id, r.src, r.krs, r.period_start, r.period_end, r.fiscal_year, g.schema_code, g.cash, g.prefix, g.extra, CASE WHEN r.src%2=1 OR g.schema_code='SFZURT' THEN 1000 ELSE 1 END AS unit
+FROM fx_reports r JOIN (VALUES (0,'SFJINZ',true,'EQ.','equity_changes'),(1,'SFJMAZ',false,NULL,NULL),(2,'SFJMIZ',false,NULL,NULL),(3,'SFJOPZ',false,NULL,NULL),(4,'SFZURT',true,'OBS.','off_balance_sheet')) g(n,schema_code,cash,prefix,extra) ON g.n=r.src%5)"""
+
+
+@query(f"""SELECT x.doc_id, s.schema_code, CASE WHEN tag LIKE 'RZiS.%' THEN 'RZiS' WHEN tag LIKE 'CF.%' THEN 'CF' ELSE 'Bilans' END AS section, x.tag AS tag_path, CAST(x.kwota_a AS DOUBLE)*s.unit AS value_current FROM {TREE} x JOIN {_SCHEMA_OF} s ON s.id=x.doc_id WHERE s.cash OR tag NOT LIKE 'CF.%'
+UNION ALL SELECT v.report_id, s.schema_code, s.extra, s.prefix||'Razem', CAST(v.value_current AS DOUBLE)*s.unit FROM {V1} v JOIN {_SCHEMA_OF} s ON s.id=v.report_id WHERE s.extra IS NOT NULL AND v.tag_path='Aktywa_B_III'""")
+def schema_items(t: Tables) -> DataFrame:
+    """S6-S8, T1-T4 over all five schemas: archives with plain and signed members, units and thousands, off-balance and equity parts."""
+    return st.ingest(_schema_archives(t))[1].select("doc_id", "schema_code", "section", "tag_path", "value_current")
+
+
+@query(f"""SELECT id AS doc_id, 'completed' AS status, CASE WHEN src%3=0 THEN 'folder/signed.xml.XAdES' ELSE 'folder/statement.xml' END AS full_name, schema_code, 'Firma '||krs AS name, krs, '8'||substr(krs,2) AS nip, '62.01.Z' AS pkd,
+CAST(period_start AS VARCHAR) AS period_start, CAST(period_end AS VARCHAR) AS period_end, CAST(CAST(period_end+INTERVAL 90 DAY AS DATE) AS VARCHAR) AS date_prepared, CAST(year(period_end) AS INT) AS fiscal_year FROM {_SCHEMA_OF} s WHERE id IN (SELECT report_id FROM {V1} v)""")
+def schema_ledger(t: Tables) -> DataFrame:
+    """S7, T3 over all five schemas: the chosen member of each archive, its schema and all facts of its header."""
+    rows = st.ingest(_schema_archives(t))[2]
+    return rows.select(F.col("path").alias("doc_id"), "status", "full_name", "schema_code", "name", "krs", "nip", "pkd", "period_start", "period_end", "date_prepared", F.col("fiscal_year").cast("int").alias("fiscal_year"))
+
+
 PATHS = "(SELECT n.doc_id, n.tag, n.ord, n.kwota_a, n.kwota_b, n.parent_tag, coalesce(p.parent_tag||'/','')||coalesce(n.parent_tag||'/','')||n.tag AS path FROM fx_nodes n LEFT JOIN fx_nodes p ON p.doc_id=n.doc_id AND p.tag=n.parent_tag)"
 
 
