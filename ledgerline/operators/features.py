@@ -142,17 +142,19 @@ def score_all(features: DataFrame, models: Sequence[catalog.LinearModel] | None
     return features.select(*by, F.explode(F.filter(scores, lambda s: s["raw_score"].isNotNull())).alias("s")).select(*by, "s.*")
 
 
-def report_values(items: DataFrame, *, source: str | None = None) -> DataFrame:
+def report_values(items: DataFrame, *, source: str | None = None, dealt: bool = False) -> DataFrame:
     """The latest values of all catalogue tags, a row per report, as pivot_tags over W3 has them, in one aggregation.
 
     The newest extraction of the last section that has a tag is the largest (section, version), so no window is needed.
-    Items are dealt by report once. source: a column with the report's newest extraction, of all its items.
+    Items are dealt by report once, unless they are dealt already, as those of a layout by report are.
+    source: a column with the report's newest extraction, of all its items.
     """
+    by_report = lambda df: (df if dealt else df.repartition("report_id")).groupBy("report_id")
     own = items if source else items.filter(F.col("tag_path").isin(catalog.TAGS))
     tag = lambda t, c: F.when(F.col("tag_path") == t, c)
     values = [F.max_by(tag(t, F.col("value_current")), tag(t, F.struct("section", "extraction_version"))).alias(t) for t in catalog.TAGS]
     if not source:
-        return own.repartition("report_id").groupBy("report_id").agg(*values)
+        return by_report(own).agg(*values)
     known = F.count_if(F.col("tag_path").isin(catalog.TAGS)).alias("_known")
-    rows = own.repartition("report_id").groupBy("report_id").agg(*values, F.max("extraction_version").cast("int").alias(source), known)
+    rows = by_report(own).agg(*values, F.max("extraction_version").cast("int").alias(source), known)
     return rows.filter("_known > 0").drop("_known")

@@ -61,15 +61,17 @@ def ingest_documents(documents: DataFrame, archives: DataFrame, companies: DataF
     return Ingested(merged, new, raw, stage(found.join(version, "doc_id").drop("doc_id"), "flow-items"), read.select("document_id", "krs", "status", "reason_code"))
 
 
-def compute_new_features(items: DataFrame, stored: DataFrame, definitions: Sequence[tuple] | None = None) -> DataFrame:
+def compute_new_features(items: DataFrame, stored: DataFrame, definitions: Sequence[tuple] | None = None, *, dealt: bool = False) -> DataFrame:
     """Feature rows of the reports of items, with the extraction they come from and the next computation version.
 
-    stored (report_id, feature_definition_id, computation_version) is what there is of such rows.
+    stored (report_id, feature_definition_id, computation_version) is what there is of such rows. dealt: both are of
+    layouts by report with as many buckets, so nothing is exchanged.
     """
     # What is stored is gathered by report, so it is wide rows that are joined.
-    top = stored.select("report_id", "feature_definition_id", "computation_version").repartition("report_id").groupBy("report_id", "feature_definition_id").agg(F.max("computation_version").alias("v"))
+    top = stored.select("report_id", "feature_definition_id", "computation_version")
+    top = (top if dealt else top.repartition("report_id")).groupBy("report_id", "feature_definition_id").agg(F.max("computation_version").alias("v"))
     top = top.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_definition_id", "v"))).alias("_top"))
-    wide = fe.report_values(items, source="source_extraction_version").join(top, "report_id", "left")
+    wide = fe.report_values(items, source="source_extraction_version", dealt=dealt).join(top, "report_id", "left")
     rows = fe.compute_features(wide, definitions, by=("report_id", "source_extraction_version", "_top"))
     version = F.coalesce(F.col("_top")[F.col("feature_definition_id")], F.lit(0)) + 1
     return rows.withColumn("computation_version", version.cast("int")).drop("_top")

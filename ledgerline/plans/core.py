@@ -9,6 +9,7 @@ from ledgerline.fixtures import Tables
 from ledgerline.functions import catalog
 from ledgerline.operators import features as fe
 from ledgerline.operators import flow
+from ledgerline.operators import layout
 from ledgerline.operators import stores
 from ledgerline.operators import versions as ve
 from ledgerline.plans.registry import query
@@ -179,12 +180,40 @@ def _features_sql(ids=None) -> str:
     return f"WITH wide AS ({_WIDE}) " + " UNION ALL ".join(parts)
 
 
-@query(f"WITH v AS ({_features_sql()}) SELECT v.*, i.version AS source_extraction_version, CAST(coalesce(f.top,0)+1 AS INT) AS computation_version FROM v JOIN (SELECT report_id, CAST(max(extraction_version) AS INT) AS version FROM fx_line_items GROUP BY 1) i USING (report_id) LEFT JOIN (SELECT report_id, feature_definition_id, max(computation_version) AS top FROM fx_features GROUP BY 1,2) f USING (report_id, feature_definition_id)")
+COMPUTED = f"WITH v AS ({_features_sql()}) SELECT v.*, i.version AS source_extraction_version, CAST(coalesce(f.top,0)+1 AS INT) AS computation_version FROM v JOIN (SELECT report_id, CAST(max(extraction_version) AS INT) AS version FROM fx_line_items GROUP BY 1) i USING (report_id) LEFT JOIN (SELECT report_id, feature_definition_id, max(computation_version) AS top FROM fx_features GROUP BY 1,2) f USING (report_id, feature_definition_id)"
+
+
+@query(COMPUTED)
 def compute_features(t: Tables) -> DataFrame:
     """All features of all reports as the next computation over those stored."""
     return flow.compute_new_features(t.fx_line_items, t.fx_features)
 
 
+def _item_layout(t: Tables) -> layout.Layout:
+    """Items by report: those of first extractions laid out, later ones appended."""
+    items = layout.create(t.fx_line_items.filter("extraction_version = 1"), ["report_id"])
+    items.append(t.fx_line_items.filter("extraction_version > 1"))
+    return items
+
+
+@query(_latest_sql(["report_id", "section", "tag_path", "extraction_version", "value_current"], "fx_line_items", ["report_id", "section", "tag_path"], "extraction_version DESC"))
+def layout_line_items(t: Tables) -> DataFrame:
+    """W3 on items laid out by report: no exchange."""
+    return ve.latest_line_items(_item_layout(t).read(t.spark)).select("report_id", "section", "tag_path", "extraction_version", "value_current")
+
+
+@query(_WIDE)
+def layout_pivot(t: Tables) -> DataFrame:
+    """A10 of all catalogue tags on items laid out by report: no exchange."""
+    return fe.report_values(_item_layout(t).read(t.spark), dealt=True)
+
+
+@query(COMPUTED)
+def layout_features(t: Tables) -> DataFrame:
+    """X5 on items and stored features that are laid out by report: no exchange."""
+    return flow.compute_new_features(_item_layout(t).read(t.spark), layout.create(t.fx_features, ["report_id"]).read(t.spark), dealt=True)
+
+
 @query(_features_sql([f[0] for f in catalog.FEATURES if f[1] == "ratio"]).replace("UNION ALL", "UNION ALL"))
 def feature_ratio(t: Tables) -> DataFrame:
     return fe.compute_features(fe.report_values(t.fx_line_items), [f for f in catalog.FEATURES if f[1] == "ratio"])
