@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerline.llm import chunks, word_tokens
-from ledgerline.llm.common import id_and_text, spread, stage, workers_import_us
+from ledgerline.llm.common import fresh, id_and_text, spread, stage, workers_import_us
 
 MAX_TOKENS, END_ID = 4096, 1
 _PLAN = "plan_length int, first_rank long, last_rank long, first_sequence long, each int, base int"
@@ -103,23 +103,28 @@ def plan(counts: dict[int, int], max_tokens: int = MAX_TOKENS) -> list[tuple[int
 
 
 def pack(cut: DataFrame, *, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """sequence_id and offset for each row of cut, which has doc_id, piece and length; other columns stay."""
-    spark = cut.sparkSession
+    """sequence_id and offset for each row of cut, which has doc_id, piece and length; other columns stay, whatever their names.
+
+    Columns of cut that are called sequence_id or offset are replaced.
+    """
+    spark, columns = cut.sparkSession, [c for c in cut.columns if c.lower() not in ("sequence_id", "offset")]
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = stage(cut.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pack-pieces")
-    counted = stage(cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
+    bucket, rank, before, *names = fresh(cut, "_bucket", "_rank", "_before", "_length", "_first", "_last", "_sequence", "_each", "_base")
+    sequence = names[3]
+    length, first, last, _, each, base = map(F.col, names)
+    cut = stage(cut.select(*[f"`{c}`" for c in columns]).withColumn(bucket, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int")), "pack-pieces")
+    counted = stage(cut.groupBy("length", bucket).agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = {r.length: r.n for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_tokens rows at most
-    lines = spark.createDataFrame(plan(histogram, max_tokens), _PLAN)
+    lines = spark.createDataFrame(plan(histogram, max_tokens), _PLAN).toDF(*names)
 
-    before = counted.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("_bucket")) - F.col("n")).drop("n")
-    ranked = cut.withColumn("_rank", F.row_number().over(W.partitionBy("length", "_bucket").orderBy(*[c for c in ("doc_id", "piece", "ids_crc32") if c in cut.columns])) - 1)
-    ranked = ranked.join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("before"))
+    sums = counted.select("length", bucket, (F.sum("n").over(W.partitionBy("length").orderBy(bucket)) - F.col("n")).alias(before))
+    ranked = cut.withColumn(rank, F.row_number().over(W.partitionBy("length", bucket).orderBy(*[c for c in ("doc_id", "piece", "ids_crc32") if c in columns])) - 1)
+    ranked = ranked.join(sums, ["length", bucket]).withColumn(rank, F.col(rank) + F.col(before))
     # A line either ends its length (and opens three groups at most) or uses a group up, whose room then falls by
     # half or more: under 12 * 3 * max_tokens lines of 36 bytes, 6 MB, whatever the input.
-    placed = ranked.join(F.broadcast(lines), (F.col("length") == F.col("plan_length")) & F.col("_rank").between(F.col("first_rank"), F.col("last_rank")))
-    nth = F.col("_rank") - F.col("first_rank")
-    placed = placed.withColumn("sequence_id", F.col("first_sequence") + F.expr("(_rank - first_rank) div each"))
-    return placed.withColumn("offset", F.col("base") + (nth % F.col("each")) * F.col("length")).drop("_bucket", "_rank", "before", "plan_length", "first_rank", "last_rank", "first_sequence", "each", "base")
+    placed = ranked.join(F.broadcast(lines), (F.col("length") == length) & F.col(rank).between(first, last))
+    place = base + ((F.col(rank) - first) % each) * F.col("length")
+    return placed.select(*[f"`{c}`" for c in columns], F.expr(f"`{sequence}` + (`{rank}` - `{names[1]}`) div `{names[4]}`").alias("sequence_id"), place.alias("offset"))
 
 
 def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:

@@ -79,6 +79,17 @@ def test_packing_odd_rows(odd, none):
     assert packed(none)[0] == []
 
 
+def test_pack_keeps_columns_whatever_their_names(spark):
+    schema = "doc_id long, piece int, length long, _bucket string, _Rank string, before string, each string, base string, first_rank string, `a.b` string, offset string"
+    rows = [(i, 0, 1 + i % 9, *"stuvwxy", "z") for i in range(200)]
+    got = packing.pack(spark.createDataFrame(rows, schema), max_tokens=10).collect()
+    assert got[0].__fields__[:10] == [c.split()[0].strip("`") for c in schema.split(", ")][:10]
+    assert sorted(tuple(r)[:10] for r in got) == sorted(r[:10] for r in rows)
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in got)
+    for (s, at, n), (s2, at2, _) in zip(taken, taken[1:], strict=False):
+        assert at2 == (at + n if s == s2 else 0) and at + n <= 10
+
+
 def test_plan_is_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(50):
