@@ -36,10 +36,11 @@ def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> Iterator[tupl
     table = word_tokens.table(path)
     for at, to in chunks.slices(texts):
         words, numbers, offsets = chunks.cut(pc.replace_substring(texts.slice(at, to - at), "\n", " "))
-        rows = table.look_up(words)[numbers]
-        sizes = np.add.reduceat(table.size[rows], offsets[:-1])
-        ends = np.cumsum(sizes)
-        yield at, np.insert(table.gather(rows), ends, end_id), ends + np.arange(1, to - at + 1)
+        parts, two = word_tokens.parts(words)
+        rows = table.look_up(parts)[two]
+        sizes = np.add.reduceat(table.size[rows].sum(axis=1)[numbers], offsets[:-1])
+        ends, rows = np.cumsum(sizes), rows[numbers].ravel()
+        yield at, np.insert(table.gather(rows[table.size[rows] > 0]), ends, end_id), ends + np.arange(1, to - at + 1)
 
 
 def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID) -> DataFrame:

@@ -1,7 +1,9 @@
 """Ids of the word BPE tokenizer, by distinct chunk.
 
-Its pre-tokens never cross white space, so a text's ids are its chunks' ids in a row. New chunks are encoded
-together in one text; pre-tokens end in ids that carry the word-end mark, which tells where a chunk ends.
+Its pre-tokens never cross white space, so a text's ids are its chunks' ids in a row. Most chunks are letters and
+then marks, two pre-tokens, and case is lost in the tokenizer: such a chunk is taken as its two parts, so that a word is
+encoded once whatever its case and the marks after it. New parts are encoded together in one text; pre-tokens end in
+ids that carry the word-end mark, which tells where a part ends.
 Chunks with characters outside ASCII and Latin-1 letters, or with the start of a special token, are encoded
 one by one.
 """
@@ -12,6 +14,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from ledgerline.llm.chunks import ChunkTable
@@ -22,7 +26,8 @@ _PRE_TOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9
 
 
 #: Letters and then marks, as most chunks are: one pre-token, or two.
-_SIMPLE = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)[!-/:;=>?@\[-`{-~]*")
+_LETTERS, _MARKS = r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+", r"[!-/:;=>?@\[-`{-~]*"
+_SIMPLE = re.compile(f"({_LETTERS})({_MARKS})")
 
 
 def pre_tokens(chunk: str) -> int:
@@ -32,6 +37,15 @@ def pre_tokens(chunk: str) -> int:
     return len(_PRE_TOKENS.findall(chunk.lower())) if _PLAIN.fullmatch(chunk) and "<|" not in chunk else 0
 
 
+def parts(chunks: list[str]) -> tuple[list[str], np.ndarray]:
+    """The distinct parts of chunks, and the numbers of the two parts of each: letters in lower case and the marks after them, or the chunk and nothing."""
+    words = pa.array(chunks, pa.string())
+    found = pc.extract_regex(words, pattern=f"^(?P<word>{_LETTERS})(?P<marks>{_MARKS})$")
+    first = pc.coalesce(pc.utf8_lower(pc.struct_field(found, "word")), words)
+    both = pa.concat_arrays([first, pc.fill_null(pc.struct_field(found, "marks"), "")]).dictionary_encode()
+    return both.dictionary.to_pylist(), both.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T
+
+
 @lru_cache(maxsize=2)
 def table(path: str) -> ChunkTable:
     """This worker's table for the tokenizer file at path."""
