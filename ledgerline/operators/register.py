@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.scans import in_order, running
 from ledgerline.operators.versions import latest
+from ledgerline.storage import stage
 
 
 def documents_current(documents: DataFrame, downloads: DataFrame) -> DataFrame:
@@ -95,17 +96,20 @@ def fuzzy_search(names: DataFrame, queries: DataFrame, *, key: str, name: str, a
     """
     from ledgerline.functions.scalars import trigrams
 
-    n = names.select(key, F.col(name).alias("_name"), trigrams(F.col(name)).alias("_r"))
+    n = names.select(F.col(name).alias("_name")).distinct().withColumn("_r", trigrams(F.col("_name")))
     q = queries.select("query", F.array_distinct(trigrams(F.col("query"))).alias("_q")).distinct()
-    index = n.select(key, F.explode(F.array_distinct("_r")).alias("_t"))
+    index = n.select("*", F.explode(F.array_distinct("_r")).alias("_t"))
     held = index.groupBy("_t").agg(F.count(F.lit(1)).alias("_held"))
-    asked = q.select("query", F.size("_q").alias("_n"), F.explode("_q").alias("_t")).join(held, "_t", "left")
+    asked = q.select("query", "_q", F.size("_q").alias("_n"), F.explode("_q").alias("_t")).join(held, "_t", "left")
     rarest = F.row_number().over(W.partitionBy("query").orderBy(F.col("_held").asc_nulls_first(), "_t"))
-    asked = asked.withColumn("_rank", rarest).filter(F.col("_rank") <= F.col("_n") - F.floor(F.col("_n") * at_least + 1e-9))
-    pairs = index.join(asked.filter("_held is not null").select("query", "_t"), "_t").select(key, "query").distinct()
-    both = pairs.join(n, key).join(q, "query").filter(~F.lower("_name").contains(F.lower("query")))
-    best = both.select("query", key, F.round(best_run(), 6).alias("similarity"))
-    return best.filter(F.col("similarity") > at_least)
+    asked = asked.withColumn("_rank", rarest).filter((F.col("_rank") <= F.col("_n") - F.floor(F.col("_n") * at_least + 1e-9)) & F.col("_held").isNotNull())
+    asked = stage(asked.select("query", "_q", "_t", F.collect_list("_t").over(W.partitionBy("query")).alias("_asked")), "fuzzy-asked")
+    # Names go to the queries' trigrams with all that is needed, and count under the first one that they share: nothing is joined back.
+    first = F.get(F.filter("_r", lambda t: F.array_contains("_asked", t)), F.lit(0))
+    both = index.join(asked, "_t").filter(first == F.col("_t")).filter(~F.lower("_name").contains(F.lower("query")))
+    best = both.select("query", "_name", F.round(best_run(), 6).alias("similarity")).filter(F.col("similarity") > at_least)
+    # Equal names are walked once; the table's rows take what their name has.
+    return names.select(key, F.col(name).alias("_name")).join(stage(best, "fuzzy-best"), "_name").select("query", key, "similarity")
 
 
 def best_run(r: str = "_r", q: str = "_q") -> Column:

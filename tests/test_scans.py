@@ -192,3 +192,13 @@ def test_fuzzy_search_finds_what_trying_all_pairs_finds(spark):
             if text.lower() not in r["name"].lower() and best > 0.15:
                 want[text, r["id"]] = pytest.approx(best)
     assert got == want and len(want) > 100
+
+
+def test_fuzzy_search_joins_no_names_back(spark):
+    """Names are never a broadcast side, however small Spark takes them to be: what goes to all tasks are the names that pass."""
+    names = spark.range(40000).selectExpr("id", "concat(element_at(array('red widget', 'rad bolt', 'cold plate'), cast(id % 3 as int) + 1), if(id % 4000 = 0, cast(id as string), '')) as name")
+    queries = spark.createDataFrame([("rad widgt",)], "query string")
+    found = rg.fuzzy_search(names, queries, key="id", name="name")
+    assert found.count() == found.select("id").distinct().count() > 26000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") <= 1 and "aggregate(" not in plan
