@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,13 +52,13 @@ def ingest_documents(documents: DataFrame, archives: DataFrame, companies: DataF
     filings = good.select(F.col("document_id").alias("id"), key.alias("logical_key"), "arrived")
     versions = ve.assign_report_version(filings, reports.select("id", "logical_key", "report_version"))
     new = good.select(F.col("document_id").alias("id"), "krs", "fiscal_year", "period_start", "period_end", "schema_code", F.col("document_id").alias("source_document_id"), F.col("full_name").alias("source_file_path"), F.lit("completed").alias("ingestion_status"), F.col("arrived").alias("created_at"))
-    new = stage(new.join(versions, "id"), "flow-reports")
+    new = new.join(versions, "id")
 
     top = items.groupBy("report_id").agg(F.max("extraction_version").alias("_top"))
     version = good.select(F.col("storage_path").alias("doc_id"), F.col("document_id").alias("report_id")).join(top, "report_id", "left")
     version = version.select("doc_id", "report_id", (F.coalesce("_top", F.lit(0)) + 1).cast("int").alias("extraction_version"))
     raw = st.raw_sections(tree).join(version, "doc_id").drop("doc_id")
-    return Ingested(merged, new, raw, stage(found.join(version, "doc_id").drop("doc_id"), "flow-items"), read.select("document_id", "krs", "status", "reason_code"))
+    return Ingested(merged, new, raw, found.join(version, "doc_id").drop("doc_id"), read.select("document_id", "krs", "status", "reason_code"))
 
 
 def compute_new_features(items: DataFrame, stored: DataFrame, definitions: Sequence[tuple] | None = None, *, dealt: bool = False) -> DataFrame:
@@ -119,6 +119,7 @@ def assess(documents: DataFrame, archives: DataFrame, companies: DataFrame, repo
     own = documents.join(stale, "krs", "left_semi").filter(F.coalesce("is_downloaded", F.lit(False)))
     pending = own.join(done.select(F.col("source_document_id").alias("document_id")), "document_id", "left_anti")
     got = ingest_documents(pending, archives, companies, reports, items)
+    got = replace(got, reports=stage(got.reports, "flow-reports"))
     computed = stage(compute_new_features(got.items, items.limit(0).select("report_id", F.lit("").alias("feature_definition_id"), F.lit(0).alias("computation_version"))), "flow-features")
     scores = score_reports(computed, got.reports, scored)
     before = done.join(stale, "krs", "left_semi")

@@ -14,8 +14,9 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,8 +41,13 @@ _SIGNED = "{http://www.w3.org/2000/09/xmldsig#}Object"
 #: Namespaces of what signatures say of themselves (fixed values).
 _SIGNATURE_DATA = ("{http://uri.etsi.org/01903/", "{http://www.w3.org/2000/09/xmldsig#}")
 
-_ROWS = "doc_id string, kind string, section string, node_id int, parent_id int, depth int, raw_tag string, tag string, path string, has_amount boolean, a string, b string, b1 string, facts map<string,string>"
+_ROWS = "doc_id string, kind string, section string, node_id int, parent_id int, depth int, raw_tag string, tag string, path string, has_amount boolean, a string, b string, b1 string, facts map<string,string>, is_first boolean, root_tag string, raw_code string, period_end string"
 _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string()]
+#: Columns that all rows of a document have alike.
+_ALIKE = tuple(map(_FIELDS.index, ("doc_id", "root_tag", "raw_code", "period_end")))
+#: Rows, and bytes of what they hold, that go to Spark at once.
+_BATCH, _BYTES = 4096, 1 << 22
 
 
 def register_schema(code: str, config: dict) -> None:
@@ -85,6 +91,47 @@ def _files(content: bytes | None) -> Iterator[tuple[zipfile.ZipInfo, Callable[[]
             yield i, lambda i=i: z.read(i)
 
 
+def _batches(rows: Iterator[tuple], types: list | tuple, names: list[str], held: int | None = None) -> Iterator[pa.RecordBatch]:
+    """rows as batches; held: the column whose bytes count too."""
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[held] or b"") if held is not None else 0
+        if len(some) >= _BATCH or size >= _BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+            some, size = [], 0
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
+
+
+def _row_batches(documents: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Rows of documents as batches. What all rows of a document have alike becomes Arrow values once a document."""
+
+    def made(some: list[list[tuple]]) -> pa.RecordBatch:
+        rows, last = [row for one in some for row in one], [one[-1] for one in some]
+        at = pa.array(np.repeat(np.arange(len(some)), [len(one) for one in some]))
+        columns = list(zip(*rows, strict=True))
+        alike = {i: pa.array([row[i] for row in last], _TYPES[i]).take(at) for i in _ALIKE}
+        return pa.RecordBatch.from_arrays([alike[i] if i in alike else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, _TYPES, strict=True))], _FIELDS)
+
+    some, size = [], 0
+    for one in documents:
+        some.append(one)
+        size += len(one)
+        if size >= _BATCH:
+            yield made(some)
+            some, size = [], 0
+    if some:
+        yield made(some)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The two columns of batches, row by row."""
+    for batch in batches:
+        for a, b in zip(batch.column(0), batch.column(1), strict=True):
+            yield a.as_py(), b.as_py()
+
+
 def members(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """(path, full_name, name, size, type, content) of each file in each archive, folders flattened in name.
 
@@ -105,22 +152,46 @@ def members(archives: DataFrame, *, path_col: str = "path", content_col: str = "
             yield path, None, None, 0, "error", str(e).encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = list(rows_of(path, content))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)], names)
+        yield from _batches((row for path, content in _each(batches) for row in rows_of(path, content)), types, names, 5)
 
     return archives.select(path_col, content_col).mapInArrow(run, "path string, full_name string, name string, size long, type string, content binary")
 
 
+def _document(content: bytes) -> ET.Element:
+    return unwrap(ET.fromstring(content.decode("utf-8", "replace")))
+
+
 def is_statement(content: bytes) -> bool:
     """Whether the XML parses and holds an element of a statement's sections."""
     try:
-        return _has_sections(unwrap(ET.fromstring(content.decode("utf-8", "replace"))))
+        return _has_sections(_document(content))
     except (ET.ParseError, ValueError):
         return False
 
 
+def _pick(content: bytes | None) -> tuple:
+    """(full_name, name, content, is_statement, reason_code, root) of an archive, see choose_statements; root is that of a statement."""
+    first = None
+    try:
+        for i, unpack in _files(content):
+            if i.filename.lower().endswith((".xml", ".xades")):
+                try:
+                    found = unpack()
+                except _BROKEN:
+                    continue
+                name = i.filename.rsplit("/", 1)[-1]
+                try:
+                    root = _document(found)
+                    if _has_sections(root):
+                        return i.filename, name, found, True, None, root
+                except (ET.ParseError, ValueError):
+                    pass
+                first = first or (i.filename, name, found, False, None, None)
+    except _BROKEN:
+        return None, None, None, False, "unexpected_error", None
+    return first or (None, None, None, False, "no_xml_found", None)
+
+
 def choose_statements(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """(path, full_name, name, content, is_statement, reason_code) of each archive, one row each.
 
@@ -131,40 +202,15 @@ def choose_statements(archives: DataFrame, *, path_col: str = "path", content_co
     workers_import_us(archives.sparkSession)
     names, types = ["path", "full_name", "name", "content", "is_statement", "reason_code"], (pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.string())
 
-    def pick(content: bytes | None) -> tuple:
-        first = None
-        try:
-            for i, unpack in _files(content):
-                if i.filename.lower().endswith((".xml", ".xades")):
-                    try:
-                        found = unpack()
-                    except _BROKEN:
-                        continue
-                    name = i.filename.rsplit("/", 1)[-1]
-                    if is_statement(found):
-                        return i.filename, name, found, True, None
-                    first = first or (i.filename, name, found, False, None)
-        except _BROKEN:
-            return None, None, None, False, "unexpected_error"
-        return first or (None, None, None, False, "no_xml_found")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((path, *pick(content)), types, strict=True)], names)
+        yield from _batches(((path, *_pick(content)[:5]) for path, content in _each(batches)), types, names, 3)
 
     return archives.select(path_col, content_col).mapInArrow(run, "path string, full_name string, name string, content binary, is_statement boolean, reason_code string")
 
 
-def _text(root: ET.Element, *paths: str) -> str | None:
-    for p in paths:
-        e = root.find(p)
-        if e is not None and e.text:
-            return e.text.strip()
-    return None
-
-
-def _too_deep(root: ET.Element) -> bool:
+def _too_deep(root: ET.Element, content: bytes) -> bool:
+    if len(content) < 7 * MAX_DEPTH and b"<!" not in content:  # a level takes seven bytes, where no entity stands for more
+        return False
     level = [root]
     for _ in range(MAX_DEPTH):
         level = [c for e in level for c in e]
@@ -173,34 +219,63 @@ def _too_deep(root: ET.Element) -> bool:
     return True
 
 
-def _rows(doc_id: str, content: bytes, schemas: dict[str, dict]) -> list[tuple]:
-    """Element rows and one header row of a document, or one error row."""
+def _error(doc_id: str, reason: str, **facts: str | None) -> tuple:
+    return doc_id, "error", *[None] * 11, [*{"reason_code": reason, **{k: v for k, v in facts.items() if v is not None}}.items()], *[None] * 4
+
+
+def _rows(doc_id: str, content: bytes, schemas: dict[str, dict], root: ET.Element | None = None, **more: str | None) -> list[tuple]:
+    """Element rows and one header row of a document, or one error row. root: the document, where it has been parsed; more: further facts."""
     try:
-        root = unwrap(ET.fromstring(content.decode("utf-8", "replace")))
-        if _too_deep(root):
+        root = _document(content) if root is None else root
+        if _too_deep(root, content):
             raise ValueError(f"nested deeper than {MAX_DEPTH} elements")
     except (ET.ParseError, ValueError) as e:
-        return [(doc_id, "error", None, None, None, None, None, None, None, None, None, None, None, {"reason_code": "parse_error", "message": str(e)[:200]})]
+        return [_error(doc_id, "parse_error", message=str(e)[:200], **more)]
+    there: dict[str, ET.Element] = {}  # the first element of each tag, as find() has it: without the root
     for e in root.iter():
-        e.tag = _bare(e.tag)
-    code_element = root.find(".//KodSprawozdania")
+        tag = e.tag
+        e.tag = tag = tag[tag.rfind("}") + 1 :]
+        if tag not in there and e is not root:
+            there[tag] = e
+
+    def text(*paths: str) -> str | None:
+        for p in paths:
+            above, _, below = p.partition("/")
+            e = there.get(above)
+            if below and e is not None:
+                e = e.find(below)
+                e = root.find(f".//{p}") if e is None else e
+            if e is not None and e.text:
+                return e.text.strip()
+        return None
+
+    code_element = there.get("KodSprawozdania")
     raw_code = "" if code_element is None else next((v for k, v in code_element.attrib.items() if _bare(k) == "kodSystemowy"), None) or code_element.text or ""
     facts = {
-        "root_tag": root.tag, "raw_code": raw_code, "name": _text(root, ".//NazwaFirmy"), "krs": _text(root, ".//P_1E", ".//P_1C"), "nip": _text(root, ".//P_1D", ".//P_1B"), "pkd": _text(root, ".//KodPKD"),
-        "period_start": _text(root, ".//P_3/DataOd", ".//P_2A/DataOd", ".//OkresOd"), "period_end": _text(root, ".//P_3/DataDo", ".//P_2A/DataDo", ".//OkresDo"), "date_prepared": _text(root, ".//DataSporzadzenia"),
+        "root_tag": root.tag, "raw_code": raw_code, "name": text("NazwaFirmy"), "krs": text("P_1E", "P_1C"), "nip": text("P_1D", "P_1B"), "pkd": text("KodPKD"),
+        "period_start": text("P_3/DataOd", "P_2A/DataOd", "OkresOd"), "period_end": text("P_3/DataDo", "P_2A/DataDo", "OkresDo"), "date_prepared": text("DataSporzadzenia"), **more,
     }
+    of = root.tag, raw_code, facts["period_end"]
+    seen: set[tuple[str, str]] = set()
     out: list[tuple] = []
 
     def walk(element: ET.Element, section: str, prefix: str) -> None:
         """Rows of element and all below it, in document order, but for those without an amount in or below them."""
         found: list[tuple] = []
         ahead = [(element, -1, 0, "")]
+        item = "Bilans" if section in ("aktywa", "pasywa") else section
         while ahead:
             e, parent, depth, above = ahead.pop()
-            tag = prefix + e.tag
+            tag, at = prefix + e.tag, len(found)
             path = f"{above}/{tag}" if above else tag
-            ahead += [(c, len(found), depth + 1, path) for c in reversed(e) if c.tag not in AMOUNTS]
-            found.append((parent, depth, e.tag, tag, path, *(e.find(k) for k in AMOUNTS)))
+            below, amounts = [], {}
+            for c in e:
+                if c.tag in AMOUNTS:
+                    amounts.setdefault(c.tag, c)
+                else:
+                    below.append((c, at, depth + 1, path))
+            ahead += reversed(below)
+            found.append((parent, depth, e.tag, tag, path, *map(amounts.get, AMOUNTS)))
         # Whose amounts count for each: its own, or those of its last child that has any.
         source = [i if f[5] is not None else None for i, f in enumerate(found)]
         for i in range(len(found) - 1, 0, -1):
@@ -211,10 +286,12 @@ def _rows(doc_id: str, content: bytes, schemas: dict[str, dict]) -> list[tuple]:
             if source[i] is not None:
                 number[i] = len(out)
                 counted = [*found[source[i]][5:7], amounts[2]]
-                out.append((doc_id, "node", section, len(out), number[parent], depth, raw, tag, path, amounts[0] is not None, *(None if e is None else e.text for e in counted), None))
+                is_first = (item, tag) not in seen
+                seen.add((item, tag))
+                out.append((doc_id, "node", section, len(out), number[parent], depth, raw, tag, path, amounts[0] is not None, *(None if e is None else e.text for e in counted), None, is_first, *of))
 
     def first(*names: str | None) -> ET.Element | None:
-        return next((e for n in names if n and (e := root.find(f".//{n}")) is not None), None)
+        return next((there[n] for n in names if n in there), None)
 
     balance = first(*[s["balance"] for s in schemas.values()])
     for part, section in (("Aktywa", "aktywa"), ("Pasywa", "pasywa")):
@@ -237,54 +314,75 @@ def _rows(doc_id: str, content: bytes, schemas: dict[str, dict]) -> list[tuple]:
         e = first(s["extra"][0]) if s["extra"] else None
         for c in e if e is not None else ():
             walk(c, s["extra"][1], s["extra"][2])
-    return [*out, (doc_id, "header", None, None, None, None, None, None, None, None, None, None, None, {k: v for k, v in facts.items() if v is not None})]
+    return [*out, (doc_id, "header", *[None] * 11, [(k, v) for k, v in facts.items() if v is not None], None, *of)]
 
 
-def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
-    """Raw element, header and error rows of each (id, XML); written as a table, since nodes and headers both read it.
+def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", staged: bool = True) -> DataFrame:
+    """Raw element, header and error rows of each (id, XML), of which an id tells one; written as a table, for several to read.
 
-    a and b are the amounts that count for a node (T2): its own, or those of its last child that has any.
+    a and b are the amounts that count for a node (T2): its own, or those of its last child that has any. is_first: it is the
+    first of its section and tag. root_tag, raw_code and period_end are the document's. staged=False: for one reader.
     """
     workers_import_us(docs.sparkSession)
-    types = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string())]
-
     schemas = dict(SCHEMAS)  # what is registered here goes to the workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(*r[:-1], list(r[-1].items()) if r[-1] else None) for r in _rows(doc_id, content or b"", schemas)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _FIELDS)
+        yield from _row_batches(_rows(doc_id, content or b"", schemas) for doc_id, content in _each(batches))
 
     given = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
-    return stage(given.mapInArrow(run, _ROWS), "statement-elements")
+    rows = given.mapInArrow(run, _ROWS)
+    return stage(rows, "statement-elements") if staged else rows
+
 
+def archive_rows(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
+    """element_rows of the statement that choose_statements finds in each archive, in one pass; full_name is a fact of the header. An archive without one has an error row with the reason."""
+    workers_import_us(archives.sparkSession)
+    schemas = dict(SCHEMAS)
 
-def headers(rows: DataFrame) -> DataFrame:
-    """A row per document with schema, multiplier and company facts; reason_code where it could not be read."""
+    def read(path: str, content: bytes | None) -> list[tuple]:
+        full_name, _, found, _, reason, root = _pick(content)
+        return [_error(path, reason)] if reason else _rows(path, found, schemas, root, full_name=full_name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _row_batches(read(path, content) for path, content in _each(batches))
+
+    return stage(archives.select(F.col(path_col).cast("string"), content_col).mapInArrow(run, _ROWS), "statement-elements")
+
+
+def _units(code: Column, root_tag: Column) -> tuple[Column, Column, Column]:
+    """Schema, header code and multiplier of a document with the raw code and root tag."""
+    roots = {r: c for c, s in SCHEMAS.items() for r in s["roots"]}
+    units = F.create_map(*[F.lit(x) for c, s in SCHEMAS.items() for x in (c, s["multiplier"])])
+    code = sc.header_code(F.coalesce(code, F.lit("")))
+    schema = sc.detect_schema(code, F.create_map(*[F.lit(x) for kv in roots.items() for x in kv])[root_tag])
+    return schema, code, sc.unit_multiplier(code, F.coalesce(root_tag, F.lit("")), units[schema])
+
+
+def headers(rows: DataFrame, *more: str) -> DataFrame:
+    """A row per document with schema, multiplier and company facts; reason_code where it could not be read. more: further facts."""
     f = lambda k: F.col("facts")[k]
-    roots = {r: code for code, s in SCHEMAS.items() for r in s["roots"]}
-    by_root = F.create_map(*[F.lit(x) for kv in roots.items() for x in kv])[f("root_tag")]
-    units = F.create_map(*[F.lit(x) for code, s in SCHEMAS.items() for x in (code, s["multiplier"])])
-    code = sc.header_code(F.coalesce(f("raw_code"), F.lit("")))
-    schema = sc.detect_schema(code, by_root)
-    facts = [f(k).alias(k) for k in ("root_tag", "name", "krs", "nip", "pkd", "period_start", "period_end", "date_prepared", "rzis_variant", "cf_method", "reason_code")]
-    known = rows.filter("kind <> 'node'").withColumn("_schema", schema).withColumn("_code", code)
-    return known.select("doc_id", F.col("_schema").alias("schema_code"), F.col("_code").alias("header_code"), sc.unit_multiplier(F.col("_code"), F.coalesce(f("root_tag"), F.lit("")), units[F.col("_schema")]).alias("multiplier"), *facts)
-
-
-def nodes(rows: DataFrame, header: DataFrame) -> DataFrame:
-    """Statement nodes with amounts in whole units; a node without own amounts has its last child's."""
-    n = rows.filter("kind = 'node'").join(header.select("doc_id", "multiplier"), "doc_id")
+    schema, code, multiplier = _units(f("raw_code"), f("root_tag"))
+    facts = [f(k).alias(k) for k in ("root_tag", "name", "krs", "nip", "pkd", "period_start", "period_end", "date_prepared", "rzis_variant", "cf_method", "reason_code", *more)]
+    return rows.filter("kind <> 'node'").select("doc_id", schema.alias("schema_code"), code.alias("header_code"), multiplier.alias("multiplier"), *facts)
+
+
+def nodes(rows: DataFrame, header: DataFrame | None = None, *more: str) -> DataFrame:
+    """Statement nodes with amounts in whole units; a node without own amounts has its last child's.
+
+    header: where multipliers come from, if not from what the rows say of their documents. more: further columns of rows.
+    """
+    n = rows.filter("kind = 'node'")
+    n = n.withColumn("multiplier", _units(F.col("raw_code"), F.col("root_tag"))[2]) if header is None else n.join(header.select("doc_id", "multiplier"), "doc_id")
     times = lambda c, parse: parse(F.col(c)) * F.col("multiplier")
-    return n.select("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", times("a", sc.parse_amount).alias("kwota_a"), times("b", sc.parse_amount).alias("kwota_b"), times("b1", sc.optional_amount).alias("kwota_b1"))
+    return n.select("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", times("a", sc.parse_amount).alias("kwota_a"), times("b", sc.parse_amount).alias("kwota_b"), times("b1", sc.optional_amount).alias("kwota_b1"), *more)
 
 
-def line_items(tree: DataFrame) -> DataFrame:
-    """T4: one item per document, section and tag, the first in document order."""
+def line_items(tree: DataFrame, *more: str) -> DataFrame:
+    """T4: one item per document, section and tag, the first in document order. Trees that say which is_first are read in place."""
     section = F.when(F.col("section").isin("aktywa", "pasywa"), "Bilans").when(F.col("section") == "rzis", "RZiS").when(F.col("section") == "cash_flow", "CF").otherwise(F.col("section"))
-    rows = tree.select("doc_id", section.alias("section"), F.col("tag").alias("tag_path"), F.col("kwota_a").alias("value_current"), F.col("kwota_b").alias("value_previous"), "node_id")
-    return latest(rows, ["doc_id", "section", "tag_path"], [F.asc("node_id")]).drop("node_id")
+    first = "is_first" in tree.columns
+    rows = (tree.filter("is_first") if first else tree).select("doc_id", section.alias("section"), F.col("tag").alias("tag_path"), F.col("kwota_a").alias("value_current"), F.col("kwota_b").alias("value_previous"), "node_id", *more)
+    return rows.drop("node_id") if first else latest(rows, ["doc_id", "section", "tag_path"], [F.asc("node_id")]).drop("node_id")
 
 
 def flat_values(tree: DataFrame, column: str = "kwota_a") -> DataFrame:
@@ -406,21 +504,18 @@ def ingest(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     Its status is completed or failed, with reason_code unexpected_error, no_xml_found, parse_error or
     invalid_period_end; schema and company facts come with it. Nodes and items are those of completed ones.
     """
-    chosen = stage(choose_statements(archives), "statement-chosen")
-    rows = element_rows(chosen.filter("content is not null"), id_col="path")
-    head = headers(rows)
+    rows = archive_rows(archives)
     year = sc.fiscal_year(F.col("period_end"))
-    read = chosen.select("path", "full_name", F.col("reason_code").alias("_reason")).join(head, F.col("path") == F.col("doc_id"), "left")
-    reason = F.coalesce("_reason", "reason_code", F.when(year.isNull(), "invalid_period_end"))
-    ledger = read.select(
-        "path", F.when(reason.isNull(), "completed").otherwise("failed").alias("status"), reason.alias("reason_code"), "full_name", "schema_code", "name", "krs", "nip", "pkd",
+    reason = F.coalesce("reason_code", F.when(year.isNull(), "invalid_period_end"))
+    ledger = headers(rows, "full_name").select(
+        F.col("doc_id").alias("path"), F.when(reason.isNull(), "completed").otherwise("failed").alias("status"), reason.alias("reason_code"), "full_name", "schema_code", "name", "krs", "nip", "pkd",
         F.coalesce("period_start", "period_end").alias("period_start"), "period_end", "date_prepared", year.alias("fiscal_year"),
     )
-    ledger = stage(ledger, "statement-ledger")
-    good = ledger.filter("status = 'completed'").select(F.col("path").alias("doc_id"), "schema_code")
-    tree = stage(nodes(rows, head).join(good, "doc_id"), "statement-good")
-    items = line_items(tree.drop("schema_code")).join(good, "doc_id")
-    return tree, items, ledger
+    # What decides on a document is in each of its rows, so nothing is joined.
+    good = rows.withColumn("schema_code", _units(F.col("raw_code"), F.col("root_tag"))[0]).filter(year.isNotNull())
+    tree = nodes(good, None, "schema_code", "is_first")
+    items = line_items(tree, "schema_code")
+    return tree.drop("is_first"), items, ledger
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

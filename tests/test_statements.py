@@ -198,3 +198,20 @@ def test_what_signatures_carry(objects, found):
     else:
         with pytest.raises(ValueError):
             st.unwrap(root)
+
+
+def test_nodes_and_items_of_archives_are_not_exchanged(spark):
+    """What a node needs of its document is in its row, and the first of a tag is known where it is read."""
+    xml = "<JednostkaMala><Naglowek><KodSprawozdania kodSystemowy='SFJMAT (1)'/><OkresDo>2020-12-31</OkresDo></Naglowek><BilansJednostkaMala><Aktywa><KwotaA>5</KwotaA><X><KwotaA>1</KwotaA></X></Aktywa><Pasywa><X><KwotaA>2</KwotaA></X></Pasywa></BilansJednostkaMala></JednostkaMala>"
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        z.writestr("a/s.xml", xml)
+    archives = spark.createDataFrame([(str(i), held.getvalue() if i % 3 else b"") for i in range(9)], "path string, content binary")
+    tree, items, ledger = st.ingest(archives)
+    for df in (tree, items, ledger):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.tag_path, r.value_current) for r in items.collect()) == sorted((str(i), t, v) for i in range(9) if i % 3 for t, v in (("Aktywa", 5000.0), ("X", 1000.0), ("Pasywa", 2000.0)))
+    assert {r.path: (r.reason_code, r.full_name) for r in ledger.collect()} == {str(i): (None, "a/s.xml") if i % 3 else ("unexpected_error", None) for i in range(9)}
+    deep = "<!DOCTYPE r [<!ENTITY a '" + "<x>" * 300 + "</x>" * 300 + "'>]><r>" + "<x>" * 300 + "&a;" + "</x>" * 300 + "</r>"
+    rows = st.element_rows(spark.createDataFrame([("deep", deep)], "doc_id string, content string"))
+    assert [r.facts["reason_code"] for r in rows.collect()] == ["parse_error"] and len(xml) < 7 * st.MAX_DEPTH
