@@ -27,17 +27,18 @@ class Ingested:
     attempts: DataFrame
 
 
-def ingest_documents(documents: DataFrame, archives: DataFrame, companies: DataFrame, reports: DataFrame, items: DataFrame) -> Ingested:
+def ingest_documents(documents: DataFrame, archives: DataFrame, companies: DataFrame, reports: DataFrame, items: DataFrame, *, only_ledger: bool = False) -> Ingested:
     """The statements of documents (document_id, krs, is_downloaded, storage_path, arrived) in archives (path, content).
 
     companies (krs, nip, pkd_code), reports (id, logical_key, report_version) and items (report_id, extraction_version)
     are what there is. Companies come back merged, a new fact winning unless it is null; of reports, raw sections and
     items the new rows come back, with the next version of their key. attempts: status and reason_code of each document,
     completed, failed, or skipped where it is not downloaded or has no path. No document stops another.
+    only_ledger: raw sections and items are not asked for and come back empty, so no rows of elements are made.
     """
     there = F.coalesce("is_downloaded", F.lit(False)) & F.col("storage_path").isNotNull()
     asked = documents.filter(there).select(F.col("storage_path").alias("path")).distinct()
-    tree, found, ledger = st.ingest(archives.join(asked, "path", "left_semi"))
+    tree, found, ledger = st.ingest(archives.join(asked, "path", "left_semi"), staged=not only_ledger, only_ledger=only_ledger)
     read = documents.join(ledger.drop("krs").withColumnRenamed("path", "storage_path").withColumnRenamed("status", "_read").withColumnRenamed("reason_code", "_reason"), "storage_path", "left")
     reason = F.when(~F.coalesce("is_downloaded", F.lit(False)), "not_downloaded").when(F.col("storage_path").isNull(), "no_storage_path").when(F.col("_read").isNull(), "no_xml_found").otherwise(F.col("_reason"))
     read = read.withColumn("reason_code", reason).withColumn("status", F.when(F.col("reason_code").isNull(), "completed").when(F.col("reason_code").isin("not_downloaded", "no_storage_path"), "skipped").otherwise("failed"))

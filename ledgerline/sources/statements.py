@@ -13,6 +13,7 @@ import xml.etree.ElementTree as ET
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,10 @@ _SIGNATURE_DATA = ("{http://uri.etsi.org/01903/", "{http://www.w3.org/2000/09/xm
 _ROWS = "doc_id string, kind string, section string, node_id int, parent_id int, depth int, raw_tag string, tag string, path string, has_amount boolean, a string, b string, b1 string, facts map<string,string>, is_first boolean, root_tag string, raw_code string, period_end string"
 _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
 _TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string()]
-#: Columns that all rows of a document have alike.
-_ALIKE = tuple(map(_FIELDS.index, ("doc_id", "root_tag", "raw_code", "period_end")))
+#: Columns that all documents of a form have alike, see _Form.
+_SHARED = ("kind", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", "is_first")
+#: Elements of forms that a task keeps at a time.
+_FORMS = 1 << 17
 #: Rows, and bytes of what they hold, that go to Spark at once.
 _BATCH, _BYTES = 4096, 1 << 22
 
@@ -104,20 +107,39 @@ def _batches(rows: Iterator[tuple], types: list | tuple, names: list[str], held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
 
-def _row_batches(documents: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents as batches. What all rows of a document have alike becomes Arrow values once a document."""
-
-    def made(some: list[list[tuple]]) -> pa.RecordBatch:
-        rows, last = [row for one in some for row in one], [one[-1] for one in some]
-        at = pa.array(np.repeat(np.arange(len(some)), [len(one) for one in some]))
-        columns = list(zip(*rows, strict=True))
-        alike = {i: pa.array([row[i] for row in last], _TYPES[i]).take(at) for i in _ALIKE}
-        return pa.RecordBatch.from_arrays([alike[i] if i in alike else pa.array(c, t) for i, (c, t) in enumerate(zip(columns, _TYPES, strict=True))], _FIELDS)
+def _row_batches(documents: Iterator[tuple], nodes: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows of documents, each (form, doc_id, facts, root_tag, raw_code, period_end, a, b, b1), as batches. nodes=False: only the last row of each."""
+
+    def made(some: list[tuple]) -> pa.RecordBatch:
+        forms, doc_ids, facts, roots, codes, periods, *amounts = zip(*some, strict=True)
+        place, held, end = {}, [], 0
+        for f in forms:
+            if id(f) not in place:
+                place[id(f)] = end
+                held.append(f.shared)
+                end += f.size
+        size = np.array([f.size for f in forms])
+        start = np.array([place[id(f)] for f in forms])
+        last = np.cumsum(size) - 1
+        if nodes:
+            of = np.repeat(np.arange(len(some)), size)
+            within = np.arange(len(of)) - np.repeat(last - size + 1, size)
+            rows, is_last = np.repeat(start, size) + within, np.zeros(len(of), bool)
+            is_last[last] = True
+        else:
+            of, rows, is_last = np.arange(len(some)), start + size - 1, np.ones(len(some), bool)
+        shared = pa.Table.from_batches(held).combine_chunks().take(pa.array(rows)).combine_chunks()
+        alike = {"doc_id": doc_ids, "root_tag": roots, "raw_code": codes, "period_end": periods}
+        columns = {n: pa.array(v, pa.string()).take(pa.array(of)) for n, v in alike.items()}
+        columns |= {n: shared.column(n).chunk(0) for n in _SHARED}
+        columns |= {n: pa.array([x for one in v for x in one], pa.string()) if nodes else pa.nulls(len(some), pa.string()) for n, v in zip(("a", "b", "b1"), amounts, strict=True)}
+        columns["facts"] = pa.array(facts, _TYPES[_FIELDS.index("facts")]).take(pa.array(of, mask=~is_last))
+        return pa.RecordBatch.from_arrays([columns[f] for f in _FIELDS], _FIELDS)
 
     some, size = [], 0
     for one in documents:
         some.append(one)
-        size += len(one)
+        size += one[0].size if nodes else 1
         if size >= _BATCH:
             yield made(some)
             some, size = [], 0
@@ -208,9 +230,7 @@ def choose_statements(archives: DataFrame, *, path_col: str = "path", content_co
     return archives.select(path_col, content_col).mapInArrow(run, "path string, full_name string, name string, content binary, is_statement boolean, reason_code string")
 
 
-def _too_deep(root: ET.Element, content: bytes) -> bool:
-    if len(content) < 7 * MAX_DEPTH and b"<!" not in content:  # a level takes seven bytes, where no entity stands for more
-        return False
+def _too_deep(root: ET.Element) -> bool:
     level = [root]
     for _ in range(MAX_DEPTH):
         level = [c for e in level for c in e]
@@ -219,134 +239,204 @@ def _too_deep(root: ET.Element, content: bytes) -> bool:
     return True
 
 
-def _error(doc_id: str, reason: str, **facts: str | None) -> tuple:
-    return doc_id, "error", *[None] * 11, [*{"reason_code": reason, **{k: v for k, v in facts.items() if v is not None}}.items()], *[None] * 4
+class _Form:
+    """What all documents with the same elements in the same order and nesting have alike: their rows but for texts, and where those stand.
 
+    shared: the rows' columns _SHARED, nodes first, then the header. amounts: where, among all elements in document order,
+    the texts of a, b and b1 of each row stand; one place beyond the last for none. facts: the elements that each fact may
+    be in, the first with a text counts; more: what is known without texts. code: the element of the header code.
+    """
 
-def _rows(doc_id: str, content: bytes, schemas: dict[str, dict], root: ET.Element | None = None, **more: str | None) -> list[tuple]:
-    """Element rows and one header row of a document, or one error row. root: the document, where it has been parsed; more: further facts."""
-    try:
-        root = _document(content) if root is None else root
-        if _too_deep(root, content):
-            raise ValueError(f"nested deeper than {MAX_DEPTH} elements")
-    except (ET.ParseError, ValueError) as e:
-        return [_error(doc_id, "parse_error", message=str(e)[:200], **more)]
-    there: dict[str, ET.Element] = {}  # the first element of each tag, as find() has it: without the root
-    for e in root.iter():
-        tag = e.tag
-        e.tag = tag = tag[tag.rfind("}") + 1 :]
-        if tag not in there and e is not root:
-            there[tag] = e
-
-    def text(*paths: str) -> str | None:
-        for p in paths:
-            above, _, below = p.partition("/")
-            e = there.get(above)
-            if below and e is not None:
-                e = e.find(below)
-                e = root.find(f".//{p}") if e is None else e
-            if e is not None and e.text:
-                return e.text.strip()
-        return None
-
-    code_element = there.get("KodSprawozdania")
-    raw_code = "" if code_element is None else next((v for k, v in code_element.attrib.items() if _bare(k) == "kodSystemowy"), None) or code_element.text or ""
-    facts = {
-        "root_tag": root.tag, "raw_code": raw_code, "name": text("NazwaFirmy"), "krs": text("P_1E", "P_1C"), "nip": text("P_1D", "P_1B"), "pkd": text("KodPKD"),
-        "period_start": text("P_3/DataOd", "P_2A/DataOd", "OkresOd"), "period_end": text("P_3/DataDo", "P_2A/DataDo", "OkresDo"), "date_prepared": text("DataSporzadzenia"), **more,
-    }
-    of = root.tag, raw_code, facts["period_end"]
-    seen: set[tuple[str, str]] = set()
-    out: list[tuple] = []
-
-    def walk(element: ET.Element, section: str, prefix: str) -> None:
-        """Rows of element and all below it, in document order, but for those without an amount in or below them."""
-        found: list[tuple] = []
-        ahead = [(element, -1, 0, "")]
-        item = "Bilans" if section in ("aktywa", "pasywa") else section
-        while ahead:
-            e, parent, depth, above = ahead.pop()
-            tag, at = prefix + e.tag, len(found)
-            path = f"{above}/{tag}" if above else tag
-            below, amounts = [], {}
-            for c in e:
-                if c.tag in AMOUNTS:
-                    amounts.setdefault(c.tag, c)
-                else:
-                    below.append((c, at, depth + 1, path))
-            ahead += reversed(below)
-            found.append((parent, depth, e.tag, tag, path, *map(amounts.get, AMOUNTS)))
-        # Whose amounts count for each: its own, or those of its last child that has any.
-        source = [i if f[5] is not None else None for i, f in enumerate(found)]
-        for i in range(len(found) - 1, 0, -1):
-            if source[i] is not None and source[found[i][0]] is None:
-                source[found[i][0]] = source[i]
-        number = {-1: None}
-        for i, (parent, depth, raw, tag, path, *amounts) in enumerate(found):
-            if source[i] is not None:
-                number[i] = len(out)
-                counted = [*found[source[i]][5:7], amounts[2]]
-                is_first = (item, tag) not in seen
-                seen.add((item, tag))
-                out.append((doc_id, "node", section, len(out), number[parent], depth, raw, tag, path, amounts[0] is not None, *(None if e is None else e.text for e in counted), None, is_first, *of))
-
-    def first(*names: str | None) -> ET.Element | None:
-        return next((there[n] for n in names if n in there), None)
-
-    balance = first(*[s["balance"] for s in schemas.values()])
-    for part, section in (("Aktywa", "aktywa"), ("Pasywa", "pasywa")):
-        e = None if balance is None else balance.find(part)
-        if e is not None:
-            walk(e, section, "")
-    for kind, section, prefix, variants in (("profit", "rzis", "RZiS.", {"RZiSPor": "porownawczy", "RZiSKalk": "kalkulacyjny", "RZiSKal": "kalkulacyjny"}), ("cash", "cash_flow", "CF.", {"PrzeplywyPosr": "posrednia", "PrzeplywyBezp": "bezposrednia"})):
+    def __init__(self, root: ET.Element, elements: list[ET.Element], schemas: dict[str, dict]) -> None:
+        self.shared, self.size, self.deep = _NO_NODES, 1, _too_deep(root)
+        if self.deep:
+            return
+        at = {e: i for i, e in enumerate(elements)}
+        there: dict[str, ET.Element] = {}  # the first element of each tag, as find() has it: without the root
+        for e in elements:
+            tag = e.tag
+            e.tag = tag = tag[tag.rfind("}") + 1 :]
+            if tag not in there and e is not root:
+                there[tag] = e
+
+        def places(*paths: str) -> list[int]:
+            found = []
+            for p in paths:
+                above, _, below = p.partition("/")
+                e = there.get(above)
+                if below and e is not None:
+                    e = e.find(below)
+                    e = root.find(f".//{p}") if e is None else e
+                if e is not None:
+                    found.append(at[e])
+            return found
+
+        self.root_tag, self.code = root.tag, at.get(there.get("KodSprawozdania"))
+        self.facts = [
+            (k, places(*paths)) for k, paths in (
+                ("name", ("NazwaFirmy",)), ("krs", ("P_1E", "P_1C")), ("nip", ("P_1D", "P_1B")), ("pkd", ("KodPKD",)), ("period_start", ("P_3/DataOd", "P_2A/DataOd", "OkresOd")),
+                ("period_end", ("P_3/DataDo", "P_2A/DataDo", "OkresDo")), ("date_prepared", ("DataSporzadzenia",)),
+            )
+        ]
+        self.more: dict[str, str | None] = {}
+        seen: set[tuple[str, str]] = set()
+        out: list[tuple] = []
+        none = len(elements)
+        amounts_at: list[tuple[int, ...]] = []
+
+        def walk(element: ET.Element, section: str, prefix: str) -> None:
+            """Rows of element and all below it, in document order, but for those without an amount in or below them."""
+            found: list[tuple] = []
+            ahead = [(element, -1, 0, "")]
+            item = "Bilans" if section in ("aktywa", "pasywa") else section
+            while ahead:
+                e, parent, depth, above = ahead.pop()
+                tag, here = prefix + e.tag, len(found)
+                path = f"{above}/{tag}" if above else tag
+                below, amounts = [], {}
+                for c in e:
+                    if c.tag in AMOUNTS:
+                        amounts.setdefault(c.tag, c)
+                    else:
+                        below.append((c, here, depth + 1, path))
+                ahead += reversed(below)
+                found.append((parent, depth, e.tag, tag, path, *map(amounts.get, AMOUNTS)))
+            # Whose amounts count for each: its own, or those of its last child that has any.
+            source = [i if f[5] is not None else None for i, f in enumerate(found)]
+            for i in range(len(found) - 1, 0, -1):
+                if source[i] is not None and source[found[i][0]] is None:
+                    source[found[i][0]] = source[i]
+            number = {-1: None}
+            for i, (parent, depth, raw, tag, path, *amounts) in enumerate(found):
+                if source[i] is not None:
+                    number[i] = len(out)
+                    counted = [*found[source[i]][5:7], amounts[2]]
+                    is_first = (item, tag) not in seen
+                    seen.add((item, tag))
+                    out.append(("node", section, len(out), number[parent], depth, raw, tag, path, amounts[0] is not None, is_first))
+                    amounts_at.append(tuple(none if e is None else at[e] for e in counted))
+
+        def first(*names: str | None) -> ET.Element | None:
+            return next((there[n] for n in names if n in there), None)
+
+        balance = first(*[s["balance"] for s in schemas.values()])
+        for part, section in (("Aktywa", "aktywa"), ("Pasywa", "pasywa")):
+            e = None if balance is None else balance.find(part)
+            if e is not None:
+                walk(e, section, "")
+        for kind, section, prefix, variants in (("profit", "rzis", "RZiS.", {"RZiSPor": "porownawczy", "RZiSKalk": "kalkulacyjny", "RZiSKal": "kalkulacyjny"}), ("cash", "cash_flow", "CF.", {"PrzeplywyPosr": "posrednia", "PrzeplywyBezp": "bezposrednia"})):
+            for s in schemas.values():
+                e = first(s[kind])
+                if e is None:
+                    continue
+                if s["variants"]:
+                    name = next((n for n in variants if e.find(n) is not None), None)
+                    self.more["rzis_variant" if kind == "profit" else "cf_method"] = variants.get(name)
+                    e = None if name is None else e.find(name)
+                for c in e if e is not None else ():
+                    walk(c, section, prefix)
+                break
         for s in schemas.values():
-            e = first(s[kind])
-            if e is None:
-                continue
-            if s["variants"]:
-                name = next((n for n in variants if e.find(n) is not None), None)
-                facts["rzis_variant" if kind == "profit" else "cf_method"] = variants.get(name)
-                e = None if name is None else e.find(name)
+            e = first(s["extra"][0]) if s["extra"] else None
             for c in e if e is not None else ():
-                walk(c, section, prefix)
-            break
-    for s in schemas.values():
-        e = first(s["extra"][0]) if s["extra"] else None
-        for c in e if e is not None else ():
-            walk(c, s["extra"][1], s["extra"][2])
-    return [*out, (doc_id, "header", *[None] * 11, [(k, v) for k, v in facts.items() if v is not None], None, *of)]
+                walk(c, s["extra"][1], s["extra"][2])
+        rows = [*out, ("header", *[None] * (len(_SHARED) - 1))]
+        self.size = len(rows)
+        self.shared = pa.RecordBatch.from_arrays([pa.array(c, _TYPES[_FIELDS.index(n)]) for n, c in zip(_SHARED, zip(*rows, strict=True), strict=True)], list(_SHARED))
+        # The header's own place is the one for none, twice, so that there is a tuple to get.
+        self.amounts = [itemgetter(*c, none, none) for c in zip(*amounts_at, strict=True)] or [itemgetter(none, none)] * 3
+
 
+_NO_NODES = pa.RecordBatch.from_arrays([pa.array(["error"] if n == "kind" else [None], _TYPES[_FIELDS.index(n)]) for n in _SHARED], list(_SHARED))
 
-def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", staged: bool = True) -> DataFrame:
+
+class _Error:
+    """The form of what cannot be read: one row."""
+
+    shared, size = _NO_NODES, 1
+
+
+def _error(doc_id: str, reason: str, **facts: str | None) -> tuple:
+    return _Error, doc_id, [*{"reason_code": reason, **{k: v for k, v in facts.items() if v is not None}}.items()], None, None, None, *[(None,)] * 3
+
+
+class _Reader:
+    """Reads documents; their forms are kept, as most statements share one with others, up to _FORMS elements."""
+
+    def __init__(self, schemas: dict[str, dict]) -> None:
+        self.schemas, self.forms, self.held = schemas, {}, 0
+
+    def _form(self, root: ET.Element, elements: list[ET.Element]) -> _Form:
+        # Tags in document order with the number of children of each tell the whole tree.
+        shape = tuple([e.tag for e in elements]), tuple(map(len, elements))
+        form = self.forms.get(shape)
+        if form is None:
+            form = _Form(root, elements, self.schemas)
+            if self.held + len(elements) > _FORMS:
+                self.forms, self.held = {}, 0
+            if len(elements) <= _FORMS:
+                self.forms[shape] = form
+                self.held += len(elements)
+        return form
+
+    def rows(self, doc_id: str, content: bytes, root: ET.Element | None = None, **more: str | None) -> tuple:
+        """A document as _row_batches takes it: element rows and a header row, or one error row. root: the document, where it has been parsed; more: further facts."""
+        try:
+            root = _document(content) if root is None else root
+            elements = list(root.iter())
+            form = self._form(root, elements)
+            if form.deep:
+                raise ValueError(f"nested deeper than {MAX_DEPTH} elements")
+        except (ET.ParseError, ValueError) as e:
+            return _error(doc_id, "parse_error", message=str(e)[:200], **more)
+        texts = [e.text for e in elements]
+        texts.append(None)
+        code = None if form.code is None else elements[form.code]
+        raw_code = "" if code is None else next((v for k, v in code.attrib.items() if _bare(k) == "kodSystemowy"), None) or code.text or ""
+        facts = {"root_tag": form.root_tag, "raw_code": raw_code}
+        for k, places in form.facts:
+            found = next((texts[p] for p in places if texts[p]), None)
+            facts[k] = None if found is None else found.strip()
+        facts |= more
+        facts |= form.more
+        a, b, b1 = form.amounts
+        return form, doc_id, [(k, v) for k, v in facts.items() if v is not None], form.root_tag, raw_code, facts["period_end"], a(texts)[:-1], b(texts)[:-1], b1(texts)[:-1]
+
+
+def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", staged: bool = True, only_headers: bool = False) -> DataFrame:
     """Raw element, header and error rows of each (id, XML), of which an id tells one; written as a table, for several to read.
 
     a and b are the amounts that count for a node (T2): its own, or those of its last child that has any. is_first: it is the
     first of its section and tag. root_tag, raw_code and period_end are the document's. staged=False: for one reader.
+    only_headers: for readers of headers alone, which need no rows of elements.
     """
     workers_import_us(docs.sparkSession)
     schemas = dict(SCHEMAS)  # what is registered here goes to the workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _row_batches(_rows(doc_id, content or b"", schemas) for doc_id, content in _each(batches))
+        reader = _Reader(schemas)
+        yield from _row_batches((reader.rows(doc_id, content or b"") for doc_id, content in _each(batches)), not only_headers)
 
     given = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
     rows = given.mapInArrow(run, _ROWS)
     return stage(rows, "statement-elements") if staged else rows
 
 
-def archive_rows(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
+def archive_rows(archives: DataFrame, *, path_col: str = "path", content_col: str = "content", staged: bool = True, only_headers: bool = False) -> DataFrame:
     """element_rows of the statement that choose_statements finds in each archive, in one pass; full_name is a fact of the header. An archive without one has an error row with the reason."""
     workers_import_us(archives.sparkSession)
     schemas = dict(SCHEMAS)
 
-    def read(path: str, content: bytes | None) -> list[tuple]:
+    def read(reader: _Reader, path: str, content: bytes | None) -> tuple:
         full_name, _, found, _, reason, root = _pick(content)
-        return [_error(path, reason)] if reason else _rows(path, found, schemas, root, full_name=full_name)
+        return _error(path, reason) if reason else reader.rows(path, found, root, full_name=full_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _row_batches(read(path, content) for path, content in _each(batches))
+        reader = _Reader(schemas)
+        yield from _row_batches((read(reader, path, content) for path, content in _each(batches)), not only_headers)
 
-    return stage(archives.select(F.col(path_col).cast("string"), content_col).mapInArrow(run, _ROWS), "statement-elements")
+    rows = archives.select(F.col(path_col).cast("string"), content_col).mapInArrow(run, _ROWS)
+    return stage(rows, "statement-elements") if staged else rows
 
 
 def _units(code: Column, root_tag: Column) -> tuple[Column, Column, Column]:
@@ -498,13 +588,14 @@ def empty_sections(compared: DataFrame, *keys: str) -> DataFrame:
     return compared.groupBy(*keys).agg((F.count("current") + F.count("previous") == 0).alias("is_empty"))
 
 
-def ingest(archives: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def ingest(archives: DataFrame, *, staged: bool = True, only_ledger: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The reading part of T7: archives to (nodes, line items, ledger); the ledger has a row per archive.
 
     Its status is completed or failed, with reason_code unexpected_error, no_xml_found, parse_error or
     invalid_period_end; schema and company facts come with it. Nodes and items are those of completed ones.
+    staged=False: one of the three is read, once. only_ledger: nodes and items are not asked for and come back empty.
     """
-    rows = archive_rows(archives)
+    rows = archive_rows(archives, staged=staged, only_headers=only_ledger)
     year = sc.fiscal_year(F.col("period_end"))
     reason = F.coalesce("reason_code", F.when(year.isNull(), "invalid_period_end"))
     ledger = headers(rows, "full_name").select(

@@ -5,6 +5,7 @@ import xml.etree.ElementTree as ET
 import io
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import pytest
@@ -215,3 +216,28 @@ def test_nodes_and_items_of_archives_are_not_exchanged(spark):
     deep = "<!DOCTYPE r [<!ENTITY a '" + "<x>" * 300 + "</x>" * 300 + "'>]><r>" + "<x>" * 300 + "&a;" + "</x>" * 300 + "</r>"
     rows = st.element_rows(spark.createDataFrame([("deep", deep)], "doc_id string, content string"))
     assert [r.facts["reason_code"] for r in rows.collect()] == ["parse_error"] and len(xml) < 7 * st.MAX_DEPTH
+
+
+def test_documents_of_one_form_are_walked_once(spark, monkeypatch):
+    """What does not depend on texts is found once for documents of one form; texts, empty ones and attributes are each document's own."""
+    made, form = [], st._Form
+    monkeypatch.setattr(st, "_Form", lambda *given: made.append(1) or form(*given))
+    doc = lambda i: SMALL.replace("1,5", str(i)).replace("123", "" if i % 2 else str(i)).replace("2023-12-31", f"{2000 + i}-12-31")
+    reader = st._Reader(dict(st.SCHEMAS))
+    docs = [reader.rows(str(i), x.encode()) for i in range(6) for x in (doc(i), HEADED.replace("SFJMIT", f"SFJMI{i}"))]
+    assert len(made) == 2
+    rows = pa.Table.from_batches(st._row_batches(iter(docs))).to_pylist()
+    top = [(r["doc_id"], r["a"], r["period_end"]) for r in rows if r["tag"] == "Aktywa"]
+    assert top == [(str(i), str(i), f"{2000 + i}-12-31") for i in range(6)]
+    heads = [dict(r["facts"]) for r in rows if r["kind"] == "header"]
+    assert [(h.get("krs"), h["raw_code"]) for h in heads] == [x for i in range(6) for x in ((None if i % 2 else str(i), ""), (None, f"SFJMI{i} (2)"))]
+    only = pa.Table.from_batches(st._row_batches(iter(docs), False)).to_pylist()
+    assert only == [r for r in rows if r["kind"] == "header"]
+
+
+def test_a_ledger_alone_makes_no_element_rows(spark, monkeypatch):
+    monkeypatch.setattr(st, "stage", lambda *a: pytest.fail("elements are staged"))
+    rows = [("one", zipped(a_xml="<Note/>", b_xml=SMALL)), ("none", zipped(a_txt="x"))]
+    tree, items, ledger = st.ingest(spark.createDataFrame(rows, "path string, content binary"), staged=False, only_ledger=True)
+    assert {(r.path, r.reason_code) for r in ledger.collect()} == {("one", None), ("none", "no_xml_found")}
+    assert tree.count() == items.count() == 0
