@@ -74,15 +74,20 @@ def prediction_detail(scores: DataFrame, features: DataFrame, reports: DataFrame
     spark = scores.sparkSession
     bounds = F.broadcast(catalog.threshold_table(spark).select("model_id", F.col("label").alias("risk_category"), "min_score", "max_score"))
     found = feature_snapshot_resolve(features, scores.select(F.col("id").alias("prediction_id"), "report_id", "scored_at", "snapshot"))
-    tags = found.select("prediction_id", "feature_definition_id", "value", "source").join(F.broadcast(catalog.tag_table(spark)), "feature_definition_id")
-    heads = scores.select(F.col("id").alias("prediction_id"), "report_id", "krs", "model_id", "fiscal_year", "raw_score", "risk_category").join(bounds, ["model_id", "risk_category"], "left")
+    # A prediction's features and a report's amounts are one row each until all has met; they are unfolded last.
+    found = found.groupBy("prediction_id").agg(F.collect_list(F.struct("feature_definition_id", "value", "source")).alias("_found"))
+    heads = scores.select(F.col("id").alias("prediction_id"), "report_id", "krs", "model_id", "fiscal_year", "raw_score", "risk_category")
     prior = prior_year_report(reports).select(F.col("id").alias("report_id"), "prior_id")
-    amounts = latest_line_items(items).select("report_id", "tag_path", "section", "value_current")
-    rows = heads.join(tags, "prediction_id").join(prior, "report_id", "left").join(amounts, ["report_id", "tag_path"], "left")
-    rows = rows.join(amounts.toDF("prior_id", "tag_path", "_section", "value_prior"), ["prior_id", "tag_path"], "left")
+    tags = sorted({t for d in catalog.FEATURES for t in d[4]})
+    amounts = latest_line_items(items.filter(F.col("tag_path").isin(tags)).select("report_id", "section", "tag_path", "extraction_version", "value_current").repartition("report_id"))
+    amounts = amounts.groupBy("report_id").agg(F.collect_list(F.struct("tag_path", "section", "value_current")).alias("_now"))
+    rows = heads.join(found, "prediction_id").join(prior, "report_id", "left").join(amounts, "report_id", "left").join(amounts.toDF("prior_id", "_then"), "prior_id", "left")
+    rows = rows.join(bounds, ["model_id", "risk_category"], "left").select("*", F.explode("_found").alias("_f")).select("*", "_f.*").join(F.broadcast(catalog.tag_table(spark)), "feature_definition_id")
+    own = lambda column: F.explode_outer(F.filter(column, lambda x: x["tag_path"] == F.col("tag_path")))
+    rows = rows.select("*", own("_now").alias("_n")).select("*", own("_then").alias("_p"))
     return rows.select(
-        "krs", "model_id", "fiscal_year", "raw_score", "risk_category", "min_score", "max_score", "feature_definition_id", "value", "source", "tag_path", F.coalesce("section", "_section").alias("section"),
-        "value_current", "value_prior", sc.tag_direction(F.col("tag_path")).alias("higher_is_better"),
+        "krs", "model_id", "fiscal_year", "raw_score", "risk_category", "min_score", "max_score", "feature_definition_id", "value", "source", "tag_path", F.coalesce("_n.section", "_p.section").alias("section"),
+        F.col("_n.value_current").alias("value_current"), F.col("_p.value_current").alias("value_prior"), sc.tag_direction(F.col("tag_path")).alias("higher_is_better"),
     )
 
 

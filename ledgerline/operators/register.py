@@ -190,22 +190,23 @@ def visible_reports(users: DataFrame, grants: DataFrame, reports: DataFrame, use
     return reports.join(own if user else own.limit(0), "krs", "left_semi").select(reports.columns)
 
 
-def _with_versions(features: DataFrame, requests: DataFrame) -> DataFrame:
-    """For each request and each feature of its report: then, the newest valid version (computed_at, computation_version, value) as of scored_at, and newest, of all.
+def _with_versions(features: DataFrame, requests: DataFrame, **carried: Column) -> DataFrame:
+    """For each request (prediction_id, report_id, scored_at) and each feature of its report: then, the newest valid version (computed_at, computation_version, value) as of scored_at, and newest, of all.
 
     Requests and versions are merged in the order of time, and the newest version so far is carried along: rows grow with
-    versions and with what is asked for, not with their product. A request without a time sees all.
+    versions and with what is asked for, not with their product. A request without a time sees all. carried: columns of a
+    request and a feature that go along instead of the request's own others.
     """
     version = F.struct("computed_at", "computation_version", "value")
     valid = features.filter("is_valid").select("report_id", "feature_definition_id", "computed_at", version.alias("version"))
     newest = valid.groupBy("report_id", "feature_definition_id").agg(F.max("version").alias("newest"))
-    asked = requests.join(newest, "report_id").withColumn("at", F.col("scored_at"))
+    asked = requests.join(newest, "report_id").select("prediction_id", "report_id", F.col("scored_at").alias("at"), "feature_definition_id", "newest", *[c.alias(n) for n, c in carried.items()])
     # What has no time comes after all that has: versions for requests without a time alone.
     rows = valid.select("report_id", "feature_definition_id", F.col("computed_at").alias("at"), F.lit(0).alias("kind"), "version")
     rows = rows.unionByName(asked.withColumn("kind", F.lit(1)), allowMissingColumns=True).withColumn("never", F.col("at").isNull())
     key = ["report_id", "feature_definition_id"]
     rows = running(in_order(rows, key, ["never", "at", "kind", "prediction_id"]), key, {"then": ("max", F.col("version"))})
-    return rows.filter("kind = 1").select(*requests.columns, "feature_definition_id", "then", "newest")
+    return rows.filter("kind = 1").select("prediction_id", "report_id", "feature_definition_id", "then", "newest", *carried)
 
 
 def features_as_of(features: DataFrame, requests: DataFrame) -> DataFrame:
@@ -216,13 +217,13 @@ def features_as_of(features: DataFrame, requests: DataFrame) -> DataFrame:
 
 def feature_snapshot_resolve(features: DataFrame, requests: DataFrame) -> DataFrame:
     """By snapshot if all its features are there, else as of scoring, else the newest; source says which."""
-    rows = _with_versions(features, requests.select("prediction_id", "report_id", "scored_at", "snapshot"))
-    rows = rows.withColumn("computation_version", F.col("snapshot")[F.col("feature_definition_id")])
+    asked = F.col("snapshot")[F.col("feature_definition_id")]
+    rows = _with_versions(features, requests.select("prediction_id", "report_id", "scored_at", "snapshot"), computation_version=asked, _size=F.size("snapshot"))
     exact = features.filter("is_valid").select("report_id", "feature_definition_id", "computation_version", F.struct("computation_version", "value").alias("exact"))
     rows = rows.join(exact, ["report_id", "feature_definition_id", "computation_version"], "left").drop("computation_version")
     own = W.partitionBy("prediction_id")
     rows = rows.withColumn("_n", F.count("exact").over(own)).withColumn("_any", F.count("then").over(own))
-    source = F.when((F.col("_n") > 0) & (F.col("_n") == F.size("snapshot")), "snapshot").when(F.col("_any") > 0, "as_of").otherwise("latest")
+    source = F.when((F.col("_n") > 0) & (F.col("_n") == F.col("_size")), "snapshot").when(F.col("_any") > 0, "as_of").otherwise("latest")
     version = lambda c: F.struct(f"{c}.computation_version", f"{c}.value")
     chosen = F.when(F.col("source") == "snapshot", F.col("exact")).when(F.col("source") == "latest", version("newest")).when(F.col("then").isNotNull(), version("then"))
     rows = rows.withColumn("source", source).withColumn("chosen", chosen).filter("chosen is not null")

@@ -202,3 +202,23 @@ def test_fuzzy_search_joins_no_names_back(spark):
     assert found.count() == found.select("id").distinct().count() > 26000
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastExchange") <= 1 and "aggregate(" not in plan
+
+
+def test_amounts_meet_predictions_a_row_a_report(spark):
+    """Tags of several sections give a row each, and rows of items are exchanged once, not once for each side of a comparison."""
+    from ledgerline.functions import catalog
+    from ledgerline.operators import analysis as an
+
+    at = datetime(2024, 1, 1)
+    reports = spark.createDataFrame([("new", "k", "s", "t", 2021, "completed", 1, at), ("old", "k", "s", "t", 2020, "completed", 1, at)], "id string, krs string, data_source_id string, report_type string, fiscal_year int, ingestion_status string, report_version int, created_at timestamp")
+    items = [("new", "A", "Aktywa", 1, 1.0), ("new", "A", "Aktywa", 2, 2.0), ("new", "B", "Aktywa", 1, 3.0), ("old", "A", "Aktywa", 1, 4.0), ("old", "A", "RZiS.L", 1, 5.0)]
+    items = spark.createDataFrame(items, "report_id string, section string, tag_path string, extraction_version int, value_current double")
+    features = spark.createDataFrame([("new", "roa", 1, 0.5, True, at)], "report_id string, feature_definition_id string, computation_version int, value double, is_valid boolean, computed_at timestamp")
+    scores = spark.createDataFrame([("p", "new", "k", "m", 2021, 1.0, "low", at, {"roa": 1})], "id string, report_id string, krs string, model_id string, fiscal_year int, raw_score double, risk_category string, scored_at timestamp, snapshot map<string, int>")
+    found = an.prediction_detail(scores, features, reports, items)
+    key = lambda r: tuple(map(str, r))
+    got = sorted(((r.tag_path, r.section, r.value_current, r.value_prior) for r in found.collect()), key=key)
+    want = {"Aktywa": [("Aktywa", "A", 2.0, 4.0), ("Aktywa", "B", 3.0, 4.0)], "RZiS.L": [("RZiS.L", "A", None, 5.0)]}
+    assert got == sorted((x for t in next(d[4] for d in catalog.FEATURES if d[0] == "roa") for x in want[t]), key=key)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "tag_path" not in "".join(line for line in plan.splitlines() if "Join" in line)
