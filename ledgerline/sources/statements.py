@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import base64
 import io
+import re
+import struct
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
@@ -87,11 +89,60 @@ def unwrap(root: ET.Element) -> ET.Element:
     return next(filter(_has_sections, carried), carried[0])
 
 
-def _files(content: bytes | None) -> Iterator[tuple[zipfile.ZipInfo, Callable[[], bytes]]]:
-    """The files of an archive by full name, each with a function that unpacks it."""
-    with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
+_END, _ENTRY, _LOCAL = struct.Struct("<4s4H2IH"), struct.Struct("<4s6H3I5H2I"), struct.Struct("<4s5H3I2H")
+
+
+def _plain_files(content: bytes) -> list[tuple[str, int, Callable[[], bytes]]] | None:
+    """What _files gives, of archives of the plainest kind: ASCII names, members stored or deflated one after the other, no extras. None for all others, and for what zipfile might find fault with."""
+    if len(content) < _END.size:
+        return None
+    sign, disk, first_disk, here, n, size, at, comment = _END.unpack_from(content, len(content) - _END.size)
+    if sign != b"PK\5\6" or disk or first_disk or here != n or comment or at + size != len(content) - _END.size:
+        return None
+    found, end, stop = [], 0, at + size
+    for _ in range(n):
+        if at + _ENTRY.size > stop:
+            return None
+        sign, _, needs, flags, method, time, date, crc, packed, full, name, extra, comment, disk, _, _, start = _ENTRY.unpack_from(content, at)
+        raw = content[at + _ENTRY.size : at + _ENTRY.size + name]
+        at += _ENTRY.size + name
+        if sign != b"PK\1\2" or needs & 255 > 20 or flags not in (0, 0x800) or method not in (0, 8) or extra or comment or disk or start < end or start + _LOCAL.size > stop - size:
+            return None
+        local = _LOCAL.unpack_from(content, start)
+        data = start + _LOCAL.size + name
+        end = data + packed
+        if local[0] != b"PK\3\4" or local[2:9] != (flags, method, time, date, crc, packed, full) or local[9:] != (name, 0) or content[start + _LOCAL.size : data] != raw or end > stop - size or not raw.isascii() or b"\0" in raw:
+            return None
+        if not raw.endswith(b"/"):
+            found.append((raw.decode(), full, lambda k=len(found), a=data, b=end, m=method, c=crc, f=full: _unpacked(content, k, a, b, m, c, f)))
+    return sorted(found, key=itemgetter(0)) if at == stop else None
+
+
+def _unpacked(content: bytes, number: int, start: int, end: int, method: int, crc: int, size: int) -> bytes:
+    """A member by its place; where that is not what the directory says, zipfile tells what is wrong with it. number: its own among the files."""
+    try:
+        data = content[start:end]
+        if method:
+            inflate = zlib.decompressobj(-15)
+            data = inflate.decompress(data, size + 1)
+        if len(data) == size and zlib.crc32(data) == crc:
+            return data
+    except zlib.error:
+        pass
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return z.read([i for i in z.infolist() if not i.is_dir()][number])
+
+
+def _files(content: bytes | None) -> Iterator[tuple[str, int, Callable[[], bytes]]]:
+    """The files of an archive by full name, each with its size and a function that unpacks it."""
+    content = content or b""
+    plain = _plain_files(content)
+    if plain is not None:
+        yield from plain
+        return
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         for i in sorted((i for i in z.infolist() if not i.is_dir()), key=lambda i: i.filename):
-            yield i, lambda i=i: z.read(i)
+            yield i.filename, i.file_size, lambda i=i: z.read(i)
 
 
 def _batches(rows: Iterator[tuple], types: list | tuple, names: list[str], held: int | None = None) -> Iterator[pa.RecordBatch]:
@@ -164,12 +215,12 @@ def members(archives: DataFrame, *, path_col: str = "path", content_col: str = "
 
     def rows_of(path: str, content: bytes | None) -> Iterator[tuple]:
         try:
-            for i, unpack in _files(content):
-                name = i.filename.rsplit("/", 1)[-1]
+            for full_name, size, unpack in _files(content):
+                name = full_name.rsplit("/", 1)[-1]
                 try:
-                    yield path, i.filename, name, i.file_size, name.rpartition(".")[2].lower() if "." in name else "", unpack()
+                    yield path, full_name, name, size, name.rpartition(".")[2].lower() if "." in name else "", unpack()
                 except _BROKEN as e:
-                    yield path, i.filename, name, i.file_size, "error", str(e).encode()
+                    yield path, full_name, name, size, "error", str(e).encode()
         except _BROKEN as e:
             yield path, None, None, 0, "error", str(e).encode()
 
@@ -191,24 +242,24 @@ def is_statement(content: bytes) -> bool:
         return False
 
 
-def _pick(content: bytes | None) -> tuple:
-    """(full_name, name, content, is_statement, reason_code, root) of an archive, see choose_statements; root is that of a statement."""
+def _pick(content: bytes | None, reader: _Reader) -> tuple:
+    """(full_name, name, content, is_statement, reason_code, document) of an archive, see choose_statements; document is a statement as reader has read it."""
     first = None
     try:
-        for i, unpack in _files(content):
-            if i.filename.lower().endswith((".xml", ".xades")):
+        for full_name, _, unpack in _files(content):
+            if full_name.lower().endswith((".xml", ".xades")):
                 try:
                     found = unpack()
                 except _BROKEN:
                     continue
-                name = i.filename.rsplit("/", 1)[-1]
+                name = full_name.rsplit("/", 1)[-1]
                 try:
-                    root = _document(found)
-                    if _has_sections(root):
-                        return i.filename, name, found, True, None, root
+                    document = reader.read(found)
+                    if document[0].is_statement:
+                        return full_name, name, found, True, None, document
                 except (ET.ParseError, ValueError):
                     pass
-                first = first or (i.filename, name, found, False, None, None)
+                first = first or (full_name, name, found, False, None, None)
     except _BROKEN:
         return None, None, None, False, "unexpected_error", None
     return first or (None, None, None, False, "no_xml_found", None)
@@ -224,8 +275,11 @@ def choose_statements(archives: DataFrame, *, path_col: str = "path", content_co
     workers_import_us(archives.sparkSession)
     names, types = ["path", "full_name", "name", "content", "is_statement", "reason_code"], (pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_(), pa.string())
 
+    schemas = dict(SCHEMAS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _batches(((path, *_pick(content)[:5]) for path, content in _each(batches)), types, names, 3)
+        reader = _Reader(schemas)
+        yield from _batches(((path, *_pick(content, reader)[:5]) for path, content in _each(batches)), types, names, 3)
 
     return archives.select(path_col, content_col).mapInArrow(run, "path string, full_name string, name string, content binary, is_statement boolean, reason_code string")
 
@@ -360,11 +414,31 @@ def _error(doc_id: str, reason: str, **facts: str | None) -> tuple:
     return _Error, doc_id, [*{"reason_code": reason, **{k: v for k, v in facts.items() if v is not None}}.items()], None, None, None, *[(None,)] * 3
 
 
+#: Bytes that need no second look in a document, see _Reader; what comes between < and >.
+_FINE, _TAG = bytes([9, 10, *range(32, 256)]), re.compile("<([^>]*)>")
+
+
+class _Read:
+    """A document as it was parsed: its form, whether it has sections of a statement, and what attributes say of its header code. places: where its texts are among the pieces of it, for those with the same tags."""
+
+    def __init__(self, form: _Form, is_statement: bool, code: ET.Element | None) -> None:
+        self.form, self.is_statement, self.places = form, is_statement, None
+        self.raw_code = None if code is None else next((v for k, v in code.attrib.items() if _bare(k) == "kodSystemowy"), None)
+
+
 class _Reader:
-    """Reads documents; their forms are kept, as most statements share one with others, up to _FORMS elements."""
+    """Reads documents; their forms are kept, as most statements share one with others, up to _FORMS elements.
+
+    A document with the very tags of one that has been parsed, attributes and blanks included, is as well formed as that
+    one, as long as what lies between tags is plain text: so its texts are taken from between them and it is not parsed
+    again. Where anything else may be between them (references, comments, sections of data, returns, control
+    characters), or texts decide what an envelope carries, it is.
+    """
 
     def __init__(self, schemas: dict[str, dict]) -> None:
         self.schemas, self.forms, self.held = schemas, {}, 0
+        self.known: dict[tuple[str, ...], _Read] = {}
+        self.tags = 0
 
     def _form(self, root: ET.Element, elements: list[ET.Element]) -> _Form:
         # Tags in document order with the number of children of each tell the whole tree.
@@ -379,20 +453,57 @@ class _Reader:
                 self.held += len(elements)
         return form
 
-    def rows(self, doc_id: str, content: bytes, root: ET.Element | None = None, **more: str | None) -> tuple:
-        """A document as _row_batches takes it: element rows and a header row, or one error row. root: the document, where it has been parsed; more: further facts."""
+    def _keep(self, read: _Read, tags: tuple[str, ...], pieces: list[str | None], document: ET.Element, elements: list[ET.Element]) -> None:
+        """Keep read for documents with the same tags, if the texts of this one are what lies behind its elements' tags."""
+        every = list(document.iter())
+        starts = [k for k, t in enumerate(tags) if t[:1] != "/"]
+        starts = starts[1:] if tags[0][:1] == "?" else starts
+        if len(starts) != len(every) or len(tags) > _FORMS or any(tags[k][:1] in ("!", "?", "") for k in starts):
+            return
+        # Behind a tag that closes itself is no text of its element: there the place of none counts, which is the last.
+        places = [len(pieces) - 1 if tags[k][-1:] == "/" else 2 * k + 2 for k in starts]
+        if any((pieces[p] or None) != (e.text or None) for p, e in zip(places, every, strict=True)):
+            return
+        at = {id(e): p for e, p in zip(every, places, strict=True)}
+        if not all(id(e) in at for e in elements):
+            return
+        read.places = itemgetter(*[at[id(e)] for e in elements], -1)
+        if self.tags + len(tags) > _FORMS:
+            self.known, self.tags = {}, 0
+        self.known[tags] = read
+        self.tags += len(tags)
+
+    def read(self, content: bytes) -> tuple[_Read, list[str | None]]:
+        """A document and the texts of its elements in document order, with one for none at the end."""
+        text, tags = content.decode("utf-8", "replace"), ()
+        if not content.translate(None, _FINE) and "&" not in text and "]]>" not in text and "\ufffe" not in text and "\uffff" not in text:
+            pieces = _TAG.split(text)
+            tags, outside = tuple(pieces[1::2]), pieces[0] + pieces[-1] + (pieces[2] if len(pieces) > 2 and pieces[1][:1] == "?" else "")
+            pieces.append(None)
+            read = self.known.get(tags)
+            if read is not None and not outside.strip(" \t\n") and not (pieces[0] and tags[0][:1] == "?"):
+                return read, [t or None for t in read.places(pieces)]
+        document = ET.fromstring(text)
+        root = unwrap(document)
+        # An Object without elements carries what its text says, so other texts may be another document.
+        settled = root is document or all(map(len, document.iter(_SIGNED)))
+        elements, is_statement = list(root.iter()), _has_sections(root)
+        form = self._form(root, elements)
+        read = _Read(form, is_statement, None if form.deep or form.code is None else elements[form.code])
+        if tags and settled:
+            self._keep(read, tags, pieces, document, elements)
+        return read, [*[e.text for e in elements], None]
+
+    def rows(self, doc_id: str, content: bytes, document: tuple | None = None, **more: str | None) -> tuple:
+        """A document as _row_batches takes it: element rows and a header row, or one error row. document: it as read, where it has been; more: further facts."""
         try:
-            root = _document(content) if root is None else root
-            elements = list(root.iter())
-            form = self._form(root, elements)
+            read, texts = self.read(content) if document is None else document
+            form = read.form
             if form.deep:
                 raise ValueError(f"nested deeper than {MAX_DEPTH} elements")
         except (ET.ParseError, ValueError) as e:
             return _error(doc_id, "parse_error", message=str(e)[:200], **more)
-        texts = [e.text for e in elements]
-        texts.append(None)
-        code = None if form.code is None else elements[form.code]
-        raw_code = "" if code is None else next((v for k, v in code.attrib.items() if _bare(k) == "kodSystemowy"), None) or code.text or ""
+        raw_code = read.raw_code or ("" if form.code is None else texts[form.code] or "")
         facts = {"root_tag": form.root_tag, "raw_code": raw_code}
         for k, places in form.facts:
             found = next((texts[p] for p in places if texts[p]), None)
@@ -428,8 +539,8 @@ def archive_rows(archives: DataFrame, *, path_col: str = "path", content_col: st
     schemas = dict(SCHEMAS)
 
     def read(reader: _Reader, path: str, content: bytes | None) -> tuple:
-        full_name, _, found, _, reason, root = _pick(content)
-        return _error(path, reason) if reason else reader.rows(path, found, root, full_name=full_name)
+        full_name, _, found, _, reason, document = _pick(content, reader)
+        return _error(path, reason) if reason else reader.rows(path, found, document, full_name=full_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(schemas)
@@ -439,21 +550,24 @@ def archive_rows(archives: DataFrame, *, path_col: str = "path", content_col: st
     return stage(rows, "statement-elements") if staged else rows
 
 
-def _units(code: Column, root_tag: Column) -> tuple[Column, Column, Column]:
-    """Schema, header code and multiplier of a document with the raw code and root tag."""
+def _with_units(rows: DataFrame, code: Column, root_tag: Column) -> DataFrame:
+    """rows with _code, _schema and _multiplier: header code, schema and multiplier of a document with the raw code and root tag.
+
+    One is made of the other, column by column, so that a row's code is looked for once and not wherever it is asked for.
+    """
     roots = {r: c for c, s in SCHEMAS.items() for r in s["roots"]}
     units = F.create_map(*[F.lit(x) for c, s in SCHEMAS.items() for x in (c, s["multiplier"])])
-    code = sc.header_code(F.coalesce(code, F.lit("")))
-    schema = sc.detect_schema(code, F.create_map(*[F.lit(x) for kv in roots.items() for x in kv])[root_tag])
-    return schema, code, sc.unit_multiplier(code, F.coalesce(root_tag, F.lit("")), units[schema])
+    rows = rows.withColumn("_code", sc.header_code(F.coalesce(code, F.lit(""))))
+    rows = rows.withColumn("_schema", sc.detect_schema(F.col("_code"), F.create_map(*[F.lit(x) for kv in roots.items() for x in kv])[root_tag]))
+    return rows.withColumn("_multiplier", sc.unit_multiplier(F.col("_code"), F.coalesce(root_tag, F.lit("")), units[F.col("_schema")]))
 
 
 def headers(rows: DataFrame, *more: str) -> DataFrame:
     """A row per document with schema, multiplier and company facts; reason_code where it could not be read. more: further facts."""
     f = lambda k: F.col("facts")[k]
-    schema, code, multiplier = _units(f("raw_code"), f("root_tag"))
     facts = [f(k).alias(k) for k in ("root_tag", "name", "krs", "nip", "pkd", "period_start", "period_end", "date_prepared", "rzis_variant", "cf_method", "reason_code", *more)]
-    return rows.filter("kind <> 'node'").select("doc_id", schema.alias("schema_code"), code.alias("header_code"), multiplier.alias("multiplier"), *facts)
+    rows = _with_units(rows.filter("kind <> 'node'"), f("raw_code"), f("root_tag"))
+    return rows.select("doc_id", F.col("_schema").alias("schema_code"), F.col("_code").alias("header_code"), F.col("_multiplier").alias("multiplier"), *facts)
 
 
 def nodes(rows: DataFrame, header: DataFrame | None = None, *more: str) -> DataFrame:
@@ -462,7 +576,10 @@ def nodes(rows: DataFrame, header: DataFrame | None = None, *more: str) -> DataF
     header: where multipliers come from, if not from what the rows say of their documents. more: further columns of rows.
     """
     n = rows.filter("kind = 'node'")
-    n = n.withColumn("multiplier", _units(F.col("raw_code"), F.col("root_tag"))[2]) if header is None else n.join(header.select("doc_id", "multiplier"), "doc_id")
+    if header is not None:
+        n = n.join(header.select("doc_id", "multiplier"), "doc_id")
+    else:
+        n = (n if "_multiplier" in n.columns else _with_units(n, F.col("raw_code"), F.col("root_tag"))).withColumnRenamed("_multiplier", "multiplier")
     times = lambda c, parse: parse(F.col(c)) * F.col("multiplier")
     return n.select("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", times("a", sc.parse_amount).alias("kwota_a"), times("b", sc.parse_amount).alias("kwota_b"), times("b1", sc.optional_amount).alias("kwota_b1"), *more)
 
@@ -603,7 +720,7 @@ def ingest(archives: DataFrame, *, staged: bool = True, only_ledger: bool = Fals
         F.coalesce("period_start", "period_end").alias("period_start"), "period_end", "date_prepared", year.alias("fiscal_year"),
     )
     # What decides on a document is in each of its rows, so nothing is joined.
-    good = rows.withColumn("schema_code", _units(F.col("raw_code"), F.col("root_tag"))[0]).filter(year.isNotNull())
+    good = _with_units(rows.filter(year.isNotNull()), F.col("raw_code"), F.col("root_tag")).withColumnRenamed("_schema", "schema_code")
     tree = nodes(good, None, "schema_code", "is_first")
     items = line_items(tree, "schema_code")
     return tree.drop("is_first"), items, ledger

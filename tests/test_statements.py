@@ -252,3 +252,59 @@ def test_comparison_writes_what_it_reads(spark, monkeypatch):
     t = Tables(spark, "/root/testdata/sf0.001")
     trees._both_years(t, t.fx_reports.select(F.col("id").alias("pair_id"), F.col("id").alias("prior_id")))
     assert {k: set(df.columns) for k, df in made.items()} == {"nodes-now": {"pair_id", "node_id", "parent_id", "tag", "kwota_a", "depth"}, "nodes-prior": {"pair_id", "node_id", "parent_id", "tag", "kwota_a"}}
+
+
+def test_documents_with_the_same_tags_are_parsed_once(spark, monkeypatch):
+    """What lies between known tags is taken as it is; whatever else a parser would make of it, or of the tags, is left to one."""
+    parsed, parse = [], st.ET.fromstring
+    monkeypatch.setattr(st.ET, "fromstring", lambda text: parsed.append(text) or parse(text))
+    signed = lambda x: f'<Signature xmlns:ds="http://www.w3.org/2000/09/xmldsig#"><ds:Object>{x}</ds:Object></Signature>'
+    plain = [SMALL.replace("1,5", str(i)).replace("123", "" if i % 2 else "x > y") for i in range(4)]
+    reader = st._Reader(dict(st.SCHEMAS))
+    for form in (lambda x: x, signed, lambda x: f'<?xml version="1.0" encoding="UTF-8"?>\n{x}\n'):
+        parsed.clear()
+        assert [reader.rows("d", form(x).encode())[5:] for x in plain] == [st._Reader(dict(st.SCHEMAS)).rows("d", form(x).encode())[5:] for x in plain]
+        assert len(parsed) == 1 + len(plain)
+    odd = [SMALL.replace("1,5", x) for x in ("1&amp;5", "1&5", "1]]>5", "1\r5", "1\x015", "1\ufffe5", "1<!--c-->5", "1<![CDATA[5]]>", "1\ufffd5", "1\x855", "1<5")]
+    odd += [SMALL + "x", "x" + SMALL, "\ufeff" + SMALL, "\n" + SMALL + " ", SMALL[:-1], SMALL + "<a", '\n<?xml version="1.0" encoding="UTF-8"?>\n' + SMALL, '<?xml version="1.0" encoding="UTF-8"?>x' + SMALL]
+    odd += [signed(base64.b64encode(x.encode()).decode()) for x in plain] + [SMALL.replace("<Empty/>", f'<Empty a="{x}"/>') for x in ("1>2", "1>3", "/")]
+    for x in [*odd, *odd]:
+        assert reader.rows("d", x.encode())[1:] == st._Reader(dict(st.SCHEMAS)).rows("d", x.encode())[1:]
+
+
+def test_plain_archives_are_read_as_zipfile_reads_them(monkeypatch):
+    """Members of plain archives without zipfile; whatever is not plain, and what is wrong, as it says."""
+    from ledgerline.plans import trees
+
+    def told(content):
+        try:
+            return [(name, size, _try(unpack)) for name, size, unpack in st._files(content)]
+        except Exception as e:  # noqa: BLE001
+            return str(e)
+
+    def _try(unpack):
+        try:
+            return unpack()
+        except Exception as e:  # noqa: BLE001
+            return str(e)
+
+    files = [("b/x.xml", SMALL), ("b/", ""), ("a/x.xml", "<a/>"), ("a/x.xml", ""), ("c", "\u0142" * 999)]
+    made = [trees._zip(files, deflate) for deflate in (False, True)] + [trees._zip([]), b"", b"PK"]
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.comment = b"c"
+        z.writestr("\u0142.xml", SMALL)
+    made.append(packed.getvalue())
+    assert all(st._plain_files(m) is not None for m in made[:3]) and not any(st._plain_files(m) for m in made[3:])
+    for m in list(made):
+        made += [m[: len(m) // 2], m + b"x", b"x" + m]
+        made += [m[:i] + bytes([m[i] ^ 0x21]) + m[i + 1 :] for i in range(0, len(m), 5)]
+    got = [told(m) for m in made]
+    monkeypatch.setattr(st, "_plain_files", lambda content: None)
+    assert got == [told(m) for m in made]
+
+
+def test_the_code_of_a_document_is_looked_for_once(spark):
+    """Each row of nodes and items asks for a multiplier and a schema, both of which the header code decides."""
+    _, items, _ = st.ingest(spark.createDataFrame([], "path string, content binary"), staged=False)
+    assert items._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract") <= 2
