@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import io
-import re
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
@@ -414,8 +413,8 @@ def _error(doc_id: str, reason: str, **facts: str | None) -> tuple:
     return _Error, doc_id, [*{"reason_code": reason, **{k: v for k, v in facts.items() if v is not None}}.items()], None, None, None, *[(None,)] * 3
 
 
-#: Bytes that need no second look in a document, see _Reader; what comes between < and >.
-_FINE, _TAG = bytes([9, 10, *range(32, 256)]), re.compile("<([^>]*)>")
+#: Bytes that need no second look in a document, see _Reader; what marks a tag there, as no document holds it.
+_FINE, _MARK = bytes([9, 10, *range(32, 256)]), "\1"
 
 
 class _Read:
@@ -456,9 +455,9 @@ class _Reader:
     def _keep(self, read: _Read, tags: tuple[str, ...], pieces: list[str | None], document: ET.Element, elements: list[ET.Element]) -> None:
         """Keep read for documents with the same tags, if the texts of this one are what lies behind its elements' tags."""
         every = list(document.iter())
-        starts = [k for k, t in enumerate(tags) if t[:1] != "/"]
-        starts = starts[1:] if tags[0][:1] == "?" else starts
-        if len(starts) != len(every) or len(tags) > _FORMS or any(tags[k][:1] in ("!", "?", "") for k in starts):
+        starts = [k for k, t in enumerate(tags) if t[1:2] != "/"]
+        starts = starts[1:] if tags[0][1:2] == "?" else starts
+        if len(starts) != len(every) or len(tags) > _FORMS or any(t[:1] != _MARK for t in tags) or any(tags[k][1:2] in ("!", "?", "") for k in starts):
             return
         # Behind a tag that closes itself is no text of its element: there the place of none counts, which is the last.
         places = [len(pieces) - 1 if tags[k][-1:] == "/" else 2 * k + 2 for k in starts]
@@ -477,11 +476,14 @@ class _Reader:
         """A document and the texts of its elements in document order, with one for none at the end."""
         text, tags = content.decode("utf-8", "replace"), ()
         if not content.translate(None, _FINE) and "&" not in text and "]]>" not in text and "\ufffe" not in text and "\uffff" not in text:
-            pieces = _TAG.split(text)
-            tags, outside = tuple(pieces[1::2]), pieces[0] + pieces[-1] + (pieces[2] if len(pieces) > 2 and pieces[1][:1] == "?" else "")
-            pieces.append(None)
+            # Texts and tags by turns, if every second piece has the mark of a < before it and there are no more of these.
+            pieces = text.replace("<", ">" + _MARK).split(">")
+            tags = tuple(pieces[1::2]) if text.count("<") == len(pieces) // 2 else ()
             read = self.known.get(tags)
-            if read is not None and not outside.strip(" \t\n") and not (pieces[0] and tags[0][:1] == "?"):
+            declared = read is not None and tags[0][1:2] == "?"
+            outside = pieces[0] + pieces[-1] + (pieces[2] if declared else "")
+            pieces.append(None)
+            if read is not None and not outside.strip(" \t\n") and not (declared and pieces[0]):
                 return read, [t or None for t in read.places(pieces)]
         document = ET.fromstring(text)
         root = unwrap(document)
