@@ -171,36 +171,69 @@ def stream_burst_detector(hits: DataFrame, *, key: str, hits_needed: int = 5, wi
     return _ordered(hits, key, _Burst(hits_needed, int(window_s * 1_000_000)), "key string, event_id long, fired boolean", late)
 
 
-class _Streak(Step):
-    row = "us long, event_id long, bad boolean"
-    state = "run int, last long"
+class _Streaks(StatefulProcessor):
+    """Carries each source's run of failures from pane to pane. Panes come in the batch in which the watermark passes them, so all that a batch brings are later than those before it."""
 
     def __init__(self, idle: int | None) -> None:
         self.idle = idle
 
-    def run(self, state, key, rows):
-        run, made = state[0] if state else 0, []
-        for _, event_id, bad in rows:
-            run = run + 1 if bad else 0
-            if bad:
-                made.append((event_id, key, run))
-        return ((run, rows[-1][0]) if run else None), made
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "run int, last long")
 
-    def ends(self, state):
-        return None if self.idle is None else state[1] + self.idle
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        run, last = (self.held.get() if self.held.exists() else None) or (0, 0)
+        made = []
+        for row in sorted(((r["pane"], r["n"], r["at"], r["us"], r["ids"]) for r in rows), key=lambda r: r[0]):
+            _, n, places, times, ids = row
+            before, runs = -1, []
+            for at, us in zip(places, times, strict=True):
+                run = run + 1 if at == before + 1 and (self.idle is None or us - last < self.idle) else 1
+                before, last = at, us
+                runs.append(run)
+            if before < n - 1:
+                run = 0
+            if runs:
+                made.append((key[0], ids, runs))
+        if run:
+            self.held.update((run, last))
+            if self.idle is not None:
+                self.handle.registerTimer(-(-(last + self.idle) // 1000) + 1)
+        else:
+            self.held.clear()
+        return (Row(source=s, ids=i, runs=r) for s, i, r in made)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        if self.held.exists() and self.held.get()[1] + self.idle <= timerValues.getCurrentWatermarkInMs() * 1000:
+            self.held.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
-def stream_failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60, idle_s: int | None = None, late: str = LATE) -> DataFrame:
+def stream_failure_streak(events: DataFrame, *, every: int = 3, most: int = 5, cooldown_s: int = 60, idle_s: int | None = None, late: str = LATE, pane: str = "10 seconds") -> DataFrame:
     """R8 over a stream, with the columns of failure_streak. A source's state is the length of its run, while it lasts.
 
+    Spark gathers a source's events by pane of time and lets a pane go when the watermark has passed it; what is done one
+    after the other, pane by pane, are the pane's failures and their places in it. So few and busy sources share all cores
+    for their events, and a task for a source has the failures of the panes that a batch closes.
     idle_s: a run whose source has been silent for so long is forgotten. That is not a rule of failure_streak, so it is off
     unless given; without it a source that fails and never returns stays, a number and a time.
     """
     from ledgerline.streaming.operators import delays
 
-    step = _Streak(None if idle_s is None else idle_s * 1_000_000)
-    rows = _ordered(events.withColumn("bad", F.col("error").isNotNull()), "source", step, "event_id long, source string, run int", late)
-    return rows.select("event_id", "source", "run", *delays(F.col("run"), every, most, cooldown_s))
+    workers_import_us(events.sparkSession)
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    event = F.struct(F.unix_micros("ts").alias("us"), "event_id", F.col("error").isNotNull().alias("bad"))
+    panes = rows.groupBy(F.window("ts", pane).alias("w"), "source").agg(F.array_sort(F.collect_list(event)).alias("e"))
+    bad = F.filter(F.transform("e", lambda x, i: F.struct(x["us"].alias("us"), x["event_id"].alias("event_id"), i.alias("at"), x["bad"].alias("bad"))), lambda x: x["bad"])
+    panes = panes.select("source", F.window_time("w").alias("closes"), F.unix_micros("w.start").alias("pane"), F.size("e").alias("n"), bad.alias("b"))
+    panes = panes.select("source", "closes", "pane", "n", F.col("b.at").alias("at"), F.col("b.us").alias("us"), F.col("b.event_id").alias("ids"))
+    step = _Streaks(None if idle_s is None else idle_s * 1_000_000)
+    runs = panes.groupBy("source").transformWithState(step, "source string, ids array<long>, runs array<int>", "append", "EventTime")
+    runs = runs.select("source", F.inline(F.arrays_zip(F.col("ids").alias("event_id"), F.col("runs").alias("run"))))
+    return runs.select("event_id", "source", "run", *delays(F.col("run"), every, most, cooldown_s))
 
 
 class _Latest(StatefulProcessor):
@@ -244,3 +277,15 @@ def stream_latest(reports: DataFrame, *, idle_ms: int = 30 * _DAY_MS) -> DataFra
     rows = rows.withWatermark("arrived", "1 second").withColumn("came", F.unix_millis("arrived"))
     step = _Latest(f"report_version {version}, us long, id string, came long", idle_ms)
     return rows.groupBy("logical_key").transformWithState(step, f"logical_key string, id string, report_version {version}", "update", "EventTime")
+
+
+def stream_newest(reports: DataFrame, *, pane: str = "30 days") -> DataFrame:
+    """R2 where keys are very many: (logical_key, id, report_version, created_us), the newest version of each key that a batch has news of.
+
+    As stream_latest, but by Spark's own aggregation, so that no key calls for Python: a key's state is its newest version of
+    those that arrived in a pane of time, and leaves when that is over. What comes for a key in another pane counts as new,
+    and a batch that brings nothing newer repeats what is known; the table that the rows are merged into keeps the highest.
+    """
+    newest = F.max(F.struct("report_version", F.unix_micros(F.col("created_at").cast("timestamp")).alias("created_us"), "id")).alias("r")
+    rows = reports.select("logical_key", "report_version", "created_at", "id", F.current_timestamp().alias("arrived")).withWatermark("arrived", "1 second")
+    return rows.groupBy(F.window("arrived", pane), "logical_key").agg(newest).select("logical_key", "r.id", "r.report_version", "r.created_us")

@@ -158,3 +158,27 @@ def test_call_stats_of_latencies_are_exact(spark):
         n = len(day)
         assert (r["total"], r["p50"], r["p95"]) == (n, day[n * 50 // 100][1], day[n * 95 // 100][1])
         assert r["error_rate"] == pytest.approx(sum(x[2] is not None for x in day) / n, abs=1e-4) and r["cache_hit_rate"] == pytest.approx(sum(x[3] for x in day) / n, abs=1e-4)
+
+
+def test_a_busy_source_gives_python_a_row_a_pane(spark):
+    """Runs over panes without a success, with nothing but successes, and of several events of one instant; what a source's task gets are panes and not events."""
+    rng, rows = random.Random(8), []
+    for i in range(400):
+        bad = i // 50 % 3 == 0 or i // 50 % 3 == 1 and rng.random() < 0.7
+        rows.append((i, 0, "s0", T0 + timedelta(milliseconds=700 * (i // 3)), bad, "e" if bad else None))
+    path = shared_path(spark, "test-in")
+    files_of(spark, shuffled(rows) + closing(rows), path, size=150)
+    got = so.run_to_end(sf.stream_failure_streak(stream(spark, path)), "append")
+    assert rows_of(got) == rows_of(so.failure_streak(spark.createDataFrame(rows, LOG))) and got.agg({"run": "max"}).first()[0] > 50
+    plan = sf.stream_failure_streak(stream(spark, path))._jdf.queryExecution().logical().toString()
+    assert "collect_list" in plan.partition("TransformWithState")[2]
+
+
+def test_newest_needs_no_python_and_keeps_the_latest_of_equal_versions(spark):
+    path, schema = shared_path(spark, "test-in"), "logical_key string, report_version int, created_at timestamp, id string"
+    for batch in ([("k", 1, T0, "a"), ("j", 5, T0, "x")], [("k", 3, T0, "c"), ("k", 2, T0, "b")], [("k", 2, T0, "d"), ("j", 5, T0 + timedelta(1), "w"), (None, 1, T0, "n")]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(path)
+    newest = sf.stream_newest(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path))
+    assert "Python" not in newest._jdf.queryExecution().logical().toString()
+    found = {tuple(r)[:3] for r in so.run_to_end(newest, "update").collect()}
+    assert found == {("k", "a", 1), ("j", "x", 5), ("k", "c", 3), ("j", "w", 5), (None, "n", 1)}
