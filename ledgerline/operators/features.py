@@ -26,6 +26,13 @@ def _over(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator, F.nullif(denominator, F.lit(0.0)))
 
 
+def _rounded(c: Column) -> Column:
+    """round(c, 6), by whole millionths where these are not near a tie or too many to be exact: that is round's result without its decimals."""
+    millionths = c * 1e6
+    plain = (F.abs(millionths) < 1e12) & (F.abs(millionths - F.floor(millionths) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(millionths + 0.5) / 1e6).otherwise(F.round(c, 6))
+
+
 def _or_zero(c: Column) -> Column:
     return F.coalesce(c, F.lit(0.0))
 
@@ -86,14 +93,49 @@ def feature(definition: tuple, v: Get) -> tuple[Column, Column]:
     return F.round(_over(v(top), v(bottom)), 6), F.coalesce(missing, F.when(v(bottom) == 0, F.lit("division_by_zero")))
 
 
+def _as_row(definition: tuple, place: dict[str, int]) -> tuple[int | None, int | None, int | None, Sequence[str], str | None]:
+    """What feature does, as numbers: kind (0 quotient, 1 difference, 2 value), places of its operands, tags that it may miss, and what its error is else."""
+    feature_id, logic, top, bottom, required = definition
+    if logic == "custom":
+        return (2, place[feature_id], None, required, "computation_returned_null") if feature_id in CUSTOM else (None, None, None, [], f"no_custom_function:{feature_id}")
+    if logic == "raw_value":
+        return (2, place[top], None, [top], None) if top else (None, None, None, [], "missing_formula")
+    if logic not in ("ratio", "difference"):
+        return None, None, None, [], f"unknown_logic:{logic}"
+    if not top or not bottom:
+        return None, None, None, [], "missing_formula"
+    return int(logic == "difference"), place[top], place[bottom], [top, bottom], "division_by_zero" if logic == "ratio" else None
+
+
 def compute_features(wide: DataFrame, definitions: Sequence[tuple] | None = None, by: Sequence[str] = ("report_id",)) -> DataFrame:
-    """By columns, feature_definition_id, value, is_valid, error_message; a row per report and definition."""
+    """By columns, feature_definition_id, value, is_valid, error_message; a row per report and definition.
+
+    Definitions are unfolded as a fixed list of places in an array of a report's values, and one formula reads them: with a
+    formula for each, the code of a row is too long a method for the JVM to compile.
+    """
+    definitions = list(definitions or catalog.FEATURES)
     get = lambda t: F.col(f"`{t}`") if t in wide.columns else F.lit(None).cast("double")
+    tags = list(dict.fromkeys(t for d in definitions for t in (d[2], d[3], *d[4]) if t))
+    customs = list(dict.fromkeys(d[0] for d in definitions if d[1] == "custom" and d[0] in CUSTOM))
+    at_tag, at_custom = {t: i for i, t in enumerate(tags)}, {c: len(tags) + i for i, c in enumerate(customs)}
+    read = [_as_row(d, at_custom if d[1] == "custom" else at_tag) for d in definitions]
+    most = max(len(r[3]) for r in read)
+    number, text = lambda x, n: F.lit(x).cast("int").alias(n), lambda x, n: F.lit(x).cast("string").alias(n)
     made = []
-    for d in definitions or catalog.FEATURES:
-        value, error = feature(d, get)
-        made.append(F.struct(F.lit(d[0]).alias("feature_definition_id"), value.alias("value"), error.isNull().alias("is_valid"), error.alias("error_message")))
-    return wide.select(*by, F.explode(F.array(*made)).alias("f")).select(*by, "f.*")
+    for d, (kind, a, b, needs, error) in zip(definitions, read, strict=True):
+        needs = [*needs, *[None] * (most - len(needs))]
+        missed = [c for i, t in enumerate(needs) for c in (number(at_tag.get(t), f"at{i}"), text(t and f"missing_tag:{t}", f"gone{i}"))]
+        made.append(F.struct(text(d[0], "id"), number(kind, "kind"), number(a, "a"), number(b, "b"), text(error, "error"), *missed))
+    values = F.array(*[get(t).cast("double") for t in tags], *[CUSTOM[c](get).cast("double") for c in customs])
+    rows = wide.select(*by, values.alias("_x")).select(*by, "_x", F.explode(F.array(*made)).alias("_d"))
+    d = lambda n: F.col("_d")[n]
+    x = lambda n: F.get("_x", d(n))
+    value = F.when(d("kind") == 0, _over(x("a"), x("b"))).when(d("kind") == 1, x("a") - x("b")).when(d("kind") == 2, x("a"))
+    rows = rows.select(*by, "_x", "_d", value.alias("_value"))
+    missing = [F.when(d(f"at{i}").isNotNull() & x(f"at{i}").isNull(), d(f"gone{i}")) for i in range(most)]
+    error = F.when(F.col("_value").isNull(), F.coalesce(*missing, d("error")))
+    rows = rows.select(*by, d("id").alias("feature_definition_id"), _rounded(F.col("_value")).alias("value"), error.alias("error_message"))
+    return rows.select(*by, "feature_definition_id", "value", F.col("error_message").isNull().alias("is_valid"), "error_message")
 
 
 def features_wide(wide: DataFrame, ids: Sequence[str], by: Sequence[str] = ("report_id",)) -> DataFrame:
@@ -143,18 +185,24 @@ def score_all(features: DataFrame, models: Sequence[catalog.LinearModel] | None
 
 
 def report_values(items: DataFrame, *, source: str | None = None, dealt: bool = False) -> DataFrame:
-    """The latest values of all catalogue tags, a row per report, as pivot_tags over W3 has them, in one aggregation.
+    """The latest values of all catalogue tags, a row per report, as pivot_tags over W3 has them.
 
-    The newest extraction of the last section that has a tag is the largest (section, version), so no window is needed.
+    The newest extraction of the last section that has a tag counts: first of each section by version, then of each report
+    by section. So most rows meet in buffers of numbers alone, which are hashed, and only a row a section is sorted.
     Items are dealt by report once, unless they are dealt already, as those of a layout by report are.
     source: a column with the report's newest extraction, of all its items.
     """
-    by_report = lambda df: (df if dealt else df.repartition("report_id")).groupBy("report_id")
     own = items if source else items.filter(F.col("tag_path").isin(catalog.TAGS))
+    own = own if dealt else own.repartition("report_id")
     tag = lambda t, c: F.when(F.col("tag_path") == t, c)
-    values = [F.max_by(tag(t, F.col("value_current")), tag(t, F.struct("section", "extraction_version"))).alias(t) for t in catalog.TAGS]
+    version = F.coalesce("extraction_version", F.lit(-(1 << 31)))
+    newest = [F.max_by(tag(t, F.col("value_current")), tag(t, version)).alias(t) for t in catalog.TAGS]
+    there = [F.count(tag(t, F.lit(1))).cast("int").alias(f"_n {t}") for t in catalog.TAGS]
+    more = [F.max("extraction_version").cast("int").alias("_source")] if source else []
+    sections = own.groupBy("report_id", "section").agg(*newest, *there, *more)
+    values = [F.max_by(f"`{t}`", F.when(F.col(f"`_n {t}`") > 0, F.struct("section"))).alias(t) for t in catalog.TAGS]
     if not source:
-        return by_report(own).agg(*values)
-    known = F.count_if(F.col("tag_path").isin(catalog.TAGS)).alias("_known")
-    rows = by_report(own).agg(*values, F.max("extraction_version").cast("int").alias(source), known)
+        return sections.groupBy("report_id").agg(*values)
+    known = F.max(F.greatest(*[F.col(f"`_n {t}`") for t in catalog.TAGS])).alias("_known")
+    rows = sections.groupBy("report_id").agg(*values, F.max("_source").alias(source), known)
     return rows.filter("_known > 0").drop("_known")
