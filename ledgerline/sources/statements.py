@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import base64
 import io
+import re
 import struct
 import xml.etree.ElementTree as ET
 import zipfile
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from operator import itemgetter
 
 import numpy as np
@@ -22,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerline.functions import catalog
 from ledgerline.functions import scalars as sc
 from ledgerline.operators.versions import latest
 from ledgerline.storage import stage, workers_import_us
@@ -43,9 +46,9 @@ _SIGNED = "{http://www.w3.org/2000/09/xmldsig#}Object"
 #: Namespaces of what signatures say of themselves (fixed values).
 _SIGNATURE_DATA = ("{http://uri.etsi.org/01903/", "{http://www.w3.org/2000/09/xmldsig#}")
 
-_ROWS = "doc_id string, kind string, section string, node_id int, parent_id int, depth int, raw_tag string, tag string, path string, has_amount boolean, a string, b string, b1 string, facts map<string,string>, is_first boolean, root_tag string, raw_code string, period_end string"
+_ROWS = "doc_id string, kind string, section string, node_id int, parent_id int, depth int, raw_tag string, tag string, path string, has_amount boolean, a string, b string, b1 string, facts map<string,string>, is_first boolean, root_tag string, raw_code string, period_end string, schema_code string, multiplier int"
 _FIELDS = [c.split()[0] for c in _ROWS.split(", ")]
-_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string()]
+_TYPES = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32()]
 #: Columns that all documents of a form have alike, see _Form.
 _SHARED = ("kind", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", "is_first")
 #: Elements of forms that a task keeps at a time.
@@ -157,8 +160,26 @@ def _batches(rows: Iterator[tuple], types: list | tuple, names: list[str], held:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
 
-def _row_batches(documents: Iterator[tuple], nodes: bool = True) -> Iterator[pa.RecordBatch]:
-    """Rows of documents, each (form, doc_id, facts, root_tag, raw_code, period_end, a, b, b1), as batches. nodes=False: only the last row of each."""
+def _units(schemas: dict[str, dict]) -> Callable[[str | None, str | None], tuple[str | None, int | None]]:
+    """Schema and multiplier of a document with a raw code and root tag, as header_code, detect_schema and unit_multiplier have them; once a document, and those of the last ones are kept."""
+    roots = {r: c for c, one in schemas.items() for r in one["roots"]}
+
+    @lru_cache(4096)
+    def of(raw: str | None, root: str | None) -> tuple[str | None, int | None]:
+        if raw is None:
+            return None, None
+        code, tag = re.match("[A-Z0-9]*", raw.strip(" ").upper())[0], (root or "").upper()
+        schema = catalog.HEADER_CODES.get(code) or roots.get(root) or "SFJINZ"
+        known = 1000 if code.endswith("T") else 1 if code.endswith("Z") else 1000 if "WTYS" in tag else 1 if "WZLOT" in tag else None
+        return schema, known or (schemas[schema]["multiplier"] if schema in schemas else None)
+
+    return of
+
+
+def _row_batches(documents: Iterator[tuple], nodes: bool = True, fields: Sequence[str] = tuple(_FIELDS), schemas: dict[str, dict] = SCHEMAS) -> Iterator[pa.RecordBatch]:
+    """The fields of rows of documents, each (form, doc_id, facts, root_tag, raw_code, period_end, a, b, b1), as batches. nodes=False: only the last row of each."""
+    like = [n for n in _SHARED if n in fields]
+    units = _units(schemas)
 
     def made(some: list[tuple]) -> pa.RecordBatch:
         forms, doc_ids, facts, roots, codes, periods, *amounts = zip(*some, strict=True)
@@ -178,13 +199,16 @@ def _row_batches(documents: Iterator[tuple], nodes: bool = True) -> Iterator[pa.
             is_last[last] = True
         else:
             of, rows, is_last = np.arange(len(some)), start + size - 1, np.ones(len(some), bool)
-        shared = pa.Table.from_batches(held).combine_chunks().take(pa.array(rows)).combine_chunks()
+        shared = pa.Table.from_batches(held).select(like).combine_chunks().take(pa.array(rows)).combine_chunks()
         alike = {"doc_id": doc_ids, "root_tag": roots, "raw_code": codes, "period_end": periods}
-        columns = {n: pa.array(v, pa.string()).take(pa.array(of)) for n, v in alike.items()}
-        columns |= {n: shared.column(n).chunk(0) for n in _SHARED}
-        columns |= {n: pa.array([x for one in v for x in one], pa.string()) if nodes else pa.nulls(len(some), pa.string()) for n, v in zip(("a", "b", "b1"), amounts, strict=True)}
-        columns["facts"] = pa.array(facts, _TYPES[_FIELDS.index("facts")]).take(pa.array(of, mask=~is_last))
-        return pa.RecordBatch.from_arrays([columns[f] for f in _FIELDS], _FIELDS)
+        alike["schema_code"], alike["multiplier"] = zip(*map(units, codes, roots), strict=True)
+        whose = pa.array(of)
+        columns = {n: pa.array(v, _TYPES[_FIELDS.index(n)]).take(whose) for n, v in alike.items() if n in fields}
+        columns |= {n: shared.column(n).chunk(0) for n in like}
+        columns |= {n: pa.array([x for one in v for x in one], pa.string()) if nodes else pa.nulls(len(some), pa.string()) for n, v in zip(("a", "b", "b1"), amounts, strict=True) if n in fields}
+        if "facts" in fields:
+            columns["facts"] = pa.array(facts, _TYPES[_FIELDS.index("facts")]).take(pa.array(of, mask=~is_last))
+        return pa.RecordBatch.from_arrays([columns[f] for f in fields], list(fields))
 
     some, size = [], 0
     for one in documents:
@@ -198,10 +222,11 @@ def _row_batches(documents: Iterator[tuple], nodes: bool = True) -> Iterator[pa.
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """The two columns of batches, row by row."""
+    """The two columns of batches, row by row, a few of which are unpacked at once."""
     for batch in batches:
-        for a, b in zip(batch.column(0), batch.column(1), strict=True):
-            yield a.as_py(), b.as_py()
+        for at in range(0, batch.num_rows, 32):
+            some = batch.slice(at, 32)
+            yield from zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True)
 
 
 def members(archives: DataFrame, *, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -421,22 +446,31 @@ class _Read:
     """A document as it was parsed: its form, whether it has sections of a statement, and what attributes say of its header code. places: where its texts are among the pieces of it, for those with the same tags."""
 
     def __init__(self, form: _Form, is_statement: bool, code: ET.Element | None) -> None:
-        self.form, self.is_statement, self.places = form, is_statement, None
+        self.form, self.is_statement, self.places, self.pieces = form, is_statement, None, 0
         self.raw_code = None if code is None else next((v for k, v in code.attrib.items() if _bare(k) == "kodSystemowy"), None)
 
 
+class _Envelope:
+    """Tags of an envelope whose Objects carry nothing but for one, which has a document as base64: where that is among its pieces."""
+
+    def __init__(self, place: int, pieces: int) -> None:
+        self.place, self.pieces = place, pieces
+
+
 class _Reader:
     """Reads documents; their forms are kept, as most statements share one with others, up to _FORMS elements.
 
     A document with the very tags of one that has been parsed, attributes and blanks included, is as well formed as that
     one, as long as what lies between tags is plain text: so its texts are taken from between them and it is not parsed
-    again. Where anything else may be between them (references, comments, sections of data, returns, control
-    characters), or texts decide what an envelope carries, it is.
+    again. Where anything else may be between them (references, comments, sections of data, control
+    characters), it is. Texts decide what an envelope with data carries; where it can only be one document, that is read
+    in the same way, if it is ASCII without a declaration and no envelope itself. nodes=False: amounts are not asked for.
     """
 
-    def __init__(self, schemas: dict[str, dict]) -> None:
-        self.schemas, self.forms, self.held = schemas, {}, 0
-        self.known: dict[tuple[str, ...], _Read] = {}
+    def __init__(self, schemas: dict[str, dict], nodes: bool = True) -> None:
+        self.schemas, self.nodes, self.forms, self.held = schemas, nodes, {}, 0
+        # By the tags' text, each with its mark; so many marks as every second piece has are so many tags.
+        self.known: dict[str, _Read | _Envelope] = {}
         self.tags = 0
 
     def _form(self, root: ET.Element, elements: list[ET.Element]) -> _Form:
@@ -452,8 +486,8 @@ class _Reader:
                 self.held += len(elements)
         return form
 
-    def _keep(self, read: _Read, tags: tuple[str, ...], pieces: list[str | None], document: ET.Element, elements: list[ET.Element]) -> None:
-        """Keep read for documents with the same tags, if the texts of this one are what lies behind its elements' tags."""
+    def _keep(self, read: _Read, tags: tuple[str, ...], pieces: list[str | None], document: ET.Element, elements: list[ET.Element], held: ET.Element | None = None) -> None:
+        """Keep read for documents with the same tags, if the texts of this one are what lies behind its elements' tags. held: the one Object that carries something, as text; then the envelope is kept."""
         every = list(document.iter())
         starts = [k for k, t in enumerate(tags) if t[1:2] != "/"]
         starts = starts[1:] if tags[0][1:2] == "?" else starts
@@ -464,38 +498,62 @@ class _Reader:
         if any((pieces[p] or None) != (e.text or None) for p, e in zip(places, every, strict=True)):
             return
         at = {id(e): p for e, p in zip(every, places, strict=True)}
-        if not all(id(e) in at for e in elements):
+        if held is not None:
+            read = _Envelope(at[id(held)], len(pieces))
+        elif all(id(e) in at for e in elements):
+            read.places, read.pieces = itemgetter(*[at[id(e)] for e in elements], -1), len(pieces)
+        else:
             return
-        read.places = itemgetter(*[at[id(e)] for e in elements], -1)
         if self.tags + len(tags) > _FORMS:
             self.known, self.tags = {}, 0
-        self.known[tags] = read
+        self.known["".join(tags)] = read
         self.tags += len(tags)
 
-    def read(self, content: bytes) -> tuple[_Read, list[str | None]]:
-        """A document and the texts of its elements in document order, with one for none at the end."""
+    def read(self, content: bytes, carried: bool = False) -> tuple[_Read, list[str | None]]:
+        """A document and the texts of its elements in document order, with one for none at the end. carried: by an envelope, so it is taken as it is."""
+        if b"\r" in content:  # ends of lines as a parser has them
+            content = content.replace(b"\r\n", b"\n").replace(b"\r", b"\n")
         text, tags = content.decode("utf-8", "replace"), ()
         if not content.translate(None, _FINE) and "&" not in text and "]]>" not in text and "\ufffe" not in text and "\uffff" not in text:
             # Texts and tags by turns, if every second piece has the mark of a < before it and there are no more of these.
             pieces = text.replace("<", ">" + _MARK).split(">")
-            tags = tuple(pieces[1::2]) if text.count("<") == len(pieces) // 2 else ()
-            read = self.known.get(tags)
+            tags = pieces[1::2] if text.count("<") == len(pieces) // 2 else ()
+            read = self.known.get("".join(tags))
             declared = read is not None and tags[0][1:2] == "?"
             outside = pieces[0] + pieces[-1] + (pieces[2] if declared else "")
             pieces.append(None)
-            if read is not None and not outside.strip(" \t\n") and not (declared and pieces[0]):
-                return read, [t or None for t in read.places(pieces)]
+            if read is not None and read.pieces == len(pieces) and not outside.strip(" \t\n") and not (declared and pieces[0]):
+                if type(read) is _Read:
+                    return read, [t or None for t in read.places(pieces)]
+                found = None if carried else self._carried(pieces[read.place])
+                if found is not None:
+                    return found
         document = ET.fromstring(text)
-        root = unwrap(document)
-        # An Object without elements carries what its text says, so other texts may be another document.
-        settled = root is document or all(map(len, document.iter(_SIGNED)))
+        root = document if carried else unwrap(document)
         elements, is_statement = list(root.iter()), _has_sections(root)
         form = self._form(root, elements)
         read = _Read(form, is_statement, None if form.deep or form.code is None else elements[form.code])
-        if tags and settled:
-            self._keep(read, tags, pieces, document, elements)
+        if tags:
+            # An Object without elements carries what its text says, so other texts may be another document.
+            objects = [] if root is document else list(document.iter(_SIGNED))
+            data = [e for e in objects if not len(e)]
+            if not data:
+                self._keep(read, tags, pieces, document, elements)
+            elif len(data) == 1 and data[0].get("Encoding", "base64").endswith("base64") and not any(_carried(e) for e in objects if e is not data[0]):
+                self._keep(read, tags, pieces, document, elements, data[0])
         return read, [*[e.text for e in elements], None]
 
+    def _carried(self, text: str) -> tuple[_Read, list[str | None]] | None:
+        """The document that an envelope has as base64, if it can be read as any other."""
+        try:
+            content = base64.b64decode(text)
+            if content.isascii() and content[:1] == b"<" and content[1:2] not in (b"?", b"!"):
+                name = re.match(rb"<(?:[^\s:/>]*:)?([^\s/>]*)", content)[1]
+                return None if name in (b"Signatures", b"Signature") or content.translate(None, _FINE) else self.read(content, True)
+        except (ET.ParseError, ValueError):
+            pass
+        return None
+
     def rows(self, doc_id: str, content: bytes, document: tuple | None = None, **more: str | None) -> tuple:
         """A document as _row_batches takes it: element rows and a header row, or one error row. document: it as read, where it has been; more: further facts."""
         try:
@@ -512,26 +570,29 @@ class _Reader:
             facts[k] = None if found is None else found.strip()
         facts |= more
         facts |= form.more
+        if not self.nodes:
+            return form, doc_id, [(k, v) for k, v in facts.items() if v is not None], form.root_tag, raw_code, facts["period_end"], None, None, None
         a, b, b1 = form.amounts
         return form, doc_id, [(k, v) for k, v in facts.items() if v is not None], form.root_tag, raw_code, facts["period_end"], a(texts)[:-1], b(texts)[:-1], b1(texts)[:-1]
 
 
-def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", staged: bool = True, only_headers: bool = False) -> DataFrame:
+def element_rows(docs: DataFrame, *, id_col: str = "doc_id", content_col: str = "content", staged: bool = True, only_headers: bool = False, fields: Sequence[str] = tuple(_FIELDS)) -> DataFrame:
     """Raw element, header and error rows of each (id, XML), of which an id tells one; written as a table, for several to read.
 
     a and b are the amounts that count for a node (T2): its own, or those of its last child that has any. is_first: it is the
     first of its section and tag. root_tag, raw_code and period_end are the document's. staged=False: for one reader.
-    only_headers: for readers of headers alone, which need no rows of elements.
+    only_headers: for readers of headers alone, which need no rows of elements. fields: the columns that are asked for.
     """
     workers_import_us(docs.sparkSession)
     schemas = dict(SCHEMAS)  # what is registered here goes to the workers
+    fields = [f for f in _FIELDS if f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(schemas)
-        yield from _row_batches((reader.rows(doc_id, content or b"") for doc_id, content in _each(batches)), not only_headers)
+        reader = _Reader(schemas, not only_headers)
+        yield from _row_batches((reader.rows(doc_id, content or b"") for doc_id, content in _each(batches)), not only_headers, fields, schemas)
 
     given = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(content_col).cast("binary").alias("content"))
-    rows = given.mapInArrow(run, _ROWS)
+    rows = given.mapInArrow(run, ", ".join(c for c in _ROWS.split(", ") if c.split()[0] in fields))
     return stage(rows, "statement-elements") if staged else rows
 
 
@@ -545,8 +606,8 @@ def archive_rows(archives: DataFrame, *, path_col: str = "path", content_col: st
         return _error(path, reason) if reason else reader.rows(path, found, document, full_name=full_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(schemas)
-        yield from _row_batches((read(reader, path, content) for path, content in _each(batches)), not only_headers)
+        reader = _Reader(schemas, not only_headers)
+        yield from _row_batches((read(reader, path, content) for path, content in _each(batches)), not only_headers, schemas=schemas)
 
     rows = archives.select(F.col(path_col).cast("string"), content_col).mapInArrow(run, _ROWS)
     return stage(rows, "statement-elements") if staged else rows
@@ -575,23 +636,23 @@ def headers(rows: DataFrame, *more: str) -> DataFrame:
 def nodes(rows: DataFrame, header: DataFrame | None = None, *more: str) -> DataFrame:
     """Statement nodes with amounts in whole units; a node without own amounts has its last child's.
 
-    header: where multipliers come from, if not from what the rows say of their documents. more: further columns of rows.
+    header: where multipliers come from, if not from what the rows say of their documents. more: further columns of rows. Of rows without all fields, what they have.
     """
     n = rows.filter("kind = 'node'")
     if header is not None:
-        n = n.join(header.select("doc_id", "multiplier"), "doc_id")
-    else:
-        n = (n if "_multiplier" in n.columns else _with_units(n, F.col("raw_code"), F.col("root_tag"))).withColumnRenamed("_multiplier", "multiplier")
+        n = n.drop("multiplier").join(header.select("doc_id", "multiplier"), "doc_id")
     times = lambda c, parse: parse(F.col(c)) * F.col("multiplier")
-    return n.select("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount", times("a", sc.parse_amount).alias("kwota_a"), times("b", sc.parse_amount).alias("kwota_b"), times("b1", sc.optional_amount).alias("kwota_b1"), *more)
+    there = [c for c in ("doc_id", "section", "node_id", "parent_id", "depth", "raw_tag", "tag", "path", "has_amount") if c in n.columns]
+    amounts = (("a", sc.parse_amount, "kwota_a"), ("b", sc.parse_amount, "kwota_b"), ("b1", sc.optional_amount, "kwota_b1"))
+    return n.select(*there, *[times(c, parse).alias(name) for c, parse, name in amounts if c in n.columns], *more)
 
 
 def line_items(tree: DataFrame, *more: str) -> DataFrame:
     """T4: one item per document, section and tag, the first in document order. Trees that say which is_first are read in place."""
     section = F.when(F.col("section").isin("aktywa", "pasywa"), "Bilans").when(F.col("section") == "rzis", "RZiS").when(F.col("section") == "cash_flow", "CF").otherwise(F.col("section"))
     first = "is_first" in tree.columns
-    rows = (tree.filter("is_first") if first else tree).select("doc_id", section.alias("section"), F.col("tag").alias("tag_path"), F.col("kwota_a").alias("value_current"), F.col("kwota_b").alias("value_previous"), "node_id", *more)
-    return rows.drop("node_id") if first else latest(rows, ["doc_id", "section", "tag_path"], [F.asc("node_id")]).drop("node_id")
+    rows = (tree.filter("is_first") if first else tree).select("doc_id", section.alias("section"), F.col("tag").alias("tag_path"), F.col("kwota_a").alias("value_current"), *[F.col("kwota_b").alias("value_previous") for c in tree.columns if c == "kwota_b"], *([] if first else ["node_id"]), *more)
+    return rows if first else latest(rows, ["doc_id", "section", "tag_path"], [F.asc("node_id")]).drop("node_id")
 
 
 def flat_values(tree: DataFrame, column: str = "kwota_a") -> DataFrame:
@@ -624,7 +685,7 @@ def raw_sections(tree: DataFrame) -> DataFrame:
     """A JSON array of nodes with their parents, in document order, per document and section; balance sheets have both sides."""
     name = F.when(F.col("section").isin("aktywa", "pasywa"), "balance_sheet").when(F.col("section") == "rzis", "income_statement").otherwise(F.col("section"))
     nodes_ = F.collect_list(F.struct("node_id", "parent_id", "depth", "tag", "kwota_a", "kwota_b"))
-    return tree.groupBy("doc_id", name.alias("section")).agg(F.to_json(F.array_sort(nodes_)).alias("data_json"))
+    return tree.groupBy("doc_id", name.alias("section")).agg(F.to_json(F.sort_array(nodes_)).alias("data_json"))
 
 
 def _met(current: DataFrame, previous: DataFrame) -> DataFrame:
@@ -722,8 +783,7 @@ def ingest(archives: DataFrame, *, staged: bool = True, only_ledger: bool = Fals
         F.coalesce("period_start", "period_end").alias("period_start"), "period_end", "date_prepared", year.alias("fiscal_year"),
     )
     # What decides on a document is in each of its rows, so nothing is joined.
-    good = _with_units(rows.filter(year.isNotNull()), F.col("raw_code"), F.col("root_tag")).withColumnRenamed("_schema", "schema_code")
-    tree = nodes(good, None, "schema_code", "is_first")
+    tree = nodes(rows.filter(year.isNotNull()), None, "schema_code", "is_first")
     items = line_items(tree, "schema_code")
     return tree.drop("is_first"), items, ledger
 
