@@ -179,9 +179,44 @@ def score(features: DataFrame, model: catalog.LinearModel, by: Sequence[str] = (
 
 
 def score_all(features: DataFrame, models: Sequence[catalog.LinearModel] | None = None, by: Sequence[str] = ("report_id",)) -> DataFrame:
-    """All models over one wide table of features, which is read once: a row's scores are an array that is unfolded."""
-    scores = F.array(*[scored(m) for m in (models or catalog.MODELS.values())])
-    return features.select(*by, F.explode(F.filter(scores, lambda s: s["raw_score"].isNotNull())).alias("s")).select(*by, "s.*")
+    """All models over one wide table of features, which is read once; columns as scored has them, models that lack a feature left out.
+
+    Models are unfolded as a fixed list, and one formula reads their coefficients and cut-offs, see compute_features.
+    """
+    models = list(models or catalog.MODELS.values())
+    ids = list(dict.fromkeys(f for m in models for f in (*m.coefficients, *([m.warning[0]] if m.warning else []))))
+    place = {f: i for i, f in enumerate(ids)}
+    most, steps = max(len(m.coefficients) for m in models), max(len(m.cutoffs) for m in models) - 1
+    lit = lambda x, kind, n: F.lit(x).cast(kind).alias(n)
+    made = []
+    for m in models:
+        terms, cuts = [*m.coefficients.items(), *[(None, None)] * (most - len(m.coefficients))], [*m.cutoffs[:-1], *[(None, None, None)] * (steps - len(m.cutoffs) + 1)]
+        warned = m.warning or (None,) * 5
+        made.append(F.struct(
+            lit(m.model_id, "string", "model_id"), lit(m.intercept or 0.0, "double", "intercept"), lit(1 if m.intercept is not None else 2, "int", "first"), lit(len(m.coefficients) + (m.intercept is not None), "int", "n"),
+            F.array(*map(F.lit, [*(["_intercept"] if m.intercept is not None else []), *m.coefficients])).alias("names"), lit(m.cutoffs[-1][1], "string", "label"), lit(m.cutoffs[-1][2], "int", "class"),
+            *[c for i, (f, k) in enumerate(terms) for c in (lit(place.get(f), "int", f"at{i}"), lit(k, "double", f"k{i}"))],
+            *[c for i, (bound, name, k) in enumerate(cuts) for c in (lit(bound, "double", f"below{i}"), lit(name, "string", f"label{i}"), lit(k, "int", f"class{i}"))],
+            *[lit(x, kind, n) for x, kind, n in zip((place.get(warned[0]), *warned[1:]), ("int", "double", "string", "string", "string"), ("w_at", "w_above", "w_text", "w_low", "w_to"), strict=True)],
+        ))
+    m = lambda n: F.col("_m")[n]
+    rows = features.select(*by, F.array(*[F.col(f).cast("double") for f in ids]).alias("_x")).select(*by, "_x", F.explode(F.array(*made)).alias("_m"))
+    terms = [F.when(m(f"at{i}").isNull(), 0.0).otherwise(m(f"k{i}") * F.get("_x", m(f"at{i}"))) for i in range(most)]
+    total = m("intercept")
+    for t in terms:
+        total = total + t
+    rows = rows.withColumn("raw_score", F.floor(total * 1e6 + 0.5) / 1e6).filter("raw_score is not null")
+    label, classified = m("label"), m("class")
+    for i in reversed(range(steps)):
+        below = F.col("raw_score") < m(f"below{i}")
+        label, classified = F.when(below, m(f"label{i}")).otherwise(label), F.when(below, m(f"class{i}")).otherwise(classified)
+    over = F.get("_x", m("w_at")) > m("w_above")
+    shares = F.map_from_arrays(m("names"), F.slice(F.array(m("intercept"), *[F.round(t, 6) for t in terms]), m("first"), m("n")))
+    rows = rows.withColumn("_label", label)
+    return rows.select(
+        *by, m("model_id").alias("model_id"), "raw_score", classified.alias("classification"), F.when(over & (F.col("_label") == m("w_low")), m("w_to")).otherwise(F.col("_label")).alias("risk_category"),
+        shares.alias("feature_contributions"), F.when(over, F.array(m("w_text"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
 
 
 def report_values(items: DataFrame, *, source: str | None = None, dealt: bool = False) -> DataFrame:
