@@ -20,6 +20,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -727,23 +728,75 @@ def compare(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _met_by_level(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """(pair_id, node_id, met, previous): the node of previous that each node of current meets, and its amount.
+def _matched(keys: np.ndarray, asked: np.ndarray, last: bool = False) -> np.ndarray:
+    """For each of asked the first or last place in keys, which are sorted, that equals it, or -1."""
+    at = np.searchsorted(keys, asked, "right" if last else "left") - last
+    return np.where((at >= 0) & (at < len(keys)) & (keys[np.clip(at, 0, len(keys) - 1)] == asked), at, -1) if len(keys) else np.full(len(asked), -1)
 
-    Level by level from the top, by integers: a top node meets the first node of its tag, wherever that is; any other the
-    last child of its tag under the node that its parent met. A level reads what the one before met and no paths.
+
+def _below(row: np.ndarray, node: pa.Array, parent: pa.Array) -> np.ndarray:
+    """The place of each node's parent among the nodes of its row, or -1."""
+    ids, code = np.unique(np.concatenate([node.to_numpy(zero_copy_only=False), parent.fill_null(0).to_numpy(zero_copy_only=False)]), return_inverse=True)
+    own, above = row * len(ids) + code[: len(row)], row * len(ids) + code[len(row) :]
+    order = np.argsort(own, kind="stable")
+    at = _matched(own[order], above)
+    return np.where((at >= 0) & parent.is_valid().to_numpy(zero_copy_only=False), order[at] if len(order) else -1, -1)
+
+
+def _meetings(node: pa.Array, parent: pa.Array, depth: pa.Array, tag: pa.Array, old_node: pa.Array, old_parent: pa.Array, old_tag: pa.Array) -> pa.Array:
+    """For each node of each row's tree its parent (up), and the node of the row's other tree that it meets (met), by places in the lists.
+
+    Level by level from the top: a top node meets the first node of its tag, wherever that is; any other the last child of
+    its tag under the node that its parent met. All rows of a batch are looked at together, by sorted numbers.
     """
-    amount = F.struct("node_id", F.col("kwota_a").alias("amount"))
-    anywhere = previous.groupBy("pair_id", "tag").agg(F.min(amount).alias("m"))
-    below = previous.filter("parent_id is not null").groupBy("pair_id", F.col("parent_id").alias("_above"), "tag").agg(F.max(amount).alias("m"))
-    met = lambda rows: rows.select("pair_id", "node_id", F.col("m.node_id").alias("met"), F.col("m.amount").alias("previous"))
-    level = stage(met(current.filter("parent_id is null").join(anywhere, ["pair_id", "tag"])), "trees-met")
-    found, depth = level, current.agg(F.max("depth")).first()[0] or 0
-    for at in range(1, depth + 1):
-        above = level.select("pair_id", F.col("node_id").alias("parent_id"), F.col("met").alias("_above"))
-        level = stage(met(current.filter(F.col("depth") == at).join(above, ["pair_id", "parent_id"]).join(below, ["pair_id", "_above", "tag"])), "trees-met")
-        found = found.unionByName(level)
-    return found
+    rows = [np.repeat(np.arange(len(x)), pc.list_value_length(x).fill_null(0).to_numpy(zero_copy_only=False)) for x in (node, old_node)]
+    starts = [np.searchsorted(r, np.arange(len(node))) for r in rows]
+    node, parent, depth, tag, old_node, old_parent, old_tag = (x.flatten() for x in (node, parent, depth, tag, old_node, old_parent, old_tag))
+    tags = pa.concat_arrays([tag, old_tag]).dictionary_encode().indices
+    code, n = tags.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), len(node)
+    told, tags_n = tags.is_valid().to_numpy(zero_copy_only=False), int(code.max(initial=0)) + 1
+    up, old_up = _below(rows[0], node, parent), _below(rows[1], old_node, old_parent)
+
+    def index(keys: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(some & told[n:])
+        order = at[np.lexsort((old_node.to_numpy(zero_copy_only=False)[at], keys[at]))]
+        return keys[order], order
+
+    def look(keys: np.ndarray, order: np.ndarray, asked: np.ndarray, last: bool) -> np.ndarray:
+        at = _matched(keys, asked, last)
+        return np.where(at >= 0, order[at] if len(order) else -1, -1)
+
+    met = np.full(n, -1)
+    top = np.flatnonzero(~parent.is_valid().to_numpy(zero_copy_only=False) & told[:n])
+    met[top] = look(*index(rows[1] * tags_n + code[n:], np.ones(len(old_node), bool)), rows[0][top] * tags_n + code[top], False)
+    below, level, deep = index(old_up * tags_n + code[n:], old_up >= 0), np.zeros(n, bool), depth.fill_null(0).to_numpy(zero_copy_only=False)
+    level[top] = met[top] >= 0
+    for at in range(1, int(deep.max(initial=0)) + 1):
+        some = np.flatnonzero((deep == at) & (up >= 0) & told[:n])
+        some = some[level[up[some]]]
+        met[some] = look(*below, met[up[some]] * tags_n + code[some], True)
+        level = np.zeros(n, bool)
+        level[some] = met[some] >= 0
+    places = lambda at, start: pa.array((at - start).astype(np.int32), mask=at < 0)
+    both = pa.StructArray.from_arrays([places(met, starts[1][rows[0]]), places(up, starts[0][rows[0]])], ["met", "up"])
+    return pa.ListArray.from_arrays(pa.array(np.append(starts[0], n).astype(np.int32)), both)
+
+
+def packed_trees(nodes: DataFrame, *columns: str) -> DataFrame:
+    """A row for each pair_id with a list of each column's values, those of a node at the same place in all. A tree is of one document, which one row held before."""
+    rows = nodes.groupBy("pair_id").agg(F.collect_list(F.struct(*columns)).alias("_n"))
+    return rows.select("pair_id", *[F.col(f"_n.{c}").alias(c) for c in columns])
+
+
+def compare_packed(current: DataFrame, previous: DataFrame, how: str = "inner") -> DataFrame:
+    """compare_trees of packed trees: both with node_id, parent_id, tag and kwota_a, current with depth too. A pair's trees meet in one row."""
+    workers_import_us(current.sparkSession)
+    met = F.arrow_udf(_meetings, "array<struct<met int, up int>>")
+    rows = current.join(previous.toDF(*[c if c == "pair_id" else f"_{c}" for c in previous.columns]), "pair_id", how)
+    rows = rows.withColumn("_at", met("node_id", "parent_id", "depth", "tag", "_node_id", "_parent_id", "_tag"))
+    now, old = lambda at: F.get("kwota_a", at), lambda at: F.get("_kwota_a", at)
+    each = F.transform("_at", lambda x, i: F.struct(F.get("tag", i).alias("tag"), now(i).alias("kwota_a"), old(x["met"]).alias("previous"), now(x["up"]).alias("_pa"), old(F.get("_at", x["up"])["met"]).alias("_pp")))
+    return _changes(rows.select("pair_id", F.inline(each)))
 
 
 def compare_trees(current: DataFrame, previous: DataFrame | None = None) -> DataFrame:
@@ -751,12 +804,16 @@ def compare_trees(current: DataFrame, previous: DataFrame | None = None) -> Data
 
     Both have pair_id, node_id (in document order), parent_id, depth, tag, kwota_a, kwota_b. Without previous, kwota_b counts.
     """
-    if previous is None:
-        both = current.withColumn("previous", F.col("kwota_b"))
-    else:
-        both = current.join(_met_by_level(current, previous).drop("met"), ["pair_id", "node_id"], "left")
+    if previous is not None:
+        columns = ("node_id", "parent_id", "tag", "kwota_a")
+        return compare_packed(packed_trees(current, *columns, "depth"), packed_trees(previous, *columns), "left")
+    both = current.withColumn("previous", F.col("kwota_b"))
     up = both.select("pair_id", F.col("node_id").alias("parent_id"), F.col("kwota_a").alias("_pa"), F.col("previous").alias("_pp"))
-    rows = both.filter("parent_id is not null").join(up, ["pair_id", "parent_id"], "left").unionByName(both.filter("parent_id is null"), allowMissingColumns=True)
+    return _changes(both.filter("parent_id is not null").join(up, ["pair_id", "parent_id"], "left").unionByName(both.filter("parent_id is null"), allowMissingColumns=True))
+
+
+def _changes(rows: DataFrame) -> DataFrame:
+    """Changes and shares of rows (pair_id, tag, kwota_a, previous, _pa, _pp): the last two are the parent's amounts."""
     return rows.select(
         "pair_id", "tag", F.col("kwota_a").alias("current"), "previous", F.round(F.col("kwota_a") - F.col("previous"), 2).alias("change_absolute"), sc.pct_change(F.col("kwota_a"), F.col("previous")).alias("change_percent"),
         sc.share_of_parent(F.col("kwota_a"), F.col("_pa")).alias("share_of_parent_current"), sc.share_of_parent(F.col("previous"), F.col("_pp")).alias("share_of_parent_previous"),

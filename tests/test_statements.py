@@ -1,6 +1,7 @@
 """Parsing of small own documents."""
 
 import base64
+import random
 import xml.etree.ElementTree as ET
 import io
 import zipfile
@@ -346,3 +347,43 @@ def test_only_fields_that_are_asked_for_are_made(spark):
     assert few.columns == ["doc_id", "kind", "tag", "a", "multiplier"]
     every = st.nodes(st.element_rows(docs, staged=False)).select("doc_id", "tag", "kwota_a").collect()
     assert st.nodes(few).collect() == every and len(every) > 1
+
+
+def test_comparison_of_random_trees_against_a_loop(spark):
+    """Repeated tags, gaps in numbers, null tags and amounts, and pairs without a tree on the other side."""
+    rng = random.Random(5)
+
+    def tree(pair):
+        rows = []
+        for i in range(rng.randrange(1, 30)):
+            up = rng.choice([None, *rows[-6:]])
+            rows.append((pair, 3 * i, up and up[1], up[3] + 1 if up else 0, rng.choice([*"ABC", None]), rng.choice([None, float(rng.randrange(9))]), 0.0))
+        return rows
+
+    now, old = {p: tree(p) for p in range(60)}, {p: tree(p) for p in range(10, 70)}
+    want = []
+    for p, nodes in now.items():
+        met, others = {}, old.get(p, [])
+        for _, i, up, _, tag, _, _ in nodes:
+            some = [o for o in others if tag is not None and o[4] == tag and (up is None or (up in met and o[2] == met[up][1]))]
+            if some:
+                met[i] = some[0] if up is None else some[-1]
+        for _, i, up, _, tag, a, _ in nodes:
+            b, of = met[i][5] if i in met else None, {n[1]: n[5] for n in nodes}.get(up)
+            want.append((p, tag, a, b, round(a / of * 100, 4) if a is not None and of else None))
+    cols = "pair_id int, node_id long, parent_id long, depth int, tag string, kwota_a double, kwota_b double"
+    frame = lambda trees: spark.createDataFrame([n for t in trees.values() for n in t], cols).repartition(3)
+    got = [(r.pair_id, r.tag, r.current, r.previous, r.share_of_parent_current) for r in st.compare_trees(frame(now), frame(old)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(w[3] is not None for w in want) > 50
+
+
+def test_comparison_deals_statements_and_not_their_nodes(spark):
+    """A pair's two trees meet as one row each: nodes are dealt once, whatever the depth."""
+    from ledgerline.fixtures import Tables
+    from ledgerline.plans import trees
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    now, old = trees._both_years(t, t.fx_reports.select(F.col("id").alias("pair_id"), F.col("id").alias("prior_id")))
+    assert now.count() == t.fx_tree.select("doc_id").distinct().count() and old.count() == t.fx_reports.count()
+    plan = st.compare_packed(now, old)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") <= 2 and plan.count("Scan parquet") == 2
