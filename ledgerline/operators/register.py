@@ -24,6 +24,9 @@ def pending_downloads(current: DataFrame, *, without_error: bool = False) -> Dat
     return rows.filter(F.col("download_error").isNull()) if without_error else rows
 
 
+#: Versions of a report that each of its requests carries; those of reports with more are merged with the requests in the order of time.
+MANY = 256
+
 #: Orders of the crawl queue, each with a unique tie-break.
 CRAWL_ORDERS = {
     "priority": lambda: [F.desc("check_priority"), F.asc_nulls_first("last_checked_on"), F.asc("krs")],
@@ -209,14 +212,66 @@ def _with_versions(features: DataFrame, requests: DataFrame, **carried: Column)
     return rows.filter("kind = 1").select("prediction_id", "report_id", "feature_definition_id", "then", "newest", *carried)
 
 
+def _beside(features: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """requests with versions, the sorted valid (feature_definition_id, computed_at, computation_version, value) of their report, and the reports of more than MANY, if any, whose requests are left out.
+
+    A report's versions are one row, written once; a window of MANY and one bounds what a task gathers of a report.
+    """
+    version = ["feature_definition_id", "computed_at", "computation_version", "value"]
+    some = F.row_number().over(W.partitionBy("report_id").orderBy("computed_at"))
+    few = features.filter("is_valid").select("report_id", *version, some.alias("_n")).filter(F.col("_n") <= MANY + 1)
+    by = stage(few.groupBy("report_id").agg(F.max("_n").alias("_n"), F.sort_array(F.collect_list(F.struct(*version))).alias("versions")), "versions")
+    many = by.filter(F.col("_n") > MANY).select("report_id")
+    return requests.join(by.filter(F.col("_n") <= MANY).select("report_id", "versions"), "report_id"), None if many.isEmpty() else many
+
+
+def _newest(versions: str) -> Column:
+    """The last of each feature of sorted versions."""
+    name = lambda v: v["feature_definition_id"]
+    return F.filter(versions, lambda v, i: (i == F.size(versions) - 1) | ~name(F.get(versions, i + 1)).eqNullSafe(name(v)))
+
+
+def _seen() -> Column:
+    """Of versions, what was there at scored_at; all without a time."""
+    return F.filter("versions", lambda v: F.col("scored_at").isNull() | (v["computed_at"] <= F.col("scored_at")))
+
+
 def features_as_of(features: DataFrame, requests: DataFrame) -> DataFrame:
     """For each request (prediction_id, report_id, scored_at), the newest valid features computed by then; null means now."""
-    found = _with_versions(features, requests.select("prediction_id", "report_id", "scored_at")).filter("then is not null")
-    return found.select("prediction_id", "report_id", "feature_definition_id", "then.*")
+    asked = requests.select("prediction_id", "report_id", "scored_at")
+    rows, many = _beside(features, asked)
+    columns = ["prediction_id", "report_id", "feature_definition_id", "computed_at", "computation_version", "value"]
+    found = rows.withColumn("_seen", _seen()).select("prediction_id", "report_id", F.inline(_newest("_seen"))).select(columns)
+    if many is None:
+        return found
+    merged = _with_versions(features.join(many, "report_id", "left_semi"), asked.join(many, "report_id", "left_semi")).filter("then is not null")
+    return found.unionByName(merged.select("prediction_id", "report_id", "feature_definition_id", "then.*"))
+
+
+def resolved_snapshots(features: DataFrame, requests: DataFrame) -> DataFrame:
+    """J7 with a row a request: requests (prediction_id, report_id, scored_at, snapshot, and more) and found, its (feature_definition_id, computation_version, value, source); none without any."""
+    rows, many = _beside(features, requests)
+    exact = F.filter("versions", lambda v: v["computation_version"] == F.col("snapshot")[v["feature_definition_id"]])
+    rows = rows.withColumn("_exact", exact).withColumn("_seen", _seen())
+    source = F.when((F.size("_exact") > 0) & (F.size("_exact") == F.size("snapshot")), "snapshot").when(F.size("_seen") > 0, "as_of").otherwise("latest")
+    rows = rows.withColumn("_source", source)
+    chosen = F.when(F.col("_source") == "snapshot", F.col("_exact")).when(F.col("_source") == "as_of", _newest("_seen")).otherwise(_newest("versions"))
+    columns = ["feature_definition_id", "computation_version", "value"]
+    found = rows.select(*requests.columns, F.transform(chosen, lambda v: F.struct(*[v[c].alias(c) for c in columns], F.col("_source").alias("source"))).alias("found"))
+    if many is None:
+        return found
+    asked = requests.join(many, "report_id", "left_semi")
+    merged = _merged_snapshots(features.join(many, "report_id", "left_semi"), asked).groupBy("prediction_id").agg(F.collect_list(F.struct(*columns, "source")).alias("found"))
+    return found.unionByName(asked.join(merged, "prediction_id"))
 
 
 def feature_snapshot_resolve(features: DataFrame, requests: DataFrame) -> DataFrame:
     """By snapshot if all its features are there, else as of scoring, else the newest; source says which."""
+    return resolved_snapshots(features, requests.select("prediction_id", "report_id", "scored_at", "snapshot")).select("prediction_id", F.inline("found"))
+
+
+def _merged_snapshots(features: DataFrame, requests: DataFrame) -> DataFrame:
+    """feature_snapshot_resolve by a merge in the order of time, for reports of any number of versions."""
     asked = F.col("snapshot")[F.col("feature_definition_id")]
     rows = _with_versions(features, requests.select("prediction_id", "report_id", "scored_at", "snapshot"), computation_version=asked, _size=F.size("snapshot"))
     exact = features.filter("is_valid").select("report_id", "feature_definition_id", "computation_version", F.struct("computation_version", "value").alias("exact"))

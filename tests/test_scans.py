@@ -222,3 +222,19 @@ def test_amounts_meet_predictions_a_row_a_report(spark):
     assert got == sorted((x for t in next(d[4] for d in catalog.FEATURES if d[0] == "roa") for x in want[t]), key=key)
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "tag_path" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_features_as_of_a_report_with_more_versions_than_a_request_carries(many_ranges, monkeypatch):
+    for n in (3, 60, 89):
+        monkeypatch.setattr(rg, "MANY", n)
+        test_features_as_of_a_report_with_most_requests(many_ranges)
+
+
+def test_versions_meet_requests_a_row_a_report(spark):
+    """Requests and versions are dealt by report once, and neither by feature."""
+    features = spark.createDataFrame([("r", "roa", 1, 0.5, True, T0)], "report_id string, feature_definition_id string, computation_version int, value double, is_valid boolean, computed_at timestamp")
+    requests = spark.createDataFrame([("p", "r", T0, {"roa": 1})], "prediction_id string, report_id string, scored_at timestamp, snapshot map<string, int>")
+    found = rg.feature_snapshot_resolve(features, requests)
+    assert [tuple(r) for r in found.collect()] == [("p", "roa", 1, 0.5, "snapshot")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 2 and "Window" not in plan and len(set(found.inputFiles())) <= 4
