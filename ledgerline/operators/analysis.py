@@ -69,21 +69,25 @@ def series(reports: DataFrame, items: DataFrame, tags: Sequence[str]) -> DataFra
 
 def prediction_detail(scores: DataFrame, features: DataFrame, reports: DataFrame, items: DataFrame) -> DataFrame:
     """Scores (id, report_id, krs, model_id, fiscal_year, raw_score, risk_category, scored_at, snapshot) by feature and tag."""
-    from ledgerline.operators.register import feature_snapshot_resolve, prior_year_report
+    from ledgerline.operators.register import prior_year_report, resolved_snapshots
 
     spark = scores.sparkSession
     bounds = F.broadcast(catalog.threshold_table(spark).select("model_id", F.col("label").alias("risk_category"), "min_score", "max_score"))
-    found = feature_snapshot_resolve(features, scores.select(F.col("id").alias("prediction_id"), "report_id", "scored_at", "snapshot"))
-    # A prediction's features and a report's amounts are one row each until all has met; they are unfolded last.
-    found = found.groupBy("prediction_id").agg(F.collect_list(F.struct("feature_definition_id", "value", "source")).alias("_found"))
-    heads = scores.select(F.col("id").alias("prediction_id"), "report_id", "krs", "model_id", "fiscal_year", "raw_score", "risk_category")
-    prior = prior_year_report(reports).select(F.col("id").alias("report_id"), "prior_id")
+    found = resolved_snapshots(features, scores.select(F.col("id").alias("prediction_id"), "report_id", "scored_at", "snapshot", "krs", "model_id", "fiscal_year", "raw_score", "risk_category"))
+    # A prediction's features and a report's amounts are one row each until all has met; they are unfolded last. Tags are numbers on the way.
     tags = sorted({t for d in catalog.FEATURES for t in d[4]})
-    amounts = latest_line_items(items.filter(F.col("tag_path").isin(tags)).select("report_id", "section", "tag_path", "extraction_version", "value_current").repartition("report_id"))
-    amounts = amounts.groupBy("report_id").agg(F.collect_list(F.struct("tag_path", "section", "value_current")).alias("_now"))
-    rows = heads.join(found, "prediction_id").join(prior, "report_id", "left").join(amounts, "report_id", "left").join(amounts.toDF("prior_id", "_then"), "prior_id", "left")
-    rows = rows.join(bounds, ["model_id", "risk_category"], "left").select("*", F.explode("_found").alias("_f")).select("*", "_f.*").join(F.broadcast(catalog.tag_table(spark)), "feature_definition_id")
-    own = lambda column: F.explode_outer(F.filter(column, lambda x: x["tag_path"] == F.col("tag_path")))
+    place = F.array_position(F.array(*map(F.lit, tags)), F.col("tag_path")).cast("int")
+    # Dealt as short rows before they are put together, which would sort and spill whatever a task reads.
+    every = items.filter(F.col("tag_path").isin(tags)).select("report_id", "section", place.alias("tag"), F.col("extraction_version").cast("long").alias("version"), "value_current").repartition("report_id")
+    every = every.groupBy("report_id").agg(F.sort_array(F.collect_list(F.struct("tag", "section", "version", "value_current"))).alias("_v"))
+    same = lambda v, w: v["tag"].eqNullSafe(w["tag"]) & v["section"].eqNullSafe(w["section"])
+    newest = F.filter("_v", lambda v, i: (i == F.size("_v") - 1) | ~same(v, F.get("_v", i + 1)))
+    amounts = every.select("report_id", F.transform(newest, lambda v: F.struct(v["tag"].alias("tag"), v["section"].alias("section"), v["value_current"].alias("value_current"))).alias("_now"))
+    prior = prior_year_report(reports).filter("prior_id is not null").select(F.col("id").alias("report_id"), "prior_id")
+    then = prior.join(amounts.toDF("prior_id", "_then"), "prior_id").select("report_id", "_then")
+    rows = found.drop("prediction_id", "scored_at", "snapshot").join(amounts, "report_id", "left").join(then, "report_id", "left")
+    rows = rows.join(bounds, ["model_id", "risk_category"], "left").select("*", F.explode("found").alias("_f")).select("*", "_f.*").join(F.broadcast(catalog.tag_table(spark)), "feature_definition_id").withColumn("_tag", place)
+    own = lambda column: F.explode_outer(F.filter(column, lambda x: x["tag"] == F.col("_tag")))
     rows = rows.select("*", own("_now").alias("_n")).select("*", own("_then").alias("_p"))
     return rows.select(
         "krs", "model_id", "fiscal_year", "raw_score", "risk_category", "min_score", "max_score", "feature_definition_id", "value", "source", "tag_path", F.coalesce("_n.section", "_p.section").alias("section"),
