@@ -319,3 +319,26 @@ def test_a_cluster_needs_a_key(spark):
     with pytest.raises(ValueError):
         pii_key(far)
     assert pii_key(spark)
+
+
+@pytest.mark.parametrize(("title", "gender"), [("Mıss", "f"), ("MİSS", "f"), ("ſr.", "m"), ("Señorıta", "f"), ("MRS", "f"), ("Mıster", "m")])
+def test_titles_whose_letters_lower_case_keeps_apart(title, gender):
+    """The pattern takes these for titles without regard to case, so a table that holds one must not fail."""
+    text = f"{title} Kowalska went home."
+    assert [(e.kind, e.canonical) for e in pii.detect(text)] == [("name", "Kowalska")]
+    assert pii._title_gender(title.rstrip(".")) == gender and "Kowalska" not in pii.rewrite(text, key=KEY)[0]
+
+
+def test_texts_stay_where_few_have_redrawn_entities(spark, monkeypatch):
+    def clash(kind, canonical, attempt=0, *, key, style=""):
+        return "anna.same@example.com" if kind == "email" and attempt == 0 else pii.surrogate(kind, canonical, attempt, key=key, style=style)
+
+    docs = spark.createDataFrame([(i, f"Write to person{i}@mail.com today.") for i in range(20)], "doc_id long, text string")
+    texts = []
+    for few in (1 << 17, 5):
+        monkeypatch.setattr(pii, "FEW", few)
+        done = pii.replace_entities(docs, key=KEY, draw=clash)
+        texts.append(sorted(r.text for r in done.collect()))
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+        assert ("strategy=broadcast" in plan) == (few > 5)
+    assert texts[0] == texts[1] and len(set(texts[0])) == 20 and not any("person1@" in t for t in texts[0])
