@@ -238,3 +238,11 @@ def test_versions_meet_requests_a_row_a_report(spark):
     assert [tuple(r) for r in found.collect()] == [("p", "roa", 1, 0.5, "snapshot")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 2 and "Window" not in plan and len(set(found.inputFiles())) <= 4
+
+
+def test_items_of_predictions_are_dealt_with_numbers_for_tags(spark):
+    from ledgerline.plans import QUERIES
+
+    plan = QUERIES["prediction_detail"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[i + 1] for i, line in enumerate(plan) if "RepartitionByExpression" in line]
+    assert below and all("AS tag#" in line and "tag_path#" not in line.split("array_position")[0] for line in below)
